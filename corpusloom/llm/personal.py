@@ -186,14 +186,15 @@ def _chosen(keys: list[str]) -> Column:
     return F.expr(f"transform(array_sort(transform({both}, x -> named_struct('rank', {rank}, 'start', x.start, 'end', x.end, 'kind', x.kind))), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))")
 
 
-def detect(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def detect(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, base: array of (kind, start, end), spans: likewise with those that the method adds), a row for each row.
 
     Starts and ends count code points, ends exclusive; both arrays are ordered by kind (email, ip, card, phone,
     iban, secret, ssn), then start. Null and empty texts have no spans; repeated rows and null ids are rows like any
-    other; an empty table gives no rows; other columns are not read. keep_text adds the text.
+    other; an empty table gives no rows; other columns are not read. keep_text adds the text, keep
+    other columns, whose names are none of these.
     """
-    docs = ids_first(documents, id_col, text_col)
+    docs = ids_first(documents, id_col, text_col, keep)
     found = candidates(docs)
     if not keep_text:
         found = materialise(found.drop("text"), "spans")
@@ -201,7 +202,7 @@ def detect(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = found.withColumn("_keys", F.lit(keys).cast("array<string>") if keys else F.expr("cast(array() AS array<string>)"))
     chosen = found.withColumn("chosen", _chosen(keys))
     base = F.expr(f"filter(chosen, x -> x.kind IN ({', '.join(map(repr, BASE))}))")
-    return chosen.select("doc_id", *["text"] * keep_text, base.alias("base"), F.col("chosen").alias("spans"))
+    return chosen.select("doc_id", *["text"] * keep_text, *keep, base.alias("base"), F.col("chosen").alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, jpeg, language, minhash, packing, personal, substrings, warc
+from corpusloom.llm import bpe, jpeg, language, licenses, minhash, packing, personal, substrings, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.detect(table(spark, sf_dir, "documents")))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove(table(spark, sf_dir, "documents"), 13, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -56,6 +60,12 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digest(jpeg.store(table(spark, sf_dir, "documents")))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    said = F.expr("array_join(transform(matches, x -> concat_ws(':', x.license, x.start, x.end, concat(x.matched, '/', x.words))), ',')")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), said.alias("licenses"))
+
+
 def second_replica(pages: DataFrame) -> DataFrame:
     """A replica with planted faults: in some records the first byte is another one, some are lost."""
     damaged = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substring(F.coalesce("html", F.lit("")), 2, 1 << 30))).otherwise(F.col("html"))

@@ -84,6 +84,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POW = np.ones(1, dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SIGNS = np.ones(256, dtype=bool)
+"""Bytes between words that are runs of ASCII letters and digits and of letters beyond ASCII."""
+_SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -107,10 +110,10 @@ class Block:
 
     __slots__ = ("first", "rows", "hashes", "bounds", "starts", "ends", "data", "row_bytes")
 
-    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, lower: bool, signs: bool = False):
         self.first, self.rows, self.data = first, len(offsets) - 1, data
         self.row_bytes = offsets
-        solid = ~_SPACE[data]
+        solid = ~(_SIGNS if signs else _SPACE)[data]
         n = len(data)
         begins = solid.copy()
         if n:
@@ -135,7 +138,7 @@ class Block:
         self.hashes = mix(total + lens.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK_BYTES, signs: bool = False) -> Iterator[Block]:
     """Blocks of about size bytes of a column of strings(); words are maximal runs of other than ASCII white space."""
     texts = strings(texts)
     n = len(texts)
@@ -148,7 +151,7 @@ def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> Ite
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
         to = min(n, max(to, at + 1))
-        yield Block(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower)
+        yield Block(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, signs)
         at = to
 
 
@@ -164,6 +167,6 @@ def rolling(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def ids_first(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns that an operator on texts reads; other columns can have any names."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def ids_first(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The two columns that an operator on texts reads, and those to keep; other columns can have any names."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)

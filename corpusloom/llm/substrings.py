@@ -281,9 +281,10 @@ def covered(found: list[bytes] | None, words: int, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, text_key): the key tells rows of one id and other texts apart."""
-    return ids_first(documents, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+def keyed(documents: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, text_key, and a struct of the columns to keep): the key tells rows of one id and other texts apart."""
+    docs = ids_first(documents.withColumn("_kept", F.struct(*keep)) if keep else documents, id_col, text_col, ("_kept",) if keep else ())
+    return docs.withColumn("text_key", F.xxhash64("text"))
 
 
 def repeated(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,8 +298,8 @@ def repeated(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text
     return hits.groupBy("doc_id", "text_key").agg(F.collect_list("ranges").alias("found"))
 
 
-def remove(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept), a row for each row of documents.
+def remove(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept, and the columns to keep as a struct _kept), a row for each row of documents.
 
     A word goes if a window of width words that covers it starts, word for word, in a document with a
     smaller id as well; windows are judged on the input. kept is the text as it was where nothing goes, else
@@ -324,9 +325,10 @@ def remove(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text_c
                     joined = b" ".join(words)
                     kept.append(old if texts else None)
                 sha.append(hashlib.sha256(joined).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), *batch.columns[3:]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"] + ["_kept"] * bool(keep))
 
     found = repeated(documents, width, id_col, text_col)
-    base = keyed(documents, id_col, text_col).alias("a")
+    base = keyed(documents, id_col, text_col, keep).alias("a")
+    more = f", _kept {base.schema['_kept'].dataType.simpleString()}" if keep else ""
     both = base.join(found.alias("f"), F.expr("a.doc_id <=> f.doc_id AND a.text_key = f.text_key"), "left")
-    return both.select("a.doc_id", "a.text", "f.found").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return both.select("a.doc_id", "a.text", "f.found", *["a._kept"] * bool(keep)).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string" + more)
