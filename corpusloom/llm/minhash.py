@@ -3,8 +3,8 @@
 Texts with equal shingle sets form a class first; only the class's least id goes on, so a large group of
 copies costs one row each. Within a band's bucket no full set of pairs is made: each member meets the
 bucket's least id and its neighbour in the order of the next bands. Links found so are closed into
-components, and only members of different components of one bucket meet again, so that no link
-that could still join two components is missed.
+components, and only buckets with members of different components are looked at again: their full sets meet in
+blocks, which give one link a member at most, so that no link that could still join two components is missed.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from corpusloom.llm.graph import components
 from corpusloom.llm.shared import Block, blocks, ids_first, materialise, mix, rolling, small_batches, stream
 
 ROWS = 5
+CROWD = 1024
+"""Members of a bucket that one block holds; blocks of a larger bucket meet two by two in tasks of their own."""
 MARGIN = 15
 """By so many hundredths a signature's estimate may lie under the threshold: over four standard deviations."""
 
@@ -103,6 +105,44 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["src", "dst"])
 
 
+def _between(percent: int):
+    """Of a block of a bucket: the links between members of different components, as one pair (least member reached, member) each.
+
+    Intersections are sums of products over the shingles that two members have at least, some columns at a time.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comps = table.column("id").to_numpy(), table.column("c").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles").combine_chunks()] if table.num_rows else []
+        size = np.array([len(sets[i]) for i in order], dtype=np.int64)
+        ids, comps = ids[order], comps[order]
+        _, which, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(ids)), size)
+        shared = count[which] > 1
+        column = (np.cumsum(count > 1) - 1)[which[shared]]
+        owner, width = owner[shared], int((count > 1).sum())
+        inter = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        by = np.argsort(column, kind="stable")
+        column, owner = column[by], owner[by]
+        for low in range(0, width, 4096):
+            a, b = np.searchsorted(column, (low, low + 4096))
+            x = np.zeros((len(ids), min(4096, width - low)), dtype=np.float32)
+            x[owner[a:b], column[a:b] - low] = 1
+            inter += x @ x.T
+        hit = (100 * inter.astype(np.int64) >= percent * (size[:, None] + size - inter.astype(np.int64))) & (comps[:, None] != comps)
+        low, top = ids.copy(), np.iinfo(np.int64).max
+        while hit.any():
+            new = np.minimum(low, np.where(hit, low, top).min(axis=1))
+            if np.array_equal(new, low):
+                break
+            low = new
+        out = low < ids
+        return pa.table({"src": pa.array(low[out], pa.int64()), "dst": pa.array(ids[out], pa.int64())})
+
+    return run
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each id of documents.
 
@@ -145,13 +185,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
     found = materialise(components(links), "components")
     labelled = bucket.select("id", "key", "center").join(found, "id", "left").select("id", "key", "center", F.coalesce("component_id", "id").alias("c"))
     labelled = materialise(labelled, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("c", "id").alias("main")).where("low < high").select("key", "main")
-    apart = materialise(labelled.join(open_, "key").select("id", "key", "c", (F.col("c") == F.col("main")).alias("in_main")), "apart")
-    left, right = apart.where("NOT in_main").alias("l"), apart.alias("r")
-    # In a small bucket all members of different components meet; members of the bucket's main component never meet each other.
-    cross = left.join(right, F.expr("l.key = r.key AND l.c != r.c AND (r.in_main OR l.id < r.id)")).select(F.least("l.id", "r.id").alias("src"), F.greatest("l.id", "r.id").alias("dst")).distinct()
-    cross = cross.join(first, ["src", "dst"], "left_anti")
-    more = materialise(confirmed(cross), "links")
+    open_ = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("low < high").select("key", "parts")
+    apart = labelled.join(open_, "key").select("id", "key", "c", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("mine"))
+    apart = apart.join(shingles, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks_ = apart.select("id", "c", "shingles", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    more = materialise(blocks_.groupBy("key", "i", "j").applyInArrow(_between(percent), "src long, dst long").distinct(), "links")
     # The second closure is over what the first left: components as nodes.
     name = found.select("id", "component_id")
     lifted = more.join(name.select(F.col("id").alias("src"), F.col("component_id").alias("a")), "src", "left").join(name.select(F.col("id").alias("dst"), F.col("component_id").alias("b")), "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
