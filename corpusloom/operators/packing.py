@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def buckets(items: DataFrame, length: str) -> DataFrame:
-    """(length, n): the histogram that packing works on."""
-    return items.groupBy(length).agg(F.count("*").alias("n"))
+    """(length, items): the histogram that packing works on."""
+    return items.groupBy(length).agg(F.count("*").alias("items"))
 
 
 def histogram(items: DataFrame, length: str, low: float, high: float, bins: int = 10) -> DataFrame:

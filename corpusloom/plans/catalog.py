@@ -100,8 +100,8 @@ def join08_continuations(spark, d):
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') a FROM documents),
 b AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') a FROM benchmark),
-g AS (SELECT DISTINCT array_to_string(a[i:i+12], ' ') g FROM b, range(1, 3000) r(i) WHERE i + 12 <= len(a)),
-o AS (SELECT DISTINCT doc_id, array_to_string(a[i:i+12], ' ') g FROM w, range(1, 30000) r(i) WHERE i + 12 <= len(a))
+g AS (SELECT DISTINCT array_to_string(a[i:i+12], ' ') g FROM (SELECT a, unnest(range(1, greatest(len(a) - 11, 1))) i FROM b)),
+o AS (SELECT DISTINCT doc_id, array_to_string(a[i:i+12], ' ') g FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 11, 1))) i FROM w))
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_shared FROM o SEMI JOIN g USING (g) GROUP BY doc_id""")
 def join11_decontamination(spark, d):
     return dedup.contaminated(t(spark, d, "documents"), t(spark, d, "benchmark"))
