@@ -134,16 +134,6 @@ def windows(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return rows[at], at - block.bounds[rows[at]], lead[at], print_[at]
 
 
-def ranges(at: np.ndarray) -> np.ndarray:
-    """Consecutive ascending places as (start, length) pairs in one int32 array."""
-    if not len(at):
-        return np.zeros(0, np.int32)
-    cut = np.flatnonzero(np.diff(at) != 1) + 1
-    begin = np.concatenate([[0], cut])
-    end = np.concatenate([cut, [len(at)]])
-    return np.stack([at[begin], end - begin], axis=1).astype("<i4").ravel()
-
-
 def _sent(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Per block and part: the block's distinct windows, and the windows that the block itself settles."""
     for batch in batches:
@@ -177,12 +167,34 @@ def _sent(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator
                     continue
                 hit, keep = mine[settled[mine]], mine[first[mine] & (doc[mine] != NO_ID)]
                 rows_, r = np.unique(row[keep], return_inverse=True)
-                leads, l = np.unique(lead[keep], return_inverse=True)
-                six = mark[keep].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                out.append((p, ids[rows_].astype("<i8").tobytes() + texts[rows_].tobytes(), np.bincount(r, minlength=len(rows_)).astype("<i4").tobytes(), ranges_by(r, place[keep], len(rows_)), leads.astype("<u8").tobytes(), l.astype("<u4" if len(leads) > 65535 else "<u2").tobytes(), six, settled_rows(row[hit], place[hit], ids, texts)))
+                heads, lengths = lead_runs(lead[keep])
+                out.append((p, ids[rows_].astype("<i8").tobytes() + texts[rows_].tobytes(), np.bincount(r, minlength=len(rows_)).astype("<i4").tobytes(), ranges_by(r, place[keep], len(rows_)), top_bytes(heads, 5), lengths.tobytes(), top_bytes(mark[keep], 6), settled_rows(row[hit], place[hit], ids, texts)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 7))], ["part", "docs", "counts", "places", "leads", "lead_of", "marks", "settled"])
 
 
+def lead_runs(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of equal leaders, of up to 255 windows."""
+    if not len(lead):
+        return lead, np.zeros(0, np.uint8)
+    begin = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
+    many = np.diff(np.append(begin, len(lead)))
+    parts = -(-many // 255)
+    out = np.full(int(parts.sum()), 255, dtype=np.uint8)
+    out[np.cumsum(parts) - 1] = many - 255 * (parts - 1)
+    return np.repeat(lead[begin], parts), out
+
+
+def top_bytes(x: np.ndarray, n: int) -> bytes:
+    """The n most significant bytes of each number."""
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def from_top_bytes(raw, n: int) -> np.ndarray:
+    out = np.zeros((len(raw) // n, 8), dtype=np.uint8)
+    out[:, :n] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, n)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def ranges_by(r: np.ndarray, place: np.ndarray, rows: int) -> bytes:
     """The places of each row (r ascending, places ascending in a row) as ranges, with a count of them a row."""
     if not len(r):
@@ -211,16 +223,15 @@ def _spread(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _found(table: pa.Table) -> pa.Table:
-    """Of one part: the windows whose leader and fingerprint a smaller document has too, as ranges by row."""
-    docs, texts, places, leads, marks, rows_of = [], [], [], [], [], []
-    out_doc, out_text, out_range = [], [], []
+    """Of one part: the windows whose leader and fingerprint a smaller document has too, as ranges, packed by bucket of documents."""
+    docs, texts, places, leads, marks, rows_of, found = [], [], [], [], [], [], []
 
     def emit(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
-        edge = np.searchsorted(row, np.arange(len(ids) + 1))
-        for i in np.flatnonzero(np.diff(edge)):
-            out_doc.append(int(ids[i]))
-            out_text.append(int(keys[i]))
-            out_range.append(ranges(place[edge[i] : edge[i + 1]]).tobytes())
+        """row and place ascend."""
+        if len(row):
+            cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(row) != 0)) + 1
+            begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(row)]])
+            found.append((ids[row[begin]], keys[row[begin]], place[begin].astype("<i4"), (end - begin).astype("<i4")))
 
     total = 0
     for i in range(table.num_rows):
@@ -236,16 +247,13 @@ def _found(table: pa.Table) -> pa.Table:
         if not n:
             continue
         row, place = _spread(got["places"], n)
-        names = np.frombuffer(got["leads"], dtype="<u8")
-        lead = names[np.frombuffer(got["lead_of"], dtype="<u4" if len(names) > 65535 else "<u2")]
-        six = np.zeros((len(row), 8), dtype=np.uint8)
-        six[:, :6] = np.frombuffer(got["marks"], dtype=np.uint8).reshape(-1, 6)
+        lead = np.repeat(from_top_bytes(got["leads"], 5), np.frombuffer(got["lead_of"], dtype=np.uint8))
         docs.append(pair[:n])
         texts.append(pair[n:])
         rows_of.append((row + total).astype(np.int32))
         places.append(place.astype(np.int32))
         leads.append(lead)
-        marks.append(six.view("<u8").ravel())
+        marks.append(from_top_bytes(got["marks"], 6))
         total += n
     if total:
         docs, texts = np.concatenate(docs), np.concatenate(texts)
@@ -268,16 +276,31 @@ def _found(table: pa.Table) -> pa.Table:
             hit = hit[np.lexsort((place[hit], row[hit]))]
             which, r = np.unique(row[hit], return_inverse=True)
             emit(docs[which], texts[which], r, place[hit])
-    return pa.table({"doc_id": pa.array([None if x == NO_ID else x for x in out_doc], pa.int64()), "text_key": pa.array(out_text, pa.int64()), "ranges": pa.array(out_range, pa.binary())})
-
-
-def covered(found: list[bytes] | None, words: int, width: int) -> np.ndarray:
+    buckets = max(1, int(table.column("parts")[0].as_py())) if table.num_rows else 1
+    cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+    to = (mix(cols[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[order], np.arange(buckets + 1))
+    rows = [(k, *(c[order[edges[k] : edges[k + 1]]].tobytes() for c in cols)) for k in np.flatnonzero(np.diff(edges)).tolist()]
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary())))})
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """Of one bucket: all ranges of each text."""
+    ids, keys, starts, lengths = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("ids", "<i8"), ("keys", "<i8"), ("starts", "<i4"), ("lengths", "<i4")))
+    order = np.lexsort((starts, keys, ids))
+    ids, keys, pair = ids[order], keys[order], np.stack([starts[order], lengths[order]], axis=1)
+    begin = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(ids))
+    return pa.table({"doc_id": pa.array([None if x == NO_ID else x for x in ids[begin].tolist()], pa.int64()), "text_key": pa.array(keys[begin], pa.int64()), "found": pa.array([pair[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())})
+
+
+def covered(found: bytes, words: int, width: int) -> np.ndarray:
     """Which words the removed windows cover."""
     edge = np.zeros(words + 1, dtype=np.int32)
-    for raw in found or ():
-        x = np.frombuffer(raw, dtype="<i4").reshape(-1, 2)
-        np.add.at(edge, x[:, 0], 1)
-        np.add.at(edge, x[:, 0] + x[:, 1] + width - 1, -1)
+    x = np.frombuffer(found, dtype="<i4").reshape(-1, 2)
+    np.add.at(edge, x[:, 0], 1)
+    np.add.at(edge, x[:, 0] + x[:, 1] + width - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -294,8 +317,8 @@ def repeated(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "part int, docs binary, counts binary, places binary, leads binary, lead_of binary, marks binary, settled binary"
     sent = keyed(documents, id_col, text_col).mapInArrow(lambda it: _sent(it, width, parts), schema)
-    hits = sent.groupBy("part").applyInArrow(_found, "doc_id long, text_key long, ranges binary")
-    return hits.groupBy("doc_id", "text_key").agg(F.collect_list("ranges").alias("found"))
+    hits = sent.withColumn("parts", F.lit(parts)).groupBy("part").applyInArrow(_found, "bucket int, ids binary, keys binary, starts binary, lengths binary")
+    return hits.groupBy("bucket").applyInArrow(_by_document, "doc_id long, text_key long, found binary")
 
 
 def remove(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
