@@ -56,7 +56,7 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Codec:
-    """Encodes as a word-final BPE vocabulary file does; keeps at most cache_size recent parts."""
+    """With text, speculates and verifies; else only ids are wanted, which packing takes from the library's merges. Encodes as a word-final BPE vocabulary file does; keeps at most cache_size recent parts."""
 
     def __init__(self, path: str, text: bool = False, cache_size: int = 0):
         self.path, self._library = path, None
@@ -98,7 +98,6 @@ class Codec:
         for k, v in self.special.items():
             self.names[v] = k
         self.decimals = list(map(str, range(size)))
-        self.is_final = [x.endswith(END) for x in self.names]
         self.speculated = self.merged = 0
 
     # -- one word ------------------------------------------------------------------------------
@@ -182,8 +181,7 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each non-empty word, a word being a match of the pre-tokenisation pattern."""
-        letters = self.letters
-        spelt = [w if w.isalpha() and w.isascii() else "".join([letters[c] for c in w.encode("utf-8", "replace")]) for w in words]
+        spelt = self.spell(words)
         out = [self.greedy(w) for w in spelt]
         counts = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
         flat = np.fromiter(chain.from_iterable(out), dtype=np.int64, count=int(counts.sum()))
@@ -205,26 +203,18 @@ class Codec:
         self.speculated += len(out)
         failing = np.flatnonzero(bad).tolist()
         self.merged += len(failing)
-        for i, ids in zip(failing, self.merge_words([words[i] for i in failing], [spelt[i] for i in failing]), strict=True):
+        for i, ids in zip(failing, self.merge_words([spelt[i] for i in failing]), strict=True):
             out[i] = ids
         return out
 
-    def merge_words(self, words: list[str], spelt: list[str]) -> Iterator[list[int]]:
-        """Exact merging. Plain words go through the library's own merge loop, many in one text; each ends with a word-final id."""
-        plain = [w.isalpha() and len(w) < 200 and (w.isascii() or normal(w) == w) for w in words]
-        together = " ".join([w for w, ok in zip(words, plain, strict=True) if ok])
-        ids = self.library().encode(together, add_special_tokens=False).ids if together else []
-        ends = self.is_final
-        at = 0
-        for s, ok in zip(spelt, plain, strict=True):
-            if not ok:
-                yield self.exact(s)
-                continue
-            to = at
-            while not ends[ids[to]]:
-                to += 1
-            yield ids[at : to + 1]
-            at = to + 1
+    def merge_words(self, spelt: list[str]) -> Iterator[list[int]]:
+        """Exact merging, by the merge loop of the library's model, which takes one spelt word at a time."""
+        merge = self.library().model.tokenize
+        return ([t.id for t in merge(s)] for s in spelt)
+
+    def spell(self, words: list[str]) -> list[str]:
+        letters = self.letters
+        return [w if w.isalpha() and w.isascii() else "".join([letters[c] for c in w.encode("utf-8", "replace")]) for w in words]
 
     def library(self):
         if self._library is None:
@@ -247,6 +237,10 @@ class Codec:
             new = list(parts)
         split = [p if p.isalpha() else _WORD.findall(p) for p in new]
         words = list({*(w for w in split if type(w) is str), *(w for ws in split if type(ws) is list for w in ws)})
+        if self.render == self.as_bytes:
+            raw = dict(zip(words, map(self.as_bytes, self.merge_words(self.spell(words))), strict=True))
+            known.update((p, raw[ws] if type(ws) is str else b"".join([raw[w] for w in ws])) for p, ws in zip(new, split, strict=True))
+            return
         ids = dict(zip(words, self.encode_words(words), strict=True))
         render = self.render
         for p, ws in zip(new, split, strict=True):
