@@ -165,7 +165,7 @@ def _sent(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator
                 mine = to[edges[p] : edges[p + 1]]
                 if not len(mine):
                     continue
-                hit, keep = mine[settled[mine]], mine[first[mine] & (doc[mine] != NO_ID)]
+                hit, keep = mine[settled[mine]], mine[first[mine]]
                 rows_, r = np.unique(row[keep], return_inverse=True)
                 heads, lengths = lead_runs(lead[keep])
                 out.append((p, ids[rows_].astype("<i8").tobytes() + texts[rows_].tobytes(), np.bincount(r, minlength=len(rows_)).astype("<i4").tobytes(), ranges_by(r, place[keep], len(rows_)), top_bytes(heads, 5), lengths.tobytes(), top_bytes(mark[keep], 6), settled_rows(row[hit], place[hit], ids, texts)))
