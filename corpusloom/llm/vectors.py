@@ -26,7 +26,11 @@ from corpusloom.llm.shared import materialise, small_batches
 SAMPLE = 20_000
 """Vectors that codebooks and radius are fitted to: those of least hash of id."""
 BLOCK = 512
-"""Members of a cell that one row of a task holds."""
+"""Visits that meet a block of members at once."""
+MEMBERS, VISITS = 2048, 16384
+"""About so many members and visits of a cell meet in one task; cells with more are dealt to several."""
+COPIES = 32768
+"""Vectors, with their copies for other cells, that a worker packs at a time."""
 
 
 def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,47 +114,73 @@ class Grid:
 
 
 def cell_count(n: int) -> int:
-    """Centres of each half: about 16 members a cell, as far as a bounded sample supports them."""
-    return int(np.clip(np.sqrt(n / 16), 4, 1024))
+    """Centres of each half: about 512 members a cell, where a visit's copy costs as much as its cosines, as far as a bounded sample supports them."""
+    return int(np.clip(np.sqrt(n / 512), 4, 1024))
 
 
-def _placed(batches: Iterator[pd.DataFrame], grid: Grid | None, size: int) -> Iterator[pd.DataFrame]:
-    """id, n, vec (bytes of a unit vector in double precision), cell, visits. Vectors of another length share a cell of their own."""
+def _placed(batches: Iterator[pd.DataFrame], grid: Grid | None, size: int, kind: str) -> Iterator[pd.DataFrame]:
+    """id, n, vec (bytes of the components as they came), cell, visits (the own cell first). Vectors of another length share a cell of their own."""
     for batch in batches:
         lengths = batch["embedding"].map(len)
         for length, part in batch.groupby(lengths):
-            x = unit(np.stack(part["embedding"].to_numpy()))
+            raw = np.stack(part["embedding"].to_numpy()).astype(kind)
             if length == size and grid is not None:
+                x = unit(raw)
                 cell, visits = grid.cells(x), list(grid.visits(x))
             else:
-                cell, visits = np.full(len(x), -length), [[-int(length)]] * len(x)
-            yield pd.DataFrame({"id": part["id"].to_numpy(), "n": part["n"].to_numpy(), "vec": [v.tobytes() for v in x], "cell": cell, "visits": [[int(c)] + [v for v in vs if v != c] for c, vs in zip(cell, visits, strict=True)]})
+                cell, visits = np.full(len(raw), -length), [[-int(length)]] * len(raw)
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "n": part["n"].to_numpy(), "vec": [v.tobytes() for v in raw], "cell": cell, "visits": [[int(c)] + [v for v in vs if v != c] for c, vs in zip(cell, visits, strict=True)]})
 
 
-def _dealt(batches: Iterator[pd.DataFrame], crowded: dict[int, int]) -> Iterator[pd.DataFrame]:
-    """Members and visits by cell and block, packed: a crowded cell's members are dealt to blocks, its visits to shares, and each block meets each share."""
+def _packed(ids: np.ndarray, counts: np.ndarray, vecs: np.ndarray, owner: np.ndarray, cell: np.ndarray, block: np.ndarray, share: np.ndarray, kind: int) -> pd.DataFrame:
+    """One row for each cell, block and share, of the vectors (owner) that go there."""
+    order = np.lexsort((share, block, cell))
+    owner, cell, block, share = owner[order], cell[order], block[order], share[order]
+    cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(share) != 0)) + 1
+    first = np.concatenate([[0], cuts]).astype(np.int64)
+    groups = np.split(owner, cuts)
+    return pd.DataFrame({"cell": cell[first], "block": block[first], "share": share[first], "kind": np.full(len(first), kind, np.int32), "ids": [ids[g].tobytes() for g in groups], "counts": [counts[g].tobytes() for g in groups], "vecs": [b"".join(vecs[g]) for g in groups]})
+
+
+def _copies(cell: np.ndarray, crowded: dict[int, tuple[int, int]], side: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in a cell: parts to be dealt to, and how many parts of the other side must be met."""
+    if not crowded:
+        return np.ones(len(cell), np.int64), np.ones(len(cell), np.int64)
+    both = np.array([crowded.get(c, (1, 1)) for c in cell.tolist()], dtype=np.int64).reshape(-1, 2)
+    return both[:, side], both[:, 1 - side]
+
+
+def _dealt(batches: Iterator[pd.DataFrame], crowded: dict[int, tuple[int, int]]) -> Iterator[pd.DataFrame]:
+    """Members and visits by cell, block and share, packed: a crowded cell's members are dealt to blocks, its visits to shares, and each block meets each share."""
     for batch in batches:
-        member = batch[["id", "n", "vec", "cell"]].assign(kind=0)
-        visit = batch[["id", "n", "vec", "visits"]].explode("visits").rename(columns={"visits": "cell"}).assign(kind=1)
-        both = pd.concat([member, visit], ignore_index=True)
-        both["cell"] = both["cell"].astype(np.int64)
-        both["parts"] = both["cell"].map(crowded).fillna(1).astype(np.int64)
-        both["part"] = (both["id"] * 2654435761 % (1 << 32)) % both["parts"]
-        rows = []
-        for (cell, kind, part, parts), g in both.groupby(["cell", "kind", "part", "parts"], sort=False):
-            packed = (g["id"].to_numpy(np.int64).tobytes(), g["n"].to_numpy(np.int64).tobytes(), b"".join(g["vec"]))
-            rows += [(cell, *((part, other) if kind == 0 else (other, part)), kind, *packed) for other in range(parts)]
-        yield pd.DataFrame(rows, columns=["cell", "block", "share", "kind", "ids", "counts", "vecs"])
-
-
-def _verified(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
+        ids, counts = batch["id"].to_numpy(np.int64), batch["n"].to_numpy(np.int64)
+        vecs = batch["vec"].to_numpy()
+        lengths = batch["visits"].map(len).to_numpy(np.int64)
+        dealt = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+        for kind in (0, 1):
+            cell = batch["cell"].to_numpy(np.int64) if kind == 0 else np.concatenate(batch["visits"].to_numpy()).astype(np.int64)
+            owner = np.arange(len(ids)) if kind == 0 else np.repeat(np.arange(len(ids)), lengths)
+            parts, others = _copies(cell, crowded, kind)
+            ends = np.cumsum(others)
+            at = 0
+            while at < len(owner):  # a bounded number of copies at a time
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COPIES, side="right")))
+                o = others[at:to]
+                which = np.repeat(np.arange(at, to), o)
+                other = np.arange(len(which)) - np.repeat(np.cumsum(o) - o, o)
+                own = dealt[owner[which]] % parts[which]
+                yield _packed(ids, counts, vecs, owner[which], cell[which], *((own, other) if kind == 0 else (other, own)), kind)
+                at = to
+
+
+def _verified(group: pd.DataFrame, cosine: float, kind_of: str) -> pd.DataFrame:
     """(id, links, low) of every vector of the group that has a link in it: how many, for visitors; and its local component's least id."""
     sides = []
     for kind in (0, 1):
         own = group[group["kind"] == kind]
         ids = np.frombuffer(b"".join(own["ids"]), dtype=np.int64)
-        x = np.frombuffer(b"".join(own["vecs"]), dtype=np.float64)
-        sides.append((ids, np.frombuffer(b"".join(own["counts"]), dtype=np.int64), x.reshape(len(ids), -1) if len(ids) else None))
+        x = np.frombuffer(b"".join(own["vecs"]), dtype=kind_of)
+        sides.append((ids, np.frombuffer(b"".join(own["counts"]), dtype=np.int64), unit(x.reshape(len(ids), -1)) if len(ids) else None))
     (ids, counts, x), (q_ids, _, q) = sides
     empty = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "low": np.zeros(0, np.int64)})
     if not len(ids) or not len(q_ids):
@@ -187,7 +217,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, recall: float =
     """
     spark = embeddings.sparkSession
     small_batches(spark, 4000)
-    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    kind = "float32" if dict(embeddings.dtypes)[vector_col] == "array<float>" else "float64"
+    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if kind == "float32" else "array<double>").alias("embedding"))
     bad = "embedding IS NULL OR size(embedding) = 0 OR id IS NULL OR exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = float('infinity')) OR forall(embedding, x -> x = 0)"
     rows = rows.withColumn("usable", F.expr(f"NOT coalesce({bad}, true)"))
     usable = rows.where("usable").select("id", "embedding")
@@ -198,11 +229,13 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, recall: float =
         size = lengths["d"]
         fitted = classes.where(F.size("embedding") == size).orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toPandas()
         grid = Grid(unit(np.stack(fitted["embedding"].to_numpy())), cell_count(lengths["count"]), cosine, recall) if len(fitted) > 64 else None
-    placed = materialise(classes.mapInPandas(lambda it: _placed(it, grid, size), "id long, n long, vec binary, cell long, visits array<long>"), "placed")
-    crowd = placed.groupBy("cell").count().where(F.col("count") > 2048).collect()  # at most one row a cell, so bounded by the codebooks
-    crowded = {r["cell"]: -(-r["count"] // 2048) for r in crowd}
+    placed = materialise(classes.mapInPandas(lambda it: _placed(it, grid, size, kind), "id long, n long, vec binary, cell long, visits array<long>"), "placed")
+    # At most one row a cell comes to the driver, so that the codebooks bound them.
+    visits = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("visits"))
+    crowd = placed.groupBy("cell").agg(F.count("*").alias("members")).join(visits, "cell").where((F.col("members") > MEMBERS) | (F.col("visits") > VISITS)).collect()
+    crowded = {r["cell"]: (-(-r["members"] // MEMBERS), -(-r["visits"] // VISITS)) for r in crowd}
     dealt = placed.mapInPandas(lambda it: _dealt(it, crowded), "cell long, block long, share long, kind int, ids binary, counts binary, vecs binary")
-    found = dealt.groupBy("cell", "block", "share").applyInPandas(lambda g: _verified(g, cosine), "id long, links long, low long")
+    found = dealt.groupBy("cell", "block", "share").applyInPandas(lambda g: _verified(g, cosine, kind), "id long, links long, low long")
     found = materialise(found, "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     closed = components(found.where("id != low").select(F.col("id").alias("src"), F.col("low").alias("dst")).distinct())
