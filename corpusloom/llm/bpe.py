@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.shared import ids_first, small_batches, strings
+from corpusloom.llm.shared import ids_first, small_batches, sole, strings, worker_cache
 
 END = "</w>"
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
@@ -288,12 +288,14 @@ class Plain(list):
     """Parts without special tokens."""
 
 
-_CODECS: dict[tuple[str, bool], Codec] = {}
+_CODECS: dict[tuple[str, bool], Codec] = worker_cache()
 
 
 def codec(path: str, text: bool = False) -> Codec:
     """This process's codec for a vocabulary file."""
+    sole(_CODECS)
     if (path, text) not in _CODECS:
+        _CODECS.clear()
         _CODECS[path, text] = Codec(path, text)
     return _CODECS[path, text]
 

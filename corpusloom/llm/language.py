@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import ids_first, materialise, small_batches, strings
+from corpusloom.llm.shared import ids_first, materialise, small_batches, sole, strings, worker_cache
 
 LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 12
@@ -188,7 +188,16 @@ class Scorer:
         return labels, scores
 
 
-_SCORERS: dict[int, tuple[object, Scorer]] = {}
+_SCORERS: dict[int, Scorer] = worker_cache()
+
+
+def scorer(model: Model) -> Scorer:
+    """This process's scorer for a model."""
+    sole(_SCORERS)
+    held = _SCORERS.get(0)
+    if held is None or held.model.path != model.path or held.model.languages != model.languages or not np.array_equal(held.model.table, model.table):
+        held = _SCORERS[0] = Scorer(model)
+    return held
 
 
 def training_words(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -231,11 +240,9 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
     kinds = dict(documents.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _SCORERS.get(0)
-        if held is None or not (held[0].languages == model.languages and np.array_equal(held[0].table, model.table)):
-            held = _SCORERS[0] = (model, Scorer(model))
+        held = scorer(model)
         for batch in batches:
-            labels, scores = held[1].score(strings(batch.column(1)).to_pylist())
+            labels, scores = held.score(strings(batch.column(1)).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", *names])
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", {n} {kinds[k]}" for k, n in zip(keep, names, strict=True))

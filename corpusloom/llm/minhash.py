@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.graph import components
-from corpusloom.llm.shared import Block, blocks, ids_first, materialise, mix, rolling, small_batches, stream
+from corpusloom.llm.shared import Block, blocks, ids_first, materialise, mix, rolling, small_batches, sole, stream
 
 ROWS = 5
 CROWD = 1024
@@ -47,6 +47,7 @@ def row_shingles(b: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int) -> Iterator[pa.RecordBatch]:
+    sole()
     m = bands * ROWS
     times, plus = stream(3, m) | np.uint64(1), stream(5, m)
     weights = (stream(7, m) | np.uint64(1)).reshape(bands, ROWS)
@@ -75,6 +76,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int) -> Iterator[p
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    sole()
     for batch in batches:
         for b in blocks(batch.column(1), lower=True):
             h, bounds = row_shingles(b, k)

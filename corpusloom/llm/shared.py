@@ -6,6 +6,8 @@ lost makes the same rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +59,30 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_CACHES: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A module's cache that lives as long as its Python worker, until a task of another operator calls sole()."""
+    cache: dict = {}
+    _CACHES.append(cache)
+    return cache
+
+
+def sole(mine: dict | None = None) -> None:
+    """At a task's start: empties the caches of other operators, and gives free memory back to the system."""
+    others = [c for c in _CACHES if c and c is not mine]
+    if not others and mine:
+        return  # a task of the same operator goes on with a warm cache
+    for cache in others:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def is_empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0
 

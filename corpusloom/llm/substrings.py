@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import Block, blocks, ids_first, mix, rolling, small_batches, strings
+from corpusloom.llm.shared import Block, blocks, ids_first, mix, rolling, small_batches, sole, strings
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 BLOCK = 4 << 20
@@ -136,6 +136,7 @@ def windows(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _sent(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Per block and part: the block's distinct windows, and the windows that the block itself settles."""
+    sole()
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         text_keys = batch.column(2).to_numpy(zero_copy_only=False)
@@ -224,6 +225,7 @@ def _spread(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _found(table: pa.Table) -> pa.Table:
     """Of one part: the windows whose leader and fingerprint a smaller document has too, as ranges, packed by bucket of documents."""
+    sole()
     docs, texts, places, leads, marks, rows_of, found = [], [], [], [], [], [], []
 
     def emit(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
