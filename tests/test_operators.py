@@ -1,10 +1,13 @@
 """Edge cases of the reference-facing operators: quirks, ties, empty and null rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
 from corpusloom.operators import cleaning, conversations, dedup, grouping, ordering, packing
+from corpusloom.plans import catalog
 from corpusloom.sources import readers, writers
 
 
@@ -73,6 +76,27 @@ def test_groups_and_packing(spark):
     assert sorted(map(sum, boxes.values())) == [100, 100, 100] and {r["n"] for r in packed if r["box_id"] is None} == {7, 200}
 
 
+def test_group_pairs_reads_every_order(spark, tmp_path):
+    draw = random.Random(3)
+    edges = [(0, 1), (2, 0)] + [(draw.randrange(3, 900), draw.randrange(2, 500)) for _ in range(450)]
+    rows = [(i + 1, part, supplier) for i, (part, supplier) in enumerate(edges)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for part, supplier in edges:
+        a, b = find(part), find(-1 - supplier)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in list(root)}
+    assert 10 < len(set(want.values())) < len(want) / 2
+    got = catalog.QUERIES["ddp03_group_pairs"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["id"]: r["group_id"] for r in got} == want
+
+
 def test_mixing():
     assert ordering.parse_blend(["0.3", "a", "0.7", "b"]) == (["a", "b"], [0.3, 0.7])
     assert ordering.parse_blend(["a", "b"]) == (["a", "b"], None)
