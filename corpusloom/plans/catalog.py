@@ -318,20 +318,17 @@ def smp05_k_center(spark, d):
 # -- functions ---------------------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM conversations), s AS (SELECT conv_id, turn, text, lower(trim(replace(text, '.', ''))) x FROM c)
-SELECT conv_id, turn, CASE WHEN x IN ('yes', 'y') OR left(x, 4) LIKE '%yes%' THEN 'yes' WHEN x IN ('no', 'n') OR left(x, 4) LIKE '%no%' THEN 'no' ELSE 'other' END AS said,
-md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(?:a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))) AS normal FROM s""")
+@query()
 def str13_normalise(spark, d):
-    c = F.regexp_replace("text", "[^ -~]", "")
-    return t(spark, d, "conversations").select("conv_id", "turn", T.yes_no(c).alias("said"), F.md5(T.squad_normal(c)).alias("normal"))
+    return t(spark, d, "conversations").select("conv_id", "turn", T.yes_no(F.col("text")).alias("said"), F.md5(T.squad_normal(F.col("text"))).alias("normal"))
 
 
-@query("""SELECT a.doc_id, round(1 - levenshtein(left(a.t, 40), left(b.t, 40)) / greatest(length(left(a.t, 40)), length(left(b.t, 40)), 1), 9) AS similarity
-FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') t FROM documents) a JOIN (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') t FROM documents) b ON b.doc_id = a.doc_id + 1""")
+@query()
 def sim01_levenshtein(spark, d):
-    x = t(spark, d, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40).alias("a"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, for the work grows faster than the bytes by which tasks are joined
+    x = t(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
     y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    return x.join(y, "doc_id").select("doc_id", F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 9).alias("similarity"))
+    return x.repartition(n, "doc_id").join(y.repartition(n, "doc_id"), "doc_id").select("doc_id", F.round(1 - S.edit_distance(F.col("a"), F.col("b")) / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 9).alias("similarity"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) a FROM documents)

@@ -1,6 +1,9 @@
 """Edge cases of the reference-facing operators: quirks, ties, empty and null rows."""
 
+import hashlib
 import random
+import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -39,6 +42,44 @@ def test_scoring_functions(spark):
     assert one(spark, S.mean_relative_accuracy(F.lit(9.2), F.lit(10.0))) == 0.9
 
 
+def test_similarity_of_whole_texts(spark, tmp_path):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            nxt = [i]
+            for j, y in enumerate(b, 1):
+                nxt.append(min(row[j] + 1, nxt[-1] + 1, row[j - 1] + (x != y)))
+            row = nxt
+        return row[-1]
+
+    draw = random.Random(4)
+    long = "".join(draw.choice("abc dé😀") for _ in range(300))
+    texts = [long, long[:60] + long[100:], long.replace("é", "e"), long[:45] + "x" * 200, "", "", "é", "e", "😀é", long[::-1], None, long, long]
+    texts += ["".join(draw.choice("abéü") for _ in range(draw.randrange(90))) for _ in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["similarity"] for r in catalog.QUERIES["sim01_levenshtein"](spark, str(tmp_path)).collect()}
+    want = {i: None if a is None or b is None else round(1 - edits(a, b) / max(len(a), len(b), 1), 9) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
+    assert got.keys() == want.keys() and all(got[i] == want[i] or abs(got[i] - want[i]) < 1e-8 for i in want)
+
+
+def test_normal_text_keeps_accents(spark, tmp_path):
+    def plain(text):  # word boundaries are those of Unicode
+        text = "".join(c for c in text.lower() if c not in string.punctuation)
+        return " ".join(re.sub(r"\b(a|an|the)\b", " ", text).split())
+
+    def said(text):
+        text = text.replace(".", "").strip(" ").lower()
+        return next((w for w in ("yes", "no") if text in (w, w[0]) or w in text[:4]), "other")
+
+    assert plain("L'Été, à la mer") == "lété à la mer" and plain("anéç The é") == "anéç é"
+    rows = [(1, 0, "L'Été, à la mer"), (1, 1, "LEt  la mer"), (1, 2, "anéç The é"), (1, 3, "é yes"), (1, 4, "ééyes"), (1, 5, "N.")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for folder in (str(tmp_path), "/root/testdata/sf0.01"):
+        texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{folder}/conversations.parquet").collect()}
+        got = {(r["conv_id"], r["turn"]): (r["said"], r["normal"]) for r in catalog.QUERIES["str13_normalise"](spark, folder).collect()}
+        assert got == {k: (None, None) if t is None else (said(t), hashlib.md5(plain(t).encode()).hexdigest()) for k, t in texts.items()}
+
+
 def test_cleaning(spark):
     words = "a " * 8
     assert one(spark, cleaning.caption_problem(F.col("a")), a=words + "b" * 60) == "repeat"
