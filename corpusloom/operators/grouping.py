@@ -81,7 +81,7 @@ def facets(rows: DataFrame, columns: list[str], right: str) -> DataFrame:
     return long.groupBy("facet", "value").agg(F.avg("right").alias("accuracy"), F.count("*").alias("n"))
 
 
-def bootstrap(rows: DataFrame, score: str, key: str, draws: int = 200, low: float = 0.025) -> DataFrame:
+def bootstrap(rows: DataFrame, score: str, key: str, draws: int = 1000, low: float = 0.025) -> DataFrame:
     """Percentile interval and deviation of the mean, by Poisson resampling: each row counts k times in a draw, k by a hash of (key, draw).
 
     One pass of partial sums; rows are never gathered. Poisson weights approximate draws with replacement.

@@ -1,10 +1,12 @@
 """Edge cases of the reference-facing operators: quirks, ties, empty and null rows."""
 
 import hashlib
+import math
 import random
 import re
 import string
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
@@ -96,6 +98,21 @@ def test_grouping(spark):
     assert grouping.binary_metrics(none, "t", "p").first()["f1"] == 0.0
 
 
+def test_bootstrap_takes_a_thousand_draws(spark, tmp_path):
+    rows = [(i, i * i % 7 % 2) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    hashed = spark.range(60).withColumnRenamed("id", "doc_id").crossJoin(spark.range(1, 1001).select(F.col("id").cast("int").alias("draw"))).select("doc_id", "draw", F.xxhash64("doc_id", "draw")).collect()
+    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(6)])
+    score, sums = dict(rows), np.zeros((1000, 2))
+    for key, draw, h in hashed:
+        k = int((h % 1_000_000 / 1_000_000 >= steps).sum())
+        sums[draw - 1] += (k * score[key], k)
+    means = sums[:, 0] / sums[:, 1]
+    want = (*np.percentile(means, [2.5, 97.5]), np.std(means))
+    got = catalog.QUERIES["agg12_bootstrap"](spark, str(tmp_path)).first()
+    assert np.allclose((got["low"], got["high"], got["deviation"]), want, rtol=0, atol=1e-12)
+
+
 def test_conversations(spark):
     rows = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (2, 0, "user", "q"), (3, 0, "assistant", "x"), (3, 1, "user", None)], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in conversations.unified(conversations.gather(rows)).collect()}
