@@ -1,4 +1,4 @@
-"""Dedup, decontamination and grouping of pairs (DDP-*, JOIN-02, JOIN-11, AGG-27)."""
+"""Dedup, contamination counts and grouping of pairs (DDP-01, DDP-03 to DDP-05, JOIN-02, JOIN-11, AGG-27)."""
 
 from __future__ import annotations
 
@@ -43,6 +43,23 @@ def groups(edges: DataFrame, threshold: float = 0.7, rounds: int = 100) -> DataF
     raise RuntimeError("groups did not settle")
 
 
+def group_statistics(grouped: DataFrame) -> DataFrame:
+    """(remain, remove) of (id, group_id): groups of two or more, and the members beyond one of each."""
+    sizes = grouped.groupBy("group_id").agg(F.count_distinct("id").alias("n")).where("n > 1")
+    return sizes.agg(F.count("*").alias("remain"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("remove"))
+
+
+def surplus(grouped: DataFrame) -> DataFrame:
+    """(id) of the members to be removed: all but the group's least, where the reference keeps an arbitrary one."""
+    return grouped.where("id != group_id").select("id")
+
+
+def removal_counters(rows: DataFrame, listed: DataFrame, key: str, text: str) -> DataFrame:
+    """(written, removed, removed_chars) when the rows with a listed key are removed."""
+    marked = rows.join(listed.select(key, F.lit(True).alias("_out")).distinct(), key, "left").select(F.coalesce("_out", F.lit(False)).alias("out"), F.length(text).alias("n"))
+    return marked.agg(F.count_if(~F.col("out")).alias("written"), F.count_if("out").alias("removed"), F.coalesce(F.sum(F.when(F.col("out"), F.col("n"))), F.lit(0)).alias("removed_chars"))
+
+
 def remove_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return rows.join(listed.select(key).distinct(), key, "left_anti")
 

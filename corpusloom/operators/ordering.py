@@ -1,4 +1,4 @@
-"""Windows, sampling, shuffles, splits and mixing (WIN-*, SRT-*, SMP-*, SHF-*, PRT-*, SET-*, TOPK-01)."""
+"""Windows, sampling, shuffles, splits and mixing (WIN-*, SRT-*, SMP-*, SHF-*, PRT-*, TOPK-01, SET-* without SET-06; SET-05 in its counts, not in its order)."""
 
 from __future__ import annotations
 
@@ -94,16 +94,17 @@ def blend_counts(weights: list[float], size: int) -> list[int]:
 
 
 def blend(datasets: list[DataFrame], weights: list[float], size: int, order: str) -> DataFrame:
-    """(dataset_index, sample_index, position, and the rows): the blend of size draws.
+    """(dataset_index, sample_index, position, and the rows): the blend of size draws; IndexError where a dataset has fewer rows than its draws.
 
     The k-th draw of dataset i is placed where its ideal share is reached, (k + 0.5) / weight: positions follow by
     an order on that value, without a step-by-step loop over rows.
     """
     weights = normalise_weights(weights)
     parts = []
-    for i, (df, w) in enumerate(zip(datasets, weights, strict=True)):
+    for i, (df, w, n) in enumerate(zip(datasets, weights, blend_counts(weights, size), strict=True)):
         rank = F.row_number().over(Window.orderBy(order)) - 1
-        n = round(w * size)
+        if (has := df.limit(n).count()) < n:
+            raise IndexError(f"the blend takes {n} rows of dataset {i}, which has {has}")
         top = df.orderBy(order).limit(n)
         parts.append(top.withColumn("sample_index", rank).withColumn("dataset_index", F.lit(i)).withColumn("position", (F.col("sample_index") + 0.5) / w))
     out = parts[0]

@@ -121,6 +121,30 @@ def ddp03_group_pairs(spark, d):
     return dedup.groups(x.select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"), F.lit(1.0).alias("similarity")))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """Groups of documents with one text."""
+    least = docs.groupBy("text").agg(F.min("doc_id").alias("dst"), F.count("*").alias("n")).where("n > 1")
+    return dedup.groups(docs.join(least, "text").select(F.col("doc_id").alias("src"), "dst", F.lit(1.0).alias("similarity")))
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS remain, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS remove FROM (SELECT count(*) n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)""")
+def ddp04_group_statistics(spark, d):
+    return dedup.group_statistics(copies(t(spark, d, "documents").select("doc_id", "text")))
+
+
+@query("""SELECT doc_id, source FROM (SELECT doc_id, source, text, min(doc_id) OVER (PARTITION BY text) least FROM documents) WHERE text IS NULL OR doc_id = least""")
+def ddp05_one_per_group(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "source", "text")
+    return dedup.remove_listed(docs, dedup.surplus(copies(docs)).withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "source")
+
+
+@query("""SELECT CAST(count(*) FILTER (NOT o) AS BIGINT) AS written, CAST(count(*) FILTER (o) AS BIGINT) AS removed, CAST(coalesce(sum(length(text)) FILTER (o), 0) AS BIGINT) AS removed_chars
+FROM (SELECT text, text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text) o FROM documents)""")
+def agg27_removal_counters(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    return dedup.removal_counters(docs, dedup.surplus(copies(docs)).withColumnRenamed("id", "doc_id"), "doc_id", "text")
+
+
 @query("SELECT DISTINCT ON (source, lang) source, lang, doc_id, n_chars FROM documents ORDER BY source, lang, doc_id")
 def win03_first_wins(spark, d):
     return ordering.first_wins(t(spark, d, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], "doc_id").select("source", "lang", "doc_id", "n_chars")

@@ -7,6 +7,7 @@ import re
 import string
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
@@ -161,6 +162,24 @@ def test_mixing():
     assert ordering.blend_counts([0.5, 0.3, 0.2], 10) == [5, 3, 2]
 
 
+def test_blend_takes_the_drawn_counts_or_fails(spark):
+    three = [spark.range(40).withColumnRenamed("id", "k") for _ in range(3)]
+    got = ordering.blend(three, [1 / 3] * 3, 100, "k").groupBy("dataset_index").count().collect()
+    assert {r["dataset_index"]: r["count"] for r in got} == {0: 34, 1: 33, 2: 33}
+    with pytest.raises(IndexError):
+        ordering.blend([three[0], three[1].limit(32), three[2]], [1 / 3] * 3, 100, "k")
+
+
+def test_group_statistics_and_removal(spark):
+    edges = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8), ("x", "y", 0.7), ("d", "d", 1.0)], "src string, dst string, similarity double")
+    grouped = dedup.groups(edges)
+    assert tuple(dedup.group_statistics(grouped).first()) == (2, 3)
+    out = dedup.surplus(grouped)
+    assert {r["id"] for r in out.collect()} == {"b", "c", "y"}
+    rows = spark.createDataFrame([("a", "é1"), ("b", "éé3"), ("c", None), ("d", "4"), (None, "55")], "id string, text string")
+    assert tuple(dedup.removal_counters(rows, out, "id", "text").first()) == (3, 2, 3)
+
+
 def test_splits_are_disjoint_and_complete(spark):
     rows = spark.range(1000).withColumnRenamed("id", "k")
     got = ordering.split_by_ratio(rows, "k", "80,15,5").groupBy("split").count().collect()
