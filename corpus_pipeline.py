@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import language, minhash, packing, personal, substrings
 from corpusloom.llm.queries import piece_vocabulary, word_vocabulary
-from corpusloom.llm.shared import materialise
+from corpusloom.llm.shared import discard, mark_tables, materialise, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SURE = 0.5
@@ -68,9 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of all documents of sf_dir; once a stage's result is written, the tables it made and read are deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
+        began = mark_tables()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs, f"stage{i}")
+            release(began, keep=docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import ids_first, materialise
+from corpusloom.llm.shared import discard, ids_first, materialise
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "secret", "ssn")
@@ -156,30 +156,36 @@ def reliabilities(histogram: DataFrame) -> DataFrame:
     return done.select(F.expr(f"inline({expect})")).select("votes", "kind", "p")
 
 
-def accepted(found: DataFrame) -> list[str]:
-    """Keys of the candidates that the trained classifier takes for personal data; as many as keys differ at most.
+def weights(found: DataFrame) -> dict[str, float]:
+    """The trained classifier of the added kinds, as log odds by `kind|votes` and `kind|feature|value`.
 
-    Keys are made of four votes and four bucketed features, so there are a few thousand at most whatever
-    the corpus is. Naive Bayes over the features, trained on the posteriors as soft labels, with the
-    posterior of the votes themselves as one more feature.
+    Naive Bayes over the shape features, trained on the posteriors as soft labels, with the
+    posterior of the votes themselves as one more feature. Votes and features are buckets: at most
+    3 ** LABELERS + 23 weights a kind, whatever the corpus is, which is what the driver receives.
     """
     keys = found.select(F.explode("spans").alias("x")).groupBy("x.key").agg(F.count("*").alias("n"))
     parts = F.split("key", r"\|")
-    keys = materialise(keys.select("key", "n", parts[0].alias("votes"), parts[1].alias("kind"), *(parts[i].alias(f"f{i}") for i in range(2, 6))), "votes")
-    labelled = keys.join(reliabilities(keys), ["votes", "kind"])
-    for i in range(2, 6):
-        weight = labelled.groupBy("kind", f"f{i}").agg(F.log((F.sum(F.col("n") * F.col("p")) + 1) / (F.sum(F.col("n") * (1 - F.col("p"))) + 1)).alias(f"w{i}"))
-        labelled = labelled.join(weight, ["kind", f"f{i}"])
-    prior = labelled.groupBy("kind").agg(F.log((F.sum(F.col("n") * F.col("p")) + 1) / (F.sum(F.col("n") * (1 - F.col("p"))) + 1)).alias("w0"))
+    keys = materialise(keys.select("n", parts[0].alias("votes"), parts[1].alias("kind"), F.slice(parts, 3, 4).alias("shape")), "votes")
+    labelled = materialise(keys.join(reliabilities(keys), ["votes", "kind"]).where(F.col("kind").isin(*ADDED)), "labelled")
     p = F.greatest(F.least("p", F.lit(1 - 1e-9)), F.lit(1e-9))
+    odds = F.log((F.sum(F.col("n") * F.col("p")) + 1) / (F.sum(F.col("n") * (1 - F.col("p"))) + 1))
+    seen = labelled.select("kind", "n", "p", F.posexplode(F.concat(F.array(F.lit("")), "shape")).alias("i", "value"))
+    shapes = seen.groupBy("kind", "i", "value").agg(odds.alias("w"))
+    votes = labelled.groupBy("kind", "votes").agg(F.max(F.log(p / (1 - p))).alias("w")).select("kind", F.lit(-1).alias("i"), F.col("votes").alias("value"), "w")
+    rows = shapes.unionByName(votes).collect()
+    discard(keys)
+    discard(labelled)
+    prior = {r["kind"]: r["w"] for r in rows if r["i"] == 0}
     # Each shape weight holds the prior once; what a feature adds is its weight less the prior.
-    score = F.log(p / (1 - p)) + sum(F.col(f"w{i}") - F.col("w0") for i in range(2, 6)) * 0.25
-    return sorted(r["key"] for r in labelled.join(prior, "kind").where(score > 0).select("key").collect())
+    out = {f"{r['kind']}|{r['value']}": r["w"] for r in rows if r["i"] == -1}
+    return out | {f"{r['kind']}|{r['i']}|{r['value']}": (r["w"] - prior[r["kind"]]) * 0.25 for r in rows if r["i"] > 0}
 
 
-def _chosen(keys: list[str]) -> Column:
+def _chosen() -> Column:
     """Base spans, and accepted others that overlap no base span, by kind as listed and start."""
-    added = f"filter(spans, x -> NOT x.base AND x.kind IN ({', '.join(map(repr, ADDED))}) AND array_contains(_keys, x.key) AND NOT exists(spans, y -> y.base AND y.start < x.end AND x.start < y.end))"
+    score = "element_at(_model, concat(p[1], '|', p[0])) + " + " + ".join(f"element_at(_model, concat(p[1], '|{i}|', p[{i + 1}]))" for i in range(1, 5))
+    accepted = f"transform(array(split(x.key, '[|]')), p -> {score})[0] > 0"
+    added = f"filter(spans, x -> NOT x.base AND x.kind IN ({', '.join(map(repr, ADDED))}) AND {accepted} AND NOT exists(spans, y -> y.base AND y.start < x.end AND x.start < y.end))"
     order = {k: i for i, k in enumerate(BASE + ADDED)}
     rank = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {i}" for k, i in order.items()) + " END"
     both = f"concat(filter(spans, x -> x.base), {added})"
@@ -196,11 +202,10 @@ def detect(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = ids_first(documents, id_col, text_col, keep)
     found = candidates(docs)
-    if not keep_text:
-        found = materialise(found.drop("text"), "spans")
-    keys = accepted(found)
-    found = found.withColumn("_keys", F.lit(keys).cast("array<string>") if keys else F.expr("cast(array() AS array<string>)"))
-    chosen = found.withColumn("chosen", _chosen(keys))
+    found = materialise(found if keep_text else found.drop("text"), "spans")
+    model = weights(found)
+    names, values = (F.lit(list(x)) for x in (model.keys(), model.values())) if model else (F.expr("cast(array() AS array<string>)"), F.expr("cast(array() AS array<double>)"))
+    chosen = found.withColumn("_model", F.map_from_arrays(names, values)).withColumn("chosen", _chosen())
     base = F.expr(f"filter(chosen, x -> x.kind IN ({', '.join(map(repr, BASE))}))")
     return chosen.select("doc_id", *["text"] * keep_text, *keep, base.alias("base"), F.col("chosen").alias("spans"))
 

@@ -22,14 +22,17 @@ BLOCK_BYTES = 1 << 20
 """Text bytes that one numpy block covers; a longer text is a block of its own."""
 
 _LOCAL: dict[str, str] = {}
+_TABLES: list[DataFrame] = []
+"""Tables of materialise() that nobody has discarded yet."""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only a local master, as in tests, may do without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        app = spark.sparkContext.applicationId
-        found = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
     return found.rstrip("/")
 
 
@@ -46,6 +49,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._corpusloom_path = path
+    _TABLES.append(out)
     return out
 
 
@@ -57,6 +61,21 @@ def discard(df: DataFrame) -> None:
         jvm = spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _TABLES[:] = [t for t in _TABLES if t is not df]
+
+
+def mark_tables() -> int:
+    """What release() is to keep: the tables there are now."""
+    return len(_TABLES)
+
+
+def release(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables made since mark_tables() said so, but for one; results that still read them are gone with them.
+
+    An operator's lazy result reads its tables when an action runs, so only its caller knows when they are done with.
+    """
+    for table in [t for t in _TABLES[since:] if t is not keep]:
+        discard(table)
 
 
 _CACHES: list[dict] = []
