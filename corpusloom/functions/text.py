@@ -72,8 +72,9 @@ def chat_prompt(system: Column, turns: Column) -> Column:
 
 
 def undo_ptb(text: Column) -> Column:
-    """Undoes Penn-Treebank spacing: of contractions, <unk> and stray punctuation."""
-    for a, b in ((" '", "'"), (" \n", "\n"), ("\n ", "\n"), (" n't", "n't"), (" N ", "1 "), ("$ 1", "$1"), ("# 1", "#1"), ("<unk>", "")):
+    """Undoes Penn-Treebank spacing."""
+    # What is replaced, in this order.
+    for a, b in ((" '", "'"), (" \n", "\n"), ("\n ", "\n"), (" n't", "n't"), (" N ", "1 "), ("$ 1", "$1"), ("# 1", "#1")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 

@@ -49,8 +49,14 @@ def contract_errors(messages: Column) -> Column:
 
 
 def reconcile_images(problem: Column, images: Column) -> tuple[Column, Column]:
-    """The problem with at most as many <image> marks as images (missing ones put first), and at most as many images as marks were meant."""
-    parts = F.split(problem, "<image>")
+    """As many <image> marks as images: of surplus marks, the problem is cut before the first; surplus images go. A null list is empty."""
+    images = F.coalesce(images, F.array().cast("array<string>"))
+    parts = F.split(F.coalesce(problem, F.lit("")), "<image>", -1)
     marks, n = F.size(parts) - 1, F.size(images)
-    cut = F.concat(F.array_join(F.slice(parts, F.lit(1), n + 1), "<image>"), F.array_join(F.slice(parts, n + 2, F.greatest(marks - n, F.lit(0))), ""))
-    return F.when(marks > n, cut).when(marks < n, F.concat(F.repeat(F.lit("<image>"), n - marks), problem)).otherwise(problem), images
+    return F.when(marks > n, F.array_join(F.slice(parts, F.lit(1), n + 1), "<image>")).otherwise(F.coalesce(problem, F.lit(""))), F.slice(images, F.lit(1), marks)
+
+
+def prepend_marks(problem: Column, images: Column) -> Column:
+    """The problem with the <image> marks that it lacks put in front."""
+    missing = F.size(F.coalesce(images, F.array().cast("array<string>"))) - (F.size(F.split(problem, "<image>", -1)) - 1)
+    return F.concat(F.repeat(F.lit("<image>"), F.greatest(missing, F.lit(0))), problem)

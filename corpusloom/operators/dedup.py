@@ -1,24 +1,14 @@
-"""Dedup, contamination counts and grouping of pairs (DDP-01, DDP-03 to DDP-05, JOIN-02, JOIN-11, AGG-27)."""
+"""Dedup, contamination counts and grouping of pairs (DDP-01, DDP-03 to DDP-06, JOIN-02, JOIN-11, AGG-27, UDF-12)."""
 
 from __future__ import annotations
 
-import uuid
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
-def _settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: a table in the shared folder, or where none is set (in tests) in the warehouse."""
-    spark = df.sparkSession
-    base = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
-    path, schema = f"{base.rstrip('/')}/components-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+from corpusloom.operators.storage import settle
 
 
 def pairs_to_edges(pairs: DataFrame, column: str) -> DataFrame:
@@ -30,13 +20,13 @@ def pairs_to_edges(pairs: DataFrame, column: str) -> DataFrame:
 def groups(edges: DataFrame, threshold: float = 0.7, rounds: int = 100) -> DataFrame:
     """(id, group_id): connected components of edges (src, dst, similarity) of at least the threshold, by least labels that hop along edges."""
     good = edges.where(F.col("similarity") >= threshold).select("src", "dst")
-    both = _settle(good.unionByName(good.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = _settle(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("g")).select(F.col("src").alias("id"), "g"))
+    both = settle(good.unionByName(good.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    label = settle(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("g")).select(F.col("src").alias("id"), "g"))
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("g").alias("n")).withColumnRenamed("src", "id")
         hop = label.join(near, "id").select("id", F.least("g", "n").alias("h"), "g")
         jump = hop.join(label.select(F.col("id").alias("h"), F.col("g").alias("hh")), "h", "left").select("id", F.least("h", F.coalesce("hh", "h")).alias("g"), (F.col("g") != F.least("h", F.coalesce("hh", "h"))).alias("moved"))
-        jump = _settle(jump)
+        jump = settle(jump)
         label = jump.select("id", "g")
         if not jump.where("moved").take(1):
             return label.withColumnRenamed("g", "group_id")
@@ -65,15 +55,84 @@ def remove_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
+    """Runs of ASCII letters and digits, lower-cased."""
+    return F.transform(F.filter(F.split(text, r"[^a-zA-Z0-9]+"), lambda w: w != ""), lambda w: F.lower(w))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), the value being computed once and not again for every element of a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _windows(words: Column, n: int, of) -> Column:
+    """of(window) for every n consecutive words."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: of(F.slice(words, i, n)))
 
 
 def shingles(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Texts of every n consecutive words."""
+    return _bound(words, lambda w: _windows(w, n, lambda x: F.array_join(x, " ")))
+
+
+def gram_hashes(words: Column, n: int) -> Column:
+    return _bound(words, lambda w: _windows(w, n, lambda x: F.xxhash64(x)))
+
+
+def shared_grams(documents: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, gram): the different n-grams of words that a document shares with the benchmark.
+
+    Documents are dealt by 64-bit hashes of their n-grams; only those with a hit have theirs compared as texts.
+    """
+    theirs = benchmark.select(F.explode(shingles(words_of(F.col("text")), n)).alias("gram")).distinct()
+    keys = theirs.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
+    ours = documents.select(id_col, F.explode(F.array_distinct(gram_hashes(words_of(F.col(text_col)), n))).alias("h"))
+    hits = ours.join(keys, "h", "left_semi").select(id_col).distinct()
+    again = documents.select(id_col, text_col).join(hits, id_col, "left_semi")
+    grams = again.select(id_col, F.explode(F.array_distinct(shingles(words_of(F.col(text_col)), n))).alias("gram"))
+    return grams.join(theirs, "gram", "left_semi").select(id_col, "gram").distinct()
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shared): documents with n-grams of words that the benchmark has, and how many different ones."""
-    theirs = benchmark.select(F.explode(shingles(words_of(F.col("text")), n)).alias("gram")).distinct()
-    ours = documents.select(id_col, F.explode(F.array_distinct(shingles(words_of(F.col(text_col)), n))).alias("gram"))
-    return ours.join(theirs, "gram", "left_semi").groupBy(id_col).agg(F.count("*").alias("n_shared"))
+    return shared_grams(documents, benchmark, n, id_col, text_col).groupBy(id_col).agg(F.count("*").alias("n_shared"))
+
+
+def _pieces(text: str, grams: set[str], n: int, around: int) -> list[tuple[int, int]]:
+    """What is left of a text, as spans, when each listed n-gram goes with `around` characters on both sides."""
+    found = list(re.finditer(r"[a-zA-Z0-9]+", text))
+    words = [m.group().lower() for m in found]
+    out, at = [], 0
+    for i in range(len(words) - n + 1):
+        if " ".join(words[i : i + n]) in grams:
+            low, high = max(0, found[i].start() - around), min(len(text), found[i + n - 1].end() + around)
+            if low > at:
+                out.append((at, low))
+            at = max(at, high)
+    return [*out, (at, len(text))] if at < len(text) else out
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 13, around: int = 200, least: int = 200, most_splits: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, piece, text): documents without benchmark passages.
+
+    Each shared n-gram of words goes with `around` characters on both sides; pieces under `least` characters go;
+    a document that falls into more than most_splits + 1 pieces goes as a whole. Documents without a hit stay as they
+    are, one piece 0, whatever their length; null texts too. Ids are taken to be unique. Only documents with a hit
+    pass through Python.
+    """
+    grams = settle(shared_grams(documents, benchmark, n, id_col, text_col), "grams")
+    hit = grams.groupBy(id_col).agg(F.collect_list("gram").alias("_grams"))
+    docs = documents.select(id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def cut(batches):
+        for b in batches:
+            rows = []
+            for key, text, own in zip(b[id_col], b[text_col], b["_grams"], strict=True):
+                spans = _pieces(text, set(own), n, around)
+                if len(spans) <= most_splits + 1:
+                    rows += [(key, i, text[x:y]) for i, (x, y) in enumerate((x, y) for x, y in spans if y - x >= least)]
+            yield pd.DataFrame(rows, columns=[id_col, "piece", "text"])
+
+    whole = docs.join(grams, id_col, "left_anti").select(id_col, F.lit(0).alias("piece"), F.col(text_col).alias("text"))
+    return whole.unionByName(docs.join(hit, id_col).mapInPandas(cut, f"{id_col} {kind}, piece int, text string"))

@@ -1,16 +1,18 @@
-"""Windows, sampling, shuffles, splits and mixing (WIN-*, SRT-*, SMP-*, SHF-*, PRT-*, TOPK-01, SET-* without SET-06; SET-05 in its counts, not in its order)."""
+"""Windows, hash samples, shuffles and splits (WIN-01, 03..05, 09, SMP-03, SMP-06, SHF-01, SHF-02, SET-01, SET-08..10, TOPK-01)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.storage import ranked, running
+
 
 def collision_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """The first row of a name keeps it, the k-th becomes base_k.ext."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    """The first row of a name keeps it, the k-th becomes base_k.ext. A name that a third of all rows have lies in many tasks."""
     dot = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("unique_name", F.when(k == 0, F.col(name)).otherwise(F.concat(dot[0], F.lit("_"), k.cast("string"), dot[1])))
+    k = F.col("_k")
+    return running(rows, [name], [order], None, "_k").withColumn("unique_name", F.when(k == 0, F.col(name)).otherwise(F.concat(dot[0], F.lit("_"), k.cast("string"), dot[1]))).drop("_k")
 
 
 def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -34,11 +36,14 @@ def fixed_chunks(rows: DataFrame, key: str, tokens: str, size: int, pad: int | s
     return out
 
 
-def sample_cuts(documents: DataFrame, key: str, length: str, sequence_length: int, bucket: str) -> DataFrame:
-    """(bucket, key, first_sample, last_sample, offset): where each document's tokens fall when a bucket's documents are laid end to end."""
-    before = F.sum(length).over(Window.partitionBy(bucket).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    out = documents.withColumn("_b", F.coalesce(before, F.lit(0)))
-    return out.select(bucket, key, F.expr(f"_b div {sequence_length}").alias("first_sample"), F.expr(f"greatest(_b + {length} - 1, _b) div {sequence_length}").alias("last_sample"), F.expr(f"_b % {sequence_length}").alias("offset"))
+def sample_cuts(documents: DataFrame, key: str, length: str, sequence_length: int, bucket: str | None = None) -> DataFrame:
+    """([bucket,] key, first_sample, last_sample, offset): where each document's tokens fall when all documents (of a bucket) are laid end to end.
+
+    Running sums go over many partitions, so that one bucket may hold most rows. Null lengths count 0.
+    """
+    by = [bucket] if bucket else []
+    out = running(documents.select(*by, key, F.coalesce(F.col(length), F.lit(0)).alias("_n")), by, [key], "_n", "_b")
+    return out.select(*by, key, F.expr(f"_b div {sequence_length}").alias("first_sample"), F.expr(f"greatest(_b + _n - 1, _b) div {sequence_length}").alias("last_sample"), F.expr(f"_b % {sequence_length}").alias("offset"))
 
 
 def hash_order(seed: int, *key: str) -> Column:
@@ -59,11 +64,9 @@ def split_by_ratio(rows: DataFrame, key: str, split: str, seed: int = 1234) -> D
     return rows.withColumn("split", F.when(u < parts[0] / total, "train").when(u < (parts[0] + parts[1]) / total, "valid").otherwise("test"))
 
 
-def rank_split(rows: DataFrame, order: str, world: int, key: str) -> DataFrame:
-    """Adds `worker`: round robin over a shuffled order in each of many hash ranges, so that no task sees all rows."""
-    spread = F.pmod(hash_order(7, key), F.lit(64))
-    rank = F.row_number().over(Window.partitionBy("_s").orderBy(order))
-    return rows.withColumn("_s", spread).withColumn("worker", F.pmod(rank + F.col("_s"), F.lit(world))).drop("_s")
+def rank_split(rows: DataFrame, order: str, world: int, key: str, seed: int = 42) -> DataFrame:
+    """Adds `worker`: round robin over a shuffle of all rows, by a hash of the key (ties by order), so that shares differ by one row at most."""
+    return ranked(rows.withColumn("_h", hash_order(seed, key)), "_h", order, name="_r").withColumn("worker", F.pmod("_r", F.lit(world)).cast("int")).drop("_r", "_h")
 
 
 def normalise_weights(weights: list[float]) -> list[float]:
@@ -85,32 +88,19 @@ def parse_blend(arguments: list[str]) -> tuple[list[str], list[float] | None]:
 
 def blend_counts(weights: list[float], size: int) -> list[int]:
     """How many of the first size draws each dataset gives when every step draws from the one with the greatest sampling error."""
-    weights = normalise_weights(weights)
+    from corpusloom.operators.mixing import blend_steps
+
     drawn = [0] * len(weights)
-    for step in range(size):
-        errors = [w * (step + 1) - n for w, n in zip(weights, drawn, strict=True)]
-        drawn[errors.index(max(errors))] += 1
+    for i, k in blend_steps(weights, size):
+        drawn[i] = k + 1
     return drawn
 
 
 def blend(datasets: list[DataFrame], weights: list[float], size: int, order: str) -> DataFrame:
-    """(dataset_index, sample_index, position, and the rows): the blend of size draws; IndexError where a dataset has fewer rows than its draws.
+    """See mixing.blend."""
+    from corpusloom.operators import mixing
 
-    The k-th draw of dataset i is placed where its ideal share is reached, (k + 0.5) / weight: positions follow by
-    an order on that value, without a step-by-step loop over rows.
-    """
-    weights = normalise_weights(weights)
-    parts = []
-    for i, (df, w, n) in enumerate(zip(datasets, weights, blend_counts(weights, size), strict=True)):
-        rank = F.row_number().over(Window.orderBy(order)) - 1
-        if (has := df.limit(n).count()) < n:
-            raise IndexError(f"the blend takes {n} rows of dataset {i}, which has {has}")
-        top = df.orderBy(order).limit(n)
-        parts.append(top.withColumn("sample_index", rank).withColumn("dataset_index", F.lit(i)).withColumn("position", (F.col("sample_index") + 0.5) / w))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    return mixing.blend(datasets, weights, size, order)
 
 
 def concat_aligned(datasets: list[DataFrame]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Retrieval: flat top-k search, neighbour chunks, hit curves, core-sets (RTR-*, JOIN-08, JOIN-09, AGG-34, SMP-05, TOPK-01)."""
+"""Retrieval: flat top-k search, neighbour chunks, hit curves, core-sets (RTR-02..05, RTR-08, JOIN-08, JOIN-09, AGG-34, SMP-05, TOPK-01, EXT-10)."""
 
 from __future__ import annotations
 
@@ -12,19 +12,34 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, most_queries: int = 4096) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of greatest inner product, ties to the lesser id.
 
-    queries (query_id, embedding) are a stated set of at most most_queries, which go to every task as one matrix; items
-    (item_id, embedding) are scanned in blocks, each task keeps k a query, and only those are shuffled.
+    queries (query_id, embedding) is a stated set, searched in blocks of at most `block` vectors whatever its size: each
+    block's matrix goes to the tasks that read (item_id, embedding), every task keeps k a query, and only those
+    are shuffled. Null vectors are left out on both sides.
     """
-    asked = queries.limit(most_queries + 1).toPandas()
-    if len(asked) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search in parts")
-    ids = asked["query_id"].to_numpy()
-    q = np.stack(asked["embedding"].to_numpy()).astype(np.float64) if len(asked) else np.zeros((0, 0))
+    from pyspark.sql import Window
 
-    def block(batches):
+    from corpusloom.operators.storage import ranked
+
+    asked = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
+    n = asked.count()
+    laid = ranked(asked, "query_id", name="_r") if n > block else asked.withColumn("_r", F.lit(0).cast("long"))
+    own = items.where("embedding IS NOT NULL").select("item_id", "embedding")
+    out = None
+    for low in range(0, max(n, 1), block):
+        rows = laid.where((F.col("_r") >= low) & (F.col("_r") < low + block)).collect()  # one bounded block
+        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+        q = np.array([r["embedding"] for r in rows], dtype=np.float64)
+        found = own.mapInPandas(_best_of(ids, q, k), "query_id long, item_id long, score double")
+        part = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _best_of(ids: np.ndarray, q: np.ndarray, k: int):
+    def run(batches):
         for b in batches:
             if not len(b) or not len(ids):
                 continue
@@ -34,10 +49,92 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, most_queries: int = 4096
             order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :n]
             yield pd.DataFrame({"query_id": np.repeat(ids, n), "item_id": own[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
 
+    return run
+
+
+def block_ranges(n: int, size: int = 100_000) -> list[tuple[int, int]]:
+    """RTR-02."""
+    return [(low, min(low + size, n)) for low in range(0, n, size)]
+
+
+def train_cells(vectors: DataFrame, cells: int, sample: int = 50_000, rounds: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42) -> np.ndarray:
+    """RTR-03: centroids by k-means on at most `sample` vectors (in the order of a seeded hash), which is the load that training takes."""
+    rows = vectors.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(sample).select(vector_col).collect()
+    x = np.array([r[0] for r in rows], dtype=np.float64)
+    if not len(x):
+        return np.zeros((0, 0))
+    centres = x[: min(cells, len(x))].copy()
+    for _ in range(rounds):
+        own = _nearest(x, centres)
+        for c in range(len(centres)):
+            mine = x[own == c]
+            if len(mine):
+                centres[c] = mine.mean(axis=0)
+    return centres
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin((centres**2).sum(axis=1)[None] - 2 * x @ centres.T, axis=1)
+
+
+def add_to_cells(vectors: DataFrame, centres: np.ndarray, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """RTR-04: (id, embedding, cell): each vector with its nearest centroid; null vectors are left out."""
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({id_col: b[id_col], vector_col: b[vector_col], "cell": _nearest(np.stack(b[vector_col].to_numpy()).astype(np.float64), centres)})
+
+    return vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInPandas(run, f"{id_col} {kind}, {vector_col} {vectors.schema[vector_col].dataType.simpleString()}, cell int")
+
+
+def add_missing_blocks(vectors: DataFrame, centres: np.ndarray, folder: str, block_size: int = 100_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """EXT-10: the encoded index in a folder by block; only blocks that it lacks are encoded and appended."""
+    spark = vectors.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(where) and any(s.getPath().getName().startswith("block_id=") for s in fs.listStatus(where))
+    block = F.expr(f"`{id_col}` div {block_size}").cast("long")
+    todo = vectors.withColumn("block_id", block)
+    if there:
+        todo = todo.join(F.broadcast(spark.read.parquet(folder).select(F.col("block_id").cast("long").alias("block_id")).distinct()), "block_id", "left_anti")
+    add_to_cells(todo, centres, id_col, vector_col).withColumn("block_id", block).write.mode("append").partitionBy("block_id").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def search_cells(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, item_id, score, rank): the best k by inner product among the vectors of each query's `probes` nearest cells; with all cells it is exact."""
     from pyspark.sql import Window
 
-    found = items.select("item_id", "embedding").mapInPandas(block, "query_id long, item_id long, score double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k)
+    def run(batches):
+        for b in batches:
+            if len(b):
+                x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
+                d = (centres**2).sum(axis=1)[None] - 2 * x @ centres.T
+                near = np.argsort(d, axis=1, kind="stable")[:, :probes]
+                yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), near.shape[1]), "q": list(np.repeat(x, near.shape[1], axis=0)), "cell": near.ravel()})
+
+    asked = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "embedding").mapInPandas(run, "query_id long, q array<double>, cell int")
+    both = asked.join(index.select(F.col(id_col).alias("item_id"), F.col(vector_col).alias("v"), "cell"), "cell")
+    scored = both.select("query_id", "item_id", inner_product(F.col("q"), F.col("v")).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k)
+
+
+def continuations(neighbours: DataFrame, chunks: DataFrame, more: int = 1, n: int | None = None) -> DataFrame:
+    """JOIN-08: (id, rank, step, chunk_id, and the chunk): each neighbour's chunk and the `more` that follow it, chunk numbers wrapping at n (their number if not said). neighbours: (id, rank, chunk_id)."""
+    n = chunks.count() if n is None else n
+    if not n:
+        return neighbours.select("id", "rank").withColumn("step", F.lit(0)).join(chunks).limit(0)
+    steps = neighbours.select("id", "rank", F.explode(F.transform(F.sequence(F.lit(0), F.lit(more)), lambda i: F.struct(i.alias("step"), F.pmod(F.col("chunk_id") + i, F.lit(n)).alias("chunk_id")))).alias("s"))
+    return steps.select("id", "rank", "s.step", "s.chunk_id").join(chunks, "chunk_id")
+
+
+def attached(neighbours: DataFrame, chunks: DataFrame, tokens: str, more: int = 1) -> DataFrame:
+    """RTR-08: (id, neighbours): a chunk's neighbours in order of rank, each with its continuation as one array of tokens."""
+    own = continuations(neighbours, chunks, more).groupBy("id", "rank").agg(F.array_sort(F.collect_list(F.struct("step", F.col(tokens).alias("t")))).alias("_s"))
+    joined = own.select("id", "rank", F.flatten(F.transform("_s", lambda x: x["t"])).alias("t"))
+    return joined.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("_n")).select("id", F.transform("_n", lambda x: x["t"]).alias("neighbours"))
 
 
 def hit_curve(hits: DataFrame, k: int) -> DataFrame:

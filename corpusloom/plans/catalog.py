@@ -2,64 +2,94 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
-from corpusloom.operators import cleaning, conversations, dedup, grouping, ordering, packing, retrieval
+from corpusloom.operators import cleaning, conversations, dedup, grouping, mixing, ordering, packing, retrieval
+from corpusloom.operators.cleaning import REFUSALS, SECOND_LABELS, SKIPPED_SUFFIXES, WELL_FORMED
+from corpusloom.plans.register import ORACLES, QUERIES, query, t
 from corpusloom.streaming import iterate
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 
-def query(sql: str | None = None):
-    """Registers the function under its name, with its SQL."""
+def listed(values) -> str:
+    """Texts as a SQL list."""
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
 
-    return add
+# -- scans, filters, projections ---------------------------------------------------------------
 
 
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+BLOCKED = ("blocked", "spam", "site1")
 
 
-# -- scans, filters, projections ---------------------------------------------------------------
+def url_reasons(pages: str) -> str:
+    """SQL of the reason of each row of `pages`, a query that gives page_id and url."""
+    return f"""WITH p AS ({pages}),
+h AS (SELECT page_id, url, list_reverse(string_split(lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.')) a, lower(string_split(url, '?')[1]) path FROM p),
+q AS (SELECT *, coalesce(a[CASE WHEN len(a) > 2 AND length(a[1]) = 2 AND a[2] IN ({listed(SECOND_LABELS)}) THEN 3 ELSE 2 END], '') lab FROM h),
+m AS (SELECT page_id, url, CASE WHEN lab IN ({listed(BLOCKED)}) THEN 'domain' WHEN len(list_filter([{listed(SKIPPED_SUFFIXES)}], lambda s: ends_with(path, s))) > 0 THEN 'extension'
+  WHEN length(url) <= 8 THEN 'short' WHEN NOT regexp_matches(url, '{WELL_FORMED}') THEN 'malformed' END f FROM q)
+SELECT page_id, coalesce(f, CASE WHEN row_number() OVER (PARTITION BY url, f IS NULL ORDER BY page_id) > 1 THEN 'duplicate' END, 'keep') AS reason FROM m"""
 
 
-@query("""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) h FROM pages),
-q AS (SELECT *, coalesce(list_reverse(string_split(h, '.'))[2], '') lab, lower(string_split(url, '?')[1]) path FROM p),
-m AS (SELECT page_id, url, CASE WHEN lab IN ('blocked', 'spam') THEN 'domain' WHEN path LIKE '%.pdf' OR path LIKE '%.jpg' OR path LIKE '%.zip' THEN 'extension'
-  WHEN length(url) <= 8 THEN 'short' WHEN url NOT LIKE 'http%://%.%' THEN 'malformed' END f FROM q)
-SELECT page_id, coalesce(f, CASE WHEN row_number() OVER (PARTITION BY url, f IS NULL ORDER BY page_id) > 1 THEN 'duplicate' END, 'keep') AS reason FROM m""")
+@query(url_reasons("SELECT page_id, coalesce(url, '') url FROM pages"))
 def flt05_classify_urls(spark, d):
-    return cleaning.classify_urls(t(spark, d, "pages"), ["blocked", "spam"]).select("page_id", "reason")
+    return cleaning.classify_urls(t(spark, d, "pages"), list(BLOCKED)).select("page_id", "reason")
+
+
+SOME_SUFFIXES = (*SKIPPED_SUFFIXES, "", "/", ".html", ".7z", ".ai", ".tif")
+SOME_SCHEMES = ("http://", "https://", "ftp://", "HTTPS://", "http:/")
+SOME_HOSTS = ("www.example.com", "localhost", "10.2.3.4:8080", "blocked.co.uk", "shop.blocked.com", "a-.com", "x.y")
+
+
+@query(url_reasons(f"""SELECT o_orderkey AS page_id, [{listed(SOME_SCHEMES)}][1 + CAST(o_custkey % {len(SOME_SCHEMES)} AS INT)] || [{listed(SOME_HOSTS)}][1 + CAST(o_orderkey % {len(SOME_HOSTS)} AS INT)] || '/f'
+ || [{listed(SOME_SUFFIXES)}][1 + CAST(o_orderkey % {len(SOME_SUFFIXES)} AS INT)] || CASE WHEN o_orderkey % 3 = 0 THEN '?q=.pdf' ELSE '' END AS url FROM orders"""))
+def flt02_suffixes_and_forms(spark, d):
+    """Every listed suffix, well-formed or not, on hosts of many forms."""
+
+    def pick(values, c):
+        return F.element_at(F.array(*map(F.lit, values)), (c % len(values)).cast("int") + 1)
+
+    url = F.concat(pick(SOME_SCHEMES, F.col("o_custkey")), pick(SOME_HOSTS, F.col("o_orderkey")), F.lit("/f"), pick(SOME_SUFFIXES, F.col("o_orderkey")), F.when(F.col("o_orderkey") % 3 == 0, "?q=.pdf").otherwise(""))
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), url.alias("url"))
+    return cleaning.classify_urls(rows, list(BLOCKED)).select("page_id", "reason")
 
 
 @query("""SELECT doc_id, length(text) < 1024 AND len(regexp_split_to_array(trim(text), '\\s+')) < 128 AS too_short,
-CASE WHEN length(text) < 512 THEN 'remove_512' END AS task FROM documents""")
+CASE WHEN text IS NULL THEN 'error' WHEN length(text) < 512 THEN 'remove_512' WHEN length(text) < 256 AND lower(text) LIKE '%javascript%' THEN 'remove_256_javascript'
+ WHEN length(text) < 512 AND lang IS DISTINCT FROM 'en' THEN 'remove_512_non_english' ELSE 'ftfy_fix_text' END AS task,
+CASE WHEN text IS NULL THEN 'error' WHEN length(text) < 256 AND lower(text) LIKE '%javascript%' THEN 'remove_256_javascript' ELSE 'general_cleaning' END AS second,
+CASE WHEN text IS NULL THEN 'error' WHEN length(text) < 512 AND lang IS DISTINCT FROM 'en' THEN 'remove_512_non_english' END AS third, lang IS DISTINCT FROM 'en' AS foreign FROM documents""")
 def flt06_length_filters(spark, d):
-    return t(spark, d, "documents").select("doc_id", cleaning.too_short(F.col("text")).alias("too_short"), cleaning.removal_task(F.col("text"), F.col("lang")).alias("task"))
+    text, lang = F.col("text"), F.col("lang")
+    return t(spark, d, "documents").select("doc_id", cleaning.too_short(text).alias("too_short"), cleaning.removal_task(text, lang).alias("task"),
+        cleaning.removal_task(text, lang, ("remove_256_javascript", "general_cleaning")).alias("second"), cleaning.removal_task(text, lang, ("remove_512_non_english",)).alias("third"), cleaning.wrong_language(lang).alias("foreign"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(text, '  +|\\n+ |\\n+', ' ', 'g')) AS cleaned,
+@query("""SELECT doc_id, md5(regexp_replace(text, '  +|([\\pL\\pN_])\\n+ |([\\pL\\pN_])\\n+', '\\1\\2 ', 'g')) AS cleaned,
 md5(replace(replace(replace(regexp_replace(replace(text, chr(10), ' '), ' +', ' ', 'g'), ' . ', '. '), ' . ', '. '), ' . ', '. ')) AS clean2 FROM documents""")
 def str01_general_cleaning(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(cleaning.general_cleaning(F.col("text"))).alias("cleaned"), F.md5(cleaning.clean_text(F.col("text"))).alias("clean2"))
 
 
-@query("""SELECT coalesce(CASE WHEN lower(trim(text)) LIKE 'i''m sorry%' OR lower(trim(text)) LIKE 'i am sorry%' OR lower(trim(text)) LIKE 'i cannot%' OR lower(trim(text)) LIKE 'i can''t%' THEN 'refusal' END,
-CASE WHEN length(text) NOT BETWEEN 50 AND 3500 THEN 'length' END, 'keep') AS problem, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY 1""")
+_CAPTIONS = f"""WITH x AS (SELECT text FROM conversations UNION ALL SELECT CASE WHEN l_quantity < 10 THEN repeat('word ', CAST(l_quantity AS INT)) || 'end of a caption that is long enough to be kept' ELSE 'I''m Sorry, no caption' END FROM lineitem),
+c AS (SELECT row_number() OVER () k, text, list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '') a FROM x),
+w AS (SELECT k, unnest(a) w, generate_subscripts(a, 1) i FROM c),
+g AS (SELECT k, w, i - row_number() OVER (PARTITION BY k, w ORDER BY i) g FROM w),
+r AS (SELECT k, max(n) n FROM (SELECT k, w, g, count(*) n FROM g GROUP BY ALL) GROUP BY ALL)
+SELECT coalesce(CASE WHEN len(list_filter([{listed(REFUSALS)}], lambda p: starts_with(lower(trim(text)), p))) > 0 THEN 'refusal' WHEN r.n >= 8 THEN 'repeat' WHEN length(text) NOT BETWEEN 50 AND 3500 THEN 'length' END, 'keep') AS problem, CAST(count(*) AS BIGINT) AS n
+FROM c LEFT JOIN r USING (k) GROUP BY 1"""
+
+
+@query(_CAPTIONS)
 def flt12_caption_problems(spark, d):
-    return t(spark, d, "conversations").select(F.coalesce(cleaning.caption_problem(F.col("text")), F.lit("keep")).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+    made = t(spark, d, "lineitem").select(F.when(F.col("l_quantity") < 10, F.concat(F.expr("repeat('word ', cast(l_quantity AS int))"), F.lit("end of a caption that is long enough to be kept"))).otherwise("I'm Sorry, no caption").alias("text"))
+    x = t(spark, d, "conversations").select("text").unionByName(made)
+    return x.select(F.coalesce(cleaning.caption_problem(F.col("text")), F.lit("keep")).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, format('doc-{:010d}', row_number() OVER (ORDER BY doc_id)) AS serial_id FROM documents")
@@ -98,8 +128,8 @@ def join08_continuations(spark, d):
     return x.join(e, x["continuation"] == e["vec_id"], "left_semi")
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') a FROM documents),
-b AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') a FROM benchmark),
+@query("""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[^a-zA-Z0-9]+'), lambda x: x <> ''), lambda x: lower(x)) a FROM documents),
+b AS (SELECT list_transform(list_filter(regexp_split_to_array(text, '[^a-zA-Z0-9]+'), lambda x: x <> ''), lambda x: lower(x)) a FROM benchmark),
 g AS (SELECT DISTINCT array_to_string(a[i:i+12], ' ') g FROM (SELECT a, unnest(range(1, greatest(len(a) - 11, 1))) i FROM b)),
 o AS (SELECT DISTINCT doc_id, array_to_string(a[i:i+12], ' ') g FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 11, 1))) i FROM w))
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_shared FROM o SEMI JOIN g USING (g) GROUP BY doc_id""")
@@ -272,12 +302,13 @@ def smp03_hash_sample(spark, d):
     return ordering.hash_sample(t(spark, d, "documents").select("doc_id", "source"), "doc_id", 25)
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 r, count(*) OVER () n FROM documents)
+SELECT doc_id, CASE WHEN r < round_even(0.80 * n, 0) THEN 'train' WHEN r < round_even(0.95 * n, 0) THEN 'valid' ELSE 'test' END AS split FROM r""")
 def set10_split(spark, d):
-    return ordering.split_by_ratio(t(spark, d, "documents").select("doc_id"), "doc_id", "80,15,5").groupBy("split").agg(F.count("*").alias("n"))
+    return mixing.split_exact(t(spark, d, "documents").select("doc_id"), "80,15,5", "doc_id")
 
 
-@query()
+@query("SELECT CAST(w AS INT) AS worker, CAST((SELECT count(*) FROM documents) // 4 + CASE WHEN w < (SELECT count(*) FROM documents) % 4 THEN 1 ELSE 0 END AS BIGINT) AS n FROM range(4) r(w)")
 def shf02_rank_split(spark, d):
     return ordering.rank_split(t(spark, d, "documents").select("doc_id"), "doc_id", 4, "doc_id").groupBy("worker").agg(F.count("*").alias("n"))
 
@@ -289,10 +320,15 @@ def set01_concat(spark, d):
     return ordering.concat_aligned([c, s])
 
 
-@query()
+@query("""WITH RECURSIVE b(step, pick, n0, n1, n2) AS (SELECT -1, -1, 0, 0, 0 UNION ALL
+ SELECT step + 1, pick, n0 + (pick = 0)::INT, n1 + (pick = 1)::INT, n2 + (pick = 2)::INT FROM (SELECT step, n0, n1, n2, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 0 WHEN e1 >= e2 THEN 1 ELSE 2 END pick FROM
+  (SELECT *, CAST(0.5 AS DOUBLE) * greatest(step + 1, 1) - n0 e0, CAST(0.3 AS DOUBLE) * greatest(step + 1, 1) - n1 e1, CAST(0.2 AS DOUBLE) * greatest(step + 1, 1) - n2 e2 FROM b WHERE step < 99))),
+i AS (SELECT step AS position, pick AS dataset_index, CASE pick WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END - 1 AS sample_index FROM b WHERE step >= 0),
+d AS (SELECT doc_id, lang, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS dataset_index, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS sample_index FROM documents WHERE lang IN ('en', 'fr', 'de'))
+SELECT CAST(position AS BIGINT) AS position, dataset_index, CAST(sample_index AS BIGINT) AS sample_index, doc_id, lang FROM i JOIN d USING (dataset_index, sample_index)""")
 def set05_blend(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "lang")
-    return ordering.blend([docs.where(F.col("lang") == x) for x in ("en", "fr", "de")], [0.5, 0.3, 0.2], 100, "doc_id")
+    return mixing.blend([docs.where(F.col("lang") == x) for x in ("en", "fr", "de")], [0.5, 0.3, 0.2], 100, "doc_id")
 
 
 # -- conversations, packing, retrieval ---------------------------------------------------------
@@ -329,7 +365,7 @@ def pck06_rounds(spark, d):
 def rtr05_top_k(spark, d):
     e = t(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = retrieval.top_k(q, e.select(F.col("vec_id").alias("item_id"), "embedding"), 10, most_queries=100_000)
+    found = retrieval.top_k(q, e.select(F.col("vec_id").alias("item_id"), "embedding"), 10)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -25,11 +25,13 @@ def expand(spark: SparkSession, paths: str) -> list[str]:
 
 
 def read(spark: SparkSession, paths: str, key: str | None = None) -> DataFrame:
-    """Parquet, JSON lines, CSV, TSV or text by suffix; a [N%] directive samples by a hash of key."""
+    """Parquet, JSON lines, CSV, TSV or text by suffix, or a catalog table (`table:name`); a [N%] directive takes max(1, floor(n * N / 100)) rows in the order of a hash of key (of all columns without one)."""
     paths, percent = parse_path(paths)
-    files = expand(spark, paths)
-    name = files[0].lower().rstrip("/")
-    if name.endswith((".jsonl", ".json")):
+    files = [] if paths.startswith("table:") else expand(spark, paths)
+    name = files[0].lower().rstrip("/") if files else ""
+    if not files:
+        df = spark.table(paths.removeprefix("table:"))
+    elif name.endswith((".jsonl", ".json")):
         df = spark.read.option("mode", "PERMISSIVE").json(files)
     elif name.endswith((".tsv", ".csv")):
         df = spark.read.option("header", True).option("sep", "\t" if name.endswith(".tsv") else ",").csv(files)
@@ -38,7 +40,10 @@ def read(spark: SparkSession, paths: str, key: str | None = None) -> DataFrame:
     else:
         df = spark.read.option("recursiveFileLookup", True).parquet(*files)
     if percent is not None:
-        df = df.where(F.pmod(F.xxhash64(F.lit(42), key) if key else F.xxhash64(F.lit(42), *df.columns), F.lit(10_000)) < int(percent * 100))
+        plain = [c for c, t in df.dtypes if not t.startswith("map")]
+        n = df.count()
+        order = F.xxhash64(F.lit(42), key) if key else F.xxhash64(F.lit(42), *plain)
+        df = df.orderBy(order, *([key] if key else [])).limit(max(1, int(n * percent // 100)))
     return df
 
 
@@ -71,21 +76,172 @@ def paired_files(spark: SparkSession, directory: str, other: str = ".jpg") -> Da
 
 
 def read_tar_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, key, members map<string, binary>): samples of tar shards, members of one base name being one sample."""
+    """(shard, key, members map<string, binary>): samples of tar shards in any store, one row each; a shard comes as one binary cell, so it must be under 2 GB. shards.read_tar_samples streams shards of any size from a mounted folder."""
     import io
-    import tarfile
 
     import pandas as pd
 
+    from corpusloom.sources.shards import samples_of
+
     def run(batches):
         for b in batches:
-            rows: dict[tuple[str, str], dict[str, bytes]] = {}
             for shard, content in zip(b["path"], b["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            key, _, suffix = m.name.partition(".")
-                            rows.setdefault((shard, key), {})[suffix] = tar.extractfile(m).read()
-            yield pd.DataFrame([(s, k, v) for (s, k), v in rows.items()], columns=["shard", "key", "members"])
+                for key, members in samples_of(io.BytesIO(content)):
+                    yield pd.DataFrame({"shard": [shard], "key": [key], "members": [members]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "shard string, key string, members map<string,binary>")
+
+
+MESSAGES = "array<struct<role:string,content:string>>"
+
+
+def read_messages(spark: SparkSession, paths: str) -> DataFrame:
+    """SRC-13: (messages): conversations of JSON lines; malformed lines and those without messages have null, so that they can be counted."""
+    return spark.read.schema(f"messages {MESSAGES}, _corrupt_record string").option("mode", "PERMISSIVE").json(expand(spark, paths)).select("messages")
+
+
+def read_object_store(spark: SparkSession, prefix: str, fmt: str = "parquet", first: int | None = None) -> DataFrame:
+    """SRC-14: a prefix of any store that Hadoop knows (s3a:, hdfs:, viewfs:, file:); ranges and retries are the file system's. `first` bounds the number of files, in order of their names (LIM-03)."""
+    files = sorted(f for f in expand(spark, f"{prefix.rstrip('/')}/*") if not f.rsplit("/", 1)[-1].startswith(("_", ".")))[:first]
+    return spark.read.format(fmt).load(files)
+
+
+def read_blocks(spark: SparkSession, folder: str, fraction: float = 1.0) -> DataFrame:
+    """SRC-15: block files in order of their names; of each, the first `fraction` of its rows by position (max(1, ...)). Adds block."""
+    from pyspark.sql import Window
+
+    rows = spark.read.parquet(*expand(spark, f"{folder.rstrip('/')}/*.parquet")).withColumn("block", F.input_file_name())
+    if fraction >= 1.0:
+        return rows
+    placed = rows.withColumn("_i", F.monotonically_increasing_id())
+    order = Window.partitionBy("block").orderBy("_i")
+    sizes = rows.groupBy("block").agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("_k"))
+    return placed.withColumn("_n", F.row_number().over(order)).join(F.broadcast(sizes), "block").where("_n <= _k").drop("_i", "_n", "_k")
+
+
+def read_pairs_tsv(spark: SparkSession, paths: str, labels: dict[str, int], columns: tuple[int, int, int, int] = (0, 8, 9, -1), header: bool = True, test_label: str = "contradiction") -> DataFrame:
+    """EXT-07: (uid, text_a, text_b, label) of tab-separated lines: id, two texts and the label in the given columns; a file of fewer columns than the label's is a test file, whose rows get the default label. Texts are cleaned; unknown labels and empty texts raise when read."""
+    from corpusloom.operators.cleaning import clean_text
+
+    parts = F.split("value", "\t")
+    lines = spark.read.text(expand(spark, paths)).withColumn("_first", F.row_number().over(_by_file()) == 1) if header else spark.read.text(expand(spark, paths)).withColumn("_first", F.lit(False))
+    uid, a, b, label = columns
+    table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    said = F.element_at(parts, label if label < 0 else label + 1)
+    at = lambda i: F.trim(clean_text(F.trim(F.get(parts, i))))
+    is_test = F.size(parts) <= b + 1
+    code = F.coalesce(F.try_element_at(table, F.when(is_test, test_label).otherwise(F.trim(said))), F.raise_error(F.concat(F.lit("unknown label "), said)).cast("int"))
+    return lines.where(~F.col("_first")).select(F.trim(F.get(parts, uid)).cast("long").alias("uid"), at(a).alias("text_a"), at(b).alias("text_b"), code.alias("label"))
+
+
+def _by_file():
+    from pyspark.sql import Window
+
+    return Window.partitionBy(F.input_file_name()).orderBy(F.monotonically_increasing_id())
+
+
+def read_reading_tests(spark: SparkSession, paths: str) -> DataFrame:
+    """EXT-08: (uid, article, question, option, text, label) of JSON articles with questions, options and answers: a row an option; a question with an underscore takes the option in its place, else the option follows it. uid counts questions within the file's article."""
+    rows = spark.read.schema("article string, questions array<string>, options array<array<string>>, answers array<string>").json(expand(spark, paths))
+    asked = rows.select("article", F.posexplode(F.arrays_zip("questions", "options", "answers")).alias("uid", "q"))
+    told = asked.select("uid", "article", F.col("q.questions").alias("question"), (F.ascii(F.col("q.answers")) - 65).alias("label"), F.posexplode("q.options").alias("option", "o"))
+    joined = F.when(F.contains("question", F.lit("_")), F.replace("question", F.lit("_"), F.col("o"))).otherwise(F.concat_ws(" ", "question", "o"))
+    return told.select("uid", "article", "question", "option", joined.alias("text"), "label")
+
+
+def first_predictions(spark: SparkSession, paths: str, key: str = "sample_id", order: str | None = None) -> DataFrame:
+    """SRC-20: prediction lines of several files, one a key: that of the first file in order of names (of `order` within one)."""
+    rows = spark.read.json(expand(spark, paths)).withColumn("_f", F.input_file_name()).withColumn("_i", F.monotonically_increasing_id() if order is None else F.col(order))
+    rest = [c for c in rows.columns if c not in (key, "_f", "_i")]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_f", "_i")).alias("_r")).select(key, "_r.*")
+
+
+# -- adapters to the training row --------------------------------------------------------------
+
+ROW = ("id", "images", "problem", "answer", "problem_type", "answer_type", "source", "prompt_type")
+"""Columns of a reinforcement-learning row; answer is an array."""
+
+
+def adapted(rows: DataFrame, source: str, **columns) -> DataFrame:
+    """SRC-19: a source's rows as training rows; what isn't said is null, an empty list of images, prompt type long, problem type general and answer type any."""
+    defaults = {
+        "id": F.lit(None).cast("string"), "images": F.array().cast("array<string>"), "problem": F.lit("").cast("string"), "answer": F.array().cast("array<string>"), "problem_type": F.lit("general"),
+        "answer_type": F.lit("any"), "source": F.lit(source), "prompt_type": F.lit("long"),
+    }
+    return rows.select(*[columns.get(c, defaults[c]).alias(c) for c in ROW])
+
+
+def adapt_reasoning(rows: DataFrame, source: str = "reasoning") -> DataFrame:
+    """Of (image array, question, answer, category): as many marks as images, boxed answers opened, a single letter is a choice."""
+    marks, n = F.size(F.split("question", "<image>", -1)) - 1, F.size("image")
+    cut = F.array_join(F.slice(F.split("question", "<image>", -1), F.lit(1), n + 1), "<image>")
+    problem = F.when(marks > n, cut).when(marks < n, F.concat(F.repeat(F.lit(" <image>"), n - marks), F.lit("\n"), "question")).otherwise(F.col("question"))
+    answer = F.when(F.col("answer").startswith("\\boxed{"), F.expr("substr(answer, 8, length(answer) - 8)")).otherwise(F.col("answer"))
+    choice = F.upper(F.trim(answer)).rlike("^[A-J]$")
+    kind = F.when(F.col("category") == "Spatial Reasoning", "spatial_reasoning").when(F.col("category") == "Tables/Diagrams/Charts", "ocr").otherwise("stem")
+    return adapted(rows, source, images=F.col("image"), problem=problem, answer=F.array(F.when(choice, F.upper(F.trim(answer))).otherwise(answer)), problem_type=kind, answer_type=F.when(choice, "multiple_choice").otherwise("math_expressions"))
+
+
+def adapt_grounding(rows: DataFrame, source: str = "grounding") -> DataFrame:
+    """Of (file_name, caption, bbox x y width height, width, height): the box in shares of the image, as text."""
+    from corpusloom.functions.similarity import corners
+
+    box = corners(*[F.col("bbox")[i] for i in range(4)], F.col("width"), F.col("height"))
+    problem = F.concat(F.lit("<image>\nWhere in the image is this: "), F.lower("caption"), F.lit("\nAnswer as [x_min, y_min, x_max, y_max], each from 0 to 1."))
+    return adapted(rows, source, images=F.array("file_name"), problem=problem, answer=F.array(F.concat(F.lit("["), F.array_join(F.transform(box, lambda v: v.cast("string")), ", "), F.lit("]"))), problem_type=F.lit("grounding"), answer_type=F.lit("bbox"), prompt_type=F.lit("normal"))
+
+
+def adapt_choices(rows: DataFrame, source: str = "choices") -> DataFrame:
+    """Of (image, question, answer)."""
+    return adapted(rows, source, images=F.array("image"), problem=F.concat(F.lit("<image>\n"), "question"), answer=F.array("answer"), answer_type=F.lit("multiple_choice"))
+
+
+def adapt_counting(rows: DataFrame, source: str = "counting") -> DataFrame:
+    """Of (image, label, count)."""
+    return adapted(rows, source, images=F.array("image"), problem=F.concat(F.lit("<image>\nHow many "), "label", F.lit(" are there?")), answer=F.array(F.col("count").cast("string")), problem_type=F.lit("counting"), answer_type=F.lit("number"))
+
+
+def adapt_programs(rows: DataFrame, source: str = "programs") -> DataFrame:
+    """FLT-21 and SRC-19: of (description, input_format, output_format, official_tests, generated_checker): problems without a checker of their own; the answer holds the tests."""
+    own = rows.where("generated_checker IS NULL")
+    problem = F.concat_ws("\n", "description", F.concat(F.lit("Input: "), "input_format"), F.concat(F.lit("Output: "), "output_format"), F.lit("Answer with one function solution(input) that returns the output."))
+    return adapted(own, source, problem=problem, answer=F.array(F.to_json(F.struct(F.col("official_tests").alias("tests")))), problem_type=F.lit("coding"), answer_type=F.lit("general_code"))
+
+
+ADAPTERS = {"reasoning": adapt_reasoning, "grounding": adapt_grounding, "choices": adapt_choices, "counting": adapt_counting, "programs": adapt_programs}
+"""UDF-07: adapters by source; a source names its own with ADAPTERS[name] = function."""
+
+
+def adapt_all(sources: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """The union of sources, each as (adapter, rows)."""
+    out = None
+    for name, (adapter, rows) in sources.items():
+        part = ADAPTERS[adapter](rows, name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# -- schema audits -----------------------------------------------------------------------------
+
+
+def file_columns(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, columns array<string>, types map<string, string>): each Parquet file's schema, read from its footer."""
+    rows = []
+    for f in files:
+        fields = spark.read.parquet(f).schema.fields
+        rows.append((f, [x.name for x in fields], {x.name: x.dataType.simpleString() for x in fields}))
+    return spark.createDataFrame(rows, "file string, columns array<string>, types map<string,string>")
+
+
+def schema_drift(schemas: DataFrame) -> DataFrame:
+    """EXT-22: (file, column, kind, expected, found) against the file of least name: missing, added or of another type."""
+    first = schemas.orderBy("file").limit(1).select(F.col("types").alias("_t"))
+    both = schemas.join(F.broadcast(first)).select("file", "types", "_t", F.explode(F.array_union(F.map_keys("types"), F.map_keys("_t"))).alias("column"))
+    now, then = F.try_element_at("types", F.col("column")), F.try_element_at("_t", F.col("column"))
+    kind = F.when(now.isNull(), "missing").when(then.isNull(), "added").when(now != then, "type")
+    return both.select("file", "column", kind.alias("kind"), then.alias("expected"), now.alias("found")).where("kind IS NOT NULL")
+
+
+def suspicious_columns(schemas: DataFrame) -> DataFrame:
+    """(file, column, type): nested columns whose types differ between files most often: structs in arrays, maps and untyped ones."""
+    return schemas.select("file", F.explode("types").alias("column", "type")).where(F.col("type").rlike("array<struct|array<array|map<|void"))

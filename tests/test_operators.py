@@ -1,5 +1,6 @@
 """Edge cases of the reference-facing operators: quirks, ties, empty and null rows."""
 
+import collections
 import hashlib
 import math
 import random
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
-from corpusloom.operators import cleaning, conversations, dedup, grouping, ordering, packing
+from corpusloom.operators import cleaning, conversations, dedup, grouping, ordering, packing, storage
 from corpusloom.plans import catalog
 from corpusloom.sources import readers, writers
 
@@ -198,3 +199,81 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s")).where("to_filter = 'true'").count() == 1
     plan = writers.shard_plan(spark.range(50).withColumn("b", F.lit(10)), "id", "b", max_count=5, groups=2)
     assert plan.groupBy("shard").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_shard_plan_keeps_both_limits(spark):
+    sizes = [1] * 10 + [10] * 4 + [50] + [7] * 20
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "id long, b long")
+    for count, most in ((5, 10), (3, 20), (100, 25)):
+        got = collections.defaultdict(list)
+        for r in writers.shard_plan(rows, "id", "b", count, most).collect():
+            got[r["shard"]].append(r["b"])
+        assert sum(map(len, got.values())) == len(sizes)
+        assert all(len(x) <= count and (sum(x) <= most or len(x) == 1) for x in got.values())
+
+
+def test_serial_ids_over_many_files(spark, tmp_path):
+    n = 1_000_000
+    spark.range(n).select((F.col("id") * 7919 % n).alias("k")).repartition(40).write.parquet(str(tmp_path / "rows"))
+    got = cleaning.serial_ids(spark.read.parquet(str(tmp_path / "rows")), "doc", "k")
+    wrong = got.where(F.col("serial_id") != F.format_string("doc-%010d", F.col("k") + 1)).count()
+    assert got.count() == n and wrong == 0
+    same = spark.createDataFrame([(1, "x")] * 7 + [(0, "y"), (None, "z")], "k int, v string")  # ties and a null
+    assert sorted(r["serial_id"] for r in cleaning.serial_ids(same, "d", "k").collect()) == [f"d-{i:010d}" for i in range(1, 10)]
+    assert cleaning.serial_ids(same.limit(0), "d", "k").collect() == []
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else str(i % 50), i % 11) for i in range(3000)], "i long, g string, v long")
+    got = {r["i"]: r["before"] for r in storage.running(rows, ["g"], ["i"], "v", "before").collect()}
+    sums = collections.Counter()
+    for i in range(3000):
+        g = "hot" if i % 3 else str(i % 50)
+        assert got[i] == sums[g]
+        sums[g] += i % 11
+
+
+def test_reconcile_images(spark):
+    def both(problem, images):
+        p, i = conversations.reconcile_images(F.col("p"), F.col("i"))
+        return tuple(spark.createDataFrame([(problem, images)], "p string, i array<string>").select(p, i).first())
+
+    assert both("<image>a<image>b<image>c", ["x"]) == ("<image>a", ["x"])  # what follows surplus marks goes
+    assert both("<image>a", ["x", "y"]) == ("<image>a", ["x"])  # surplus images go
+    assert both("a", None) == ("a", []) and both("a<image>", []) == ("a", [])
+
+
+def test_decontamination_cuts(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    item = words(30)
+    texts = [words(200) + ". " + item.upper() + "! " + words(200), words(20) + " " + item, words(100), "", None, " ".join(words(80) + " " + item for _ in range(14)), item]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, None), (2, "too short")], "item_id long, text string")
+    got = collections.defaultdict(list)
+    for r in dedup.decontaminate(docs, bench).orderBy("doc_id", "piece").collect():
+        got[r["doc_id"]].append(r["text"])
+
+    def cut(text):
+        spans = [(m.start(), m.end(), m.group().lower()) for m in re.finditer("[A-Za-z0-9]+", text)]
+        grams = {tuple(item.split()[i : i + 13]) for i in range(18)}
+        gone = [False] * len(text)
+        for i in range(len(spans) - 12):
+            if tuple(s[2] for s in spans[i : i + 13]) in grams:
+                for k in range(max(0, spans[i][0] - 200), min(len(text), spans[i + 12][1] + 200)):
+                    gone[k] = True
+        pieces = "".join("\0" if g else c for c, g in zip(text, gone)).split("\0")
+        pieces = [p for p in pieces if p]
+        return [p for p in pieces if len(p) >= 200] if len(pieces) <= 11 else []
+
+    assert got[0] == cut(texts[0]) and len(got[0]) == 2 and got[1] == cut(texts[1])
+    assert got[2] == [texts[2]] and got[3] == [""] and got[4] == [None] and got[5] == [] and got[6] == []
+
+
+def test_removal_tasks_one_by_one(spark):
+    x = spark.createDataFrame([("a" * 600, "en"), ("javascript", "en"), ("kurz", "de"), ("kurz", "en"), (None, "en")], "t string, l string")
+    def told(*tasks):
+        return [r[0] for r in x.select(cleaning.removal_task(F.col("t"), F.col("l"), tasks)).collect()]
+    assert told("remove_256_javascript") == [None, "remove_256_javascript", None, None, "error"]
+    assert told("remove_512_non_english", "general_cleaning") == ["general_cleaning", "general_cleaning", "remove_512_non_english", "general_cleaning", "error"]
+    assert told("remove_512", "ftfy_fix_text") == ["ftfy_fix_text", "remove_512", "remove_512", "remove_512", "error"]
