@@ -18,13 +18,18 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import ids_first, materialise, small_batches, sole, strings, worker_cache
+from corpusloom.llm.lookup import Slots, by_length, coded, keys_of, powers, prefixes
+from corpusloom.llm.shared import materialise, small_batches, sole, strings, worker_cache
 
 LETTERS = regex.compile(r"\p{L}+")
-LONGEST = 12
-"""Letters of the longest piece that is used."""
-WORD = 24
-"""Longer runs of letters are scored in slices of so many."""
+PLAIN = 24
+"""Words of more letters are summed with their sums scaled on the way, since products of so many probabilities get too small."""
+TRAIN_RUN = 512
+"""The longest run of letters that the pieces are fitted to; prediction has no such bound."""
+LANGUAGES = 1000
+"""More languages are refused: the model and what is broadcast for the sample grow with their number."""
+BUCKETS = 1024
+"""Parts of the range of hashes in which the sample's cut is looked for; a power of two."""
 EVIDENCE = 30.0
 """Words whose evidence a score counts at most, so that it doesn't saturate with a text's length."""
 UNKNOWN = "UNKNOWN"
@@ -45,34 +50,42 @@ def vocabulary_pieces(path: str) -> dict[str, int]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
         body = piece.removeprefix("▁")
-        if body and len(body) <= LONGEST and body.isalpha() and piece not in found:
+        if body and body.isalpha() and piece not in found:
             found[piece] = len(found)
     return found
 
 
-def lattices(words: list[str], pieces: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words by length: (their places, ids[word, begin, length - 1] of pieces; the last id + 1 stands for an unknown letter, -1 for none)."""
-    by: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by.setdefault(len(w), []).append(i)
-    unknown = len(pieces)
-    get = pieces.get
-    for n, places in by.items():
-        m = min(n, LONGEST)
-        ids = np.full((len(places), n, m), -1, dtype=np.int32)
-        for row, i in zip(ids, places, strict=True):
-            w = words[i]
-            flat = [get("▁" + w[:k], -1) for k in range(1, m + 1)]
-            if flat[0] < 0:
-                flat[0] = get(w[0], unknown)
-            row[0, :] = flat
-            for a in range(1, n):
-                top = min(m, n - a)
-                one = [get(w[a : a + k], -1) for k in range(1, top + 1)]
-                if one[0] < 0:
-                    one[0] = unknown
-                row[a, :top] = one
-        yield np.array(places), ids
+class Pieces:
+    """The pieces, by hashes of their letters. That a substring which is none has a piece's hash is a chance of 2 ** -64 for each."""
+
+    def __init__(self, known: dict[str, int]):
+        """known numbers the pieces from 0."""
+        self.count = len(known)
+        self.longest = max((len(p.removeprefix("▁")) for p in known), default=1)
+        self.powers, self.slots = powers(self.longest + 1), Slots(keys_of(list(known)))
+
+    def ids(self, codes: np.ndarray, begins: bool = True) -> np.ndarray:
+        """ids[word, begin, length - 1] of pieces; count stands for an unknown letter, -1 for none. A word's beginning takes the pieces that are marked as such."""
+        count, n = codes.shape
+        m = min(n, self.longest)
+        out = np.full((count, n, m), -1, dtype=np.int32)
+        before = prefixes(codes)
+        mark = ord("▁") + 1
+        for k in range(1, m + 1):
+            part = before[:, k:] - before[:, : n + 1 - k] * self.powers[k]
+            out[:, : n + 1 - k, k - 1] = self.slots.find(part)
+            if begins:
+                first = self.slots.find(part[:, 0] + np.uint64(mark * int(self.powers[k]) & 0xFFFFFFFFFFFFFFFF))
+                out[:, 0, k - 1] = np.where((k == 1) & (first < 0), out[:, 0, 0], first)
+        out[:, :, 0] = np.where(out[:, :, 0] < 0, self.count, out[:, :, 0])
+        return out
+
+
+def lattices(words: list[str], pieces: Pieces | dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words by length: (their places, their ids)."""
+    pieces = Pieces(pieces) if isinstance(pieces, dict) else pieces
+    for n, places in by_length(words):
+        yield places, pieces.ids(coded([words[i] for i in places], n))
 
 
 def forward(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -86,6 +99,77 @@ def forward(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_forward(words: list[str], n: int, pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """log of the summed probability of all segmentations of words of n letters, by language, for any n.
+
+    Letters are gone through in stretches, each read with the letters that the longest piece needs; only the sums of
+    as many last letters are kept, and scaled after each letter.
+    """
+    step = 4096
+    m = min(n, pieces.longest)
+    window = np.zeros((m + 1, len(words), table.shape[1]))  # window[k]: the sum at k letters after the present one
+    window[0] = 1
+    scale = np.zeros((len(words), table.shape[1]))
+    for low in range(0, n, step):
+        ids = pieces.ids(coded([w[low : low + step + m - 1] for w in words], min(step + m - 1, n - low)), begins=low == 0)
+        for a in range(min(step, n - low)):
+            for k in range(min(m, n - low - a)):
+                window[k + 1] += window[0] * table[ids[:, a, k]]
+            window[:-1] = window[1:]
+            window[-1] = 0
+            top = window.max(axis=0)
+            top = np.where(top > 0, top, 1.0)
+            window /= top
+            scale += np.log(top)
+    return np.log(np.maximum(window[0], 1e-300)) + scale
+
+
+def log_words(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """log of each word's summed probability, by language."""
+    out = np.zeros((len(words), table.shape[1]))
+    for n, places in by_length(words):
+        size = 4096 if n <= PLAIN else max(1, 65536 // n)
+        for at in range(0, len(places), size):
+            some = places[at : at + size]
+            own = [words[i] for i in some]
+            out[some] = np.log(np.maximum(forward(pieces.ids(coded(own, n)), table)[n], 1e-300)) if n <= PLAIN else log_forward(own, n, pieces, table)
+    return out
+
+
+def expected_counts(ids: np.ndarray, weight: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """How often each piece is used in the words, over all their segmentations, by their probabilities: forward and backward sums, in logs for long words."""
+    count, n, m = ids.shape
+    size = len(table)
+    expected = np.zeros(size)
+    if n <= PLAIN:
+        alpha = forward(ids, table)[:, :, 0]
+        beta = np.zeros((n + 1, count))
+        beta[n] = 1
+        for a in range(n - 1, -1, -1):
+            for k in range(min(m, n - a)):
+                beta[a] += table[ids[:, a, k], 0] * beta[a + k + 1]
+        scale = weight / np.maximum(alpha[n], 1e-300)
+        for a in range(n):
+            for k in range(min(m, n - a)):
+                expected += np.bincount(ids[:, a, k] % size, weights=alpha[a] * table[ids[:, a, k], 0] * beta[a + k + 1] * scale, minlength=size)
+        return expected
+    with np.errstate(divide="ignore"):
+        logs = np.log(table[:, 0])
+    alpha, beta = np.full((n + 1, count), -np.inf), np.full((n + 1, count), -np.inf)
+    alpha[0], beta[n] = 0, 0
+    for a in range(n):
+        for k in range(min(m, n - a)):
+            alpha[a + k + 1] = np.logaddexp(alpha[a + k + 1], alpha[a] + logs[ids[:, a, k]])
+    for a in range(n - 1, -1, -1):
+        for k in range(min(m, n - a)):
+            beta[a] = np.logaddexp(beta[a], logs[ids[:, a, k]] + beta[a + k + 1])
+    for a in range(n):
+        for k in range(min(m, n - a)):
+            gain = np.exp(alpha[a] + logs[ids[:, a, k]] + beta[a + k + 1] - alpha[n]) * weight
+            expected += np.bincount(ids[:, a, k] % size, weights=gain, minlength=size)
+    return expected
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -96,9 +180,9 @@ class Model:
 
 def fit(counts: list[tuple[str, str, int]], path: str, rounds: int = 3) -> Model:
     """From (language, word, count) rows of the bounded sample."""
-    pieces = vocabulary_pieces(path)
+    pieces = Pieces(vocabulary_pieces(path))
     languages = sorted({c[0] for c in counts})
-    size = len(pieces) + 2
+    size = pieces.count + 2
     columns = []
     for language in languages:
         words = [c[1] for c in counts if c[0] == language]
@@ -109,18 +193,7 @@ def fit(counts: list[tuple[str, str, int]], path: str, rounds: int = 3) -> Model
             table[-1] = 0
             expected = np.zeros(size)
             for places, ids in grids:
-                n, m = ids.shape[1:]
-                alpha = forward(ids, table)[:, :, 0]
-                beta = np.zeros((n + 1, len(places)))
-                beta[n] = 1
-                for a in range(n - 1, -1, -1):
-                    for k in range(min(m, n - a)):
-                        beta[a] += table[ids[:, a, k], 0] * beta[a + k + 1]
-                scale = weight[places] / np.maximum(alpha[n], 1e-300)
-                for a in range(n):
-                    for k in range(min(m, n - a)):
-                        gain = alpha[a] * table[ids[:, a, k], 0] * beta[a + k + 1] * scale
-                        expected += np.bincount(ids[:, a, k] % size, weights=gain, minlength=size)
+                expected += expected_counts(ids, weight[places], table)
             expected[-1] = 0
             expected[:-1] += 0.01
             table = (expected / expected.sum()).reshape(-1, 1)
@@ -133,7 +206,7 @@ class Scorer:
     """Log-probabilities by language of the parts of texts, the recent ones kept."""
 
     def __init__(self, model: Model, cache_size: int = 400_000):
-        self.model, self.pieces, self.cache_size = model, vocabulary_pieces(model.path), cache_size
+        self.model, self.pieces, self.cache_size = model, Pieces(vocabulary_pieces(model.path)), cache_size
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages) + 1))
         self.used = 0
@@ -146,13 +219,9 @@ class Scorer:
             self.known, self.used = {}, 0
             new = list(parts)
         split = [[p] if p.isalpha() else LETTERS.findall(p) for p in new]
-        split = [[w[a : a + WORD] for w in ws for a in range(0, len(w), WORD)] for ws in split]
         words = list({w for ws in split for w in ws})
         logs = np.zeros((len(words), len(self.model.languages) + 1))
-        for places, ids in lattices(words, self.pieces):
-            for at in range(0, len(places), 4096):
-                part = ids[at : at + 4096]
-                logs[places[at : at + 4096], :-1] = np.log(np.maximum(forward(part, self.model.table)[part.shape[1]], 1e-300))
+        logs[:, :-1] = log_words(words, self.pieces, self.model.table)
         logs[:, -1] = 1  # words of letters
         where = {w: i for i, w in enumerate(words)}
         need = self.used + len(new)
@@ -200,21 +269,36 @@ def scorer(model: Model) -> Scorer:
     return held
 
 
+def sampled(usable: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, lang) of the `sample` rows of least hash of id in each language (ties by id).
+
+    Counts by language and part of the range of hashes say below which part the sample lies; only rows there are
+    ranked, so that no task sees a language's rows, however many it has.
+    """
+    keyed = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.shiftright("h", 64 - (BUCKETS - 1).bit_length()))
+    parts = keyed.groupBy("lang", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")
+    cut = parts.withColumn("before", before).where(F.col("before") < sample).groupBy("lang").agg(F.max("part").alias("cut"))
+    cut = materialise(cut, "cuts")
+    if cut.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    near = keyed.join(F.broadcast(cut), "lang").where("part <= cut")  # one row a language, LANGUAGES at most
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return near.withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
+
+
 def training_words(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(lang, word, n) of the sampled labelled texts: those of least hash of id in each language."""
+    """(lang, word, n) of the sampled labelled texts: those of least hash of id in each language. Words are runs of letters, but for those over TRAIN_RUN."""
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
-    words = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most sample rows a language
+    words = usable.join(F.broadcast(sampled(usable, sample)), ["doc_id", "lang"], "left_semi")  # at most sample rows a language, of which there are LANGUAGES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[tuple[str, str], int] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in LETTERS.findall(text.lower()):
-                    for a in range(0, len(w), WORD):
-                        key = lang, w[a : a + WORD]
-                        counts[key] = counts.get(key, 0) + 1
+                    if len(w) <= TRAIN_RUN:
+                        counts[lang, w] = counts.get((lang, w), 0) + 1
             rows = [(a, b, n) for (a, b), n in counts.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, graph, jpeg, language, licenses, minhash, packing, personal, substrings, vectors, warc
 from corpusloom.llm.queries import piece_vocabulary, second_replica, word_vocabulary
@@ -89,11 +90,40 @@ def test_codec(docs, empty):
     assert bpe.encode(empty, word_vocabulary()).count() == 0
 
 
-def test_speculation_agrees_with_exact_merging():
+def test_speculation_agrees_with_exact_merging(monkeypatch):
+    words = ["".join(random.choice("aeinrst") for _ in range(random.randint(1, 14))) for _ in range(3000)] + ["x" * 300, "é" * 90, "ab" * 60]
+    for rounds in (8, 1):  # with few turns some words stay unsettled and are merged
+        monkeypatch.setattr(bpe, "ROUNDS", rounds)
+        c = bpe.Codec(word_vocabulary(), text=True)
+        assert c.encode_words(words) == [c.exact(w) for w in c.spell(words)]
+        assert c.speculated == len(words) and (c.merged <= 2 if rounds == 8 else 100 < c.merged < len(words))
+    monkeypatch.setattr(bpe, "PAIRS", 3)  # pairs push each other out of the memory
     c = bpe.Codec(word_vocabulary(), text=True)
-    words = ["".join(random.choice("aeinrst") for _ in range(random.randint(1, 14))) for _ in range(3000)]
-    assert c.encode_words(words) == [c.exact(w) for w in words]
-    assert 0 < c.merged < c.speculated
+    assert c.encode_words(words) == [c.exact(w) for w in c.spell(words)]
+
+
+def test_every_code_point_as_the_library():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(word_vocabulary())
+    points = [p for p in range(0x30000) if not 0xD800 <= p < 0xE000] + list(range(0xE0000, 0xE0200)) + [0x10FFFF]
+    texts = [" ".join(f"a{chr(p)}b {chr(p)}1" for p in points[i : i + 16]) for i in range(0, len(points), 16)]
+    texts += [f"e{chr(p)}\u0323\u0301x" for p in range(0x300, 0x370)] + ["ΑΣ ΣΑΣ.", "İstanbul ǅ ﬁ ß ẞ", "\u1100\u1161\u11a8", "한국어 日本語 ไทย हिन्दी", "a\u200db\ufeffc\x1c\x85d"]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for text in (True, False):
+        c = bpe.Codec(word_vocabulary(), text=text)
+        for t, parts, ids in zip(texts, c.encode_many(texts), want, strict=True):
+            got = " ".join(p[1] for p in parts) if text else b"".join(parts)
+            assert got == (" ".join(map(str, ids)) if text else np.array(ids, "<u4").tobytes()), t
+
+
+def test_decoding_as_the_library(docs):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(word_vocabulary())
+    for r in bpe.encode(docs, word_vocabulary()).collect():
+        assert r["decoded"] == lib.decode(r["token_ids"], skip_special_tokens=False)
+        assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
 
 
 def shingle_set(text, k):
@@ -118,7 +148,7 @@ def test_minhash(spark, docs, empty, k, percent):
                     label[a] = label[b] = min(label[a], label[b])
                     moved = True
     got = minhash.near_duplicates(rows, k, percent, bands=32).collect()
-    assert len(got) == len(texts) + 1
+    assert len(got) == len(texts) + 2  # a row for each row
     for r in got:
         if r["doc_id"] is None:
             assert r["kept"] and r["component_id"] is None
@@ -128,6 +158,36 @@ def test_minhash(spark, docs, empty, k, percent):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_with_repeated_ids_and_null_ids(spark):
+    a, b, c = sentence(50), sentence(50), sentence(50)
+    rows = [(3, a), (5, a), (5, b), (5, c), (7, b), (9, a + " z"), (9, a + " z"), (None, a), (None, a), (2, None), (2, ""), (4, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert len(got) == len(rows)
+    told = collections.defaultdict(set)
+    for r in got:
+        told[r["doc_id"], r["text_key"]].add((r["component_id"], r["kept"], r["n_shingles"] > 0))
+    key = lambda x: spark.range(1).select(F.xxhash64(F.lit(x))).first()[0]
+    assert told[3, key(a)] == {(3, True, True)} and told[5, key(a)] == {(3, False, True)} and told[9, key(a + " z")] == {(3, False, True)}
+    assert told[5, key(b)] == {(5, True, True)} and told[7, key(b)] == {(5, False, True)}  # this text is no copy of document 3's
+    assert told[5, key(c)] == {(5, True, True)} and told[None, key(a)] == {(None, True, True)}
+    assert all(kept and c == i for (i, _), v in told.items() if i in (2, 4) for c, kept, _ in v)
+
+
+def test_minhash_of_a_crowded_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CROWD", 8)  # blocks of a bucket meet two by two
+    base = sentence(60).split()
+    texts = [" ".join(w if random.random() > 0.03 * (i % 6) else "q%d" % random.randrange(30) for w in base) for i in range(80)]
+    sets = [shingle_set(t, 3) for t in texts]
+    label = list(range(80))
+    for _ in range(80):
+        for i in range(80):
+            for j in range(80):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < 80
+
+
 def test_components(spark):
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(200)] + [(5, 5), (None, 3)]
     got = {r["id"]: r["component_id"] for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
@@ -163,6 +223,94 @@ def test_forward_sums_all_segmentations():
     assert language.forward(ids, table)[3, 0, 0] == pytest.approx(expect)
 
 
+def test_pieces_find_what_the_vocabulary_has():
+    known = language.vocabulary_pieces(piece_vocabulary())
+    pieces, get = language.Pieces(known), known.get
+    words = sorted({w for t in TEXTS if t for w in language.LETTERS.findall(t.lower())} | {"straßenbahnhaltestellenverwaltung", "x" * 40, "日本語", "a"})
+    for places, ids in language.lattices(words, pieces):
+        for i, own in zip(places, ids, strict=True):
+            w = words[i]
+            for a in range(len(w)):
+                for k in range(1, min(len(w), pieces.longest) + 1):
+                    want = -1 if a + k > len(w) else get("▁" + w[a : a + k], -1) if a == 0 else get(w[a : a + k], -1)
+                    if want < 0 and k == 1:
+                        want = get(w[0], len(known)) if a == 0 else len(known)
+                    assert own[a, k - 1] == want
+
+
+def brute_log_sum(word, known, table):
+    """log of the sum over all segmentations, by language, letter by letter in exact fractions of floats."""
+    from fractions import Fraction
+
+    longest = max(len(p.removeprefix("▁")) for p in known)
+    out = []
+    for column in range(table.shape[1]):
+        sums = [Fraction(1)] + [Fraction(0)] * len(word)
+        for a in range(len(word)):
+            for k in range(1, min(longest, len(word) - a) + 1):
+                i = known.get(("▁" if a == 0 else "") + word[a : a + k])
+                if i is None and k == 1:
+                    i = known.get(word[0], len(known)) if a == 0 else len(known)
+                if i is not None:
+                    sums[a + k] += sums[a] * Fraction(float(table[i, column]))
+        x = sums[-1]
+        shift = x.denominator.bit_length() - x.numerator.bit_length()
+        out.append(np.log(float(x * 2**shift)) - shift * np.log(2))
+    return np.array(out)
+
+
+def test_labels_and_sums_against_brute_force(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80)
+    model = language.train(rows, piece_vocabulary())
+    known = language.vocabulary_pieces(piece_vocabulary())
+    pieces = language.Pieces(known)
+    words = ["straßenbahnhaltestellenverwaltungsgesetz", "ab" * 30, "the", "x" * 700, "日本" * 20]
+    want = np.array([brute_log_sum(w, known, model.table) for w in words])
+    assert np.allclose(language.log_words(words, pieces, model.table), want, rtol=1e-9, atol=1e-9)
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    texts |= {10_000: " ".join(["donaudampfschifffahrtsgesellschaftskapitän"] * 3), 10_001: "1 2 3", 10_002: None}
+    got = {r["doc_id"]: r for r in language.predict(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    sums = {}
+    for i, text in texts.items():
+        own = [w for x in (text or "").lower().split() for w in ([x] if x.isalpha() else language.LETTERS.findall(x))][:400]
+        if len((text or "").split()) > 400:
+            continue
+        for w in own:
+            if w not in sums:
+                sums[w] = brute_log_sum(w, known, model.table)
+        if not own:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        total = sum(sums[w] for w in own)
+        odds = np.exp((total - total.max()) * min(1.0, language.EVIDENCE / len(own)))
+        assert got[i]["lang_pred"] == model.languages[int(total.argmax())] and got[i]["score"] == pytest.approx(1 / odds.sum(), rel=1e-6)
+
+
+def test_expectation_agrees_for_short_and_long_words(monkeypatch):
+    known = {"a": 0, "b": 1, "ab": 2, "▁a": 3, "▁ab": 4, "bab": 5}
+    table = np.array([0.1, 0.2, 0.3, 0.15, 0.05, 0.1, 0.1, 0.0]).reshape(-1, 1)
+    ids = next(language.lattices(["abababab", "aabbabab"], known))[1]
+    plain = language.expected_counts(ids, np.array([2.0, 3.0]), table)
+    monkeypatch.setattr(language, "PLAIN", 2)
+    assert np.allclose(plain, language.expected_counts(ids, np.array([2.0, 3.0]), table))
+
+
+def test_held_out_accuracy(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.predict(rows, language.train(rows, piece_vocabulary())).where("held_out").join(rows.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL")
+    n = got.count()
+    assert n > 100 and got.where("lang = lang_pred").count() >= 0.99 * n
+
+
+def test_sample_is_the_least_hashes(spark):
+    rows = spark.createDataFrame([(i, "t", "ab"[i % 3 == 0]) for i in range(9000)] + [(None, "t", "a"), (7, "t", None)], "doc_id long, text string, lang string")
+    hashed = rows.where("lang IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect()
+    for n in (1, 50, 20_000):
+        got = {(r["doc_id"], r["lang"]) for r in language.sampled(rows.where("lang IS NOT NULL"), n).collect()}
+        want = {(r["doc_id"], r["lang"]) for x in "ab" for r in sorted((r for r in hashed if r["lang"] == x), key=lambda r: (r["h"], r["doc_id"] or -1))[:n]}
+        assert got == want
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -194,24 +342,59 @@ def test_personal(spark, docs, empty):
     assert text[12] == "mail <EMAIL> or <PHONE> now"
 
 
-def test_vectors(spark):
+def linked(vecs, least=0.9):
+    """Links and components by brute force, over rows (id, vector)."""
+    x = np.array([v for _, v in vecs], dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= least
+    np.fill_diagonal(link, False)
+    label = np.array([i for i, _ in vecs])
+    while True:
+        new = np.minimum(label, np.where(link, label[None], np.iinfo(np.int64).max).min(axis=1))
+        if np.array_equal(new, label):
+            return link.sum(axis=1), label
+        label = new
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_vectors(spark, monkeypatch, crowded):
+    if crowded:  # cells are then dealt to many blocks and shares
+        monkeypatch.setattr(vectors, "MEMBERS", 16)
+        monkeypatch.setattr(vectors, "VISITS", 40)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 16))
     x = (centres[rng.integers(0, 30, 600)] + rng.normal(size=(600, 16)) * rng.choice([0.05, 0.6], size=(600, 1))).astype(np.float32)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, x[0].tolist()), (601, None), (602, [0.0] * 16), (603, [float("nan")] * 16), (604, [1.0, 0.0]), (605, [2.0, 0.0]), (606, []), (None, x[1].tolist())]
-    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert len(got) == len(rows)
-    full = np.concatenate([x, x[:1]]).astype(float)
-    full /= np.linalg.norm(full, axis=1, keepdims=True)
-    link = full @ full.T >= 0.9
-    np.fill_diagonal(link, False)
-    n = {r["vec_id"]: r["n_links"] for r in got}
-    found = sum(n[i] for i in range(601))
-    assert all(n[i] <= link[i].sum() for i in range(601)) and found >= 0.98 * link.sum()
-    assert n[601] == n[602] == n[603] == n[606] == n[None] == 0 and n[604] == n[605] == 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600 + k, x[0].tolist()) for k in range(5)]
+    odd = [(701, None), (702, [0.0] * 16), (703, [float("nan")] * 16), (704, [1.0, 0.0]), (705, [2.0, 0.0]), (706, []), (None, x[1].tolist()), (707, [1.0] * 15 + [None])]
+    table = spark.createDataFrame([(*r, 1, 1, 1, 1) for r in rows + odd], "vec_id long, embedding array<float>, id int, n int, cell int, usable int")
+    got = vectors.near_duplicates(table).collect()
+    assert len(got) == len(rows) + len(odd)
+    n, component = {r["vec_id"]: r["n_links"] for r in got}, {r["vec_id"]: r["component_id"] for r in got}
+    links, label = linked(rows)
+    assert all(n[i] <= links[k] for k, (i, _) in enumerate(rows)) and sum(n[i] for i, _ in rows) >= 0.995 * links.sum()
+    right = sum(component[i] == label[k] for k, (i, _) in enumerate(rows))
+    assert right >= 0.99 * len(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
+    assert n[701] == n[702] == n[703] == n[706] == n[707] == n[None] == 0 and n[704] == n[705] == 1 and component[705] == 704
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_one_id_and_few_rows(spark):
+    a, b, far = [1.0, 0.1, 0.0, 0.0], [1.0, 0.2, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (1, a), (2, far), (0, far), (5, b), (9, [-1.0, 0.0, 0.0, 0.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(0, 1, 0, True), (1, 3, 1, True), (1, 3, 1, True), (1, 3, 1, True), (2, 1, 0, False), (5, 3, 1, False), (9, 0, 9, True)]
+    one = vectors.near_duplicates(spark.createDataFrame([(4, [3.0])], "vec_id long, embedding array<double>")).collect()
+    assert [tuple(r) for r in one] == [(4, 0, 4, True)]
+
+
+def test_vectors_of_a_test_table(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    links, label = linked(rows)
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert sum(got[i]["n_links"] for i, _ in rows) >= 0.99 * links.sum() and sum(got[i]["component_id"] == label[k] for k, (i, _) in enumerate(rows)) >= 0.99 * len(rows)
+
+
 @pytest.mark.parametrize("width", [5, 13])
 def test_substrings(spark, docs, empty, width):
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, BASE)], "doc_id long, text string"))
