@@ -30,10 +30,14 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near duplicates (five-word shingles, similarity 0.8 or more), and rows without an id."""
-    kept = minhash.near_duplicates(docs, 5, 80, bands=32).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8 or more), that of least id, and rows without an id.
+
+    Rows of one id and different texts are documents of their own; rows that repeat both are one.
+    """
+    kept = minhash.near_duplicates(docs, 5, 80, bands=32).where("kept AND doc_id IS NOT NULL").select("doc_id", "text_key")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    one = keyed.join(kept, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return one.unionByName(keyed.where("doc_id IS NULL")).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

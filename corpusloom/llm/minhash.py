@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.graph import components
-from corpusloom.llm.shared import Block, blocks, ids_first, materialise, mix, rolling, small_batches, sole, stream
+from corpusloom.llm.shared import Block, blocks, discard, ids_first, is_empty, materialise, mix, rolling, small_batches, sole, stream
+from corpusloom.operators.storage import ranked
 
 ROWS = 5
 CROWD = 1024
-"""Members of a bucket that one block holds; blocks of a larger bucket meet two by two in tasks of their own."""
+CROWD_BYTES = 32 << 20
+"""Members of a bucket, and bytes of their sets, that one block holds; blocks of a larger bucket meet two by two in tasks of their own."""
+HOT = 1000
+"""Groups of equal sets with more than this part of all rows are joined by broadcast: there are fewer than so many."""
 MARGIN = 15
 """By so many hundredths a signature's estimate may lie under the threshold: over four standard deviations."""
 
@@ -146,32 +150,48 @@ def _between(percent: int):
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each id of documents.
+    """(doc_id, n_shingles, component_id, kept, text_key), a row for each row of documents.
 
     Links join documents whose sets of word shingles (A-Z lower-cased, words between ASCII white space) have a
     similarity of percent hundredths or more; kept is true for a component's least id. A null or empty
-    text has an empty set and no link. An id stands for one document: of rows that repeat it, the one with the
-    least text hash counts. Rows without an id give one row together, kept, with a null component. An empty table gives
-    no rows; other columns are not read.
+    text has an empty set and no link. Rows that repeat an id and a text are one document, each with its row; rows
+    of one id and different texts are documents of their own (text_key, a hash of the text, tells them apart), whose
+    component is named by the least id in it, and of which the one with the least text_key is kept. Rows without an
+    id link with nothing and are kept, with a null component. An empty table gives no rows; other columns are not read.
     """
     spark = documents.sparkSession
     small_batches(spark)
     docs = ids_first(documents, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     signed = docs.select("doc_id", "text", "text_key").mapInArrow(lambda it: _signed(it, shingle, bands), "doc_id long, text_key long, n_shingles long, key_a long, key_b long, bands array<long>, marks binary")
-    one = signed.groupBy("doc_id").agg(F.min_by(F.struct("text_key", "n_shingles", "key_a", "key_b", "bands", "marks"), "text_key").alias("s")).select("doc_id", "s.*")
-    one = materialise(one, "signatures")
+    every = materialise(signed, "signatures")
+    twice = not is_empty(every.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1"))
+    if twice:  # nodes are then numbered in the order of (doc_id, text_key), so that the least node has the least id
+        nodes = ranked(every.where("doc_id IS NOT NULL").select("doc_id", "text_key").distinct(), "doc_id", "text_key", name="node")
+        nodes = materialise(nodes, "nodes")
+        one = every.dropDuplicates(["doc_id", "text_key"]).join(nodes, ["doc_id", "text_key"]).drop("doc_id").withColumnRenamed("node", "doc_id")
+        one = materialise(one, "signatures")
+        docs = docs.join(nodes, ["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text", "text_key")
+    else:
+        one = every
     whole = one.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = whole.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = whole.select("doc_id", "key_a", "key_b", "n_shingles").join(classes, ["key_a", "key_b", "n_shingles"]).select("doc_id", "rep")
+    same = ["key_a", "key_b", "n_shingles"]
+    classes = materialise(whole.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "equal")
+    # Classes with over a thousandth of all rows are fewer than a thousand: their rows need no shuffle.
+    most = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // HOT
+    hot = F.broadcast(classes.where(F.col("n") > most).select(*same, F.col("rep").alias("hot")))
+    tagged = whole.select("doc_id", *same).join(hot, same, "left")
+    member = tagged.where("hot IS NOT NULL").select("doc_id", F.col("hot").alias("rep")).unionByName(tagged.where("hot IS NULL").join(classes.where(F.col("n") <= most).select(*same, "rep"), same).select("doc_id", "rep"))
     member = materialise(member, "classes")
-    reps = whole.join(member.where("doc_id = rep").select("doc_id"), "doc_id")
-    filed = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"), "bands")
-    filed = filed.select("id", "key", F.element_at("bands", F.col("band") % bands + 1).alias("k1"), F.element_at("bands", (F.col("band") + 1) % bands + 1).alias("k2"), F.element_at("bands", (F.col("band") + 2) % bands + 1).alias("k3"))
+    reps = whole.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    filed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"), "bands")
+    filed = filed.select("id", "n", "key", F.element_at("bands", F.col("band") % bands + 1).alias("k1"), F.element_at("bands", (F.col("band") + 1) % bands + 1).alias("k2"), F.element_at("bands", (F.col("band") + 2) % bands + 1).alias("k3"))
     full = filed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("key", "center")
     bucket = materialise(filed.join(full, "key"), "buckets")
     ids = bucket.select("id").distinct()
     marks = materialise(reps.join(ids, reps["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text_key", "marks"), "marks")
-    shingles = docs.join(marks.select(F.col("id").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    # No row repeats an id here but those that repeat a document, of which one is taken.
+    shingles = docs.join(marks.select(F.col("id").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi").select("doc_id", "text")
+    shingles = shingles.dropDuplicates(["doc_id"]) if twice else shingles
     shingles = materialise(shingles.mapInArrow(lambda it: _sets(it, shingle), "id long, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -185,9 +205,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
     first = star.unionByName(row).where("src IS NOT NULL AND src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     links = materialise(confirmed(first), "links")
     found = materialise(components(links), "components")
-    labelled = bucket.select("id", "key", "center").join(found, "id", "left").select("id", "key", "center", F.coalesce("component_id", "id").alias("c"))
+    labelled = bucket.select("id", "n", "key").join(found, "id", "left").select("id", "n", "key", F.coalesce("component_id", "id").alias("c"))
     labelled = materialise(labelled, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("low < high").select("key", "parts")
+    open_ = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n") * 8 / CROWD_BYTES)).cast("int").alias("parts")).where("low < high").select("key", "parts")
     apart = labelled.join(open_, "key").select("id", "key", "c", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("mine"))
     apart = apart.join(shingles, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks_ = apart.select("id", "c", "shingles", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
@@ -197,9 +217,18 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
     lifted = more.join(name.select(F.col("id").alias("src"), F.col("component_id").alias("a")), "src", "left").join(name.select(F.col("id").alias("dst"), F.col("component_id").alias("b")), "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
     again = components(lifted).select(F.col("id").alias("c"), F.col("component_id").alias("d"))
     final = member.join(found.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep")).join(again, "c", "left").select("doc_id", F.coalesce("d", "c").alias("component_id"))
-    out = one.select("doc_id", "n_shingles").join(final, "doc_id", "left")
+    for table in (bucket, marks, shingles, links, labelled, more):
+        discard(table)
+    if twice:
+        named = final.join(nodes, final["doc_id"] == nodes["node"]).select("node", nodes["doc_id"], "text_key", "component_id")
+        lead = nodes.select(F.col("node").alias("component_id"), F.col("doc_id").alias("lead"))
+        named = named.join(lead, "component_id").select("doc_id", "text_key", F.col("lead").alias("component_id"), (F.col("node") == F.col("component_id")).alias("first"))
+        alone = every.join(nodes, ["doc_id", "text_key"]).where("n_shingles = 0").select("doc_id", "text_key").distinct().select("*", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+        out = every.select("doc_id", "text_key", "n_shingles").join(named.unionByName(alone), ["doc_id", "text_key"], "left")
+        return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("first", F.lit(True)).alias("kept"), "text_key")
+    out = every.select("doc_id", "n_shingles", "text_key").join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
 
 
 def _with_both(pairs: DataFrame, things: DataFrame, name: str) -> DataFrame:

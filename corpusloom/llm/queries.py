@@ -36,7 +36,7 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
