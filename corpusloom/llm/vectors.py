@@ -2,8 +2,9 @@
 
 Independent codebooks on the two halves of the normalised vectors form a product grid of cells. Every vector is filed in
 its cell, and visits cells in order of their distance, by multi-sequence traversal, until the distances
-that the target recall asks for are covered: the radius is calibrated on a bounded sample so that a link's other
-end lies in a visited cell. Visits are verified by exact cosines in double precision.
+that the target recall asks for are covered: the radius is calibrated on a bounded sample so that of two linked
+vectors one at least visits the other's cell. Visits are verified by exact cosines in double precision. A link that only one
+end's visit finds counts for both; where both visit, each counts its own.
 
 Equal vectors are one member with a count, so copies cost nothing. Vectors and visits of a cell meet in blocks, and
 a crowded cell's blocks are dealt to many tasks; they emit sums of links and one link to each component's
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.graph import components
-from corpusloom.llm.shared import materialise, small_batches
+from corpusloom.llm.shared import discard, is_empty, materialise, small_batches
+from corpusloom.operators.storage import ranked
 
 SAMPLE = 20_000
 """Vectors that codebooks and radius are fitted to: those of least hash of id."""
@@ -92,14 +94,17 @@ class Grid:
         # What a link of the least cosine does to the distances: each sample vector meets a neighbour made at that cosine.
         rng = np.random.default_rng(3)
         extra = []
+        rows = np.arange(len(sample))
         for _ in range(4):
             noise = rng.normal(size=sample.shape)
             noise -= (noise * sample).sum(axis=1, keepdims=True) * sample
             noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
             near = cosine * sample + np.sqrt(1 - cosine**2) * noise
             n1, n2 = distances(near[:, : one.shape[1]], self.one), distances(near[:, one.shape[1] :], self.two)
-            rows = np.arange(len(sample))
-            extra.append(n1[rows, c1] + n2[rows, c2] - n1.min(axis=1) - n2.min(axis=1))
+            e1, e2 = n1.argmin(axis=1), n2.argmin(axis=1)
+            there = n1[rows, c1] + n2[rows, c2] - n1.min(axis=1) - n2.min(axis=1)
+            back = d1[rows, e1] + d2[rows, e2] - own
+            extra.append(np.minimum(there, back))
         self.extra = float(np.quantile(np.concatenate(extra), recall))
 
     def cells(self, x: np.ndarray) -> np.ndarray:
@@ -132,14 +137,15 @@ def _placed(batches: Iterator[pd.DataFrame], grid: Grid | None, size: int, kind:
             yield pd.DataFrame({"id": part["id"].to_numpy(), "n": part["n"].to_numpy(), "vec": [v.tobytes() for v in raw], "cell": cell, "visits": [[int(c)] + [v for v in vs if v != c] for c, vs in zip(cell, visits, strict=True)]})
 
 
-def _packed(ids: np.ndarray, counts: np.ndarray, vecs: np.ndarray, owner: np.ndarray, cell: np.ndarray, block: np.ndarray, share: np.ndarray, kind: int) -> pd.DataFrame:
-    """One row for each cell, block and share, of the vectors (owner) that go there."""
+def _packed(ids: np.ndarray, counts: np.ndarray, vecs: np.ndarray, seen: np.ndarray, owner: np.ndarray, cell: np.ndarray, block: np.ndarray, share: np.ndarray, kind: int) -> pd.DataFrame:
+    """One row for each cell, block and share, of the vectors (owner) that go there; seen holds, as bytes, a member's visits or a visitor's own cell."""
     order = np.lexsort((share, block, cell))
     owner, cell, block, share = owner[order], cell[order], block[order], share[order]
     cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(share) != 0)) + 1
     first = np.concatenate([[0], cuts]).astype(np.int64)
     groups = np.split(owner, cuts)
-    return pd.DataFrame({"cell": cell[first], "block": block[first], "share": share[first], "kind": np.full(len(first), kind, np.int32), "ids": [ids[g].tobytes() for g in groups], "counts": [counts[g].tobytes() for g in groups], "vecs": [b"".join(vecs[g]) for g in groups]})
+    sizes = np.array([len(x) // 8 for x in seen], dtype=np.int32)
+    return pd.DataFrame({"cell": cell[first], "block": block[first], "share": share[first], "kind": np.full(len(first), kind, np.int32), "ids": [ids[g].tobytes() for g in groups], "counts": [counts[g].tobytes() for g in groups], "vecs": [b"".join(vecs[g]) for g in groups], "seen": [b"".join(seen[g]) for g in groups], "sizes": [sizes[g].tobytes() for g in groups]})
 
 
 def _copies(cell: np.ndarray, crowded: dict[int, tuple[int, int]], side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +161,8 @@ def _dealt(batches: Iterator[pd.DataFrame], crowded: dict[int, tuple[int, int]])
     for batch in batches:
         ids, counts = batch["id"].to_numpy(np.int64), batch["n"].to_numpy(np.int64)
         vecs = batch["vec"].to_numpy()
+        homes = np.array([np.int64(c).tobytes() for c in batch["cell"]], dtype=object)
+        seen = np.array([np.asarray(v, dtype=np.int64).tobytes() for v in batch["visits"]], dtype=object)
         lengths = batch["visits"].map(len).to_numpy(np.int64)
         dealt = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
         for kind in (0, 1):
@@ -169,27 +177,37 @@ def _dealt(batches: Iterator[pd.DataFrame], crowded: dict[int, tuple[int, int]])
                 which = np.repeat(np.arange(at, to), o)
                 other = np.arange(len(which)) - np.repeat(np.cumsum(o) - o, o)
                 own = dealt[owner[which]] % parts[which]
-                yield _packed(ids, counts, vecs, owner[which], cell[which], *((own, other) if kind == 0 else (other, own)), kind)
+                yield _packed(ids, counts, vecs, seen if kind == 0 else homes, owner[which], cell[which], *((own, other) if kind == 0 else (other, own)), kind)
                 at = to
 
 
 def _verified(group: pd.DataFrame, cosine: float, kind_of: str) -> pd.DataFrame:
-    """(id, links, low) of every vector of the group that has a link in it: how many, for visitors; and its local component's least id."""
+    """(id, links, low) of every vector of the group that has a link in it: how many it counts here; and its local component's least id.
+
+    A visitor counts its links with members; a member counts those with visitors whose own cell it does not visit itself.
+    """
     sides = []
     for kind in (0, 1):
         own = group[group["kind"] == kind]
         ids = np.frombuffer(b"".join(own["ids"]), dtype=np.int64)
         x = np.frombuffer(b"".join(own["vecs"]), dtype=kind_of)
-        sides.append((ids, np.frombuffer(b"".join(own["counts"]), dtype=np.int64), unit(x.reshape(len(ids), -1)) if len(ids) else None))
-    (ids, counts, x), (q_ids, _, q) = sides
+        seen, sizes = np.frombuffer(b"".join(own["seen"]), dtype=np.int64), np.frombuffer(b"".join(own["sizes"]), dtype=np.int32)
+        sides.append((ids, np.frombuffer(b"".join(own["counts"]), dtype=np.int64), unit(x.reshape(len(ids), -1)) if len(ids) else None, seen, sizes))
+    (ids, counts, x, seen, sizes), (q_ids, q_counts, q, homes, _) = sides
     empty = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "low": np.zeros(0, np.int64)})
     if not len(ids) or not len(q_ids):
         return empty
-    links = np.zeros(len(q_ids), dtype=np.int64)
+    known, home = np.unique(homes, return_inverse=True)
+    spot = np.minimum(np.searchsorted(known, seen), len(known) - 1)
+    back = np.zeros((len(known), len(ids)), dtype=bool)  # whether a member visits a home of the visitors
+    there = known[spot] == seen
+    back[spot[there], np.repeat(np.arange(len(ids)), sizes)[there]] = True
+    links, m_links = np.zeros(len(q_ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
     packs, m_low, q_low = [], ids.copy(), q_ids.copy()
     for at in range(0, len(q_ids), BLOCK):
         hit = (q[at : at + BLOCK] @ x.T >= cosine) & (q_ids[at : at + BLOCK, None] != ids)
         links[at : at + BLOCK] = hit @ counts
+        m_links += q_counts[at : at + BLOCK] @ (hit & ~back[home[at : at + BLOCK]])
         packs.append(np.packbits(hit, axis=1))
     while True:  # least labels go back and forth until they stay
         before = m_low.copy(), q_low.copy()
@@ -203,8 +221,19 @@ def _verified(group: pd.DataFrame, cosine: float, kind_of: str) -> pd.DataFrame:
             m_low = np.minimum(m_low, np.where(hit, q_low[at : at + BLOCK, None], top).min(axis=0))
         if np.array_equal(before[0], m_low) and np.array_equal(before[1], q_low):
             break
-    out_q, out_m = links > 0, m_low < ids
-    return pd.DataFrame({"id": np.concatenate([q_ids[out_q], ids[out_m]]), "links": np.concatenate([links[out_q], np.zeros(out_m.sum(), np.int64)]), "low": np.concatenate([q_low[out_q], m_low[out_m]])})
+    out_q, out_m = links > 0, (m_low < ids) | (m_links > 0)
+    return pd.DataFrame({"id": np.concatenate([q_ids[out_q], ids[out_m]]), "links": np.concatenate([links[out_q], m_links[out_m]]), "low": np.concatenate([q_low[out_q], m_low[out_m]])})
+
+
+def with_class(usable: DataFrame, of_class: DataFrame) -> DataFrame:
+    """usable with what its vector's class has.
+
+    Vectors with over a thousandth of all rows are fewer than a thousand: their rows are joined by broadcast, the others by shuffle.
+    """
+    many = of_class.where("n > total / 1000").select("embedding", F.col("n_links").alias("h_links"), F.col("component_id").alias("h_component"))
+    tagged = usable.join(F.broadcast(many), "embedding", "left")
+    rest = tagged.where("h_links IS NULL").select("id", "embedding").join(of_class.where("n <= total / 1000").select("embedding", "n_links", "component_id"), "embedding")
+    return tagged.where("h_links IS NOT NULL").select("id", F.col("h_links").alias("n_links"), F.col("h_component").alias("component_id")).unionByName(rest.select("id", "n_links", "component_id"))
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, recall: float = 0.999, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -212,8 +241,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, recall: float =
 
     Vectors link from cosine on, in double precision, whatever other columns say; n_links counts the other rows linked with a
     row, component_id is the least id reachable, kept says whether that is the row's own. Null, empty and zero
-    vectors and those with null or non-finite components link with nothing; so do vectors of different lengths. Rows of one id and one
-    vector are copies that link; rows without an id have no links and are kept. An empty table gives no rows.
+    vectors and those with null or non-finite components link with nothing; so do vectors of different lengths. Rows of one id are
+    vectors of their own, whether they are equal or not; rows without an id have no links and are kept. An empty table gives no rows.
     """
     spark = embeddings.sparkSession
     small_batches(spark, 4000)
@@ -223,26 +252,35 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, recall: float =
     rows = rows.withColumn("usable", F.expr(f"NOT coalesce({bad}, true)"))
     usable = rows.where("usable").select("id", "embedding")
     classes = materialise(usable.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
+    named = None
+    if not is_empty(classes.groupBy("id").count().where("count > 1")):  # different vectors of one id: classes are numbered in the order of their ids
+        numbered = materialise(ranked(classes, "id", name="node"), "vectors")
+        named = numbered.select(F.col("node").alias("component_id"), F.col("id").alias("lead"))
+        classes = numbered.select("embedding", F.col("node").alias("id"), "n")
     lengths = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     grid, size = None, 0
     if lengths is not None:
         size = lengths["d"]
         fitted = classes.where(F.size("embedding") == size).orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toPandas()
-        grid = Grid(unit(np.stack(fitted["embedding"].to_numpy())), cell_count(lengths["count"]), cosine, recall) if len(fitted) > 64 else None
+        grid = Grid(unit(np.stack(fitted["embedding"].to_numpy())), cell_count(lengths["count"]), cosine, recall)
     placed = materialise(classes.mapInPandas(lambda it: _placed(it, grid, size, kind), "id long, n long, vec binary, cell long, visits array<long>"), "placed")
     # At most one row a cell comes to the driver, so that the codebooks bound them.
     visits = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("visits"))
     crowd = placed.groupBy("cell").agg(F.count("*").alias("members")).join(visits, "cell").where((F.col("members") > MEMBERS) | (F.col("visits") > VISITS)).collect()
     crowded = {r["cell"]: (-(-r["members"] // MEMBERS), -(-r["visits"] // VISITS)) for r in crowd}
-    dealt = placed.mapInPandas(lambda it: _dealt(it, crowded), "cell long, block long, share long, kind int, ids binary, counts binary, vecs binary")
+    dealt = placed.mapInPandas(lambda it: _dealt(it, crowded), "cell long, block long, share long, kind int, ids binary, counts binary, vecs binary, seen binary, sizes binary")
     found = dealt.groupBy("cell", "block", "share").applyInPandas(lambda g: _verified(g, cosine, kind), "id long, links long, low long")
     found = materialise(found, "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    discard(placed)
     closed = components(found.where("id != low").select(F.col("id").alias("src"), F.col("low").alias("dst")).distinct())
     of_class = classes.select(F.col("id").alias("rep"), "n", "embedding")
     of_class = of_class.join(links.select(F.col("id").alias("rep"), "links"), "rep", "left").join(closed.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    of_class = of_class.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    good = usable.join(of_class, "embedding").select("id", "n_links", "component_id")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    of_class = of_class.select("embedding", "n", F.lit(total).alias("total"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    if named is not None:
+        of_class = of_class.join(named, "component_id").select("embedding", "n", "total", "n_links", F.col("lead").alias("component_id"))
+    good = with_class(usable, of_class).select("id", "n_links", "component_id")
     rest = rows.where("NOT usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = good.unionByName(rest)
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
