@@ -24,9 +24,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from corpusloom.llm.lookup import Slots, by_length, keys_of, powers, prefixes
 from corpusloom.llm.shared import ids_first, small_batches, sole, strings, worker_cache
 
 END = "</w>"
+LONG = 256
+"""Words of more bytes are merged exactly, by a heap."""
+PAIRS = 20
+"""Bits of the number of pairs whose test is remembered."""
+ROUNDS = 8
+"""Turns a byte that a word may take before it is merged exactly."""
+PROVEN = 0x20000
+"""Code points below are tested one by one against the library; a text with one that differs, or beyond, is split by the library itself."""
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: White space of the vocabulary's pattern language: fixed values of Unicode's White_Space property.
 _SPLIT = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -59,7 +68,7 @@ class Codec:
     """With text, speculates and verifies; else only ids are wanted, which packing takes from the library's merges. Encodes as a word-final BPE vocabulary file does; keeps at most cache_size recent parts."""
 
     def __init__(self, path: str, text: bool = False, cache_size: int = 0):
-        self.path, self._library = path, None
+        self.path, self._library, self._odd = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -87,11 +96,12 @@ class Codec:
             raise ValueError("token ids must follow the order of the merges")
         self.inner = {k: v for k, v in self.vocab.items() if not k.endswith(END)}
         self.final = {k.removesuffix(END): v for k, v in self.vocab.items() if k.endswith(END)}
-        self.reach: dict[str, int] = {}  # the longest inner piece by its first two letters
-        for k in self.inner:
-            self.reach[k[:2]] = max(self.reach.get(k[:2], 1), len(k))
         self.letters = byte_letters()
-        self.sound = np.zeros(size, dtype=np.int8)  # 1: encodes to itself, -1: doesn't, 0: not tested yet
+        self.byte_of = {c: i for i, c in enumerate(self.letters)}
+        self.longest = max(len(k) for k in (*self.inner, *self.final))
+        self.powers = powers(self.longest + 1)
+        self.seen_keys, self.seen_good = np.full(1 << PAIRS, -1, np.int64), np.zeros(1 << PAIRS, bool)
+        (self.inner_slots, self.inner_ids), (self.final_slots, self.final_ids) = self._index(self.inner, ""), self._index(self.final, END)
         self.cache_size = cache_size or (500_000 if text else 900_000)
         self.known: dict = {}
         self.render = self.as_text if text else self.as_bytes
@@ -102,17 +112,11 @@ class Codec:
 
     # -- one word ------------------------------------------------------------------------------
 
-    def greedy(self, word: str) -> list[int]:
-        """Longest match from the left; the last piece must be a word-final one."""
-        out, at, n, inner, final, reach = [], 0, len(word), self.inner, self.final, self.reach
-        while (last := final.get(word[at:])) is None:
-            to = min(n - 1, at + reach.get(word[at : at + 2], 1))
-            while (hit := inner.get(word[at:to])) is None:
-                to -= 1
-            out.append(hit)
-            at = to
-        out.append(last)
-        return out
+    def _index(self, known: dict[str, int], end: str) -> tuple[Slots, np.ndarray]:
+        """The tokens that encode to themselves, by the bytes they stand for; the last id is for none."""
+        sound = [k for k, v in known.items() if self._merge([self.inner[c] for c in k[:-1]] + [(self.final if end else self.inner)[k[-1]]]) == [v]]
+        keys = keys_of([bytes(map(self.byte_of.__getitem__, k)) for k in sound])
+        return Slots(keys), np.array([known[k] for k in sound] + [-1], dtype=np.int32)
 
     def exact(self, word: str) -> list[int]:
         """Merges the pair of least rank, the leftmost first, until none is left."""
@@ -179,34 +183,114 @@ class Codec:
             live, a, b, limit = live[stay], a[stay], b[stay], limit[stay]
         return good
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each non-empty word, a word being a match of the pre-tokenisation pattern."""
-        spelt = self.spell(words)
-        out = [self.greedy(w) for w in spelt]
-        counts = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
-        flat = np.fromiter(chain.from_iterable(out), dtype=np.int64, count=int(counts.sum()))
-        for x in np.unique(flat[self.sound[flat] == 0]).tolist():
-            name = self.names[x]
-            body = name.removesuffix(END)
-            base = [self.inner[c] for c in body]
-            if name.endswith(END):
-                base[-1] = self.final[body[-1]]
-            self.sound[x] = 1 if self._merge(base) == [x] else -1
-        owner = np.repeat(np.arange(len(out)), counts)
-        bad = np.zeros(len(out), dtype=bool)
-        bad[owner[self.sound[flat] < 0]] = True
-        inside = owner[1:] == owner[:-1]
-        if inside.any():
-            left, right = flat[:-1][inside], flat[1:][inside]
-            keys, which = np.unique(left << 20 | right, return_inverse=True)
-            bad[owner[1:][inside][~self.compatible(keys >> 20, keys & 0xFFFFF)[which]]] = True
+    def pairs_hold(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """compatible(), remembering recent pairs: a slot for each of many hashes, in which a new pair replaces the old one."""
+        key = a.astype(np.int64) << 20 | b.astype(np.int64)
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIRS)).astype(np.int64)
+        out = self.seen_good[slot]
+        new = np.flatnonzero(self.seen_keys[slot] != key)
+        if len(new):
+            some, which = np.unique(key[new], return_inverse=True)
+            good = self.compatible(some >> 20, some & 0xFFFFF)[which]
+            out[new] = good
+            self.seen_keys[slot[new]] = key[new]
+            # Of pairs that share a slot the last one written must hold it with its own answer.
+            last = self.seen_keys[slot[new]] == key[new]
+            self.seen_good[slot[new[last]]] = good[last]
+        return out
+
+    def matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words as rows of n bytes: tokens[word, begin, length] that match there (a word's last one must end words), and the longest length of one up to each length; 0 for none."""
+        count, n = codes.shape
+        m = min(n, self.longest)
+        tokens = np.full((count, n, m + 1), -1, dtype=np.int32)
+        before = prefixes(codes)
+        for k in range(1, m + 1):
+            part = before[:, k:] - before[:, : n + 1 - k] * self.powers[k]
+            found = self.inner_ids[self.inner_slots.find(part[:, : n - k])] if n > k else None
+            if found is not None:
+                tokens[:, : n - k, k] = found
+            tokens[:, n - k, k] = self.final_ids[self.final_slots.find(part[:, n - k])]
+        lengths = np.where(tokens >= 0, np.arange(m + 1), 0).astype(np.int16)
+        return tokens, np.maximum.accumulate(lengths, axis=2)
+
+    def propose(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens[word, step], how many steps, settled) of words as rows of n bytes.
+
+        Every word in its turn takes the longest token that matches where it is and is compatible with the one before;
+        all words take their steps at once. Where none fits, the word goes back a step and takes a shorter
+        token; a place that it had to leave is not entered again, since a prefix has one encoding only. Where every
+        adjacent pair is compatible and every token encodes to itself, the tokens are those of merging in rank order.
+        Words that take more than ROUNDS turns a byte are not settled.
+        """
+        count, n = codes.shape
+        tokens, longest = self.matches(codes)
+        m = longest.shape[2] - 1
+        room = np.minimum(n - np.arange(n + 1), m)
+        out, lengths = np.full((count, n), -1, dtype=np.int32), np.zeros((count, n), dtype=np.int16)
+        dead = np.zeros((count, n + 1), dtype=bool)
+        at, steps = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        k = longest[:, 0, room[0]].astype(np.int64)
+        live = np.arange(count)
+        for _ in range(ROUNDS * n):
+            if not len(live):
+                break
+            stuck = k[live] == 0
+            if stuck.any():  # back one step
+                w = live[stuck]
+                w = w[steps[w] > 0]
+                dead[w, at[w]] = True
+                steps[w] -= 1
+                was = lengths[w, steps[w]].astype(np.int64)
+                at[w] -= was
+                k[w] = longest[w, at[w], was - 1]
+                live = live[~stuck | (steps[live] > 0) | (k[live] > 0)]
+            w = live[k[live] > 0]
+            own, to = k[w], at[w] + k[w]
+            token = tokens[w, at[w], own]
+            fits = ~dead[w, to]
+            ask = np.flatnonzero(fits & (steps[w] > 0))
+            if len(ask):
+                fits[ask] = self.pairs_hold(out[w[ask], steps[w[ask]] - 1], token[ask])
+            no = w[~fits]
+            k[no] = longest[no, at[no], k[no] - 1]
+            w, token, own, to = w[fits], token[fits], own[fits], to[fits]
+            out[w, steps[w]], lengths[w, steps[w]] = token, own
+            at[w] = to
+            steps[w] += 1
+            k[w] = np.where(to < n, longest[w, np.minimum(to, n - 1), room[to]], 0)
+            live = live[at[live] < n]
+        return out, steps, at == n
+
+    def encode_spelt(self, spelt: list[str]) -> list[list[int]]:
+        """Ids of each non-empty word, spelt with a letter a byte."""
+        raw = [w.encode("latin-1") if w.isascii() else bytes(map(self.byte_of.__getitem__, w)) for w in spelt]
+        out: list = [None] * len(raw)
+        failing: list[int] = []
+        for n, places in by_length(raw):
+            if n > LONG:
+                failing += places.tolist()
+                continue
+            size = max(1, (1 << 21) // (n * min(n, self.longest)))
+            for low in range(0, len(places), size):
+                some = places[low : low + size]
+                codes = np.frombuffer(b"".join([raw[i] for i in some]), np.uint8).reshape(len(some), n).astype(np.uint64)
+                tokens, steps, settled = self.propose(codes)
+                for i, row, k, ok in zip(some.tolist(), tokens.tolist(), steps.tolist(), settled.tolist(), strict=True):
+                    if ok:
+                        out[i] = row[:k]
+                    else:
+                        failing.append(i)
         self.speculated += len(out)
-        failing = np.flatnonzero(bad).tolist()
         self.merged += len(failing)
-        for i, ids in zip(failing, self.merge_words([spelt[i] for i in failing]), strict=True):
-            out[i] = ids
+        for i in failing:
+            out[i] = self.exact(spelt[i])
         return out
 
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each non-empty word, a word being a match of the pre-tokenisation pattern."""
+        return self.encode_spelt(self.spell(words))
+
     def merge_words(self, spelt: list[str]) -> Iterator[list[int]]:
         """Exact merging, by the merge loop of the library's model, which takes one spelt word at a time."""
         merge = self.library().model.tokenize
@@ -225,6 +309,41 @@ class Codec:
             self._library.no_padding()
         return self._library
 
+    def odd(self) -> np.ndarray:
+        """Of each code point, whether the library may normalise or split it in another way than normal() and pieces_of() do."""
+        if self._odd is None:
+            points = [p for p in range(128, PROVEN) if not 0xD800 <= p < 0xE000]
+            bad: list[int] = [p for p in points if unicodedata.category(chr(p)) == "Cn"]
+            known = set(bad)
+            points = [p for p in points if p not in known]
+            probes = ["a{}b", "a{}\u0323", "a{}\u0301"]
+
+            def differ(some: list[int]) -> bool:
+                text = " ".join(form.format(chr(p)) for p in some for form in (probes if unicodedata.combining(chr(p)) else probes[:1]))
+                return self.split_here(text) != self.split_there(text)
+
+            for at in range(0, len(points), 64):
+                some = points[at : at + 64]
+                if differ(some):
+                    bad += [p for p in some if differ([p])]
+            self._odd = np.zeros(0x110000, dtype=bool)
+            self._odd[bad] = True
+            self._odd[0xD800:0xE000] = True
+            self._odd[PROVEN:] = True
+        return self._odd
+
+    def is_odd(self, text: str) -> bool:
+        return not text.isascii() and bool(self.odd()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")].any())
+
+    def split_here(self, text: str) -> list[str]:
+        """Spelt words of a text without special tokens."""
+        return self.spell([w for p in pieces_of(normal(text)) for w in ([p] if p.isalpha() else _WORD.findall(p))])
+
+    def split_there(self, text: str) -> list[str]:
+        """The same by the library."""
+        lib = self.library()
+        return [p for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))]
+
     def learn(self, parts: Iterable[str]) -> None:
         """Makes every part's encoding known."""
         known = self.known
@@ -237,12 +356,12 @@ class Codec:
             new = list(parts)
         split = [p if p.isalpha() else _WORD.findall(p) for p in new]
         words = list({*(w for w in split if type(w) is str), *(w for ws in split if type(ws) is list for w in ws)})
-        if self.render == self.as_bytes:
+        render = self.render
+        if render == self.as_bytes:
             raw = dict(zip(words, map(self.as_bytes, self.merge_words(self.spell(words))), strict=True))
             known.update((p, raw[ws] if type(ws) is str else b"".join([raw[w] for w in ws])) for p, ws in zip(new, split, strict=True))
             return
         ids = dict(zip(words, self.encode_words(words), strict=True))
-        render = self.render
         for p, ws in zip(new, split, strict=True):
             known[p] = render(ids[ws] if type(ws) is str else [x for w in ws for x in ids[w]])
 
@@ -257,7 +376,9 @@ class Codec:
         """For each text, its parts in order, each as render() makes it of the part's ids."""
         step = 256
         for at in range(0, len(texts), step):
-            some = [self._parts(x) for x in texts[at : at + step]]
+            own = texts[at : at + step]
+            odd = self.is_odd("".join(own))
+            some = [self._parts(x, odd and self.is_odd(x)) for x in own]
             if sum(map(len, some)) > self.cache_size:  # very long texts: one at a time, in slices
                 for x in some:
                     out: list = []
@@ -268,19 +389,24 @@ class Codec:
             self.learn(y for x in some for y in x if type(y) is str)
             get = self.known.__getitem__
             for x in some:
-                yield list(map(get, x)) if type(x) is Plain else [get(y) if type(y) is str else self.render([y]) for y in x]
+                yield list(map(get, x)) if type(x) is Plain else [get(y) if type(y) is str else self.render([y]) if type(y) is int else y for y in x]
 
     def _looked_up(self, x: list) -> list:
         self.learn(y for y in x if type(y) is str)
-        return [self.known[y] if type(y) is str else self.render([y]) for y in x]
+        return [self.known[y] if type(y) is str else self.render([y]) if type(y) is int else y for y in x]
 
-    def _parts(self, text: str) -> list:
-        """The text's parts; special tokens stand among them as their ids."""
-        if self._special is None or "<|" not in text or not self._special.search(text):
+    def _parts(self, text: str, odd: bool) -> list:
+        """The text's parts; special tokens stand among them as their ids, and what the library had to split as it is rendered."""
+        if not odd and (self._special is None or "<|" not in text or not self._special.search(text)):
             return Plain(pieces_of(normal(text)))
         out: list = []
-        for x in self._special.split(text):
-            out += [self.special[x]] if x in self.special else pieces_of(normal(x))
+        for x in self._special.split(text) if self._special else [text]:
+            if x in self.special:
+                out.append(self.special[x])
+            elif odd:
+                out.append(self.render([t for ids in self.encode_spelt(self.split_there(x)) for t in ids]))
+            else:
+                out += pieces_of(normal(x))
         return out
 
 
