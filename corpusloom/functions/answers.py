@@ -256,21 +256,19 @@ def choice_letter(text: Column, choices: Column) -> Column:
 
 
 def fix_mojibake(text: Column) -> Column:
-    """Text whose UTF-8 was read as Latin-1 or Windows-1252, repaired where it decodes; then straight quotes, no control characters and NFC."""
+    """Runs of characters beyond ASCII that are UTF-8 read as Latin-1 or Windows-1252, decoded (twice where it was done twice); then straight quotes, \\n line ends, no control characters and NFC."""
+
+    def decoded(run: re.Match) -> str:
+        for code in ("cp1252", "latin-1"):
+            try:
+                return run.group().encode(code).decode("utf-8")
+            except UnicodeError:
+                continue
+        return run.group()
 
     def fix(x: str) -> str:
         for _ in range(2):
-            if x.isascii():
-                break
-            for code in ("cp1252", "latin-1"):
-                try:
-                    again = x.encode(code).decode("utf-8")
-                except UnicodeError:
-                    continue
-                break
-            else:
-                break
-            x = again
+            x = re.sub("[^\x00-\x7f]+", decoded, x)
         for a, b in (("\u2018", "'"), ("\u2019", "'"), ("\u201c", '"'), ("\u201d", '"'), ("\r\n", "\n"), ("\r", "\n")):
             x = x.replace(a, b)
         return unicodedata.normalize("NFC", re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", x))

@@ -121,13 +121,21 @@ def relative_difference(prediction: Column, target: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.abs((prediction - target) / target))
 
 
+def _whole(value: Column, *of: Column) -> Column:
+    """Null where any of the columns is, which least() and greatest() pass over."""
+    known = of[0].isNotNull()
+    for c in of[1:]:
+        known = known & c.isNotNull()
+    return F.when(known, value)
+
+
 def box_iou(a: list[Column], b: list[Column]) -> Column:
-    """Of boxes (x1, y1, x2, y2); 0 where the union has no area."""
+    """Of boxes (x1, y1, x2, y2); 0 where the union has no area, null for a box with a null."""
     wide = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
     high = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     inter = wide * high
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-    return F.when(union > 0, inter / union).otherwise(0.0)
+    return _whole(F.when(union > 0, inter / union).otherwise(0.0), *a, *b)
 
 
 def centre_in_box(a: list[Column], b: list[Column]) -> Column:
@@ -136,10 +144,10 @@ def centre_in_box(a: list[Column], b: list[Column]) -> Column:
 
 
 def span_iou(start: Column, end: Column, start2: Column, end2: Column) -> Column:
-    """Overlap over the hull of both spans."""
+    """Overlap over the hull of both spans; null for a span with a null."""
     overlap = F.greatest(F.lit(0.0), F.least(end, end2) - F.greatest(start, start2))
     hull = F.greatest(end, end2) - F.least(start, start2)
-    return F.when(hull > 0, overlap / hull).otherwise(0.0)
+    return _whole(F.when(hull > 0, overlap / hull).otherwise(0.0), start, end, start2, end2)
 
 
 def geo_proximity(lat: Column, lon: Column, lat2: Column, lon2: Column, scale_km: float = 100.0) -> Column:

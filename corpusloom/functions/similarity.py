@@ -132,7 +132,7 @@ def same_set(a: Column, b: Column, kind: str = "exact") -> Column:
             c = F.split(F.replace(c, F.lit("\\n"), F.lit("\n")), "\n", -1)
         elif kind == "commas":
             bare = F.regexp_replace(F.trim(c), r"^[\[({](.*)[\])}]$", "$1")
-            c = F.transform(F.split(bare, ",", -1), F.trim)
+            c = F.transform(F.split(bare, ",", -1), lambda x: F.trim(x))
         return c if kind == "exact" else F.transform(c, F.lower)
 
     return F.array_sort(F.array_distinct(parts(a))) == F.array_sort(F.array_distinct(parts(b)))

@@ -65,8 +65,11 @@ def facet_table(rows: DataFrame, columns: list[str], arrays: list[str], right: s
 
     rank orders a facet's values by accuracy, ties by value; gain is against a baseline (facet, value, accuracy), null without.
     """
+    def parts(c: str) -> Column:
+        return F.transform(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), lambda v: F.struct(F.lit(c).alias("facet"), v.cast("string").alias("value")))
+
     plain = [F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns]
-    every = F.concat(F.array(F.struct(F.lit("average").alias("facet"), F.lit("all").alias("value")), *plain), *[F.transform(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), lambda v, c=c: F.struct(F.lit(c).alias("facet"), v.cast("string").alias("value"))) for c in arrays])
+    every = F.concat(F.array(F.struct(F.lit("average").alias("facet"), F.lit("all").alias("value")), *plain), *map(parts, arrays))
     long = rows.select(F.col(right).cast("int").alias("r"), F.explode(every).alias("f"))
     table = long.groupBy("f.facet", "f.value").agg(F.round(F.avg("r") * 100, 2).alias("accuracy"), F.sum("r").alias("correct"), F.count("*").alias("total"))
     table = table.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("accuracy"), "value")))

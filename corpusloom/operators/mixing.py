@@ -342,7 +342,7 @@ def packed_samples(packed: DataFrame, samples: DataFrame, key: str, image: str,
     """PCK-08: (box_id, images, prompts, captions) in the order of slots; a box has as many rows as its capacity allows."""
     own = packed.where("box_id IS NOT NULL").join(samples, key)
     boxes = own.groupBy("box_id").agg(F.array_sort(F.collect_list(F.struct("slot", F.col(image).alias("i"), F.col(prompt).alias("p"), F.col(caption).alias("c")))).alias("_s"))
-    return boxes.select("box_id", *[F.transform("_s", lambda x, c=c: x[c]).alias(n) for c, n in (("i", "images"), ("p", "prompts"), ("c", "captions"))])
+    return boxes.select("box_id", F.transform("_s", lambda x: x["i"]).alias("images"), F.transform("_s", lambda x: x["p"]).alias("prompts"), F.transform("_s", lambda x: x["c"]).alias("captions"))
 
 
 def pack_batches(items: DataFrame, key: str, length: str, capacity: int, batch: int = 10_000) -> DataFrame:

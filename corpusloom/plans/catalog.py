@@ -429,3 +429,7 @@ def ext_tumbling_window(spark, d):
 def win11_running_sums(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id")
     return t(spark, d, "events").select("user_id", "event_id", F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("running"), F.lag("event_type").over(w).alias("before"))
+
+
+# The other catalogs register their queries when they are imported.
+from corpusloom.plans import evaluate, scores, texts  # noqa: E402, F401
