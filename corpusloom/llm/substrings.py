@@ -1,14 +1,16 @@
 """Substring dedup by recompression.
 
-Words become 64-bit symbols. A round first names maximal runs of one symbol, then the pairs of a
-left-class symbol followed by a right-class one; a symbol's class is a bit of its name, and a name is a
-fingerprint of what it stands for, so all tasks give equal runs and pairs equal names in every round
-without a dictionary. Which neighbours a symbol's making depended on is carried along as an extent of
-words: where two documents share a passage, every symbol whose extent lies inside it is the same in both.
-
-Each window of words is led by one symbol inside it: of the highest round that has one, and there the one
-with the least name. Equal windows are led by equal symbols. Windows are dealt out by their leader and
-compared only where documents share it; then the fingerprint of the whole window decides.
+Words become 64-bit symbols. Round by round, first maximal runs of one symbol are named, then the pairs of a left-class
+symbol followed by a right-class one; a symbol's class is a bit of its name. A name is a fingerprint of what it stands
+for, so all tasks of Spark give equal runs and pairs equal names in every round, without a dictionary that would
+have to be shuffled. The number of rounds grows with the windows' width. Which neighbours a
+symbol's making depended on is carried along as an extent of words: where two documents share a passage, every symbol
+whose extent lies inside it is the same in both.
+
+Each window of words is led by one symbol inside it: of the highest round that has one, and there the one with the least
+name. Equal windows are led by equal symbols, so windows are dealt out by their leader: where documents share a high symbol, their
+windows meet, and are compared by the whole 64-bit fingerprint of the window. Leaders of very many windows
+(found in a sample of the documents) are dealt out by the window's fingerprint as well.
 
 Within one block of a task a window is sent once, for the least document that has it (the other ones
 are settled on the spot), so that a passage that a third of all documents share is sent once a block.
@@ -17,6 +19,7 @@ are settled on the spot), so that a passage that a third of all documents share
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +27,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import Block, blocks, ids_first, mix, rolling, small_batches, sole, strings
+from corpusloom.llm.shared import Block, blocks, ids_first, is_empty, materialise, mix, rolling, small_batches, sole, strings
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 BLOCK = 4 << 20
+PART_BYTES = 16 << 20
+"""Text bytes whose windows meet in one part, so that a part's memory doesn't grow with the input."""
+FAN = 4096
+"""More parts than so many are dealt to in two steps, so that what a block sends to a part doesn't get too small."""
+SAMPLED = 16
+"""One document in so many, by a hash, is looked at for leaders of very many windows; which they are changes only where windows meet."""
+HOT_LEADERS = 100_000
+MARKED = 1 << 20
+"""Parts of the range of hashes of ids; texts in a part without a repeat are not shuffled."""
 NO_ID = np.int64(2**63 - 1)
 
 
 class Symbols:
-    """Symbols of one level: names, the words first .. last (exclusive) they stand for, and the extent that fixed them."""
+    """Symbols of one level: names, the words first .. last (exclusive) they stand for, and the extent that fixed them. Extents ascend from symbol to symbol."""
 
     __slots__ = ("name", "first", "last", "low", "high", "row")
 
@@ -96,7 +108,36 @@ def name_pairs(s: Symbols, level: int) -> Symbols:
     return Symbols(name, s.first[at], s.last[to], low, high, s.row[at])
 
 
-def leaders(hashes: np.ndarray, rows: np.ndarray, bounds: np.ndarray, width: int, rounds: int = 2) -> np.ndarray:
+def rounds_for(width: int) -> int:
+    """Rounds after which symbols are about a third as long as the windows, so that with the neighbours that fixed them they fit inside: a round makes them 4/3 as long."""
+    return max(2, round(math.log(width / 3, 4 / 3)))
+
+
+def least_inside(key: np.ndarray, low: np.ndarray, high: np.ndarray, n: int, width: int) -> np.ndarray:
+    """For each window start 0 .. n - 1 the least key of the symbols whose extent [low, high) lies inside the window; TOP without one.
+
+    Extents ascend, so the symbols inside a window stand together; the least of each stretch comes from the least ones of
+    stretches of powers of two.
+    """
+    first = np.cumsum(np.bincount(np.clip(low + 1, 0, n), minlength=n + 1))[:n]
+    many = np.cumsum(np.bincount(np.clip(high - width, 0, n), minlength=n + 1))[:n] - first
+    table = [key]
+    while (1 << len(table)) <= max(1, int(many.max(initial=0))):
+        half = 1 << (len(table) - 1)
+        last = table[-1]
+        table.append(np.concatenate([np.minimum(last[:-half], last[half:]), last[len(last) - half :]]) if len(last) > half else last)
+    out = np.full(n, TOP)
+    step = np.zeros(n, dtype=np.int64)
+    some = many > 0
+    step[some] = np.log2(many[some]).astype(np.int64)
+    for k in range(len(table)):
+        own = np.flatnonzero(some & (step == k))
+        if len(own):
+            out[own] = np.minimum(table[k][first[own]], table[k][first[own] + many[own] - (1 << k)])
+    return out
+
+
+def leaders(hashes: np.ndarray, rows: np.ndarray, bounds: np.ndarray, width: int, rounds: int | None = None) -> np.ndarray:
     """For each window start (word positions 0 .. n - width), the name of its leading symbol.
 
     Windows that cross a row's end get a name as well; callers leave them out.
@@ -107,18 +148,12 @@ def leaders(hashes: np.ndarray, rows: np.ndarray, bounds: np.ndarray, width: int
     # Where no symbol lies inside (long runs), the middle word leads; whether that is so depends on the window alone.
     lead = mix(hashes[width // 2 : width // 2 + n] ^ np.uint64(0x5851F42D4C957F2D))
     s = words_as_symbols(hashes, rows)
-    for level in range(rounds):
+    begin, end = bounds[:-1][rows], bounds[1:][rows]
+    for level in range(rounds or rounds_for(width)):
         s = name_pairs(name_runs(s, level), level)
-        key = np.full(len(hashes), TOP)
-        ahead = np.full(len(hashes), width, dtype=np.int64)  # words of the extent before the symbol's first word
-        behind = np.full(len(hashes), width, dtype=np.int64)  # and from its first word on
-        key[s.first] = mix(s.name + np.uint64(level))
-        ahead[s.first] = s.first - s.low
-        behind[s.first] = s.high - s.first
-        here = np.full(n, TOP)
-        for k in range(width):
-            fits = (ahead[k : k + n] <= k) & (behind[k : k + n] <= width - k)
-            np.minimum(here, np.where(fits, key[k : k + n], TOP), out=here)
+        # Of an extent beyond its row it matters only that it is; so cut, extents ascend over rows too.
+        low, high = np.maximum(s.low, begin[s.first] - 1), np.minimum(s.high, end[s.first] + 1)
+        here = least_inside(mix(s.name + np.uint64(level)), low, high, n, width)
         lead = np.where(here != TOP, here, lead)
     return lead
 
@@ -134,99 +169,146 @@ def windows(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return rows[at], at - block.bounds[rows[at]], lead[at], print_[at]
 
 
-def _sent(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Per block and part: the block's distinct windows, and the windows that the block itself settles."""
-    sole()
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        text_keys = batch.column(2).to_numpy(zero_copy_only=False)
-        nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-        for b in blocks(batch.column(1), size=BLOCK):
-            ids = np.where(nulls[b.first : b.first + b.rows], NO_ID, np.nan_to_num(keys[b.first : b.first + b.rows], nan=0).astype(np.int64) if nulls.any() else keys[b.first : b.first + b.rows].astype(np.int64))
-            texts = text_keys[b.first : b.first + b.rows]
-            row, place, lead, mark = windows(b, width)
-            if not len(row):
-                continue
-            doc = ids[row]
-            order = np.lexsort((doc, mark))
-            same = np.zeros(len(order), dtype=bool)
-            m = mark[order]
-            same[1:] = m[1:] == m[:-1]
-            group = np.cumsum(~same) - 1
-            least = doc[order][~same][group]
-            settled = np.zeros(len(order), dtype=bool)
-            settled[order] = doc[order] > least
-            first = np.zeros(len(order), dtype=bool)
-            first[order] = doc[order] == least
-            part = (lead % np.uint64(parts)).astype(np.int64)
-            to = np.lexsort((place, row, part))
-            edges = np.searchsorted(part[to], np.arange(parts + 1))
-            out = []
-            for p in range(parts):
-                mine = to[edges[p] : edges[p + 1]]
-                if not len(mine):
-                    continue
-                hit, keep = mine[settled[mine]], mine[first[mine]]
-                rows_, r = np.unique(row[keep], return_inverse=True)
-                heads, lengths = lead_runs(lead[keep])
-                out.append((p, ids[rows_].astype("<i8").tobytes() + texts[rows_].tobytes(), np.bincount(r, minlength=len(rows_)).astype("<i4").tobytes(), ranges_by(r, place[keep], len(rows_)), top_bytes(heads, 5), lengths.tobytes(), top_bytes(mark[keep], 6), settled_rows(row[hit], place[hit], ids, texts)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 7))], ["part", "docs", "counts", "places", "leads", "lead_of", "marks", "settled"])
-
-
-def lead_runs(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of equal leaders, of up to 255 windows."""
-    if not len(lead):
-        return lead, np.zeros(0, np.uint8)
-    begin = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
-    many = np.diff(np.append(begin, len(lead)))
-    parts = -(-many // 255)
-    out = np.full(int(parts.sum()), 255, dtype=np.uint8)
-    out[np.cumsum(parts) - 1] = many - 255 * (parts - 1)
-    return np.repeat(lead[begin], parts), out
-
-
-def top_bytes(x: np.ndarray, n: int) -> bytes:
-    """The n most significant bytes of each number."""
-    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
-
-
-def from_top_bytes(raw, n: int) -> np.ndarray:
-    out = np.zeros((len(raw) // n, 8), dtype=np.uint8)
-    out[:, :n] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, n)
-    return out.view(">u8").ravel().astype(np.uint64)
+# -- packets -----------------------------------------------------------------------------------
+
+PACKET = ("ids", "keys", "places", "marks", "subs")
+PACKET_SCHEMA = ", ".join(f"{c} binary" for c in PACKET)
+
+
+def pack(ids: np.ndarray, keys: np.ndarray | None, r: np.ndarray, place: np.ndarray, mark: np.ndarray, sub: np.ndarray | None) -> tuple[bytes, ...]:
+    """Windows (r counts rows of ids; r and place ascend) as bytes. Ids as differences; keys are left out where ids tell all rows apart, and sub, which part of a group is meant, where there is one step."""
+    return (
+        np.diff(ids, prepend=np.int64(0)).astype("<i8").tobytes(), b"" if keys is None else keys.astype("<i8").tobytes(), ranges_by(r, place, len(ids)), mark.astype("<u8").tobytes(),
+        b"" if sub is None else sub.astype("<u2").tobytes(),
+    )
+
+
+def unpack(packet: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, keys (zeros where left out), row, place, fingerprint)."""
+    ids = np.cumsum(np.frombuffer(packet["ids"], "<i8"))
+    keys = np.frombuffer(packet["keys"], "<i8") if len(packet["keys"]) else np.zeros(len(ids), np.int64)
+    row, place = _spread(packet["places"], len(ids))
+    return ids, keys, row, place, np.frombuffer(packet["marks"], "<u8")
 
 
 def ranges_by(r: np.ndarray, place: np.ndarray, rows: int) -> bytes:
-    """The places of each row (r ascending, places ascending in a row) as ranges, with a count of them a row."""
+    """The places of each row (r ascending, places ascending in a row) as ranges, with a count of them a row, in two bytes a number where that will do and else four: the first byte says."""
     if not len(r):
         return b""
     cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(r) != 0)) + 1
     begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(r)]])
-    return np.concatenate([np.bincount(r[begin], minlength=rows).astype("<i4"), place[begin].astype("<i4"), (end - begin).astype("<i4")]).tobytes()
-
-
-def settled_rows(row: np.ndarray, place: np.ndarray, ids: np.ndarray, texts: np.ndarray) -> bytes:
-    """Windows to remove, as one blob: number of rows, ids, text keys, then ranges."""
-    if not len(row):
-        return b""
-    rows_, r = np.unique(row, return_inverse=True)
-    return np.int64(len(rows_)).tobytes() + ids[rows_].astype("<i8").tobytes() + texts[rows_].tobytes() + ranges_by(r, place, len(rows_))
+    x = np.concatenate([np.bincount(r[begin], minlength=rows), place[begin], end - begin])
+    return b"\2" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\4" + x.astype("<u4").tobytes()
 
 
 def _spread(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The opposite of ranges_by: (row, place)."""
-    x = np.frombuffer(raw, dtype="<i4")
+    raw = memoryview(raw)
+    x = np.frombuffer(raw[1:], dtype="<u2" if bytes(raw[:1]) == b"\2" else "<u4").astype(np.int64)
     n = (len(x) - rows) // 2
     row = np.repeat(np.arange(rows), x[:rows])
-    start, length = x[rows : rows + n].astype(np.int64), x[rows + n :].astype(np.int64)
+    start, length = x[rows : rows + n], x[rows + n :]
     first = np.repeat(np.cumsum(length) - length, length)
     return np.repeat(row, length), np.repeat(start, length) + np.arange(int(length.sum())) - first
 
 
-def _found(table: pa.Table) -> pa.Table:
-    """Of one part: the windows whose leader and fingerprint a smaller document has too, as ranges, packed by bucket of documents."""
+def settled_rows(row: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> bytes:
+    """Windows to remove, as one blob: number of rows, ids, text keys, then ranges."""
+    if not len(row):
+        return b""
+    rows_, r = np.unique(row, return_inverse=True)
+    return np.int64(len(rows_)).tobytes() + ids[rows_].astype("<i8").tobytes() + keys[rows_].astype("<i8").tobytes() + ranges_by(r, place, len(rows_))
+
+
+def parts_of(lead: np.ndarray, mark: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
+    """Where a window is compared: by its leader, of a hot leader by its fingerprint too."""
+    if not len(hot):
+        return (lead % np.uint64(parts)).astype(np.int64)
+    spot = np.minimum(np.searchsorted(hot, lead), len(hot) - 1)
+    return (np.where(hot[spot] == lead, mix(lead ^ mark), lead) % np.uint64(parts)).astype(np.int64)
+
+
+def _split(ids, keys, row, place, mark, part, low: int, high: int, sub=None):
+    """(part, packet) of each part of low .. high - 1 that has windows."""
+    to = np.lexsort((place, row, part))
+    edges = np.searchsorted(part[to], np.arange(low, high + 1))
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        mine = to[edges[p] : edges[p + 1]]
+        rows_, r = np.unique(row[mine], return_inverse=True)
+        yield low + p, pack(ids[rows_], None if keys is None else keys[rows_], r, place[mine], mark[mine], None if sub is None else sub[mine])
+
+
+# -- stages ------------------------------------------------------------------------------------
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    nulls = column.is_null().to_numpy(zero_copy_only=False)
+    return np.where(nulls, NO_ID, column.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["part", *PACKET, "settled"]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.binary() if i else pa.int32()) for i in range(len(names))], names)
+
+
+def _sent(batches: Iterator[pa.RecordBatch], width: int, parts: int, groups: int, hot: np.ndarray, keyed: bool) -> Iterator[pa.RecordBatch]:
+    """Per block and group of parts: the block's distinct windows; and the windows that the block itself settles, with one of the groups."""
+    sole()
+    size = -(-parts // groups)
+    for batch in batches:
+        every, text_keys = _ids(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
+        for b in blocks(batch.column(1), size=BLOCK):
+            ids, texts = every[b.first : b.first + b.rows], text_keys[b.first : b.first + b.rows]
+            row, place, lead, mark = windows(b, width)
+            if not len(row):
+                continue
+            doc = ids[row]
+            order = np.lexsort((doc, mark))
+            m = mark[order]
+            new = np.append(True, m[1:] != m[:-1])
+            least = np.empty(len(order), dtype=np.int64)
+            least[order] = doc[order][new][np.cumsum(new) - 1]
+            hit, keep = np.flatnonzero(doc > least), np.flatnonzero(doc == least)
+            part = parts_of(lead[keep], mark[keep], parts, hot)
+            out = [(p, *packet, b"") for p, packet in _split(ids, texts if keyed else None, row[keep], place[keep], mark[keep], part // size, 0, groups, part % size if size > 1 else None)]
+            if len(hit):
+                out[0] = (*out[0][:-1], settled_rows(row[hit], place[hit], ids, texts if keyed else np.zeros(len(ids), np.int64)))
+            yield _batch(out)
+
+
+def _dealt_again(batches: Iterator[pa.RecordBatch], parts: int, groups: int, keyed: bool) -> Iterator[pa.RecordBatch]:
+    """The second step: packets of a group, several blocks' at a time, dealt to its parts. Rows come sorted by group."""
     sole()
-    docs, texts, places, leads, marks, rows_of, found = [], [], [], [], [], [], []
+    size = -(-parts // groups)
+    held: list[dict] = []
+
+    def flush() -> pa.RecordBatch:
+        low = held[0]["part"] * size
+        out = [(low, *[b""] * len(PACKET), x["settled"]) for x in held if len(x["settled"])]
+        got = [(*unpack(x), np.frombuffer(x["subs"], "<u2")) for x in held if len(x["ids"])]
+        starts = np.cumsum([0] + [len(g[0]) for g in got])
+        row = np.concatenate([g[2] + s for g, s in zip(got, starts, strict=False)])
+        ids, keys, place, mark, sub = (np.concatenate([g[i] for g in got]) for i in (0, 1, 3, 4, 5))
+        out += [(p, *packet, b"") for p, packet in _split(ids, keys if keyed else None, row, place, mark, low + sub.astype(np.int64), low, low + size)]
+        held.clear()
+        return _batch(out)
+
+    total = 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and (row["part"] != held[0]["part"] or total > BLOCK):
+                yield flush()
+                total = 0
+            held.append(row)
+            total += len(row["marks"])
+    if held:
+        yield flush()
+
+
+def _found(table: pa.Table, buckets: int) -> pa.Table:
+    """Of one part: the windows whose fingerprint a smaller document has too, as ranges, packed by bucket of documents."""
+    sole()
+    got, found = [], []
 
     def emit(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
         """row and place ascend."""
@@ -235,50 +317,30 @@ def _found(table: pa.Table) -> pa.Table:
             begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(row)]])
             found.append((ids[row[begin]], keys[row[begin]], place[begin].astype("<i4"), (end - begin).astype("<i4")))
 
-    total = 0
     for i in range(table.num_rows):
-        got = {c: table.column(c)[i].as_buffer() for c in ("docs", "counts", "places", "leads", "lead_of", "marks", "settled")}
-        pair = np.frombuffer(got["docs"], dtype="<i8")
-        n = len(pair) // 2
-        if len(got["settled"]):
-            raw = memoryview(got["settled"])
+        packet = {c: table.column(c)[i].as_buffer() for c in (*PACKET, "settled")}
+        if len(packet["settled"]):
+            raw = memoryview(packet["settled"])
             k = int(np.frombuffer(raw[:8], dtype="<i8")[0])
-            row, place = _spread(raw[8 + 16 * k :], k)
             both = np.frombuffer(raw[8 : 8 + 16 * k], dtype="<i8")
-            emit(both[:k], both[k:], row, place)
-        if not n:
-            continue
-        row, place = _spread(got["places"], n)
-        lead = np.repeat(from_top_bytes(got["leads"], 5), np.frombuffer(got["lead_of"], dtype=np.uint8))
-        docs.append(pair[:n])
-        texts.append(pair[n:])
-        rows_of.append((row + total).astype(np.int32))
-        places.append(place.astype(np.int32))
-        leads.append(lead)
-        marks.append(from_top_bytes(got["marks"], 6))
-        total += n
-    if total:
-        docs, texts = np.concatenate(docs), np.concatenate(texts)
-        row, place, lead, mark = np.concatenate(rows_of), np.concatenate(places), np.concatenate(leads), np.concatenate(marks)
-        # Only windows whose leading symbol more than one document has go on to be verified.
-        order = np.argsort(lead, kind="stable")
-        l, d = lead[order], docs[row[order]]
-        new = np.append(True, l[1:] != l[:-1])
-        begin = np.flatnonzero(new)
-        shared = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-        go = order[shared[np.cumsum(new) - 1]]
-        if len(go):
-            row, place, lead, mark = row[go], place[go], lead[go], mark[go]
-            doc = docs[row]
-            order = np.lexsort((doc, mark, lead))
-            l, m, d = lead[order], mark[order], doc[order]
-            new = np.append(True, (l[1:] != l[:-1]) | (m[1:] != m[:-1]))
-            least = d[new][np.cumsum(new) - 1]
-            hit = order[d > least]
-            hit = hit[np.lexsort((place[hit], row[hit]))]
+            emit(both[:k], both[k:], *_spread(raw[8 + 16 * k :], k))
+        if len(packet["ids"]):
+            got.append(unpack(packet))
+    if got:
+        starts = np.cumsum([0] + [len(g[0]) for g in got])
+        docs, texts = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        row = np.concatenate([(g[2] + s).astype(np.int32) for g, s in zip(got, starts, strict=False)])
+        place, mark = np.concatenate([g[3].astype(np.int32) for g in got]), np.concatenate([g[4] for g in got])
+        del got
+        order = np.argsort(mark, kind="stable")
+        m, d = mark[order], docs[row[order]]
+        new = np.append(True, m[1:] != m[:-1])
+        least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
+        hit = order[d > least]
+        hit = hit[np.lexsort((place[hit], row[hit]))]
+        if len(hit):
             which, r = np.unique(row[hit], return_inverse=True)
             emit(docs[which], texts[which], r, place[hit])
-    buckets = max(1, int(table.column("parts")[0].as_py())) if table.num_rows else 1
     cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
     to = (mix(cols[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
@@ -312,15 +374,47 @@ def keyed(documents: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...
     return docs.withColumn("text_key", F.xxhash64("text"))
 
 
-def repeated(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, found): for each text with windows that start in a smaller document too, ranges of them."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "part int, docs binary, counts binary, places binary, leads binary, lead_of binary, marks binary, settled binary"
-    sent = keyed(documents, id_col, text_col).mapInArrow(lambda it: _sent(it, width, parts), schema)
-    hits = sent.withColumn("parts", F.lit(parts)).groupBy("part").applyInArrow(_found, "bucket int, ids binary, keys binary, starts binary, lengths binary")
-    return hits.groupBy("bucket").applyInArrow(_by_document, "doc_id long, text_key long, found binary")
+def hot_leaders(docs: DataFrame, width: int, parts: int) -> np.ndarray:
+    """Leaders that lead over half a part's share of the windows of one document in SAMPLED, HOT_LEADERS at most; sorted."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
+        for batch in batches:
+            for b in blocks(batch.column(0), size=BLOCK):
+                lead = windows(b, width)[2]
+                names, n = np.unique(lead, return_counts=True)
+                often = n * 8 * parts >= len(lead)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(names[often].view(np.int64), 0)), pa.array(np.append(n[often], len(lead))), pa.array(np.append(np.zeros(int(often.sum()), bool), True))], ["lead", "n", "every"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SAMPLED)) == 0).select("text")
+    counts = some.mapInArrow(counted, "lead long, n long, every boolean").groupBy("lead", "every").agg(F.sum("n").alias("n"))
+    most = counts.orderBy(F.desc("every"), F.desc("n")).limit(HOT_LEADERS).collect()
+    total = sum(r["n"] for r in most if r["every"])
+    return np.sort(np.array([r["lead"] for r in most if not r["every"] and r["n"] * 2 * parts > total], dtype=np.int64).view(np.uint64))
+
+
+def part_count(docs: DataFrame) -> int:
+    """Parts of about PART_BYTES of text, and some for every core."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+
+
+def repeated(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """(doc_id, text_key, found): for each text with windows that start in a smaller document too, ranges of them; text_key is 0 where ids tell all rows apart."""
+    small_batches(documents.sparkSession)
+    docs = keyed(documents, id_col, text_col)
+    twice = not is_empty(docs.groupBy("doc_id").count().where("count > 1"))
+    parts = parts or part_count(docs)
+    hot = hot_leaders(docs, width, parts)
+    groups = parts if parts <= FAN else math.ceil(math.sqrt(parts))
+    schema = f"part int, {PACKET_SCHEMA}, settled binary"
+    sent = docs.mapInArrow(lambda it: _sent(it, width, parts, groups, hot, twice), schema)
+    if groups < parts:
+        sent = sent.repartition(min(groups, 2000), "part").sortWithinPartitions("part").mapInArrow(lambda it: _dealt_again(it, parts, groups, twice), schema)
+    buckets = min(parts, FAN)
+    hits = sent.groupBy("part").applyInArrow(lambda t: _found(t, buckets), "bucket int, ids binary, keys binary, starts binary, lengths binary")
+    out = hits.groupBy("bucket").applyInArrow(_by_document, "doc_id long, text_key long, found binary")
+    return out if twice else out.withColumn("text_key", F.lit(0).cast("long"))
 
 
 def remove(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -352,8 +446,18 @@ def remove(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text_c
                 sha.append(hashlib.sha256(joined).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), *batch.columns[3:]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"] + ["_kept"] * bool(keep))
 
-    found = repeated(documents, width, id_col, text_col)
-    base = keyed(documents, id_col, text_col, keep).alias("a")
+    base = keyed(documents, id_col, text_col, keep)
+    parts = part_count(base)
+    found = materialise(repeated(documents, width, id_col, text_col, parts), "repeats")
+    exact = found.agg(F.max(F.abs("text_key"))).first()[0] in (None, 0)  # ids tell all rows apart, or nothing is repeated
+    rest = ["_kept"] * bool(keep)
     more = f", _kept {base.schema['_kept'].dataType.simpleString()}" if keep else ""
-    both = base.join(found.alias("f"), F.expr("a.doc_id <=> f.doc_id AND a.text_key = f.text_key"), "left")
-    return both.select("a.doc_id", "a.text", "f.found", *["a._kept"] * bool(keep)).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string" + more)
+    same = F.expr("a.doc_id <=> f.doc_id" if exact else "a.doc_id <=> f.doc_id AND a.text_key = f.text_key")
+    # Texts whose part of the range of hashes has no repeat stay where they are; the table of parts has MARKED rows at most.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(MARKED))
+    marked = F.broadcast(found.select(part.alias("_part")).distinct())
+    dealt = base.withColumn("_part", part)
+    clean = dealt.join(marked, "_part", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("found"), *rest)
+    hit = dealt.join(marked, "_part", "left_semi").alias("a").join(found.alias("f"), same, "left").select("a.doc_id", "a.text", "f.found", *[f"a.{c}" for c in rest])
+    both = clean.unionByName(hit).coalesce(parts)  # the two would make twice as many tasks and files
+    return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string" + more)

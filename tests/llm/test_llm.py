@@ -395,26 +395,78 @@ def test_vectors_of_a_test_table(spark):
     assert sum(got[i]["n_links"] for i, _ in rows) >= 0.99 * links.sum() and sum(got[i]["component_id"] == label[k] for k, (i, _) in enumerate(rows)) >= 0.99 * len(rows)
 
 
-@pytest.mark.parametrize("width", [5, 13])
-def test_substrings(spark, docs, empty, width):
-    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, BASE)], "doc_id long, text string"))
-    first, words = {}, {}
-    for i, t in enumerate(TEXTS):
-        words[i] = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        for a in range(len(words[i]) - width + 1):
-            first.setdefault(tuple(words[i][a : a + width]), i)
-    for r in substrings.remove(rows, width).collect():
-        i = r["doc_id"]
-        own = words[i] if i is not None else BASE.split()
+def without_repeats(texts, width):
+    """(id, words, removed, kept) by brute force for rows (id or None, text)."""
+    first, out = {}, []
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in texts]
+    for (i, _), w in zip(texts, split):
+        for a in range(len(w) - width + 1):
+            key = tuple(w[a : a + width])
+            first[key] = min(first.get(key, 10**12), 10**12 if i is None else i)
+    for (i, _), w in zip(texts, split):
         gone = set()
-        for a in range(len(own) - width + 1):
-            if first[tuple(own[a : a + width])] < (10**9 if i is None else i):
+        for a in range(len(w) - width + 1):
+            if first[tuple(w[a : a + width])] < (10**12 if i is None else i):
                 gone.update(range(a, a + width))
-        kept = " ".join(w for a, w in enumerate(own) if a not in gone)
-        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(own), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for a, x in enumerate(w) if a not in gone).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("width", "fan", "marked"), [(5, 4096, 1 << 20), (13, 4096, 2), (13, 2, 1 << 20), (50, 4096, 1 << 20)])
+def test_substrings(spark, docs, empty, monkeypatch, width, fan, marked):
+    monkeypatch.setattr(substrings, "FAN", fan)  # with a small one, windows are dealt in two steps
+    monkeypatch.setattr(substrings, "MARKED", marked)  # with a few, all texts are shuffled
+    rows = list(enumerate(TEXTS)) + [(None, BASE), (None, BASE), (7, BASE + " and more " + sentence(40)), (7, sentence(60)), (100, "a " * 70_000), (101, "b " + "a " * 300 + "c " + BASE)]
+    table = docs.sparkSession.createDataFrame([(i, t, 1, 1, 1) for i, t in rows], "doc_id long, text string, _part int, found int, text_key int").repartition(5)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove(table, width).collect()), key=repr)
+    assert got == without_repeats(rows, width)
     assert substrings.remove(empty).count() == 0
 
 
+def test_substrings_of_a_test_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = substrings.remove(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 13, texts=False).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == without_repeats(rows, 13)
+
+
+def test_hot_leaders_change_nothing(spark, monkeypatch):
+    common = " ".join(["the of and"] * 30)
+    rows = [(i, f"{sentence(5)} {common} {sentence(12 + i % 3)}") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    hot = substrings.hot_leaders(substrings.keyed(table, "doc_id", "text"), 13, 64)
+    assert len(hot)
+    want = without_repeats(rows, 13)
+    for choose in (substrings.hot_leaders, lambda docs, width, parts: np.zeros(0, np.uint64)):
+        monkeypatch.setattr(substrings, "hot_leaders", choose)
+        got = substrings.remove(table, 13).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == want
+
+
+def test_leading_symbols_get_longer_with_the_rounds():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    s = substrings.words_as_symbols(words, np.zeros(4000, np.int64))
+    sizes = []
+    for level in range(substrings.rounds_for(50)):
+        s = substrings.name_pairs(substrings.name_runs(s, level), level)
+        sizes.append((s.last - s.first).mean())
+        assert (np.diff(s.low) >= 0).all() and (np.diff(s.high) >= 0).all() and (s.last[:-1] == s.first[1:]).all()
+    assert all(b > 1.2 * a for a, b in zip(sizes, sizes[1:])) and sizes[-1] > 50 / 4
+
+
+def test_least_key_inside_windows():
+    rng = np.random.default_rng(7)
+    low = np.sort(rng.integers(-1, 60, 40))
+    high = np.maximum.accumulate(low + rng.integers(1, 9, 40))
+    key = rng.integers(1, 2**40, 40).astype(np.uint64)
+    for width in (3, 13):
+        got = substrings.least_inside(key, low, high, 50, width)
+        for w in range(50):
+            inside = [int(k) for k, a, b in zip(key, low, high) if a >= w and b <= w + width]
+            assert int(got[w]) == (min(inside) if inside else int(substrings.TOP))
+
+
 def test_equal_windows_have_equal_leaders():
     for alphabet in (1, 2, 5, 30):
         base = [str(random.randrange(alphabet)) for _ in range(50)]
