@@ -101,7 +101,8 @@ class Codec:
         self.longest = max(len(k) for k in (*self.inner, *self.final))
         self.powers = powers(self.longest + 1)
         self.seen_keys, self.seen_good = np.full(1 << PAIRS, -1, np.int64), np.zeros(1 << PAIRS, bool)
-        (self.inner_slots, self.inner_ids), (self.final_slots, self.final_ids) = self._index(self.inner, ""), self._index(self.final, END)
+        if text:
+            (self.inner_slots, self.inner_ids), (self.final_slots, self.final_ids) = self._index(self.inner, ""), self._index(self.final, END)
         self.cache_size = cache_size or (500_000 if text else 900_000)
         self.known: dict = {}
         self.render = self.as_text if text else self.as_bytes
@@ -404,7 +405,9 @@ class Codec:
             if x in self.special:
                 out.append(self.special[x])
             elif odd:
-                out.append(self.render([t for ids in self.encode_spelt(self.split_there(x)) for t in ids]))
+                spelt = self.split_there(x)
+                ids = self.merge_words(spelt) if self.render == self.as_bytes else self.encode_spelt(spelt)
+                out.append(self.render([t for own in ids for t in own]))
             else:
                 out += pieces_of(normal(x))
         return out
