@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,21 +49,19 @@ def masked_prompt(prompt: Column, response: Column) -> tuple[Column, Column]:
 def vision_positions(types: Column) -> Column:
     """Position ids of an array of token types (0 language, 1 vision): a run of vision tokens shares a position but for its first and last, which count as language."""
 
-    def is_vision(x: Column, i: Column) -> Column:
-        inside = lambda j: F.coalesce(F.try_element_at(x, j), F.lit(0)) == 1
-        edge = (i > 0) & (i < F.size(x) - 1)
-        return edge & inside(i) & inside(i + 1) & inside(i + 2)
+    def one(x: np.ndarray) -> np.ndarray:
+        vision = np.concatenate([[False], x == 1, [False]])
+        inner = vision[:-2] & vision[1:-1] & vision[2:]
+        step = np.ones(len(x), dtype=np.int64)
+        step[1:] = ~(inner[1:] & inner[:-1])
+        step[:1] = 0
+        return np.cumsum(step)
 
-    def positions(x: Column) -> Column:
-        inner = F.transform(x, lambda _, i: F.when(is_vision(x, i), 1).otherwise(0))
-        return F.transform(F.array(inner), lambda t: counted(t))[0]
+    @F.pandas_udf("array<long>")
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else one(np.asarray(x)))
 
-    def counted(t: Column) -> Column:
-        step = F.transform(t, lambda v, i: F.when(i == 0, 0).when(v == 0, 1).when(F.element_at(t, i) == 0, 1).otherwise(0))
-        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(step, start, lambda s, v: F.struct((s["n"] + v).alias("n"), F.array_append(s["out"], s["n"] + v).alias("out")), lambda s: s["out"])
-
-    return F.transform(F.array(types), positions)[0]
+    return run(types)
 
 
 def hashed_unit(*parts: Column | int | str) -> Column:
@@ -397,9 +397,6 @@ def all_black(image: Column) -> Column:
 
 def mask_box(mask: Column, width: Column, height: Column) -> Column:
     """EXT-15: [x1, y1, x2, y2] in shares of the image around the non-zero bytes of a row-major mask; the last row and column are inside; zeros for an empty mask or wrong sizes."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(ms: pd.Series, ws: pd.Series, hs: pd.Series) -> pd.Series:
         out = []

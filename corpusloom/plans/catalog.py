@@ -432,4 +432,4 @@ def win11_running_sums(spark, d):
 
 
 # The other catalogs register their queries when they are imported.
-from corpusloom.plans import evaluate, scores, texts  # noqa: E402, F401
+from corpusloom.plans import evaluate, samples, scores, stores, texts  # noqa: E402, F401

@@ -70,7 +70,7 @@ def rolling_parts(files: DataFrame, order: str, size: str, max_bytes: int = 5 *
             out.append(part)
         return pd.DataFrame({order: frame[order], "part": out})
 
-    listing = files.select(order, F.col(size).cast("long").alias("_s")).groupBy(F.lit(0)).applyInPandas(fold, f"{order} {kind[order]}, part int")
+    listing = files.select(order, F.col(size).cast("long").alias("_s"), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(fold, f"{order} {kind[order]}, part int")
     return files.join(listing, order)
 
 

@@ -32,6 +32,8 @@ def buffered_shuffle(batch: DataFrame, key: str, buffer: int = 16_384, seed: int
 
     import pandas as pd
 
+    names = batch.columns
+
     def run(frames):
         held: list = []
         for f in frames:
@@ -47,7 +49,7 @@ def buffered_shuffle(batch: DataFrame, key: str, buffer: int = 16_384, seed: int
                 yield pd.DataFrame(out, columns=f.columns)
         random.Random(seed).shuffle(held)
         if held:
-            yield pd.DataFrame(held, columns=list(batch.columns))
+            yield pd.DataFrame(held, columns=names)
 
     return batch.mapInPandas(run, batch.schema)
 
