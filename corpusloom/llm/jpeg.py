@@ -425,17 +425,26 @@ def store(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return ids_first(documents, id_col, text_col).mapInArrow(run, "doc_id long, media binary")
 
 
+def opened(raw: bytes | None):
+    """What read_coefficients says; None for null media and bytes that are no whole progressive JPEG."""
+    try:
+        return None if raw is None else read_coefficients(raw)
+    except (ValueError, IndexError, KeyError, TypeError):
+        return None
+
+
 def tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, width, height, rgb binary: height x width x 3 bytes) of any progressive JPEGs. Null media: nulls."""
+    """(doc_id, width, height, rgb binary: height x width x 3 bytes) of any progressive JPEGs. Null media and bytes that can't be read as one: nulls. Null ids and repeated rows are rows like any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for raw in batch.column(1).to_pylist():
-                if raw is None:
+                found = opened(raw)
+                if found is None or not found[0] or not found[1]:
                     rows.append((None, None, None))
                     continue
-                width, height, parts, quant, _ = read_coefficients(raw)
+                width, height, parts, quant, _ = found
                 rows.append((width, height, to_rgb(width, height, parts, quant).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary())))], ["doc_id", "width", "height", "rgb"])
 
@@ -443,13 +452,17 @@ def tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Of store(): what is read back from the stored bytes, with features of the RGB tensor (size, channel means, luma deviation)."""
+    """Of store(): what is read back from the stored bytes, with features of the RGB tensor (size, channel means, mean step of green between neighbours). Media that store() didn't make, null and damaged ones included: nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for raw in batch.column(1).to_pylist():
-                width, height, parts, quant, note = read_coefficients(raw)
+                found = opened(raw)
+                if found is None or not found[4].startswith(NOTE) or len(found[2]) != 3:
+                    rows.append((None,) * 7)
+                    continue
+                width, height, parts, quant, note = found
                 n = int(note[len(NOTE) :])
                 payload = read_payload(parts, n + (-n % UNIT or (UNIT if not n else 0)))
                 rgb = to_rgb(width, height, parts, quant)

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.shared import Block, blocks, ids_first, is_empty, materialise, mix, rolling, small_batches, sole, strings
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-BLOCK = 4 << 20
-PART_BYTES = 16 << 20
+BLOCK = 2 << 20
+PART_BYTES = 8 << 20
 """Text bytes whose windows meet in one part, so that a part's memory doesn't grow with the input."""
 FAN = 4096
 """More parts than so many are dealt to in two steps, so that what a block sends to a part doesn't get too small."""
@@ -308,7 +308,7 @@ def _dealt_again(batches: Iterator[pa.RecordBatch], parts: int, groups: int, key
 def _found(table: pa.Table, buckets: int) -> pa.Table:
     """Of one part: the windows whose fingerprint a smaller document has too, as ranges, packed by bucket of documents."""
     sole()
-    got, found = [], []
+    found = []
 
     def emit(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
         """row and place ascend."""
@@ -317,30 +317,37 @@ def _found(table: pa.Table, buckets: int) -> pa.Table:
             begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(row)]])
             found.append((ids[row[begin]], keys[row[begin]], place[begin].astype("<i4"), (end - begin).astype("<i4")))
 
-    for i in range(table.num_rows):
+    sizes = [len(table.column("marks")[i].as_buffer()) // 8 for i in range(table.num_rows)]
+    row, place, mark = np.empty(sum(sizes), np.int32), np.empty(sum(sizes), np.int32), np.empty(sum(sizes), np.uint64)
+    docs, texts, at, start = [], [], 0, 0
+    for i, n in enumerate(sizes):
         packet = {c: table.column(c)[i].as_buffer() for c in (*PACKET, "settled")}
         if len(packet["settled"]):
             raw = memoryview(packet["settled"])
             k = int(np.frombuffer(raw[:8], dtype="<i8")[0])
             both = np.frombuffer(raw[8 : 8 + 16 * k], dtype="<i8")
             emit(both[:k], both[k:], *_spread(raw[8 + 16 * k :], k))
-        if len(packet["ids"]):
-            got.append(unpack(packet))
-    if got:
-        starts = np.cumsum([0] + [len(g[0]) for g in got])
-        docs, texts = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        row = np.concatenate([(g[2] + s).astype(np.int32) for g, s in zip(got, starts, strict=False)])
-        place, mark = np.concatenate([g[3].astype(np.int32) for g in got]), np.concatenate([g[4] for g in got])
-        del got
+        if n:
+            ids, keys, own, own_place, mark[at : at + n] = unpack(packet)
+            row[at : at + n], place[at : at + n] = own + start, own_place
+            docs.append(ids)
+            texts.append(keys)
+            at, start = at + n, start + len(ids)
+    buckets = max(1, buckets)
+    del table
+    if at:
+        docs, texts = np.concatenate(docs), np.concatenate(texts)
         order = np.argsort(mark, kind="stable")
-        m, d = mark[order], docs[row[order]]
-        new = np.append(True, m[1:] != m[:-1])
-        least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
-        hit = order[d > least]
+        mark = mark[order]
+        begin = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
+        del mark
+        doc = docs[row[order]]
+        hit = order[doc > np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.append(begin, at)))]
+        del order, doc
         hit = hit[np.lexsort((place[hit], row[hit]))]
         if len(hit):
             which, r = np.unique(row[hit], return_inverse=True)
-            emit(docs[which], texts[which], r, place[hit])
+            emit(docs[which], texts[which], r, place[hit].astype(np.int64))
     cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
     to = (mix(cols[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")

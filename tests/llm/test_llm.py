@@ -489,6 +489,104 @@ def test_jpeg(docs, empty):
     assert jpeg.digest(jpeg.store(empty)).count() == 0
 
 
+def java_jpeg(spark, rgb, subsampled=True):
+    """(progressive JPEG of an image, the RGB that the JVM's own decoder reads from it)."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    height, width = rgb.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(width, height, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    flat = gateway.new_array(jvm.int, width * height)
+    values = (rgb[..., 0].astype(int) << 16 | rgb[..., 1].astype(int) << 8 | rgb[..., 2]).ravel()
+    for i, v in enumerate(values.tolist()):
+        flat[i] = v
+    image.setRGB(0, 0, width, height, flat, 0, width)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    params = writer.getDefaultWriteParam()
+    params.setProgressiveMode(jvm.javax.imageio.ImageWriteParam.MODE_DEFAULT)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer.setOutput(jvm.javax.imageio.ImageIO.createImageOutputStream(out))
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), params)
+    writer.getOutput().flush()
+    raw = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(raw))
+    told = back.getRGB(0, 0, width, height, None, 0, width)
+    got = np.array([told[i] & 0xFFFFFF for i in range(width * height)]).reshape(height, width)
+    return raw, np.stack([got >> 16, got >> 8 & 255, got & 255], axis=-1)
+
+
+def test_jpeg_of_another_writer(spark):
+    """Progressive files of the JVM's encoder: several scans, subsampled chroma, runs of blocks without coefficients, sizes that fill no block."""
+    rng = np.random.default_rng(2)
+    for height, width in ((16, 16), (61, 45), (40, 72)):
+        y, x = np.mgrid[:height, :width]
+        rgb = np.stack([x * 255 // width, y * 255 // height, (x + y) * 255 // (height + width)], axis=-1)
+        rgb[: height // 3, : width // 3] = rng.integers(0, 256, (height // 3, width // 3, 3))  # flat elsewhere: runs of empty blocks
+        raw, want = java_jpeg(spark, rgb)
+        assert raw.count(b"\xff\xda") > 3
+        w, h, parts, quant, _ = jpeg.read_coefficients(raw)
+        assert (w, h) == (width, height)
+        got = jpeg.to_rgb(w, h, parts, quant).astype(int)
+        if all((c.h, c.v) == (parts[0].h, parts[0].v) for c in parts):
+            assert np.abs(got - want).max() <= 3
+        else:  # decoders differ in how they smooth chroma between samples
+            assert np.abs(got - want).mean() < 6 and np.abs(got.mean(axis=-1) - want.mean(axis=-1)).mean() < 3
+        (row,) = jpeg.tensors(spark.createDataFrame([(1, bytearray(raw))], "doc_id long, media binary")).collect()
+        assert (row["width"], row["height"]) == (width, height) and np.array_equal(np.frombuffer(bytes(row["rgb"]), np.uint8).reshape(height, width, 3), got)
+
+
+def direct_samples(coefficients, quant):
+    """A block's samples by the definition of the inverse transform."""
+    natural = np.zeros(64)
+    natural[jpeg.ZIGZAG] = coefficients * quant
+    s = natural.reshape(8, 8)
+    out = np.zeros((8, 8))
+    for y in range(8):
+        for x in range(8):
+            for v in range(8):
+                for u in range(8):
+                    cu, cv = (np.sqrt(0.5) if u == 0 else 1), (np.sqrt(0.5) if v == 0 else 1)
+                    out[y, x] += cu * cv / 4 * s[v, u] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16)
+    return out + 128
+
+
+def test_jpeg_samples_chroma_and_feature(spark):
+    rng = np.random.default_rng(6)
+    luma, chroma = jpeg.Component(2, 2, 0), jpeg.Component(1, 1, 1)
+    quant = {0: rng.integers(1, 20, 64), 1: rng.integers(1, 20, 64)}
+    luma.coefficients, chroma.coefficients = rng.integers(-9, 9, (2, 2, 64)), rng.integers(-9, 9, (1, 1, 64))
+    for c in (luma, chroma):
+        got = jpeg.plane(c, quant[c.table])
+        for i in range(c.coefficients.shape[0]):
+            for j in range(c.coefficients.shape[1]):
+                assert np.allclose(got[8 * i : 8 * i + 8, 8 * j : 8 * j + 8], direct_samples(c.coefficients[i, j], quant[c.table]))
+    rgb = jpeg.to_rgb(13, 11, [luma, chroma, chroma], quant)
+    y, b = (np.clip(np.rint(jpeg.plane(c, quant[c.table])), 0, 255) for c in (luma, chroma))
+    for row, col in ((0, 0), (10, 12), (5, 8)):
+        cb = b[row // 2, col // 2] - 128
+        want = [y[row, col] + 1.402 * cb, y[row, col] - 0.344136 * cb - 0.714136 * cb, y[row, col] + 1.772 * cb]
+        assert rgb[row, col].tolist() == np.clip(np.rint(want), 0, 255).astype(int).tolist()
+    texts = ["", "abc", "é" * 900, "abc", None]
+    media = jpeg.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    tensors = {r["doc_id"]: r for r in jpeg.tensors(media).collect()}
+    told = {r["doc_id"]: r for r in jpeg.digest(media).collect()}
+    for i, r in told.items():
+        t = tensors[i]
+        x = np.frombuffer(bytes(t["rgb"]), np.uint8).reshape(t["height"], t["width"], 3).astype(int)
+        n = t["width"] * t["height"]
+        means = [int(x[..., k].sum()) // n for k in range(3)]
+        assert r["feature"] == f"{t['width']}x{t['height']}:{means[0]},{means[1]},{means[2]}:{int(np.abs(np.diff(x[..., 1], axis=1)).sum()) // n}"
+    assert told[1]["feature"] == told[3]["feature"] and told[0]["media_sha256"] == told[4]["media_sha256"]
+
+
+def test_damaged_and_foreign_media(spark):
+    whole = jpeg.write_payload(jpeg.padded(b"x" * 2000), jpeg.NOTE + b"2000")
+    rows = [(1, None), (2, b""), (3, b"GIF89a"), (4, whole[: len(whole) // 3]), (5, whole), (None, whole), (6, b"\xff\xd8\xff\xc2")]
+    table = spark.createDataFrame([(i, None if x is None else bytearray(x), 1) for i, x in rows], "doc_id long, media binary, width int")
+    got = {r["doc_id"]: r for r in jpeg.tensors(table).collect()}
+    assert len(got) == len(rows) and got[5]["rgb"] is not None and got[None]["rgb"] == got[5]["rgb"] and all(got[i]["rgb"] is None for i in (1, 2, 3, 6))
+    told = {r["doc_id"]: r for r in jpeg.digest(table).collect()}
+    assert told[5]["n_bytes"] == 2000 and all(told[i]["n_bytes"] is None for i in (1, 2, 3, 6))
+
+
 def test_jpeg_fixed_stride_and_code_by_code_agree(monkeypatch):
     payload = random.randbytes(576 * 4)
     raw = jpeg.write_payload(payload, b"")
@@ -521,6 +619,63 @@ def test_license_alignment(spark):
     assert m["license"] == "MIT-text" and changed[m["start"] : m["end"]].startswith("Permission") and 0.85 * m["words"] < m["matched"] < m["words"]
 
 
+def full_alignment(template, text):
+    """(score, matched words) of the best alignment by a full dynamic programme over pairs of matches."""
+    best, cell = (-(10**9), 0), {}
+    for i in range(len(template)):
+        for j in range(len(text)):
+            if template[i] == text[j]:
+                cell[i, j] = max([(1 - i, 1)] + [(s + 1 - max(i - a - 1, j - b - 1), k + 1) for (a, b), (s, k) in cell.items() if a < i and b < j])
+                best = max(best, cell[i, j])
+    return best
+
+
+def test_alignment_against_a_full_programme():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = rng.integers(1, 9), rng.integers(1, 12)
+        template, text = rng.integers(1, 5, n).astype(np.uint64), rng.integers(1, 5, m).astype(np.uint64)
+        band = int(n + m)
+        matched, first, end = licenses.align(template, np.concatenate([np.zeros(band, np.uint64), text]), band)
+        score, most = full_alignment(template.tolist(), text.tolist())
+        assert matched == (most if score > -(10**9) else 0), (template, text)
+        assert not matched or (text[first - band] in template and text[end - 1 - band] in template)
+
+
+def test_every_template_is_found_whole_and_damaged(spark):
+    assert len(licenses.TEMPLATES) >= 50 and sum(k.endswith("-text") for k in licenses.TEMPLATES) >= 25
+    rng = random.Random(8)
+    rows, names = [], sorted(licenses.TEMPLATES)
+    for i, name in enumerate(names):
+        words = licenses.TEMPLATES[name].split()
+        rows.append((2 * i, "é lead " + licenses.TEMPLATES[name] + " tail words"))
+        keep = [w for w in words if rng.random() > 0.08] if len(words) > 20 else words
+        rows.append((2 * i + 1, "x y " + " ".join(keep)))
+    got = {r["doc_id"]: r["matches"] for r in licenses.scan(spark.createDataFrame([*rows, (None, "All rights reserved"), (None, None)], "doc_id long, text string").repartition(6)).collect() if r["doc_id"] is not None}
+    alike = {"BSD-3-Clause-UC-text": {"BSD-3-Clause-text"}, "MPL-2.0": {"MPL-2.0-header"}}
+    for i, name in enumerate(names):
+        for k in (2 * i, 2 * i + 1):
+            found = {m["license"] for m in got[k]}
+            assert name in found or found & alike.get(name, set()), (name, k % 2, found)
+        whole = next((m for m in got[2 * i] if m["license"] == name), None)
+        assert whole is None or whole["matched"] == whole["words"]
+
+
+@pytest.mark.parametrize("text", ["Released under MIT License", "released under the mit licence", "Licensed under CC BY SA 4 0", "Redistribution, use in source and binary forms, with or without modification, are permitted provided that the conditions are met"])
+def test_short_notices_with_an_error(spark, text):
+    """Every alignment with the share COVERAGE of a short template's words is a candidate."""
+    own = re.findall("[a-z0-9]+", text.lower())
+    want = {n for n, t in licenses.TEMPLATES.items() if len(w := re.findall("[a-z0-9]+", t.lower())) <= 24 and full_alignment(w, own)[1] >= licenses.COVERAGE * len(w)}
+    (r,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert want and {m["license"] for m in r["matches"]} <= want and r["matches"]
+
+
+def test_near_relatives_are_told_apart(spark):
+    rows = [(i, licenses.TEMPLATES[n]) for i, n in enumerate(("LGPL-3.0-header", "AGPL-3.0-header", "GPL-2.0-header", "GPL-3.0-header", "BSD-2-Clause-text", "MIT-0-text", "LGPL-2.1-header"))]
+    got = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(7)] == ["LGPL-3.0-header", "AGPL-3.0-header", "GPL-2.0-header", "GPL-3.0-header", "BSD-2-Clause-text", "MIT-0-text", "LGPL-2.1-header"]
+
+
 def test_warc(spark):
     rows = [(i, f"http://x/{i}", "body é" * (i % 7)) for i in range(500) if i % 11] + [(3, "http://x/3", "again"), (None, None, None), (None, "u", "v")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
