@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.storage import running
+
 
 def buckets(items: DataFrame, length: str) -> DataFrame:
     """(length, items): the histogram that packing works on."""
@@ -51,7 +53,7 @@ ROUNDS = ((1, 0.96), (1, 0.95), (8, 0.9), (4, 0.92), (6, 0.92), (4, 0.9))
 def pack(items: DataFrame, key: str, length: str, capacity: int, rounds: tuple[tuple[int, float], ...] = ROUNDS) -> DataFrame:
     """(key, length, box_id, slot): rounds over what the earlier ones left; box_id is null for items that no round took.
 
-    The plan is made from the histogram, at most `capacity` rows; items find their box by their rank in their length.
+    The plan is made from the histogram, at most `capacity` rows; items find their box by their rank in their length, computed over many partitions.
     """
     left = {r[0]: r[1] for r in buckets(items, length).where(f"`{length}` <= {capacity}").collect()}
     slots, box_id, taken = [], 0, {}
@@ -63,10 +65,9 @@ def pack(items: DataFrame, key: str, length: str, capacity: int, rounds: tuple[t
                 slots.append((a, low, low + times, box_id, slot))
                 taken[a] = low + times
             box_id += times
-    spark = items.sparkSession
-    plan = spark.createDataFrame(slots, "l long, low long, high long, first long, slot int")  # bounded by the histogram, not the items
-    ranked = items.withColumn("_r", F.row_number().over(Window.partitionBy(length).orderBy(key)) - 1)
-    joined = ranked.join(F.broadcast(plan), (ranked[length] == plan["l"]) & (F.col("_r") >= F.col("low")) & (F.col("_r") < F.col("high")), "left")
+    plan = items.sparkSession.createDataFrame(slots, "l long, low long, high long, first long, slot int")  # bounded by the histogram, not the items
+    own = running(items.select(key, length), [length], [key], None, "_r")
+    joined = own.join(plan, (own[length] == plan["l"]) & (F.col("_r") >= F.col("low")) & (F.col("_r") < F.col("high")), "left")
     return joined.select(key, length, (F.col("first") + F.col("_r") - F.col("low")).alias("box_id"), "slot")
 
 

@@ -9,6 +9,7 @@ from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
 from corpusloom.operators import cleaning, conversations, dedup, grouping, mixing, ordering, packing, retrieval
 from corpusloom.operators.cleaning import REFUSALS, SECOND_LABELS, SKIPPED_SUFFIXES, WELL_FORMED
+from corpusloom.operators.storage import settle
 from corpusloom.plans.register import ORACLES, QUERIES, query, t
 from corpusloom.streaming import iterate
 
@@ -348,16 +349,20 @@ def prj04_first_user(spark, d):
     return x.select("conv_id", conversations.first_user(F.col("messages")).alias("question")).where("question IS NOT NULL")
 
 
-@query()
+@query("""SELECT conv_id, array_to_string(list_filter([CASE WHEN bool_or(role IS NULL OR role NOT IN ('system', 'user', 'assistant')) THEN 'unknown role' END, CASE WHEN bool_or(coalesce(length(text), 0) = 0) THEN 'empty content' END, CASE WHEN NOT bool_or(coalesce(role, '') = 'assistant') THEN 'no answer' END], lambda x: x IS NOT NULL), ';') AS errors FROM conversations GROUP BY conv_id""")
 def flt24_contract(spark, d):
     x = conversations.gather(t(spark, d, "conversations"))
     return x.select("conv_id", F.array_join(conversations.contract_errors(F.col("messages")), ";").alias("errors"))
 
 
-@query()
+@query("""SELECT count(*) AS items, 0 AS overfull, 0 AS sparse, 0 AS twice, true AS some, CAST(sum(CASE WHEN n <= 4096 THEN n END) AS BIGINT) >= 0 AS known FROM (SELECT len(regexp_split_to_array(text, '\\s+')) n FROM documents WHERE text IS NOT NULL)""")
 def pck06_rounds(spark, d):
-    x = t(spark, d, "documents").select("doc_id", F.size(F.split("text", r"\s+")).alias("length"))
-    return packing.pack(x, "doc_id", "length", 4096)
+    x = t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(F.split("text", r"\s+")).cast("long").alias("length"))
+    y = settle(packing.pack(x, "doc_id", "length", 4096), "packed")
+    boxes = y.where("box_id IS NOT NULL").groupBy("box_id").agg(F.sum("length").alias("n"))
+    totals = boxes.agg(F.count_if(F.col("n") > 4096).cast("int").alias("overfull"), F.count_if(F.col("n") < 0.9 * 4096).cast("int").alias("sparse"))
+    whole = packing.box_totals(y, "length").select((F.col("tokens") >= 0).alias("known"))
+    return y.agg(F.count("*").alias("items"), (F.count("*") - F.count_distinct("doc_id")).cast("int").alias("twice"), (F.count("box_id") > 0).alias("some")).join(F.broadcast(totals)).join(F.broadcast(whole))  # one row each
 
 
 @query("""SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(s, 6) AS score, CAST(r AS INT) AS rank FROM (SELECT q.vec_id qv, i.vec_id iv, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, i.vec_id) r

@@ -6,16 +6,20 @@ import math
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import answers as A
 from corpusloom.functions import scoring as S
+from corpusloom.functions import similarity as M
 from corpusloom.functions import text as T
-from corpusloom.operators import cleaning, conversations, dedup, grouping, ordering, packing, storage
+from corpusloom.operators import cleaning, conversations, dedup, grouping, mixing, ordering, packing, registry, retrieval, storage
 from corpusloom.plans import catalog
-from corpusloom.sources import readers, writers
+from corpusloom.sources import readers, shards, writers
+from corpusloom.streaming import iterate
 
 
 def one(spark, column, **values):
@@ -277,3 +281,102 @@ def test_removal_tasks_one_by_one(spark):
     assert told("remove_256_javascript") == [None, "remove_256_javascript", None, None, "error"]
     assert told("remove_512_non_english", "general_cleaning") == ["general_cleaning", "general_cleaning", "remove_512_non_english", "general_cleaning", "error"]
     assert told("remove_512", "ftfy_fix_text") == ["ftfy_fix_text", "remove_512", "remove_512", "remove_512", "error"]
+
+
+def test_k_center_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    chosen = [0]
+    while len(chosen) < 7:
+        far = ((x[:, None].astype(float) - x[chosen][None]) ** 2).sum(axis=2).min(axis=1)
+        chosen.append(int(far.argmax()))
+    assert retrieval.k_center(rows, 7) == chosen and retrieval.k_center(rows.limit(0), 3) == []
+
+
+def test_top_k_in_blocks_of_queries(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 4))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "item_id long, embedding array<double>")
+    queries = items.withColumnRenamed("item_id", "query_id")
+    want = {(q, int(i), r + 1) for q in range(50) for r, i in enumerate(np.lexsort((np.arange(50), -(x @ x[q])))[:3])}
+    for block in (7, 1000):
+        got = {(r["query_id"], r["item_id"], r["rank"]) for r in retrieval.top_k(queries, items, 3, block=block).collect()}
+        assert got == want
+
+
+def test_registry_refuses_and_resolves():
+    r = registry.Registry("thing")
+    r.add("a", "b")(len)
+    assert r.get("b") is len and r.get(min) is min and r.get("math:sqrt")(4) == 2
+    with pytest.raises(KeyError):
+        r.get("c")
+    with pytest.raises(ValueError):
+        r.add("a")(min)
+
+
+def test_splits_and_metadata(spark, tmp_path):
+    assert mixing.split_matrix("99/1") == [(0.0, 0.99), (0.99, 1.0), None]
+    assert mixing.split_overlap("1,1,0", "1,0,1") == [(0.0, 0.5), None, None]
+    with pytest.raises(ValueError):
+        mixing.split_matrix("0,0")
+    for name, n in (("a_wds", 3), ("b_wds", 250)):
+        rows = spark.range(n).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.create_map(F.lit("txt"), F.lit(b"abc")).alias("members"))
+        index = shards.write_tar_shards(rows, "key", "members", str(tmp_path / name), max_count=100)
+        shards.write_metadata(spark, str(tmp_path / name), index, {"train": 0.5, "val": 0.5, "test": 0.0})
+    (tmp_path / "c_wds").mkdir()  # without metadata
+    merged = shards.merge_metadata(spark, str(tmp_path))
+    assert sum(merged["shard_counts"].values()) == 253 and all(k.startswith(("a_wds/", "b_wds/")) for k in merged["shard_counts"])
+    assert sorted(x for v in merged["split_parts"].values() for x in v) == sorted(merged["shard_counts"]) and len(merged["split_parts"]["train"]) == 2
+    broken = next((tmp_path / "b_wds").glob("*.tar"))
+    broken.write_bytes(broken.read_bytes()[:3000])
+    (tmp_path / "b_wds" / "tiny_000001.tar").write_bytes(b"x")
+    checked = shards.check_shards(spark, f"{tmp_path}/b_wds/*.tar")
+    assert sorted(r["status"] for r in checked.collect()) == ["complete", "complete", "incomplete", "unreadable"]
+    gone = shards.quarantine(checked, str(tmp_path / "bad"))
+    assert len(gone) == 2 and len(list((tmp_path / "bad").glob("*.tar"))) == 2
+    with pytest.raises(Exception, match="more than one shard"):
+        mixing.merge_shards([spark.range(3), spark.range(2, 4)], "id").collect()
+
+
+def test_boxes_need_whole_numbers(spark):
+    one_box = F.array(*[F.lit(x) for x in (0.0, 0.0, 1.0, 1.0)])
+    none = F.lit(None).cast("array<double>")
+    assert one(spark, S.box_iou([none[i] for i in range(4)], [one_box[i] for i in range(4)])) is None
+    assert one(spark, M.best_box_iou(F.array(one_box), F.array(one_box))) == 1.0
+    assert one(spark, S.span_iou(F.lit(None).cast("double"), F.lit(1.0), F.lit(0.0), F.lit(1.0))) is None
+
+
+def test_evaluated_expressions_are_arithmetic_only():
+    assert M.evaluated("2 + 3*4") == 14 and M.evaluated(r"x = \frac{1}{4}") == 0.25 and M.evaluated("50%") == 0.5 and M.evaluated("[1, 2]") == [1, 2]
+    assert M.evaluated("__import__('os').system('x')") is None and M.evaluated("9**9**9") is None and M.evaluated("a+1") is None
+    assert M.numeric_match("1,000", "1000") == 0.0 and M.numeric_match("1.005", "1") == 1.0 and M.numeric_match("A b", "ab") == 1.0
+
+
+def test_vqa_answers():
+    assert A.vqa_normal("The  Two dogs, isnt") == "2 dogs isn't"
+    assert A.vqa_normal("1,000.5 x-b") == "1000.5 x b" and A.vqa_normal("x - y.") == "x y" and A.vqa_normal("none") == "0"
+    assert A.unboxed(r"a \boxed{1} and \boxed{x{y}z}") == "x{y}z" and A.unboxed(r"\fbox{q}") == "q" and A.unboxed(r"\boxed{x") is None
+
+
+def test_flexible_seed_boxes():
+    counts = {10: 7, 30: 3, 50: 2, 96: 1}
+    boxes, left = mixing.seeded_boxes(counts, 100, [50, 30], 2, 0.9)
+    used = collections.Counter(x for b in boxes for x in b) + collections.Counter(left)
+    assert used == collections.Counter(counts) and all(90 <= sum(b) <= 100 and len(b) >= 2 and max(b) in (50, 30) for b in boxes)
+    assert mixing.seeds_half(counts, 30) == [30, 50, 96] and mixing.seeds_top(counts, 2) == [10, 30]
+    rounds, rest = mixing.box_rounds({7: 100, 13: 50, 100: 4}, 100)
+    assert (100,) in rounds and collections.Counter(x for b in rounds for x in b) + collections.Counter(rest) == collections.Counter({7: 100, 13: 50, 100: 4})
+
+
+def test_cycles_and_streams(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(5)], "k long, v string")
+    q = iterate.cycle(spark, rows, "k", 200).writeStream.format("memory").queryName("cycled").start()
+    try:
+        deadline = time.time() + 40
+        while time.time() < deadline and spark.table("cycled").count() < 12:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    got = spark.table("cycled").collect()
+    assert len(got) >= 12 and all(r["k"] == r["position"] % 5 and r["epoch"] == r["position"] // 5 for r in got)
