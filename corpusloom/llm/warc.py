@@ -1,7 +1,8 @@
 """WARC records and a Merkle fixity audit of two replicas, in DataFrame functions.
 
-Each record is a leaf; 16 nodes that follow each other by record number make one node of the next level,
-whose hash covers their numbers, hashes and lengths in order, and so the range of offsets below it.
+The records of one id are a leaf, and leaves stand in order of ids, so that each covers a range of offsets: leaves are
+numbered by their rank among the ids of both replicas, whatever gaps the ids have. 16 nodes that follow each other make one
+node of the next level, whose hash covers their numbers, hashes and lengths in order, and so the range of offsets below it.
 Two replicas are compared from the roots down, and only children of nodes that differ are looked at.
 Groups hold 16 rows at most at every level, and each level has a sixteenth of the rows.
 """
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import materialise
+from corpusloom.operators.storage import ranked
 
 FAN_BITS = 4
 
@@ -28,19 +30,23 @@ def warc_record(number: Column, url: Column, body: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(number, n_bytes, record_sha256) for each row.
-
-    A row without an id gets a negative number by its content, so that such rows are no single group.
-    """
+    """(lost, number, n_bytes, record_sha256) for each row: number is the id, or, where that is null (lost), made of the content."""
     text = warc_record(F.col(id_col), F.col(url_col), F.col(body_col))
     out = pages.select(F.col(id_col).cast("long").alias("number"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("record_sha256"))
-    return out.withColumn("number", F.coalesce("number", -1 - F.abs(F.xxhash64("record_sha256") % (1 << 40))))
+    return out.select(F.col("number").isNull().alias("lost"), F.coalesce("number", F.xxhash64("record_sha256")).alias("number"), "n_bytes", "record_sha256")
+
+
+def numbered(ours: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with node: the rank of a record's number among those of both; numbers made of contents come last."""
+    key = ["lost", "number"]
+    nodes = materialise(ranked(ours.select(*key).unionByName(theirs.select(*key)).distinct(), *key, name="node"), "numbers")
+    return ours.join(nodes, key), theirs.join(nodes, key)
 
 
 def leaves(found: DataFrame) -> DataFrame:
-    """(node, n, length, hash) by record number. Records of one number are hashed as a multiset, by sums that combine before the shuffle."""
+    """(node, n, length, hash). Records of one node are hashed as a multiset, by sums that combine before the shuffle."""
     parts = [F.sum(F.conv(F.substring("record_sha256", 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"s{i}") for i in range(4)]
-    summed = found.groupBy(F.col("number").alias("node")).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("length"), *parts)
+    summed = found.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("length"), *parts)
     return summed.select("node", "n", "length", F.sha2(F.concat_ws(":", "n", "length", "s0", "s1", "s2", "s3"), 256).alias("hash"))
 
 
@@ -52,13 +58,12 @@ def level_above(level: DataFrame) -> DataFrame:
 
 
 def tree(found: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves up to one node (two, if there are negative numbers). No records: one empty level."""
+    """Levels from the leaves up to one node. No records: one empty level."""
     levels = [materialise(leaves(found), "leaves")]
-    ends = levels[0].agg(F.min("node"), F.max("node")).first()
-    low, high = (x or 0 for x in ends)
-    while low < -1 or high > 0:
+    high = levels[0].agg(F.max("node")).first()[0] or 0
+    while high > 0:
         levels.append(materialise(level_above(levels[-1]), "nodes"))
-        low, high = low >> FAN_BITS, high >> FAN_BITS
+        high >>= FAN_BITS
     return levels
 
 
@@ -94,20 +99,26 @@ def audit(ours: DataFrame, theirs: DataFrame, id_col: str = "page_id", url_col:
     """(page_id, n_bytes, record_sha256, offset, status) for each of our rows, and for each of their rows that we don't have.
 
     offset is where the records of that id begin in our archive, in order of ids; null for rows that we
-    don't have. Repeated rows and rows without an id (null there) are records like any other: of records of
-    one id, all get the id's status. Nulls in other columns count as empty; other columns are not read.
+    don't have. Repeated rows are records like any other: of records of one id, all get the id's status. Rows without an
+    id (null there) stand last and are told apart by their content. Nulls in other columns count as empty; other
+    columns are not read; empty tables have no rows.
     """
-    a, b = records(ours, id_col, url_col, body_col), records(theirs, id_col, url_col, body_col)
+    a, b = (materialise(records(x, id_col, url_col, body_col), "records") for x in (ours, theirs))
+    a, b = numbered(a, b)
     x, y = tree(a), tree(b)
     bad = mismatches(x, y)
-    mine = a.join(offsets(x), a["number"] == F.col("node")).drop("node").join(bad, F.col("number") == bad["node"], "left")
-    extra = b.join(bad.where("status = 'extra'"), b["number"] == F.col("node")).select("number", "n_bytes", "record_sha256", F.lit(None).cast("long").alias("offset"), "status")
-    out = mine.select("number", "n_bytes", "record_sha256", "offset", F.coalesce("status", F.lit("ok")).alias("status")).unionByName(extra)
-    return out.select(F.when(F.col("number") >= 0, F.col("number")).alias("page_id"), "n_bytes", "record_sha256", "offset", "status")
+    mine = a.join(offsets(x), "node").join(bad, "node", "left")
+    extra = b.join(bad.where("status = 'extra'"), "node").select("lost", "number", "n_bytes", "record_sha256", F.lit(None).cast("long").alias("offset"), "status")
+    out = mine.select("lost", "number", "n_bytes", "record_sha256", "offset", F.coalesce("status", F.lit("ok")).alias("status")).unionByName(extra)
+    return out.select(F.when(~F.col("lost"), F.col("number")).alias("page_id"), "n_bytes", "record_sha256", "offset", "status")
 
 
 def read_archives(archives: DataFrame, content_col: str = "content", path_col: str = "path") -> DataFrame:
-    """(path, offset, length, target_uri, body binary): the records of uncompressed WARC files, as spark.read.format("binaryFile") gives them."""
+    """(path, offset, length, target_uri, body binary): the records of uncompressed WARC files, as spark.read.format("binaryFile") gives them.
+
+    A file that ends in a header gives no row for it, one that ends in a body what is there; a header without a
+    readable length has an empty body. Null contents have no records.
+    """
     import pyarrow as pa
 
     def run(batches):
@@ -115,9 +126,12 @@ def read_archives(archives: DataFrame, content_col: str = "content", path_col: s
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, rows = 0, []
                 while raw and (begin := raw.find(b"WARC/", at)) >= 0:
-                    end = raw.index(b"\r\n\r\n", begin)
+                    end = raw.find(b"\r\n\r\n", begin)
+                    if end < 0:
+                        break
                     fields = dict(x.split(b": ", 1) for x in raw[begin:end].split(b"\r\n")[1:] if b": " in x)
-                    size = int(fields.get(b"Content-Length", b"0"))
+                    told = fields.get(b"Content-Length", b"0").strip()
+                    size = int(told) if told.isdigit() else 0
                     rows.append((path, begin, end + 4 + size + 4 - begin, fields.get(b"WARC-Target-URI", b"").decode("utf-8", "replace"), raw[end + 4 : end + 4 + size]))
                     at = end + 4 + size
                 cols = list(zip(*rows, strict=True)) or [()] * 5

@@ -688,10 +688,51 @@ def test_warc(spark):
         assert r["status"] == want
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.audit(none, none).count() == 0
+    assert {r["status"] for r in warc.audit(pages, none).collect()} == {"missing"} and {r["status"] for r in warc.audit(none, pages).collect()} == {"extra"}
     raw = "".join(r[0] for r in pages.where("page_id IS NOT NULL").orderBy("page_id").select(warc.warc_record(pages["page_id"], pages["url"], pages["html"])).collect()).encode()
     assert warc.read_archives(spark.createDataFrame([("a", raw)], "path string, content binary")).count() == len(rows) - 2
 
 
+def test_warc_of_scattered_ids_and_clashing_columns(spark):
+    draw = random.Random(4)
+    ids = [draw.randrange(-(2**62), 2**62) for _ in range(300)] + [-5, 0, 7]
+    rows = [(i, f"u{i}", "é" * (k % 5), k, k) for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, node long, status long")
+    hurt = {ids[10]: "x", ids[200]: None}
+    theirs = spark.createDataFrame([(i, u, hurt.get(i, h)) for i, u, h, *_ in rows if i != ids[50]], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.audit(pages, theirs).collect()}
+    size = {i: len((f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {u}\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Type: text/html\r\nContent-Length: {len(h.encode())}\r\n\r\n{h}\r\n\r\n").encode()) for i, u, h, *_ in rows}
+    at = 0
+    for i in sorted(ids):
+        want = "missing" if i == ids[50] else "corrupt" if i in hurt and (hurt[i] or "") != dict((r[0], r[2]) for r in rows)[i] else "ok"
+        assert (got[i]["offset"], got[i]["n_bytes"], got[i]["status"]) == (at, size[i], want)
+        at += size[i]
+    a, _ = warc.numbered(warc.records(pages), warc.records(theirs))
+    assert len(warc.tree(a)) == 4  # 303 leaves, 19 nodes, 2, 1: whatever gaps the ids have
+
+
+def test_archives_that_are_cut_off(spark):
+    whole = b"WARC/1.0\r\nContent-Length: 3\r\nWARC-Target-URI: u\r\n\r\nabc\r\n\r\n"
+    rows = [("a", whole), ("b", whole + whole[:20]), ("c", whole[:-5]), ("d", b""), ("e", None), ("f", whole.replace(b"3", b"x")), ("g", b"no archive")]
+    got = warc.read_archives(spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")).collect()
+    assert sorted((r["path"], bytes(r["body"])) for r in got) == [("a", b"abc"), ("b", b"abc"), ("c", b"ab"), ("f", b"")]
+
+
+def test_null_ids_are_rows_like_any_other(spark):
+    text = "mail a@b.cd " + sentence(30)
+    table = spark.createDataFrame([(None, text), (None, text), (None, None), (1, text)], "doc_id long, text string")
+    packed = packing.pack(table, word_vocabulary(), 64).collect()
+    assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == {None: 3, 1: 1}
+    assert sum(r["length"] for r in packed) == 3 * (len(ids_of(text)) + 1) + 1
+    encoded = bpe.encode(table, word_vocabulary()).collect()
+    assert collections.Counter(r["doc_id"] for r in encoded) == {None: 3, 1: 1} and {r["n_tokens"] for r in encoded} == {0, len(ids_of(text))}
+    found = personal.digest(personal.detect(table)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_email"]) for r in found) == [(0, 0), (0, 1), (0, 1), (1, 1)]
+    assert jpeg.digest(jpeg.store(table)).count() == 4 and licenses.scan(table).count() == 4
+    predicted = language.predict(table, language.train(table, piece_vocabulary())).collect()
+    assert len(predicted) == 4 and not any(r["held_out"] for r in predicted if r["doc_id"] is None)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
 
