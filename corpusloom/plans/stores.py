@@ -326,3 +326,56 @@ def stm07_deduplicated(spark, d):
     stream = iterate.deduplicated(iterate.scan(spark, f"{path}/in", e.schema), "key", "ts", "1000 days")
     out = _streamed(stream, path, "out")
     return out.groupBy("key").agg(F.min("event_id").alias("event_id"))
+
+
+@query("""SELECT n_nationkey, upper(n_name) AS caption, n_regionkey = 0 AS first FROM nation WHERE n_nationkey % 3 <> 2""")
+def src10_paired_files(spark, d):
+    """JOIN-01: files with a sibling of another suffix and the same base name."""
+    path = folder(spark, "pairs")
+    n = t(spark, d, "nation")
+    told = F.to_json(F.struct(F.upper("n_name").alias("caption"), (F.col("n_regionkey") == 0).alias("first"))).cast("binary")
+    members = F.when(F.col("n_nationkey") % 3 == 2, F.create_map(F.lit("json"), told)).otherwise(F.create_map(F.lit("json"), told, F.lit("jpg"), F.lit(b"x")))
+    shards.write_samples(n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("k"), members.alias("m")), "k", "m", path)
+    x = readers.paired_files(spark, path)
+    key = F.regexp_extract("base", r"n([0-9]+)$", 1).cast("long")
+    text = F.col("content").cast("string")
+    return x.select(key.alias("n_nationkey"), F.get_json_object(text, "$.caption").alias("caption"), (F.get_json_object(text, "$.first") == "true").alias("first"))
+
+
+@query("""WITH d AS (SELECT doc_id, list_transform(string_split(text, '. '), lambda s: len(string_split(s, ' '))) s FROM documents WHERE text IS NOT NULL) SELECT count(*) AS docs, CAST(sum(len(s)) AS BIGINT) AS sentences, 0 AS gaps, 0 AS single, 0 AS long, true AS cached FROM d""")
+def ext19_block_samples(spark, d):
+    from corpusloom.functions import tokens
+
+    sizes = F.transform(F.split("text", r"\. ", -1), lambda s: F.size(F.split(s, " ", -1)))
+    x = t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", sizes.alias("s"))
+    path = folder(spark, "blocks")
+    one = tokens.cached_block_samples(x, path, "doc_id", "s", 64)
+    cached = tokens.cached_block_samples(x.limit(0), path, "doc_id", "s", 64).count() == one.count()
+    both = one.join(x, "doc_id")
+    before = F.aggregate(F.slice("s", F.col("first") + 1, F.col("last") - F.col("first") - 1), F.lit(0), lambda a, v: a + v)
+    told = both.agg(F.count_if(F.col("last") <= F.col("first")).cast("int").alias("gaps"), F.count_if(F.col("last") - F.col("first") < 2).cast("int").alias("single"), F.count_if(before >= 61).cast("int").alias("long"))
+    return x.agg(F.count("*").alias("docs"), F.sum(F.size("s")).alias("sentences"), F.lit(cached).alias("cached")).join(F.broadcast(told))  # one row
+
+
+@query("""SELECT p_partkey, list_filter([w[1], w[1] || ' ' || w[2], w[2]], lambda g: g IS NOT NULL AND g <> 'red') AS grams, w[1] AS entity, [0, CAST(length(w[1]) + 1 AS INT)] AS offsets, true AS same, md5('{"p_partkey":' || p_partkey || '}') AS key FROM (SELECT p_partkey, string_split(p_name, ' ') w FROM part WHERE len(string_split(p_name, ' ')) = 2)""")
+def ext26_token_grams(spark, d):
+    from corpusloom.functions import tokens
+
+    x = t(spark, d, "part").where(F.size(F.split("p_name", " ")) == 2)
+    words = F.split("p_name", " ")
+    y = tokens.tokenized(x.withColumn("key", tokens.config_keys(x, "p_partkey")), "p_name", tokens.HashedWords(1000))
+    groups = tokens.entity_groups(words, F.array(F.lit("X"), F.lit("O")))
+    return y.select("p_partkey", tokens.grams_up_to(words, 2, lambda g: (F.size(g) == 1) & (g[0] == "red")).alias("grams"), groups[0]["text"].alias("entity"), "offsets", (F.size("ids") == 2).alias("same"), "key")
+
+
+@query("""SELECT n_nationkey, n_name AS answer, upper(r_name) AS truth, 'n' || n_nationkey || '.jpg' AS image, n_name AS said FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def join07_prediction_truth(spark, d):
+    from corpusloom.operators import registry, training
+
+    n = t(spark, d, "nation")
+    pairs = n.select("n_nationkey", "n_name", F.col("n_regionkey"), F.array(F.struct(F.lit("user").alias("role"), F.col("n_name").alias("content"))).alias("massages:"), F.concat(F.lit("/d/n"), F.col("n_nationkey").cast("string"), F.lit(".jpg")).alias("path"))
+    told = training.pair_messages(pairs).select(F.col("images")[0].alias("image"), F.col("messages")[0]["content"].alias("said"))
+    predictions = n.select("n_regionkey", "n_nationkey", F.col("n_name").alias("answer"))
+    truth = t(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.upper("r_name").alias("truth"))
+    both = registry.prediction_truth(predictions, truth, "n_regionkey").select("n_nationkey", "answer", "truth")
+    return both.join(told, both["answer"] == told["said"])
