@@ -76,15 +76,27 @@ def _prepared(kind: str, text: str) -> str:
     return text
 
 
+CHUNK = 64
+"""Items of an array that grows one by one; full ones go to an array of such, so that long texts with very many matches are not copied again for each."""
+
+
+def _gathered(items: str, more: str, start: str, item: str, when: str, after: str, kind: str) -> str:
+    """SQL: a struct (at, all) of a pass over items x that carries at (from start, after x as `after` says) and keeps an item of each x for which `when` holds."""
+    empty, nothing = f"cast(array() as array<{kind}>)", f"cast(array() as array<array<{kind}>>)"
+    return (
+        f"aggregate({items}, named_struct('at', {start}, 'cur', {empty}, 'out', {nothing}), (s, x) -> named_struct('at', {after}, "
+        f"'cur', CASE WHEN NOT ({when}) THEN s.cur WHEN size(s.cur) >= {CHUNK} THEN array({item}) ELSE array_append(s.cur, {item}) END, "
+        f"'out', CASE WHEN ({when}) AND size(s.cur) >= {CHUNK} THEN array_append(s.out, s.cur) ELSE s.out END), s -> {more})"
+    )
+
+
 def _matches(kind: str, text: str) -> str:
     """SQL: the kind's matches as structs (kind, start, end), by the lengths of the matches and of the gaps between them."""
     ready, pattern = _prepared(kind, text), _spelt(PATTERN[kind])
     found = f"zip_with(split({ready}, {pattern}, -1), regexp_extract_all({ready}, {pattern}, 0), (g, m) -> named_struct('g', length(g), 'm', length(m)))"
-    empty = "cast(array() as array<struct<kind:string,start:int,end:int>>)"
-    return (
-        f"CASE WHEN {text} RLIKE {_spelt(HINT[kind])} THEN aggregate({found}, named_struct('at', 0, 'out', {empty}), "
-        f"(s, x) -> named_struct('at', s.at + x.g + coalesce(x.m, 0), 'out', CASE WHEN x.m IS NULL THEN s.out ELSE array_append(s.out, named_struct('kind', '{kind}', 'start', s.at + x.g, 'end', s.at + x.g + x.m)) END), s -> s.out) ELSE {empty} END"
-    )
+    item = f"named_struct('kind', '{kind}', 'start', s.at + x.g, 'end', s.at + x.g + x.m)"
+    every = _gathered(found, "flatten(array_append(s.out, s.cur))", "0", item, "x.m IS NOT NULL", "s.at + x.g + coalesce(x.m, 0)", "struct<kind:string,start:int,end:int>")
+    return f"CASE WHEN {text} RLIKE {_spelt(HINT[kind])} THEN {every} ELSE cast(array() as array<struct<kind:string,start:int,end:int>>) END"
 
 
 DIGITS = "regexp_replace(x.value, '[^0-9]', '')"
@@ -222,9 +234,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(found: DataFrame) -> Column:
     """Of detect(keep_text=True): the text with each span replaced by its kind in angle brackets; overlaps are one replacement."""
-    return F.expr(
-        "CASE WHEN size(spans) = 0 THEN text ELSE aggregate(array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))), named_struct('at', 0, 'out', ''), "
-        "(s, x) -> CASE WHEN x.start < s.at THEN named_struct('at', greatest(s.at, x.end), 'out', s.out) "
-        "ELSE named_struct('at', x.end, 'out', concat(s.out, substr(text, s.at + 1, x.start - s.at), '<', upper(x.kind), '>')) END, "
-        "s -> concat(s.out, substr(text, s.at + 1))) END"
-    )
+    ordered = "array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
+    item = "named_struct('from', s.at, 'to', x.start, 'kind', x.kind)"
+    parts = _gathered(ordered, "named_struct('at', s.at, 'p', flatten(array_append(s.out, s.cur)))", "0", item, "x.start >= s.at", "greatest(s.at, x.end)", "struct<from:int,to:int,kind:string>")
+    said = "concat(array_join(transform(r.p, p -> concat(substr(text, p.from + 1, p.to - p.from), '<', upper(p.kind), '>')), ''), substr(text, r.at + 1))"
+    return F.expr(f"CASE WHEN size(spans) = 0 THEN text ELSE transform(array({parts}), r -> {said})[0] END")

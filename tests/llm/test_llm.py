@@ -326,6 +326,15 @@ def base_spans(text):
     return out
 
 
+def test_personal_data_of_texts_with_very_many_matches(spark):
+    text = " ".join(f"x{i}@mail{i}.example.com, 10.2.{i % 250}.{i % 99}" for i in range(700))
+    found = personal.detect(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep_text=True)
+    (r,) = personal.digest(found).collect()
+    assert (r["n_email"], r["n_ip"]) == (700, 700) and r["base_sha256"] == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    (t,) = found.select(personal.redact(found).alias("t")).collect()
+    assert t["t"] == " ".join(["<EMAIL>, <IP>"] * 700)
+
+
 def test_personal(spark, docs, empty):
     odd = ["".join(random.choice("a1.@-% +0(2") for _ in range(random.randint(0, 60))) for _ in range(300)] + ["1" * 50_000, "a.b@" + "c.d" * 20_000, "é+12 345 678 9 é@é a@b.c"]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
