@@ -103,7 +103,7 @@ class Codec:
         self.seen_keys, self.seen_good = np.full(1 << PAIRS, -1, np.int64), np.zeros(1 << PAIRS, bool)
         if text:
             (self.inner_slots, self.inner_ids), (self.final_slots, self.final_ids) = self._index(self.inner, ""), self._index(self.final, END)
-        self.cache_size = cache_size or (400_000 if text else 700_000)
+        self.cache_size = cache_size or (250_000 if text else 350_000)
         self.known: dict = {}
         self.render = self.as_text if text else self.as_bytes
         for k, v in self.special.items():

@@ -205,7 +205,7 @@ def fit(counts: list[tuple[str, str, int]], path: str, rounds: int = 3) -> Model
 class Scorer:
     """Log-probabilities by language of the parts of texts, the recent ones kept."""
 
-    def __init__(self, model: Model, cache_size: int = 400_000):
+    def __init__(self, model: Model, cache_size: int = 250_000):
         self.model, self.pieces, self.cache_size = model, Pieces(vocabulary_pieces(model.path)), cache_size
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages) + 1))

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.bpe import codec
 from corpusloom.llm.shared import ids_first, materialise, small_batches, strings
 
-PARTS = 64
-"""Parts among which the pieces of one length are dealt to be ranked, so that a frequent length isn't one task's."""
+PART_ROWS, MOST_PARTS = 1000, 200_000
+"""Pieces of one length are dealt to parts of about PART_ROWS to be ranked, or of more where that would make over MOST_PARTS parts: a frequent length is many tasks', and the driver gets one row a part."""
 
 
 @dataclass
@@ -161,15 +161,19 @@ def assign(found: DataFrame, capacity: int) -> DataFrame:
     """found (doc_id, piece, length, ...; lengths 1 .. capacity) with sequence_id and offset added.
 
     A sequence is gapless from 0 and holds at most capacity tokens. found must be cheap to read again:
-    it is read for its histogram (one row a length and part reaches the driver) and to be placed.
+    it is read for its histogram, for that of the parts, and to be placed.
     """
-    dealt = found.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(PARTS)).cast("int"))
-    tally = dealt.groupBy("length", "_part").count().toPandas()  # at most capacity * PARTS rows, whatever the corpus
+    counts = found.groupBy("length").count().toPandas()  # at most capacity rows
+    size = max(PART_ROWS, int(counts["count"].sum()) // MOST_PARTS)
+    parts = [(int(a), -(-int(n) // size)) for a, n in zip(counts["length"], counts["count"], strict=True)]
+    by_length = F.broadcast(found.sparkSession.createDataFrame(parts, "_length long, _parts long"))
+    dealt = found.join(by_length, found["length"] == F.col("_length")).withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("_parts")).cast("int")).drop("_length", "_parts")
+    tally = dealt.groupBy("length", "_part").count().toPandas()  # at most MOST_PARTS rows and one a length, whatever the corpus
     tally = tally.sort_values(["length", "_part"])
     totals = tally.groupby("length")["count"].sum()
     made = plan(totals.index.to_numpy(dtype=np.int64), totals.to_numpy(dtype=np.int64), capacity)
     tally["before"] = tally.groupby("length")["count"].cumsum() - tally["count"]
-    base_key = (tally["length"] * PARTS + tally["_part"]).to_numpy(dtype=np.int64)
+    base_key = tally["length"].to_numpy(dtype=np.int64) * (1 << 20) + tally["_part"].to_numpy(dtype=np.int64)
     base = tally["before"].to_numpy(dtype=np.int64)
     shift = np.int64(44)
     slot_key = (made.length << shift) + made.low
@@ -181,7 +185,7 @@ def assign(found: DataFrame, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, part, number = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_part", "_rank"))
-            number = number + (base[np.searchsorted(base_key, length * PARTS + part)] if len(length) else 0)
+            number = number + (base[np.searchsorted(base_key, (length << 20) + part)] if len(length) else 0)
             slot = np.searchsorted(slot_key, (length << shift) + number, side="right") - 1
             sequence = made.first[slot] + number - made.low[slot]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence, pa.int64()), pa.array(made.offset[slot], pa.int64())], [*names, "sequence_id", "offset"])
