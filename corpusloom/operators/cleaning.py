@@ -1,4 +1,4 @@
-"""Corpus cleaning: URL classification, length and quality filters, text repair (FLT-01..14, STR-01, EXT-09)."""
+"""Corpus cleaning: URL classification, length and quality filters, text repair (FLT-01..14, STR-01, EXT-09, PRJ-06)."""
 
 from __future__ import annotations
 

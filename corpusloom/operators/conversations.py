@@ -1,4 +1,4 @@
-"""Instruction-data normalisation and sample checks (ARR-07, ARR-08, PRJ-04, FLT-24, STR-34, WIN-07, PCK-08, STR-06)."""
+"""Instruction-data normalisation and sample checks (ARR-08, PRJ-04, FLT-24 for conversations, STR-06, STR-34, WIN-07)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Evaluation aggregations (AGG-01..43, EXT-01, EXT-12)."""
+"""Aggregations (AGG-01, 03..06, 10, 12, 13, 15..18, 21, 25, EXT-01); those of whole tasks are in evaluation.py."""
 
 from __future__ import annotations
 

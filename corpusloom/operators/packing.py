@@ -1,4 +1,4 @@
-"""Length-bucketed sequence packing (PCK-01..09, AGG-25, AGG-26, AGG-28)."""
+"""Length-bucketed sequence packing (PCK-01, PCK-02, AGG-28); rounds with seeds and batches are in mixing.py (PCK-03..09)."""
 
 from __future__ import annotations
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_TABLES: list[DataFrame] = []
+"""Tables of settle() that nobody has dropped yet."""
 _PART_BITS = 33
 """monotonically_increasing_id() holds the partition above so many bits, and the row's place in it below."""
 
@@ -30,6 +32,7 @@ def settle(df: DataFrame, tag: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._settled_path = path
+    _TABLES.append(out)
     return out
 
 
@@ -40,6 +43,13 @@ def drop_settled(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _TABLES[:] = [t for t in _TABLES if t is not df]
+
+
+def release() -> None:
+    """Drops all tables that are left: what callers do when the lazy results that read them have been consumed."""
+    for table in list(_TABLES):
+        drop_settled(table)
 
 
 def _laid_out(rows: DataFrame, order: list[str]) -> DataFrame:
