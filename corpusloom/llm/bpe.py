@@ -105,6 +105,7 @@ class Codec:
             (self.inner_slots, self.inner_ids), (self.final_slots, self.final_ids) = self._index(self.inner, ""), self._index(self.final, END)
         self.cache_size = cache_size or (250_000 if text else 350_000)
         self.known: dict = {}
+        self.elder: dict = {}
         self.render = self.as_text if text else self.as_bytes
         for k, v in self.special.items():
             self.names[v] = k
@@ -346,22 +347,33 @@ class Codec:
         return [p for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))]
 
     def learn(self, parts: Iterable[str]) -> None:
-        """Makes every part's encoding known."""
+        """Makes every part's encoding known. Of two generations of parts the elder is forgotten when the younger is full; what is met again is young again."""
         known = self.known
         parts = set(parts)
         new = [p for p in parts if p not in known]
         if not new:
             return
-        if len(known) + len(new) > self.cache_size:
-            known.clear()
+        if len(known) + len(new) > self.cache_size // 2:
+            self.elder, known = known, {}
+            self.known = known
             new = list(parts)
-        split = [p if p.isalpha() else _WORD.findall(p) for p in new]
-        words = list({*(w for w in split if type(w) is str), *(w for ws in split if type(ws) is list for w in ws)})
+        elder = self.elder
+        if elder:
+            known.update((p, elder[p]) for p in new if p in elder)
+            new = [p for p in new if p not in elder]
         render = self.render
-        if render == self.as_bytes:
+        if render == self.as_bytes:  # most parts are single words, which need no table of their words
+            single, other = [], []
+            for p in new:
+                (single if p.isalpha() else other).append(p)
+            known.update(zip(single, map(self.as_bytes, self.merge_words(self.spell(single))), strict=True))
+            split = list(map(_WORD.findall, other))
+            words = list({w for ws in split for w in ws})
             raw = dict(zip(words, map(self.as_bytes, self.merge_words(self.spell(words))), strict=True))
-            known.update((p, raw[ws] if type(ws) is str else b"".join([raw[w] for w in ws])) for p, ws in zip(new, split, strict=True))
+            known.update((p, b"".join([raw[w] for w in ws])) for p, ws in zip(other, split, strict=True))
             return
+        split = [p if p.isalpha() else _WORD.findall(p) for p in new]
+        words = list({*(w for w in split if type(w) is str), *(w for ws in split if type(ws) is list for w in ws)})
         ids = dict(zip(words, self.encode_words(words), strict=True))
         for p, ws in zip(new, split, strict=True):
             known[p] = render(ids[ws] if type(ws) is str else [x for w in ws for x in ids[w]])
