@@ -103,9 +103,8 @@ class Codec:
         self.seen_keys, self.seen_good = np.full(1 << PAIRS, -1, np.int64), np.zeros(1 << PAIRS, bool)
         if text:
             (self.inner_slots, self.inner_ids), (self.final_slots, self.final_ids) = self._index(self.inner, ""), self._index(self.final, END)
-        self.cache_size = cache_size or (250_000 if text else 350_000)
+        self.cache_size = cache_size or (400_000 if text else 750_000)
         self.known: dict = {}
-        self.elder: dict = {}
         self.render = self.as_text if text else self.as_bytes
         for k, v in self.special.items():
             self.names[v] = k
@@ -347,20 +346,15 @@ class Codec:
         return [p for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))]
 
     def learn(self, parts: Iterable[str]) -> None:
-        """Makes every part's encoding known. Of two generations of parts the elder is forgotten when the younger is full; what is met again is young again."""
+        """Makes every part's encoding known."""
         known = self.known
         parts = set(parts)
         new = [p for p in parts if p not in known]
         if not new:
             return
-        if len(known) + len(new) > self.cache_size // 2:
-            self.elder, known = known, {}
-            self.known = known
+        if len(known) + len(new) > self.cache_size:
+            known.clear()
             new = list(parts)
-        elder = self.elder
-        if elder:
-            known.update((p, elder[p]) for p in new if p in elder)
-            new = [p for p in new if p not in elder]
         render = self.render
         if render == self.as_bytes:  # most parts are single words, which need no table of their words
             single, other = [], []
