@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, jpeg, language, licenses, minhash, packing, periods, personal, quality, substrings, vectors, warc
+from corpusloom.llm import baskets, bpe, jpeg, language, licenses, minhash, packing, periods, personal, quality, substrings, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_basket_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines").where(~F.col("flag").eqNullSafe("returned"))
+    return baskets.frequent_sets(lines)
+
+
 OP10_SQL = r"""
 WITH r AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
     || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
@@ -96,9 +101,32 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS record_sha256
 FROM r"""
 
 
+OP13_SQL = r"""
+WITH RECURSIVE b AS (SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE flag IS DISTINCT FROM 'returned' AND sale_id IS NOT NULL AND item_id IS NOT NULL),
+k AS (SELECT count(DISTINCT sale_id) AS n FROM b),
+f AS (SELECT item_id, count(*) AS s FROM b GROUP BY item_id HAVING count(*) >= 12 AND count(*) * 10000 >= (SELECT n FROM k)),
+r AS (SELECT b.sale_id, b.item_id FROM b JOIN f USING (item_id)),
+g AS (
+  SELECT [item_id] AS x, item_id AS last, sale_id FROM r
+  UNION ALL
+  SELECT x, last, sale_id FROM (
+    SELECT list_append(g.x, r.item_id) AS x, r.item_id AS last, g.sale_id, count(*) OVER (PARTITION BY list_append(g.x, r.item_id)) AS n
+    FROM g JOIN r ON r.sale_id = g.sale_id AND r.item_id > g.last) WHERE n >= 12 AND n * 10000 >= (SELECT n FROM k)),
+sets AS (SELECT x, count(*) AS s FROM g GROUP BY x),
+taken AS (SELECT x AS y, s, unnest(x) AS c FROM sets),
+less AS (SELECT list_filter(y, lambda e: e <> c) AS x, c, y, s FROM taken WHERE len(y) > 1),
+closed AS (SELECT x, s FROM sets WHERE NOT EXISTS (SELECT 1 FROM less WHERE less.x = sets.x AND less.s = sets.s)),
+rule AS (SELECT less.y, less.c, a.s AS a, f.s FROM less JOIN sets a ON a.x = less.x JOIN f ON f.item_id = less.c
+  WHERE 100 * less.s >= 30 * a.s AND CAST(less.s AS HUGEINT) * (SELECT n FROM k) > CAST(a.s AS HUGEINT) * f.s)
+SELECT array_to_string(closed.x, ',') AS items, CAST(len(closed.x) AS BIGINT) AS n_items, CAST(any_value(closed.s) AS BIGINT) AS support, CAST(count(c) AS BIGINT) AS n_rules,
+  min_by(c, (a, c)) AS best_item, sha256(coalesce(string_agg(c || ':' || a || ':' || rule.s, ';' ORDER BY c), '')) AS rules_sha256
+FROM closed LEFT JOIN rule ON rule.y = closed.x GROUP BY closed.x
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_audit": OP10_SQL}
+    return {"op10_warc_audit": OP10_SQL, "op13_basket_itemsets": OP13_SQL}
