@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ordering import normalise_weights
-from corpusloom.operators.storage import ranked, settle
+from corpusloom.operators.storage import drop_settled, ranked, running, settle
 
 
 # -- mixing ------------------------------------------------------------------------------------
@@ -102,20 +104,106 @@ def blend_steps(weights: list[float], size: int):
         drawn[i] += 1
 
 
+BLEND_RANGE = 1 << 20
+"""Steps that one task makes of a blend."""
+BLEND_BLOCK = 1 << 12
+"""Steps of a block; a range's blocks are stepped through together."""
+
+
+def even_counts(share: list[float], step: int) -> np.ndarray:
+    """About how many rows each dataset has given before a step: its share rounded, step in all."""
+    exact = np.array(share) * step
+    n = np.floor(exact).astype(np.int64)
+    short = step - int(n.sum())
+    n[np.argsort(n - exact, kind="stable")[: max(short, 0)]] += 1
+    n[int(np.argmax(n))] -= max(-short, 0)
+    return n
+
+
+def blend_block(share: list[float], start: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dataset_index, sample_index, counts after it) of the steps begin .. end - 1, given the counts before them: exactly those of blend_steps.
+
+    All blocks begin at guessed counts and are stepped through together, in numpy. Where a block's begin isn't the end of the one
+    before, it is made again from there, until all fit: of two runs with other counts, the one behind in a dataset draws it
+    first, so they soon are one and few blocks are made twice.
+    """
+    w = np.array(share)
+    first = np.arange(begin, end, BLEND_BLOCK)
+    size = np.minimum(BLEND_BLOCK, end - first)
+    starts = np.stack([start, *[even_counts(share, int(t)) for t in first[1:]]])
+    ends = np.empty_like(starts)
+    which, sample = np.empty((BLEND_BLOCK, len(first)), np.int32), np.empty((BLEND_BLOCK, len(first)), np.int64)
+    todo = np.arange(len(first))
+    while len(todo):
+        n, row = starts[todo].copy(), np.arange(len(todo))
+        for t in range(int(size[todo].max())):
+            at = np.maximum(first[todo] + t, 1)[:, None]
+            i = np.argmax(w * at - n, axis=1)
+            which[t, todo], sample[t, todo] = i, n[row, i]
+            n[row, i] += 1
+            if t + 1 == int(size[-1]) and todo[-1] == len(first) - 1:
+                ends[-1] = n[-1]  # the last block may be shorter
+        whole = todo[size[todo] == BLEND_BLOCK]
+        ends[whole] = n[size[todo] == BLEND_BLOCK]
+        wrong = np.flatnonzero((starts[1:] != ends[:-1]).any(axis=1)) + 1
+        starts[wrong] = ends[wrong - 1]
+        todo = wrong
+    order = which.T.ravel()[: end - begin], sample.T.ravel()[: end - begin]
+    return *order, ends[-1]
+
+
 def blend_index(spark: SparkSession, weights: list[float], size: int) -> DataFrame:
-    """(position, dataset_index, sample_index) of blend_steps: each step needs the one before, so one task makes them, in batches of bounded memory."""
-    import itertools
+    """(position, dataset_index, sample_index) of blend_steps, in ranges of BLEND_RANGE steps that tasks make side by side.
 
+    A step needs the counts of all steps before. Each range guesses those at the begin of the range before, makes that one
+    too, and so mostly arrives at the right counts; ranges that don't begin where the one before ended are made again from there
+    until none is left, so the result is that of the loop whatever the guesses were. The counts stay in a table of one
+    row a range.
+    """
     import pandas as pd
 
-    def run(frames):
-        for _ in frames:
-            steps, at = blend_steps(weights, size), 0
-            while some := list(itertools.islice(steps, 100_000)):
-                yield pd.DataFrame({"position": range(at, at + len(some)), "dataset_index": [i for i, _ in some], "sample_index": [k for _, k in some]})
-                at += len(some)
-
-    return spark.range(1).coalesce(1).mapInPandas(run, "position long, dataset_index int, sample_index long")
+    share = normalise_weights(weights)
+    ranges = -(-size // BLEND_RANGE)
+
+    def bounds(r: int) -> tuple[int, int]:
+        return r * BLEND_RANGE, min(size, (r + 1) * BLEND_RANGE)
+
+    def guess(frames):
+        for frame in frames:
+            for r in frame["id"].tolist():
+                if r > 1:
+                    start = blend_block(share, even_counts(share, bounds(r - 1)[0]), *bounds(r - 1))[2]
+                else:
+                    start = np.zeros(len(share), np.int64) if not r else blend_block(share, np.zeros(len(share), np.int64), *bounds(0))[2]
+                yield pd.DataFrame({"r": [r], "start": [start], "end": [blend_block(share, start, *bounds(r))[2]]})
+
+    def again(frames):
+        for frame in frames:
+            for r, start in zip(frame["r"].tolist(), frame["start"], strict=True):
+                yield pd.DataFrame({"r": [r], "start": [start], "end": [blend_block(share, np.asarray(start), *bounds(r))[2]]})
+
+    def steps(frames):
+        for frame in frames:
+            for r, start in zip(frame["r"].tolist(), frame["start"], strict=True):
+                which, sample, _ = blend_block(share, np.asarray(start), *bounds(r))
+                for at in range(0, len(which), 100_000):
+                    few = slice(at, at + 100_000)
+                    yield pd.DataFrame({"position": bounds(r)[0] + at + np.arange(len(which[few])), "dataset_index": which[few], "sample_index": sample[few]})
+
+    kinds, out = "r long, start array<long>, end array<long>", "position long, dataset_index int, sample_index long"
+    states = settle(spark.range(0, ranges, 1, max(1, min(ranges, 4096))).mapInPandas(guess, kinds), "blend")
+    while True:
+        fits = states.join(states.select((F.col("r") + 1).alias("r"), F.col("end").alias("before")), "r", "left")
+        wrong = settle(fits.where("before IS NOT NULL AND before <> start").select("r", F.col("before").alias("start")), "blend")
+        if not wrong.take(1):
+            drop_settled(wrong)
+            break
+        redone = wrong.repartition(4096 if ranges > 4096 else ranges, "r").mapInPandas(again, kinds)
+        now = settle(states.join(wrong, "r", "left_anti").unionByName(redone), "blend")
+        drop_settled(states)
+        drop_settled(wrong)
+        states = now
+    return states.repartitionByRange(max(1, min(ranges, 4096)), "r").mapInPandas(steps, out)
 
 
 def blended_rows(datasets: list[DataFrame], index: DataFrame, order: str, sizes: list[int]) -> DataFrame:
@@ -208,38 +296,76 @@ def missing_columns(files: DataFrame) -> DataFrame:
 # -- packing with seeds ------------------------------------------------------------------------
 
 
-def fill_box(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
-    """Greedy best fit: always the longest length that still fits. lengths ascend."""
-    out = []
-    while room > 0 and (i := bisect.bisect_right(lengths, room)):
-        while i and not left[lengths[i - 1]]:
-            i -= 1
-        if not i:
-            break
-        a = lengths[i - 1]
-        many = min(room // a, left[a])
-        out += [a] * many
-        left[a] -= many
-        room -= a * many
-    return out
+class Lengths:
+    """How many items of each length are left, and the longest that fits: lengths of which none is left are skipped by union-find."""
 
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = {a: n for a, n in counts.items() if 0 < a <= capacity and n > 0}
+        self.sorted = sorted(self.left)
+        self.below = list(range(len(self.sorted) + 1))
+        """For place i + 1 of sorted: the nearest place at or below it with items left; 0 is none."""
 
-def seeded_boxes(counts: dict[int, int], capacity: int, seeds: list[int], min_items: int, min_ratio: float) -> tuple[list[tuple[int, ...]], dict[int, int]]:
-    """PCK-03, PCK-04: boxes that begin with an item of a seed length, longest first, and are filled by best fit; kept if they have min_items and min_ratio, else their items stay. Over a histogram, so the work grows with the lengths and boxes."""
-    left = {a: n for a, n in counts.items() if 0 < a <= capacity}
-    lengths, boxes = sorted(left), []
-    for s in sorted((s for s in seeds if s in left), reverse=True):
-        while left[s]:
-            left[s] -= 1
-            rest = fill_box(lengths, left, capacity - s)
-            box = [s, *rest]
-            if len(box) >= min_items and sum(box) >= min_ratio * capacity:
-                boxes.append(tuple(box))
-                continue
-            for a in box:
-                left[a] += 1
-            break
-    return boxes, {a: n for a, n in left.items() if n}
+    def longest(self, room: int) -> int:
+        """The longest length up to room of which items are left, 0 if none."""
+        i = bisect.bisect_right(self.sorted, room)
+        root = i
+        while self.below[root] != root:
+            root = self.below[root]
+        while self.below[i] != root:
+            self.below[i], i = root, self.below[i]
+        return self.sorted[root - 1] if root else 0
+
+    def box(self, seed: int, capacity: int) -> dict[int, int]:
+        """A box of the seed and, always, as many as fit of the longest length that fits; nothing is taken yet."""
+        used, room = {seed: 1}, capacity - seed
+        top = room
+        while room > 0 and (a := self.longest(min(room, top))):
+            many = min(room // a, self.left[a] - used.get(a, 0))
+            if many:
+                used[a] = used.get(a, 0) + many
+                room -= many * a
+            top = a - 1
+        return used
+
+    def times(self, used: dict[int, int]) -> int:
+        """How often in turn the same box would be made: as long as each length has what one box takes."""
+        return min(self.left[a] // n for a, n in used.items())
+
+    def take(self, used: dict[int, int], times: int) -> None:
+        for a, n in used.items():
+            self.left[a] -= n * times
+            if not self.left[a]:
+                i = bisect.bisect_left(self.sorted, a) + 1
+                self.below[i] = i - 1
+
+    def rest(self) -> dict[int, int]:
+        return {a: n for a, n in self.left.items() if n}
+
+
+Boxes = list[tuple[tuple[int, ...], int]]
+"""Different boxes, each with how many of it there are."""
+
+
+def _spelt(used: dict[int, int]) -> tuple[int, ...]:
+    return tuple(a for a in sorted(used, reverse=True) for _ in range(used[a]))
+
+
+def seeded_boxes(counts: dict[int, int], capacity: int, seeds: list[int], min_items: int, min_ratio: float) -> tuple[Boxes, dict[int, int]]:
+    """PCK-03, PCK-04: boxes that begin with an item of a seed length, longest first, and are filled by best fit; kept if they have min_items and min_ratio, else their items stay.
+
+    Equal boxes that would be made in turn are one entry with their number, and each entry uses up a length or all but a few of it: work and
+    memory grow with the different lengths, not with items or boxes.
+    """
+    pool, boxes = Lengths(counts, capacity), []
+    for s in sorted((s for s in set(seeds) if s in pool.left), reverse=True):
+        while pool.left[s]:
+            used = pool.box(s, capacity)
+            if sum(used.values()) < min_items or sum(a * n for a, n in used.items()) < min_ratio * capacity:
+                break
+            many = pool.times(used)
+            boxes.append((_spelt(used), many))
+            pool.take(used, many)
+    return boxes, pool.rest()
 
 
 def seeds_half(counts: dict[int, int], half: int) -> list[int]:
@@ -252,22 +378,20 @@ def seeds_top(counts: dict[int, int], n: int) -> list[int]:
     return sorted(counts, key=lambda a: (-counts[a], -a))[:n]
 
 
-def simple_boxes(counts: dict[int, int], capacity: int, keys: list[int], m: int, min_ratio: float) -> tuple[list[tuple[int, ...]], dict[int, int]]:
+def simple_boxes(counts: dict[int, int], capacity: int, keys: list[int], m: int, min_ratio: float) -> tuple[Boxes, dict[int, int]]:
     """PCK-05: for each listed length up to m boxes of it and what fits beside it, kept at min_ratio."""
-    left = {a: n for a, n in counts.items() if 0 < a <= capacity}
-    lengths, boxes = sorted(left), []
+    pool, boxes = Lengths(counts, capacity), []
     for s in keys:
-        for _ in range(m):
-            if not left.get(s):
-                break
-            left[s] -= 1
-            box = [s, *fill_box(lengths, left, capacity - s)]
-            if sum(box) < min_ratio * capacity:
-                for a in box:
-                    left[a] += 1
+        made = 0
+        while made < m and pool.left.get(s):
+            used = pool.box(s, capacity)
+            if sum(a * n for a, n in used.items()) < min_ratio * capacity:
                 break
-            boxes.append(tuple(box))
-    return boxes, {a: n for a, n in left.items() if n}
+            many = min(m - made, pool.times(used))
+            boxes.append((_spelt(used), many))
+            pool.take(used, many)
+            made += many
+    return boxes, pool.rest()
 
 
 #: Fixed values: (min_items, min_ratio) of the rounds with seeds of at least the mean length, and the bounds of what follows.
@@ -275,14 +399,14 @@ SEED_ROUNDS = ((1, 0.96), (1, 0.95), (8, 0.9), (4, 0.92), (6, 0.92), (4, 0.9))
 MANY_LEFT, FEW_PACKED, TOP_SEEDS, TOP_ROUNDS, SIMPLE_LEFT = 10_000, 3_000, 20, 5, 100
 
 
-def box_rounds(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]], dict[int, int]]:
+def box_rounds(counts: dict[int, int], capacity: int) -> tuple[Boxes, dict[int, int]]:
     """PCK-06: full boxes first, then the seed rounds; while more than MANY_LEFT items are left, rounds with the most frequent lengths as seeds until one packs under FEW_PACKED, and the last round twice more; then simple boxes."""
     boxes, left = [], {a: n for a, n in counts.items() if 0 < a <= capacity and n > 0}
 
     def mean() -> int:
         return int(sum(left) / (len(left) + 1)) if left else 0
 
-    def go(made: tuple[list, dict]) -> int:
+    def go(made: tuple[Boxes, dict]) -> int:
         nonlocal left
         before = sum(left.values())
         boxes.extend(made[0])
@@ -304,30 +428,24 @@ def box_rounds(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, .
     return boxes, left
 
 
-def pack_seeded(items: DataFrame, key: str, length: str, capacity: int) -> DataFrame:
-    """(key, length, box_id, slot) of the rounds above; box_id is null for items that no round took.
+def pack_seeded(items: DataFrame, key: str, length: str, capacity: int, plan: Callable[[dict[int, int]], Boxes] | None = None) -> DataFrame:
+    """(key, length, box_id, slot) of the boxes that plan makes of the histogram of lengths (the rounds above if none is given); box_id is null for items that no box took.
 
-    The driver plans over the histogram of lengths and receives nothing else; a box of the plan stands for one box
-    of items, so equal boxes are counted together: the plan has a row for each different box and slot. Items find
-    theirs by their rank in their length, computed over many partitions.
+    The driver receives the histogram, at most capacity rows, and plans different boxes with their numbers, so neither grows with the items.
+    Items find their box and slot by their rank in their length, computed over many partitions.
     """
-    counts = {r[0]: r[1] for r in items.groupBy(length).agg(F.count("*").alias("n")).where(f"`{length}` <= {capacity}").collect() if r[0]}
-    boxes, _ = box_rounds(counts, capacity)
+    counts = {r[0]: r[1] for r in items.groupBy(length).agg(F.count("*").alias("n")).where(f"`{length}` <= {capacity}").orderBy(length).collect() if r[0]}
     same: dict[tuple[int, ...], int] = {}
-    for b in boxes:
-        b = tuple(sorted(b, reverse=True))
-        same[b] = same.get(b, 0) + 1
-    plan, taken, box_id = [], {}, 0
+    for box, times in plan(counts) if plan else box_rounds(counts, capacity)[0]:
+        same[box] = same.get(box, 0) + times
+    rows, taken, box_id = [], {}, 0
     for box, times in same.items():
         for slot, a in enumerate(box):
             low = taken.get(a, 0)
-            plan.append((a, low, low + times, box_id, slot))
+            rows.append((a, low, low + times, box_id, slot))
             taken[a] = low + times
         box_id += times
-    spark = items.sparkSession
-    slots = spark.createDataFrame(plan, "l long, low long, high long, first long, slot int")
-    from corpusloom.operators.storage import running
-
+    slots = items.sparkSession.createDataFrame(rows, "l long, low long, high long, first long, slot int")
     own = running(items, [length], [key], None, "_r")
     found = own.join(slots, (own[length] == slots["l"]) & (F.col("_r") >= F.col("low")) & (F.col("_r") < F.col("high")), "left")
     return found.select(key, length, (F.col("first") + F.col("_r") - F.col("low")).alias("box_id"), "slot")

@@ -277,6 +277,46 @@ def pck03_seeded_rounds(spark, d):
     )
 
 
+#: SQL of one round of boxes, an item at a time: c counts what is left of each length, i is the seed's place, box the box so far, done a box that was kept.
+BOXES_SQL = """
+WITH RECURSIVE n AS (SELECT len(regexp_split_to_array(text, '\\s+')) AS l, count(*) AS k FROM documents WHERE text IS NOT NULL GROUP BY 1),
+h AS (SELECT list(l ORDER BY l) AS ls, list(k ORDER BY l) AS ks FROM n WHERE l <= 4096),
+z AS ({seeds}),
+s AS (
+  SELECT ks AS c, 1 AS i, CAST([] AS BIGINT[]) AS box, CAST(NULL AS BIGINT[]) AS done FROM h
+  UNION ALL
+  SELECT
+    CASE WHEN a IS NOT NULL THEN list_transform(c, lambda x, j: x - (ls[j] = a)::INT)
+      WHEN box <> [] AND NOT good THEN list_transform(c, lambda x, j: x + len(list_filter(box, lambda y: y = ls[j]))) ELSE c END,
+    CASE WHEN a IS NULL AND NOT (box <> [] AND good) THEN i + 1 ELSE i END,
+    CASE WHEN a IS NOT NULL THEN list_append(box, a) ELSE [] END,
+    CASE WHEN a IS NULL AND box <> [] AND good THEN list_reverse_sort(box) END
+  FROM (
+    SELECT c, i, box, ls, len(box) >= {items} AND list_sum(box) >= {ratio} * 4096 AS good,
+      CASE WHEN box = [] THEN CASE WHEN c[list_position(ls, zs[i])] > 0 THEN zs[i] END
+        ELSE list_max(list_filter(ls, lambda x, j: c[j] > 0 AND x <= 4096 - coalesce(list_sum(box), 0))) END AS a
+    FROM s, h, z WHERE i <= len(zs)))
+SELECT array_to_string(done, '+') AS box, count(*) AS boxes FROM s WHERE done IS NOT NULL GROUP BY 1
+"""
+
+
+def _boxes(spark, d, seeds, min_items, min_ratio):
+    """(box, boxes): the lengths of the boxes that documents are packed into, and how many boxes have them."""
+    packed = mixing.pack_seeded(_items(spark, d), "doc_id", "length", 4096, lambda counts: mixing.seeded_boxes(counts, 4096, seeds(counts), min_items, min_ratio)[0])
+    boxes = packed.where("box_id IS NOT NULL").groupBy("box_id").agg(F.reverse(F.array_sort(F.collect_list("length"))).alias("box"))  # a box has capacity rows at most
+    return boxes.groupBy(F.array_join(F.col("box").cast("array<string>"), "+").alias("box")).agg(F.count("*").alias("boxes"))
+
+
+@query(BOXES_SQL.format(seeds="SELECT list(l ORDER BY l DESC) AS zs FROM n WHERE l BETWEEN 300 AND 4096", items=2, ratio=0.95))
+def pck03_half_boxes(spark, d):
+    return _boxes(spark, d, lambda counts: mixing.seeds_half(counts, 300), 2, 0.95)
+
+
+@query(BOXES_SQL.format(seeds="SELECT list(l ORDER BY l DESC) AS zs FROM (SELECT l FROM n WHERE l <= 4096 ORDER BY k DESC, l DESC LIMIT 20)", items=4, ratio=0.9))
+def pck04_top_boxes(spark, d):
+    return _boxes(spark, d, lambda counts: mixing.seeds_top(counts, 20), 4, 0.9)
+
+
 @query("""WITH r AS (SELECT doc_id, len(regexp_split_to_array(text, '\\s+')) l, (row_number() OVER (ORDER BY doc_id) - 1) // 100 b FROM documents WHERE text IS NOT NULL AND len(regexp_split_to_array(text, '\\s+')) <= 4096) SELECT b AS batch, count(*) AS items, CAST(sum(l) AS BIGINT) AS tokens, 0 AS overfull, true AS near FROM r GROUP BY 1""")
 def pck09_batches(spark, d):
     y = settle(mixing.pack_batches(_items(spark, d), "doc_id", "length", 4096, 100), "batches")

@@ -359,14 +359,77 @@ def test_vqa_answers():
     assert A.unboxed(r"a \boxed{1} and \boxed{x{y}z}") == "x{y}z" and A.unboxed(r"\fbox{q}") == "q" and A.unboxed(r"\boxed{x") is None
 
 
+def boxes_one_by_one(counts, capacity, seeds, min_items, min_ratio):
+    """An item at a time, as the packing is defined."""
+    left, boxes = {a: n for a, n in counts.items() if 0 < a <= capacity}, []
+    for s in sorted((s for s in set(seeds) if s in left), reverse=True):
+        while left[s]:
+            box, room = [s], capacity - s
+            left[s] -= 1
+            while fits := [a for a in left if left[a] and a <= room]:
+                box.append(max(fits))
+                left[box[-1]] -= 1
+                room -= box[-1]
+            if len(box) >= min_items and sum(box) >= min_ratio * capacity:
+                boxes.append(tuple(sorted(box, reverse=True)))
+                continue
+            for a in box:
+                left[a] += 1
+            break
+    return collections.Counter(boxes), {a: n for a, n in left.items() if n}
+
+
 def test_flexible_seed_boxes():
+    import random
+
     counts = {10: 7, 30: 3, 50: 2, 96: 1}
-    boxes, left = mixing.seeded_boxes(counts, 100, [50, 30], 2, 0.9)
-    used = collections.Counter(x for b in boxes for x in b) + collections.Counter(left)
-    assert used == collections.Counter(counts) and all(90 <= sum(b) <= 100 and len(b) >= 2 and max(b) in (50, 30) for b in boxes)
     assert mixing.seeds_half(counts, 30) == [30, 50, 96] and mixing.seeds_top(counts, 2) == [10, 30]
+    rng = random.Random(7)
+    for trial in range(300):
+        capacity = rng.randrange(5, 120)
+        counts = {rng.randrange(1, capacity + 10): rng.randrange(0, 40) for _ in range(rng.randrange(1, 30))}
+        seeds = mixing.seeds_top(counts, 5) if trial % 2 else mixing.seeds_half(counts, capacity // 3)
+        args = counts, capacity, seeds, rng.choice([1, 2, 4]), rng.choice([0.0, 0.9, 1.0])
+        boxes, left = mixing.seeded_boxes(*args)
+        got = collections.Counter()
+        for box, times in boxes:
+            got[box] += times
+        assert (got, left) == boxes_one_by_one(*args)
+        assert len(boxes) <= 2 * len(counts) + 1
     rounds, rest = mixing.box_rounds({7: 100, 13: 50, 100: 4}, 100)
-    assert (100,) in rounds and collections.Counter(x for b in rounds for x in b) + collections.Counter(rest) == collections.Counter({7: 100, 13: 50, 100: 4})
+    used = collections.Counter({a: n for a, n in rest.items()})
+    for box, times in rounds:
+        for a in box:
+            used[a] += times
+    assert ((100,), 4) in rounds and used == collections.Counter({7: 100, 13: 50, 100: 4})
+    simple, left = mixing.simple_boxes({90: 30, 10: 12}, 100, [90], 10, 0.95)
+    assert simple == [((90, 10), 10)] and left == {90: 20, 10: 2}
+
+
+def test_plans_follow_lengths_and_not_items():
+    import random
+    import time
+
+    rng = random.Random(3)
+    began = time.time()
+    few, left = mixing.box_rounds({a: 20_000 + rng.randrange(2000) for a in range(1, 4097)}, 4096)  # 86 million items
+    assert time.time() - began < 30 and len(few) < 60_000
+    assert sum(len(b) * n for b, n in few) + sum(left.values()) > 80_000_000
+
+
+def test_blend_is_the_loop_whatever_the_guesses(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(mixing, "BLEND_RANGE", 400)
+    monkeypatch.setattr(mixing, "BLEND_BLOCK", 64)
+    rng = random.Random(4)
+    for weights in ([1.0], [0.3, 0.7], [0.0, 1.0, 2.0], [0.9985, 0.001, 0.0005], [rng.random() for _ in range(7)], [rng.random() ** 6 for _ in range(5)]):
+        want = list(mixing.blend_steps(weights, 3210))
+        share = mixing.normalise_weights(weights)
+        which, sample, end = mixing.blend_block(share, np.zeros(len(share), np.int64), 0, 3210)
+        assert list(zip(which.tolist(), sample.tolist(), strict=True)) == want and end.sum() == 3210
+    got = mixing.blend_index(spark, weights, 3210).orderBy("position").collect()
+    assert [(r["dataset_index"], r["sample_index"]) for r in got] == want and [r["position"] for r in got] == list(range(3210))
 
 
 def test_cycles_and_streams(spark, tmp_path):
