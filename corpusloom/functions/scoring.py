@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ def _or(value: Column, below: Column, empty: float) -> Column:
     return F.when(below == 0, F.lit(empty)).otherwise(value)
 
 
-def _edits(a: str | None, b: str | None) -> int | None:
-    """Edit distance in code points, by bit vectors over the shorter text (Myers, Hyyrö): a step of the longer one costs a few operations on one long integer."""
+def edits(a, b) -> int | None:
+    """Edit distance of two texts, in code points, or of two lists, by bit vectors over the shorter text (Myers, Hyyrö): a step of the longer one costs a few operations on one long integer."""
     if a is None or b is None:
         return None
     if len(a) < len(b):
@@ -21,7 +22,7 @@ def _edits(a: str | None, b: str | None) -> int | None:
     m = len(b)
     if not m or a == b:
         return len(a) - m
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, c in enumerate(b):
         places[c] = places.get(c, 0) | 1 << i
     full, last = (1 << m) - 1, m - 1
@@ -37,9 +38,22 @@ def _edits(a: str | None, b: str | None) -> int | None:
     return edits
 
 
+def _edit_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def _token_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edits(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    """levenshtein for long texts: the native one visits every pair of characters singly."""
-    return F.udf(_edits, "int")(a, b)
+    """levenshtein for long texts, in Arrow batches: the native one visits every pair of characters singly."""
+    return F.pandas_udf(_edit_batch, "int")(a, b)
+
+
+def token_edit_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of words, however many different ones; null where an array is."""
+    return F.pandas_udf(_token_batch, "int")(a, b)
 
 
 def anls(prediction: Column, references: Column, cut: float = 0.5) -> Column:

@@ -31,19 +31,10 @@ def arrow_pair(f, returns: str = "double"):
 # -- edits -------------------------------------------------------------------------------------
 
 
-def token_edit_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words: words become single characters, so that the native distance applies."""
-
-    def coded(x: Column, words: Column) -> Column:
-        return F.array_join(F.transform(x, lambda w: F.chr(F.array_position(words, w) + 0x100)), "")
-
-    return F.transform(F.array(F.array_distinct(F.concat(a, b))), lambda words: F.levenshtein(coded(a, words), coded(b, words)))[0]
-
-
 def mixed_error_rate(a: Column, b: Column) -> Column:
     """Edits over the longer one's words; 0 where both are empty."""
     most = F.greatest(F.size(a), F.size(b))
-    return F.when(most == 0, 0.0).otherwise(token_edit_distance(a, b) / most)
+    return F.when(most == 0, 0.0).otherwise(S.token_edit_distance(a, b) / most)
 
 
 def damerau(a: str, b: str) -> int:
@@ -167,18 +158,26 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def _counted(words: list, n: int) -> collections.Counter:
+    return collections.Counter(zip(*(words[i:] for i in range(n)), strict=False))
+
+
+def clipped_matches(a, b, n: int) -> int:
+    """N-grams of a that b has too, each as often as in the one that has it less often."""
+    return (_counted(list(a), n) & _counted(list(b), n)).total()
+
+
 def ngram_f1(prediction: Column, truth: Column, n: int = 1) -> Column:
-    """Multiset F1 of the n-grams of normalised words; 0 without a common one."""
+    """Multiset F1 of the n-grams of normalised words; 0 without a common one. N-grams are counted, so the work grows with the texts."""
 
-    def grams(c: Column) -> Column:
-        return F.transform(F.array(F.filter(F.split(T.squad_normal(c), " "), lambda w: w != "")), lambda w: ngrams(w, n))[0]
+    def words(c: Column) -> Column:
+        return F.filter(F.split(T.squad_normal(c), " "), lambda w: w != "")
 
-    def score(pair: Column) -> Column:
-        p, t = pair["p"], pair["t"]
-        common = F.aggregate(F.array_distinct(F.array_intersect(p, t)), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(p, lambda x: x == g)), F.size(F.filter(t, lambda x: x == g))))
-        return F.when(common > 0, 2.0 * common / (F.size(p) + F.size(t))).otherwise(0.0)
+    def score(a, b) -> float:
+        common, total = clipped_matches(a, b, n), max(len(a) - n + 1, 0) + max(len(b) - n + 1, 0)
+        return 2.0 * common / total if common else 0.0
 
-    return F.transform(F.array(F.struct(grams(prediction).alias("p"), grams(truth).alias("t"))), score)[0]
+    return arrow_pair(score)(words(prediction), words(truth))
 
 
 def best_ngram(result: str, wanted: str, joint: str = " ") -> dict:
@@ -213,13 +212,12 @@ def bleu(rows, prediction: str, reference: str, n: int = 4):
     words = [F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "") for c in (prediction, reference)]
     base = rows.select(words[0].alias("p"), words[1].alias("r"))
 
-    def clipped(k: int) -> Column:
-        def score(pair: Column) -> Column:
-            p, r = pair["p"], pair["r"]
-            return F.aggregate(F.array_distinct(F.array_intersect(p, r)), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(p, lambda x: x == g)), F.size(F.filter(r, lambda x: x == g))))
-        return F.transform(F.array(F.struct(ngrams(F.col("p"), k).alias("p"), ngrams(F.col("r"), k).alias("r"))), score)[0]
+    @F.pandas_udf("array<int>")
+    def clipped(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else [clipped_matches(x, y, k) for k in range(1, n + 1)] for x, y in zip(a, b, strict=True)])
 
-    sums = base.agg(*[F.sum(clipped(k)).alias(f"m{k}") for k in range(1, n + 1)], *[F.sum(F.greatest(F.size("p") - (k - 1), F.lit(0))).alias(f"t{k}") for k in range(1, n + 1)], F.sum(F.size("p")).alias("c"), F.sum(F.size("r")).alias("l"))
+    base = base.withColumn("_m", clipped("p", "r"))
+    sums = base.agg(*[F.sum(F.col("_m")[k - 1]).alias(f"m{k}") for k in range(1, n + 1)], *[F.sum(F.greatest(F.size("p") - (k - 1), F.lit(0))).alias(f"t{k}") for k in range(1, n + 1)], F.sum(F.size("p")).alias("c"), F.sum(F.size("r")).alias("l"))
     mean = sum(F.log(F.col(f"m{k}") / F.col(f"t{k}")) for k in range(1, n + 1)) / n
     none = F.lit(False)
     for k in range(1, n + 1):

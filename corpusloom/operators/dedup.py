@@ -82,18 +82,28 @@ def gram_hashes(words: Column, n: int) -> Column:
     return _bound(words, lambda w: _windows(w, n, lambda x: F.xxhash64(x)))
 
 
+def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, _key): the key, of id and text, is never null, so rows that lack an id or share one can be joined too."""
+    return rows.select(id_col, text_col).withColumn("_key", F.xxhash64(id_col, text_col))
+
+
+def _shared(keyed: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, _key, gram) of rows with a _key."""
+    theirs = benchmark.select(F.explode(shingles(words_of(F.col("text")), n)).alias("gram")).distinct()
+    keys = theirs.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
+    ours = keyed.select("_key", F.explode(F.array_distinct(gram_hashes(words_of(F.col(text_col)), n))).alias("h"))
+    hits = ours.join(keys, "h", "left_semi").select("_key").distinct()
+    again = keyed.join(hits, "_key", "left_semi")
+    grams = again.select(id_col, "_key", F.explode(F.array_distinct(shingles(words_of(F.col(text_col)), n))).alias("gram"))
+    return grams.join(theirs, "gram", "left_semi").select(id_col, "_key", "gram").distinct()
+
+
 def shared_grams(documents: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gram): the different n-grams of words that a document shares with the benchmark.
+    """(id, gram): the different n-grams of words that a document shares with the benchmark; rows of one id, or of none, are taken together.
 
     Documents are dealt by 64-bit hashes of their n-grams; only those with a hit have theirs compared as texts.
     """
-    theirs = benchmark.select(F.explode(shingles(words_of(F.col("text")), n)).alias("gram")).distinct()
-    keys = theirs.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
-    ours = documents.select(id_col, F.explode(F.array_distinct(gram_hashes(words_of(F.col(text_col)), n))).alias("h"))
-    hits = ours.join(keys, "h", "left_semi").select(id_col).distinct()
-    again = documents.select(id_col, text_col).join(hits, id_col, "left_semi")
-    grams = again.select(id_col, F.explode(F.array_distinct(shingles(words_of(F.col(text_col)), n))).alias("gram"))
-    return grams.join(theirs, "gram", "left_semi").select(id_col, "gram").distinct()
+    return _shared(_keyed(documents, id_col, text_col), benchmark, n, id_col, text_col).select(id_col, "gram").distinct()
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,12 +130,12 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 13, aroun
 
     Each shared n-gram of words goes with `around` characters on both sides; pieces under `least` characters go;
     a document that falls into more than most_splits + 1 pieces goes as a whole. Documents without a hit stay as they
-    are, one piece 0, whatever their length; null texts too. Ids are taken to be unique. Only documents with a hit
-    pass through Python.
+    are, one piece 0, whatever their length; null texts too. Rows without an id, or with that of another, are cut like any other.
+    Only documents with a hit pass through Python.
     """
-    grams = settle(shared_grams(documents, benchmark, n, id_col, text_col), "grams")
-    hit = grams.groupBy(id_col).agg(F.collect_list("gram").alias("_grams"))
-    docs = documents.select(id_col, text_col)
+    docs = _keyed(documents, id_col, text_col)
+    grams = settle(_shared(docs, benchmark, n, id_col, text_col), "grams")
+    hit = grams.groupBy("_key").agg(F.collect_list("gram").alias("_grams"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
@@ -137,5 +147,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 13, aroun
                     rows += [(key, i, text[x:y]) for i, (x, y) in enumerate((x, y) for x, y in spans if y - x >= least)]
             yield pd.DataFrame(rows, columns=[id_col, "piece", "text"])
 
-    whole = docs.join(grams, id_col, "left_anti").select(id_col, F.lit(0).alias("piece"), F.col(text_col).alias("text"))
-    return whole.unionByName(docs.join(hit, id_col).mapInPandas(cut, f"{id_col} {kind}, piece int, text string"))
+    whole = docs.join(grams, "_key", "left_anti").select(id_col, F.lit(0).alias("piece"), F.col(text_col).alias("text"))
+    return whole.unionByName(docs.join(hit, "_key").select(id_col, text_col, "_grams").mapInPandas(cut, f"{id_col} {kind}, piece int, text string"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import scoring as S
+
 
 def ratio(above: Column, below: Column) -> Column:
     """above / below; 0 where below is 0."""
@@ -95,14 +97,10 @@ def bootstrap(rows: DataFrame, score: str, key: str, draws: int = 1000, low: flo
 
 
 def word_error_rate(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """100 * edits / reference words over the corpus; words become single characters so that the native edit distance applies."""
-    words = F.array_distinct(F.concat(F.split(reference, " "), F.split(hypothesis, " ")))
-
-    def coded(c: str) -> Column:
-        return F.array_join(F.transform(F.split(c, " "), lambda w: F.chr(F.array_position(words, w) + 0x100)), "")
-
-    chars = pairs.select(F.size(F.split(reference, " ")).alias("n"), F.levenshtein(coded(reference), coded(hypothesis)).alias("d"))
-    return chars.agg((100 * F.sum("d") / F.sum("n")).alias("wer"))
+    """100 * edits / reference words over the corpus. Rows where either text is null count for nothing."""
+    words = pairs.select(F.split(reference, " ").alias("r"), F.split(hypothesis, " ").alias("h"))
+    found = words.select(F.size("r").alias("n"), S.token_edit_distance(F.col("r"), F.col("h")).alias("d")).where("d IS NOT NULL")
+    return found.agg((100 * F.sum("d") / F.sum("n")).alias("wer"))
 
 
 def length_statistics(rows: DataFrame, length: str) -> DataFrame:

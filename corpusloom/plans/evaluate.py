@@ -47,6 +47,15 @@ def agg10_word_errors(spark, d):
     return rounded(grouping.word_error_rate(x.select(ref.alias("r"), hyp.alias("h")), "r", "h"))
 
 
+@query("""WITH r AS (SELECT len(string_split(coalesce(text, ''), ' ')) AS n FROM documents) SELECT round(100 * sum(n // 5) / sum(n), 6) AS wer, round(avg((n // 5) / n), 6) AS mer FROM r""")
+def agg11_long_texts(spark, d):
+    """Whole texts, most with more than 255 different words, against themselves with every fifth word replaced."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    other = F.array_join(F.transform(words, lambda v, i: F.when(i % 5 == 4, F.concat(F.lit("\x01"), i.cast("string"))).otherwise(v)), " ")
+    x = t(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("r"), other.alias("h"))
+    return rounded(grouping.word_error_rate(x, "r", "h").join(F.broadcast(E.mean_error_rate(x, "r", "h"))))
+
+
 @query("""SELECT round(avg(1.0 / (len(string_split(p_name, ' ')) + 1)), 6) AS mer FROM part""")
 def agg11_mixed_errors(spark, d):
     return rounded(E.mean_error_rate(t(spark, d, "part").select("p_name", F.concat(F.lit("zz "), "p_name").alias("h")), "p_name", "h"))

@@ -15,7 +15,17 @@ def sim02_token_edits(spark, d):
     w = F.split("p_name", " ", -1)
     more, other = F.concat(F.array(F.lit("new")), w), F.concat(w, F.array(F.lit("x"), F.lit("y")))
     back = F.concat(w, F.array(F.lit("y"), F.lit("x")))
-    return t(spark, d, "part").select("p_partkey", M.token_edit_distance(w, more).alias("tokens"), F.round(M.mixed_error_rate(w, more), 9).alias("rate"), M.token_edit_distance(other, back).alias("swapped"), M.token_edit_distance(w, w).alias("equal"))
+    return t(spark, d, "part").select("p_partkey", S.token_edit_distance(w, more).alias("tokens"), F.round(M.mixed_error_rate(w, more), 9).alias("rate"), S.token_edit_distance(other, back).alias("swapped"), S.token_edit_distance(w, w).alias("equal"))
+
+
+@query("""SELECT doc_id, CAST(n // 7 AS INT) AS edits, CAST(n AS INT) AS removed, round(CASE WHEN n = 0 THEN 0 ELSE (n // 7) / n END, 9) AS rate FROM (SELECT doc_id, len(string_split(coalesce(text, ''), ' ')) AS n FROM documents)""")
+def sim02_long_token_edits(spark, d):
+    """Whole texts against themselves with every seventh word replaced by one that is in no text, and against nothing."""
+    x = t(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("w"))
+    other = F.transform("w", lambda v, i: F.when(i % 7 == 6, F.concat(F.lit("\x01"), i.cast("string"))).otherwise(v))
+    y = x.select("doc_id", "w", other.alias("o"), F.array().cast("array<string>").alias("none"))
+    edits = S.token_edit_distance(F.col("w"), F.col("o"))
+    return y.select("doc_id", edits.alias("edits"), S.token_edit_distance(F.col("w"), F.col("none")).alias("removed"), F.round(M.mixed_error_rate(F.col("w"), F.col("o")), 9).alias("rate"))
 
 
 _PAIR = "p_name a, reverse(p_name) b, substr(p_name, 2) || 's' c"

@@ -417,6 +417,40 @@ def test_plans_follow_lengths_and_not_items():
     assert sum(len(b) * n for b, n in few) + sum(left.values()) > 80_000_000
 
 
+def test_word_edits_of_many_words(spark):
+    words = [f"w{i}" for i in range(70_000)]
+    long_ = spark.createDataFrame([(words, words[:10] + ["x"] + words[11:69_000])], "a array<string>, b array<string>")
+    assert long_.select(S.token_edit_distance(F.col("a"), F.col("b")).alias("d")).first()[0] == 1001
+    rows = spark.createDataFrame([(" ".join(words[:400]), " ".join(words[:256] + ["w999"] + words[257:399] + ["w1000"])), ("a b", None)], "r string, h string")
+    assert grouping.word_error_rate(rows, "r", "h").first()[0] == 0.5
+    none = spark.createDataFrame([(None, ["a"]), ([], []), ([None, "a"], ["a"])], "a array<string>, b array<string>")
+    assert [r[0] for r in none.select(S.token_edit_distance(F.col("a"), F.col("b")).alias("d")).collect()] == [None, 0, 1]
+
+
+def test_ngrams_are_counted(spark):
+    rng = random.Random(1)
+    for _ in range(40):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
+        for n in (1, 2, 3):
+            x, y = ([tuple(w[i : i + n]) for i in range(len(w) - n + 1)] for w in (a, b))
+            assert M.clipped_matches(a, b, n) == sum(min(x.count(g), y.count(g)) for g in set(x))
+    many = " ".join(f"w{i % 7000}" for i in range(20_000))
+    assert one(spark, M.ngram_f1(F.col("p"), F.col("t"), 2), p=many, t=many) == 1.0
+
+
+def test_decontamination_of_rows_without_ids(spark):
+    passage = " ".join(f"word{i}" for i in range(20))
+    clean, other = "nothing here " * 30, " ".join(f"other{i}" for i in range(100))
+    docs = spark.createDataFrame([(None, f"{clean}{passage} {clean}"), (None, clean), (7, f"{other} {passage} {other}"), (7, clean), (8, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = collections.defaultdict(list)
+    for r in dedup.decontaminate(docs, bench).collect():
+        got[r["doc_id"]].append(r["text"])
+    assert not any("word5" in (x or "") for v in got.values() for x in v)
+    assert sorted(got, key=str) == [7, 8, None] and clean in got[None] and clean in got[7] and len(got[7]) == 3 and got[8] == [None]
+    assert {(r["doc_id"], r["n_shared"]) for r in dedup.contaminated(docs, bench).collect()} == {(None, 8), (7, 8)}
+
+
 def test_blend_is_the_loop_whatever_the_guesses(spark, monkeypatch):
     import random
 
