@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -26,9 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, tag: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and what a re-run could order otherwise is fixed."""
+    """Writes df to the shared folder and reads it back: lineage is cut, and what a re-run could order otherwise is fixed.
+
+    The table goes when drop_settled(), release() or the end of a scope() says so, and at the latest with the driver.
+    """
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/corpusloom/{tag}-{uuid.uuid4().hex}"
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._settled_path = path
@@ -36,22 +42,42 @@ def settle(df: DataFrame, tag: str = "table") -> DataFrame:
     return out
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def drop_settled(df: DataFrame) -> None:
     """Deletes a table of settle() that no plan needs any more."""
     path = getattr(df, "_settled_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = _place(df.sparkSession, path)
+        fs.delete(where, True)
+        fs.cancelDeleteOnExit(where)
         _TABLES[:] = [t for t in _TABLES if t is not df]
 
 
-def release() -> None:
-    """Drops all tables that are left: what callers do when the lazy results that read them have been consumed."""
-    for table in list(_TABLES):
+def mark_tables() -> int:
+    """What release() is to keep: the tables there are now."""
+    return len(_TABLES)
+
+
+def release(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Drops the tables made since mark_tables() said so, but for one: what callers do when the lazy results that read them have been consumed."""
+    for table in [t for t in _TABLES[since:] if t is not keep]:
         drop_settled(table)
 
 
+@contextlib.contextmanager
+def scope():
+    """with scope(): whatever operators settle inside is dropped at the end; results have to be consumed, or written, inside."""
+    began = mark_tables()
+    try:
+        yield
+    finally:
+        release(began)
+
+
 def _laid_out(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows sorted over all partitions and written once, with __part (partition) and __place (place in it)."""
     spark = rows.sparkSession
