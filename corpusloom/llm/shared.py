@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,64 +16,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
-"""Text bytes that one numpy block covers; a longer text is a block of its own."""
-
-_LOCAL: dict[str, str] = {}
-_TABLES: list[DataFrame] = []
-"""Tables of materialise() that nobody has discarded yet."""
-
+from corpusloom.operators.storage import drop_settled, mark_tables, release, settle
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only a local master, as in tests, may do without the setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
-    return found.rstrip("/")
+__all__ = ["Block", "blocks", "discard", "drop_settled", "ids_first", "is_empty", "mark_tables", "materialise", "mix", "powers", "release", "rolling", "settle", "small_batches", "sole", "stream", "strings", "worker_cache"]
 
+BLOCK_BYTES = 1 << 20
+"""Text bytes that one numpy block covers; a longer text is a block of its own."""
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of one Arrow batch, so that long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage is cut, and any executor can read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._corpusloom_path = path
-    _TABLES.append(out)
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table of materialise() that no plan needs any more."""
-    path = getattr(df, "_corpusloom_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _TABLES[:] = [t for t in _TABLES if t is not df]
-
-
-def mark_tables() -> int:
-    """What release() is to keep: the tables there are now."""
-    return len(_TABLES)
-
-
-def release(since: int = 0, keep: DataFrame | None = None) -> None:
-    """Deletes the tables made since mark_tables() said so, but for one; results that still read them are gone with them.
-
-    An operator's lazy result reads its tables when an action runs, so only its caller knows when they are done with.
-    """
-    for table in [t for t in _TABLES[since:] if t is not keep]:
-        discard(table)
+materialise, discard = settle, drop_settled
+"""Tables in the shared folder, by the registry that the engine's operators use too, so one release() drops both kinds."""
 
 
 _CACHES: list[dict] = []

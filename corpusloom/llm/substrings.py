@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import Block, blocks, ids_first, is_empty, materialise, mix, rolling, small_batches, sole, strings
@@ -41,6 +42,7 @@ HOT_LEADERS = 100_000
 MARKED = 1 << 20
 """Parts of the range of hashes of ids; texts in a part without a repeat are not shuffled."""
 NO_ID = np.int64(2**63 - 1)
+"""Stands for rows without an id inside; see with_free_top."""
 
 
 class Symbols:
@@ -272,7 +274,9 @@ def _sent(batches: Iterator[pa.RecordBatch], width: int, parts: int, groups: int
             part = parts_of(lead[keep], mark[keep], parts, hot)
             out = [(p, *packet, b"") for p, packet in _split(ids, texts if keyed else None, row[keep], place[keep], mark[keep], part // size, 0, groups, part % size if size > 1 else None)]
             if len(hit):
-                out[0] = (*out[0][:-1], settled_rows(row[hit], place[hit], ids, texts if keyed else np.zeros(len(ids), np.int64)))
+                # Any part can pass them on; a hash of the block's first document picks one, so all parts get their share.
+                to = int(mix(ids[:1].view(np.uint64))[0] % np.uint64(groups))
+                out.append((to, *[b""] * len(PACKET), settled_rows(row[hit], place[hit], ids, texts if keyed else np.zeros(len(ids), np.int64))))
             yield _batch(out)
 
 
@@ -284,12 +288,13 @@ def _dealt_again(batches: Iterator[pa.RecordBatch], parts: int, groups: int, key
 
     def flush() -> pa.RecordBatch:
         low = held[0]["part"] * size
-        out = [(low, *[b""] * len(PACKET), x["settled"]) for x in held if len(x["settled"])]
+        out = [(low + zlib.crc32(x["settled"][8:16]) % size, *[b""] * len(PACKET), x["settled"]) for x in held if len(x["settled"])]
         got = [(*unpack(x), np.frombuffer(x["subs"], "<u2")) for x in held if len(x["ids"])]
-        starts = np.cumsum([0] + [len(g[0]) for g in got])
-        row = np.concatenate([g[2] + s for g, s in zip(got, starts, strict=False)])
-        ids, keys, place, mark, sub = (np.concatenate([g[i] for g in got]) for i in (0, 1, 3, 4, 5))
-        out += [(p, *packet, b"") for p, packet in _split(ids, keys if keyed else None, row, place, mark, low + sub.astype(np.int64), low, low + size)]
+        if got:
+            starts = np.cumsum([0] + [len(g[0]) for g in got])
+            row = np.concatenate([g[2] + s for g, s in zip(got, starts, strict=False)])
+            ids, keys, place, mark, sub = (np.concatenate([g[i] for g in got]) for i in (0, 1, 3, 4, 5))
+            out += [(p, *packet, b"") for p, packet in _split(ids, keys if keyed else None, row, place, mark, low + sub.astype(np.int64), low, low + size)]
         held.clear()
         return _batch(out)
 
@@ -406,11 +411,30 @@ def part_count(docs: DataFrame) -> int:
     return max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
 
 
+def with_free_top(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """docs with ids in the same order of which none is NO_ID, and the column of the old ids.
+
+    Where the greatest 64-bit number is an id, those above a number that is none move down by one.
+    """
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    doc_id = F.col("doc_id")
+    if high != int(NO_ID):
+        return docs, doc_id
+    gap = -(2**63)
+    if low == gap:
+        ids = docs.select("doc_id").where("doc_id IS NOT NULL")
+        above = ids.where(doc_id < int(NO_ID)).select((doc_id + 1).alias("doc_id"))
+        gap = above.join(ids, "doc_id", "left_anti").agg(F.min("doc_id")).first()[0]
+    moved = docs.withColumn("doc_id", F.when(doc_id > gap, doc_id - 1).otherwise(doc_id))
+    return moved, F.when(doc_id >= gap, doc_id + 1).otherwise(doc_id).alias("doc_id")
+
+
 def repeated(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(doc_id, text_key, found): for each text with windows that start in a smaller document too, ranges of them; text_key is 0 where ids tell all rows apart."""
     small_batches(documents.sparkSession)
     docs = keyed(documents, id_col, text_col)
     twice = not is_empty(docs.groupBy("doc_id").count().where("count > 1"))
+    docs, own_id = with_free_top(docs)
     parts = parts or part_count(docs)
     hot = hot_leaders(docs, width, parts)
     groups = parts if parts <= FAN else math.ceil(math.sqrt(parts))
@@ -420,7 +444,7 @@ def repeated(documents: DataFrame, width: int = 13, id_col: str = "doc_id", text
         sent = sent.repartition(min(groups, 2000), "part").sortWithinPartitions("part").mapInArrow(lambda it: _dealt_again(it, parts, groups, twice), schema)
     buckets = min(parts, FAN)
     hits = sent.groupBy("part").applyInArrow(lambda t: _found(t, buckets), "bucket int, ids binary, keys binary, starts binary, lengths binary")
-    out = hits.groupBy("bucket").applyInArrow(_by_document, "doc_id long, text_key long, found binary")
+    out = hits.groupBy("bucket").applyInArrow(_by_document, "doc_id long, text_key long, found binary").select(own_id, "text_key", "found")
     return out if twice else out.withColumn("text_key", F.lit(0).cast("long"))
 
 
