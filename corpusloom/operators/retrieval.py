@@ -12,44 +12,40 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _blocks(rows: DataFrame, names: tuple[str, str], size: int) -> DataFrame:
+    """(n, ids, matrix): vectors by `size`, as bytes."""
+
+    def pack(batches):
+        for b in batches:
+            for low in range(0, len(b), size):
+                own = b[low : low + size]
+                yield pd.DataFrame({"ids": [own[names[0]].to_numpy(dtype=np.int64).tobytes()], "matrix": [np.stack(own[names[1]].to_numpy()).astype(np.float64).tobytes()]})
+
+    return rows.where(F.col(names[1]).isNotNull()).select(F.col(names[0]).cast("long").alias(names[0]), names[1]).mapInPandas(pack, "ids binary, matrix binary")
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of greatest inner product, ties to the lesser id.
 
-    queries (query_id, embedding) is a stated set, searched in blocks of at most `block` vectors whatever its size: each
-    block's matrix goes to the tasks that read (item_id, embedding), every task keeps k a query, and only those
-    are shuffled. Null vectors are left out on both sides.
+    queries (query_id, embedding) is a stated set. Both it and (item_id, embedding) are laid out in blocks of at most `block` vectors, and each
+    block of items meets each of queries as one matrix product; a pair of blocks sends on k items a query. Nothing is collected, and the items
+    are read once however many queries there are. Null vectors are left out on both sides.
     """
     from pyspark.sql import Window
 
-    from corpusloom.operators.storage import ranked
-
-    asked = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
-    n = asked.count()
-    laid = ranked(asked, "query_id", name="_r") if n > block else asked.withColumn("_r", F.lit(0).cast("long"))
-    own = items.where("embedding IS NOT NULL").select("item_id", "embedding")
-    out = None
-    for low in range(0, max(n, 1), block):
-        rows = laid.where((F.col("_r") >= low) & (F.col("_r") < low + block)).collect()  # one bounded block
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        found = own.mapInPandas(_best_of(ids, q, k), "query_id long, item_id long, score double")
-        part = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _best_of(ids: np.ndarray, q: np.ndarray, k: int):
-    def run(batches):
+    def best(batches):
         for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            own = b["item_id"].to_numpy()
-            scores = q @ np.stack(b["embedding"].to_numpy()).astype(np.float64).T
-            n = min(k, len(own))
-            order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :n]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "item_id": own[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+            for qi, qm, ii, im in zip(b["q_ids"], b["q_matrix"], b["ids"], b["matrix"], strict=True):
+                ids, own = np.frombuffer(qi, np.int64), np.frombuffer(ii, np.int64)
+                scores = np.frombuffer(qm).reshape(len(ids), -1) @ np.frombuffer(im).reshape(len(own), -1).T
+                n = min(k, len(own))
+                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :n]
+                yield pd.DataFrame({"query_id": np.repeat(ids, n), "item_id": own[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
 
-    return run
+    asked = _blocks(queries, ("query_id", "embedding"), block).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    pairs = _blocks(items, ("item_id", "embedding"), block).crossJoin(asked)
+    found = pairs.mapInPandas(best, "query_id long, item_id long, score double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k)
 
 
 def block_ranges(n: int, size: int = 100_000) -> list[tuple[int, int]]:
@@ -144,29 +140,51 @@ def hit_curve(hits: DataFrame, k: int) -> DataFrame:
     return by.groupBy("rank").agg(F.count("*").alias("hits"))
 
 
-def k_center(items: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "embedding") -> list[int]:
+def k_center(items: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "embedding", steps: int = 64) -> list[int]:
     """Greedy core-set: from the least id on, always the item farthest from those chosen, ties to the lesser id.
 
-    Distances stay distributed; each step sends one vector out and one row back.
+    Each item carries the least distance to what was chosen so far, so a step compares it with the newest centres only; every `steps` steps these
+    distances are written. A step sends one vector out and one row back. Null vectors are left out.
     """
-    least = items.orderBy(id_col).select(id_col, vector_col).first()
-    if least is None:
+    from corpusloom.operators.storage import drop_settled, settle
+
+    rows = items.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    first = rows.orderBy("id").first()
+    if first is None:
         return []
-    chosen, centres = [least[0]], [np.array(least[1], dtype=np.float64)]
+    chosen, new = [first["id"]], [np.array(first["v"])]
+    held = rows.withColumn("d", F.lit(float("inf")))
+    written: DataFrame | None = None
+
+    def nearer(frame: pd.DataFrame, centres: np.ndarray) -> np.ndarray:
+        x = np.stack(frame["v"].to_numpy())
+        return np.minimum(frame["d"].to_numpy(), np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0))
+
     while len(chosen) < n:
-        matrix = np.stack(centres)
+        centres = np.stack(new)
 
-        def far(batches, matrix=matrix):
+        def far(batches, centres=centres):
             for b in batches:
                 if len(b):
-                    x = np.stack(b[vector_col].to_numpy()).astype(np.float64)
-                    d = np.min(((x[:, None, :] - matrix[None]) ** 2).sum(axis=2), axis=1)
-                    i = np.lexsort((b[id_col].to_numpy(), -d))[0]
-                    yield pd.DataFrame({"id": [b[id_col].iloc[i]], "d": [d[i]], "v": [b[vector_col].iloc[i]]})
+                    d = nearer(b, centres)
+                    i = np.lexsort((b["id"].to_numpy(), -d))[0]
+                    yield pd.DataFrame({"id": [b["id"].iloc[i]], "d": [d[i]], "v": [b["v"].iloc[i]]})
 
-        best = items.select(id_col, vector_col).mapInPandas(far, "id long, d double, v array<float>").orderBy(F.desc("d"), "id").first()
+        best = held.mapInPandas(far, "id long, d double, v array<double>").orderBy(F.desc("d"), "id").first()
         if best is None or best["d"] == 0:
             break
         chosen.append(best["id"])
-        centres.append(np.array(best["v"], dtype=np.float64))
+        new.append(np.array(best["v"]))
+        if len(new) >= steps:
+            centres = np.stack(new)
+
+            def carry(batches, centres=centres):
+                for b in batches:
+                    if len(b):
+                        yield b.assign(d=nearer(b, centres))
+
+            before, written = written, settle(held.mapInPandas(carry, "id long, v array<double>, d double"), "distances")
+            held, new = written, [new[-1]]
+            if before is not None:
+                drop_settled(before)
     return chosen

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import dedup, mixing, ordering, packing, retrieval, training
+from corpusloom.operators import dedup, inverted, mixing, ordering, packing, retrieval, training
 from corpusloom.operators.storage import settle
 from corpusloom.plans.register import query, t
 
@@ -362,6 +362,15 @@ def rtr03_cells(spark, d):
     return retrieval.search_cells(q, index, centres, 5, len(centres)).select("query_id", "item_id", "rank")
 
 
+@query(f"SELECT query_id, item_id, CAST(rank AS INT) AS rank FROM {_TOP} WHERE rank <= 5")
+def rtr04_compressed_lists(spark, d):
+    """All cells are probed, so the compressed lists and their bounds have to give what a full search gives."""
+    e = t(spark, d, "embeddings")
+    index = inverted.train(e, 8, parts=4, rounds=3)
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return inverted.search(q, inverted.build(e, index), e, index, 5, len(index.cells)).select("query_id", "item_id", "rank")
+
+
 @query(f"""WITH t AS (SELECT query_id AS id, item_id, rank FROM {_TOP} WHERE rank <= 2), c AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 k, count(*) OVER () n FROM embeddings), k AS (SELECT id, rank, c.k, c.n FROM t JOIN c ON t.item_id = c.vec_id)
 SELECT id, list(['v' || k, 'v' || (k + 1) % n] ORDER BY rank) AS neighbours FROM k GROUP BY id""")
 def rtr08_neighbours(spark, d):
