@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import judging, retrieval
 from corpusloom.operators.storage import shared_folder
 from corpusloom.plans.register import query, t
-from corpusloom.sources import readers, shards, writers
+from corpusloom.sources import readers, shards, tar_store, writers
 from corpusloom.streaming import iterate
 
 
@@ -197,6 +197,16 @@ def snk03_tar_shards(spark, d):
     return x.select(F.element_at(F.split("key", "/"), -1).cast("long").alias("doc_id"), F.md5(F.col("members")["txt"]).alias("digest"), F.array_join(errors, ";").alias("errors"), F.lit(within).alias("within"), F.lit(counted).alias("counted"), F.lit(complete).alias("complete"), F.lit(listed).alias("listed"))
 
 
+@query("""SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(2 AS INT) AS members, true AS within, CAST((SELECT count(*) FROM documents) AS BIGINT) AS counted FROM documents""")
+def snk03_tar_store(spark, d):
+    """Shards written by Spark's committer, read in several parts each."""
+    path = folder(spark, "store")
+    index = tar_store.write_tar(_samples(spark, d), "key", "members", path, max_count=100, max_bytes=400_000)
+    said = index.agg(F.bool_and((F.col("samples") <= 100) & ((F.col("bytes") <= 400_000) | (F.col("samples") == 1))).alias("within"), F.sum("samples").alias("counted"))
+    x = tar_store.read_tar(spark, f"{path}/*.tar", split_bytes=64 << 10)
+    return x.select(F.col("key").cast("long").alias("doc_id"), F.md5(F.col("members")["txt"]).alias("digest"), F.size("members").alias("members")).join(F.broadcast(said))
+
+
 @query("""WITH r AS (SELECT p_partkey, (p_size * 1000)::BIGINT s FROM part) SELECT count(*) AS files, true AS fits, true AS full FROM r""")
 def ext11_rolling_parts(spark, d):
     x = t(spark, d, "part").select("p_partkey", (F.col("p_size") * 1000).alias("s"))
