@@ -10,10 +10,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.operators import judging, retrieval
-from corpusloom.operators.storage import shared_folder
+from corpusloom.operators.storage import settle, shared_folder
 from corpusloom.plans.register import query, t
 from corpusloom.sources import readers, shards, tar_store, writers
-from corpusloom.streaming import iterate
+from corpusloom.streaming import iterate, stateful
 
 
 def folder(spark, name: str) -> str:
@@ -338,6 +338,46 @@ def stm07_deduplicated(spark, d):
     return out.groupBy("key").agg(F.min("event_id").alias("event_id"))
 
 
+def _arriving(rows, path, order, parts=3):
+    """Written as some files, one after the other."""
+    n = rows.agg(F.max(order)).first()[0] + 1
+    for i in range(parts):
+        rows.where((F.col(order) >= n * i // parts) & (F.col(order) < n * (i + 1) // parts)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+
+@query("SELECT event_id, event_type, true AS across FROM events")
+def stm02_savable_buffer(spark, d):
+    """A buffer of 64 rows in each of 2 lanes, stopped after two micro-batches and started again for the third: every row once, and rows of the first start come in the second."""
+    path = folder(spark, "buffer")
+    e = t(spark, d, "events").select("event_id", "event_type")
+    n = e.agg(F.max("event_id")).first()[0] + 1
+    _arriving(e.where(F.col("event_id") < n * 2 // 3), path, "event_id", 2)
+    with stateful.state_store(spark):
+        first = settle(_streamed(stateful.buffered(iterate.scan(spark, f"{path}/in", e.schema, 1), "event_id", 64, 2), path, "out"), "first")
+        e.where(F.col("event_id") >= n * 2 // 3).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        out = _streamed(stateful.buffered(iterate.scan(spark, f"{path}/in", e.schema, 1), "event_id", 64, 2), path, "out")
+    across = out.join(first, "event_id", "left_anti").agg((F.min("event_id") < n * 2 // 3).alias("across"))
+    return out.unionByName(stateful.left_over(spark, f"{path}/out-state")).join(F.broadcast(across))
+
+
+@query("""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, event_id, event_type || user_id AS key, epoch(ts) AS at FROM events),
+c AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ks, CAST([] AS DOUBLE[]) AS st, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS BOOLEAN) AS hit
+  UNION ALL
+  SELECT i, CASE WHEN hit THEN ks WHEN len(fk) > 100 THEN fk[2:] ELSE fk END, CASE WHEN hit THEN st WHEN len(fk) > 100 THEN fs[2:] ELSE fs END, event_id, key, hit
+  FROM (SELECT e.i, c.ks, c.st, e.event_id, e.key, coalesce(e.at - c.st[list_position(c.ks, e.key)] < 86400, false) AS hit,
+      list_append(list_filter(c.ks, lambda x: x <> e.key), e.key) AS fk,
+      list_append(list_filter(c.st, lambda x, j: c.ks[j] <> e.key), e.at) AS fs
+    FROM c JOIN e ON e.i = c.i + 1))
+SELECT event_id AS n, key, hit FROM c WHERE i > 0""")
+def stm07_bounded_cache(spark, d):
+    """Replayed events ask a cache of 100 entries that live a day."""
+    path = folder(spark, "bounded")
+    e = t(spark, d, "events").select("event_id", F.concat("event_type", F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    _arriving(e, path, "event_id")
+    with stateful.state_store(spark):
+        return _streamed(stateful.cached(iterate.scan(spark, f"{path}/in", e.schema, 1), "key", "event_id", "ts", 86_400, 100), path, "out")
+
+
 @query("""SELECT n_nationkey, upper(n_name) AS caption, n_regionkey = 0 AS first FROM nation WHERE n_nationkey % 3 <> 2""")
 def src10_paired_files(spark, d):
     """JOIN-01: files with a sibling of another suffix and the same base name."""
