@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -120,3 +120,49 @@ def running(rows: DataFrame, group: list[str], order: list[str], value: str | No
     for c, n in names.items():
         same = same & F.col(c).eqNullSafe(F.col(n))
     return inside.join(bases, same).withColumn(name, F.col("__in") + F.col("__bases")).drop("__part", "__place", "__in", "__bases", "__of", *names.values())
+
+
+FEW = 10_000
+"""Rows that one task may take in order."""
+
+
+def least_rows(rows: DataFrame, n: int, order: Column, *ties: str) -> DataFrame:
+    """Exactly the n rows (all, if there are no more) of least order, a 64-bit hash; rows of one hash in the order of ties.
+
+    Counts of 2 ** 16 ranges of the hash say in which one the n-th row is, and so on inside that one, until it has FEW rows at most; the
+    rows of the ranges before are a filter, and no task holds more than FEW of the rest. Rows that share one whole hash beyond that are ranked.
+    """
+    if n <= FEW:
+        return rows.withColumn("__h", order).orderBy("__h", *ties).limit(max(n, 0)).drop("__h")
+    own, inside, parts, many = rows.withColumn("__h", order), F.lit(True), [], 0
+    for low in (48, 32, 16, 0):
+        at = F.shiftright("__h", low)
+        at = at if low == 48 else F.pmod(at, F.lit(1 << 16))
+        counts = own.where(inside).groupBy(at.alias("at")).agg(F.count("*").alias("n")).orderBy("at").collect()  # 2 ** 16 rows at most
+        cut = None
+        for r in counts:
+            if r["n"] > n:
+                cut, many = r["at"], r["n"]
+                break
+            n -= r["n"]
+        if cut is None:
+            return _all_of([*parts, own.where(inside)]).drop("__h")
+        parts.append(own.where(inside & (at < cut)))
+        inside = inside & (at == cut)
+        if many <= FEW or not n:
+            break
+    rest = own.where(inside)
+    if n and many <= FEW:
+        rest = rest.withColumn("__one", F.lit(0)).withColumn("__r", F.row_number().over(Window.partitionBy("__one").orderBy("__h", *ties)) - 1).drop("__one")
+    elif n:
+        rest = ranked(rest, "__h", *ties, name="__r")
+    if n:
+        parts.append(rest.where(F.col("__r") < n).drop("__r"))
+    return _all_of(parts).drop("__h")
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

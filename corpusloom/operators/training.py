@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as A
-from corpusloom.operators.storage import ranked
+from corpusloom.operators.storage import FEW, least_rows, ranked
 
 IGNORED = -100
 """Fixed value: the label of positions that no loss is taken of."""
@@ -200,8 +200,10 @@ def pooled(rows: DataFrame, order: str, length: str, pool: int, key: str, reshuf
 
 
 def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
-    """LIM-01, LIM-02: the first n in order; each task keeps n."""
-    return rows.orderBy(*order).limit(n)
+    """LIM-01, LIM-02: the first n in order, ties by a hash of the row: each task keeps n, or, of more than FEW, all rows are ranked."""
+    if n <= FEW:
+        return rows.orderBy(*order).limit(n)
+    return ranked(rows, *order, name="__rank").where(F.col("__rank") < n).drop("__rank")
 
 
 def first_files(files: list[str], n: int | None) -> list[str]:
@@ -210,8 +212,8 @@ def first_files(files: list[str], n: int | None) -> list[str]:
 
 
 def random_rows(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """SMP-01: n rows in the order of a seeded hash of the key; each task keeps n."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """SMP-01: the n rows of least seeded hash of the key, ties by the key; no task has to hold them."""
+    return least_rows(rows, n, F.xxhash64(F.lit(seed), key), key)
 
 
 def wanted_rows(amount: float, total: int) -> int:
@@ -220,7 +222,7 @@ def wanted_rows(amount: float, total: int) -> int:
 
 
 def percent_rows(rows: DataFrame, percent: float, key: str, seed: int = 42) -> DataFrame:
-    """SRC-09, SMP-03: exactly max(1, floor(n * percent / 100)) rows in the order of a seeded hash; none of an empty table."""
+    """SRC-09, SMP-03: exactly max(1, floor(n * percent / 100)) rows, those of least seeded hash; none of an empty table."""
     n = rows.count()
     return random_rows(rows, max(1, int(n * percent // 100)), key, seed)
 

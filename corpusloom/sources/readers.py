@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.storage import least_rows
+
 
 def parse_path(path: str) -> tuple[str, float | None]:
     """A path and its percent directive: 'data/*.parquet[25%]' gives 25.0."""
@@ -25,7 +27,7 @@ def expand(spark: SparkSession, paths: str) -> list[str]:
 
 
 def read(spark: SparkSession, paths: str, key: str | None = None) -> DataFrame:
-    """Parquet, JSON lines, CSV, TSV or text by suffix, or a catalog table (`table:name`); a [N%] directive takes max(1, floor(n * N / 100)) rows in the order of a hash of key (of all columns without one)."""
+    """Parquet, JSON lines, CSV, TSV or text by suffix, or a catalog table (`table:name`); a [N%] directive takes max(1, floor(n * N / 100)) rows, those of least hash of key (of all columns without one)."""
     paths, percent = parse_path(paths)
     files = [] if paths.startswith("table:") else expand(spark, paths)
     name = files[0].lower().rstrip("/") if files else ""
@@ -43,7 +45,7 @@ def read(spark: SparkSession, paths: str, key: str | None = None) -> DataFrame:
         plain = [c for c, t in df.dtypes if not t.startswith("map")]
         n = df.count()
         order = F.xxhash64(F.lit(42), key) if key else F.xxhash64(F.lit(42), *plain)
-        df = df.orderBy(order, *([key] if key else [])).limit(max(1, int(n * percent // 100)))
+        df = least_rows(df, max(1, int(n * percent // 100)), order, *([key] if key else []))
     return df
 
 
@@ -107,16 +109,12 @@ def read_object_store(spark: SparkSession, prefix: str, fmt: str = "parquet", fi
 
 
 def read_blocks(spark: SparkSession, folder: str, fraction: float = 1.0) -> DataFrame:
-    """SRC-15: block files in order of their names; of each, the first `fraction` of its rows by position (max(1, ...)). Adds block."""
-    from pyspark.sql import Window
-
+    """SRC-15: block files in order of their names; of each, the first `fraction` of its rows by position in the file (max(1, ...)). Adds block."""
     rows = spark.read.parquet(*expand(spark, f"{folder.rstrip('/')}/*.parquet")).withColumn("block", F.input_file_name())
     if fraction >= 1.0:
         return rows
-    placed = rows.withColumn("_i", F.monotonically_increasing_id())
-    order = Window.partitionBy("block").orderBy("_i")
     sizes = rows.groupBy("block").agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("_k"))
-    return placed.withColumn("_n", F.row_number().over(order)).join(F.broadcast(sizes), "block").where("_n <= _k").drop("_i", "_n", "_k")
+    return rows.withColumn("_i", F.col("_metadata.row_index")).join(F.broadcast(sizes), "block").where("_i < _k").drop("_i", "_k")
 
 
 def read_pairs_tsv(spark: SparkSession, paths: str, labels: dict[str, int], columns: tuple[int, int, int, int] = (0, 8, 9, -1), header: bool = True, test_label: str = "contradiction") -> DataFrame:
@@ -124,20 +122,23 @@ def read_pairs_tsv(spark: SparkSession, paths: str, labels: dict[str, int], colu
     from corpusloom.operators.cleaning import clean_text
 
     parts = F.split("value", "\t")
-    lines = spark.read.text(expand(spark, paths)).withColumn("_first", F.row_number().over(_by_file()) == 1) if header else spark.read.text(expand(spark, paths)).withColumn("_first", F.lit(False))
+    lines = _without_header(spark.read.text(expand(spark, paths))) if header else spark.read.text(expand(spark, paths))
     uid, a, b, label = columns
     table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     said = F.element_at(parts, label if label < 0 else label + 1)
     at = lambda i: F.trim(clean_text(F.trim(F.get(parts, i))))
     is_test = F.size(parts) <= b + 1
     code = F.coalesce(F.try_element_at(table, F.when(is_test, test_label).otherwise(F.trim(said))), F.raise_error(F.concat(F.lit("unknown label "), said)).cast("int"))
-    return lines.where(~F.col("_first")).select(F.trim(F.get(parts, uid)).cast("long").alias("uid"), at(a).alias("text_a"), at(b).alias("text_b"), code.alias("label"))
+    return lines.select(F.trim(F.get(parts, uid)).cast("long").alias("uid"), at(a).alias("text_a"), at(b).alias("text_b"), code.alias("label"))
 
 
-def _by_file():
+def _without_header(lines: DataFrame) -> DataFrame:
+    """Text files without their first lines. A first line is in the split that begins at 0, so only that split's lines are numbered."""
     from pyspark.sql import Window
 
-    return Window.partitionBy(F.input_file_name()).orderBy(F.monotonically_increasing_id())
+    placed = lines.withColumn("_file", F.col("_metadata.file_path")).withColumn("_start", F.col("_metadata.file_block_start")).withColumn("_i", F.monotonically_increasing_id())
+    first = placed.where("_start = 0").withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_i"))).where("_n > 1")
+    return first.select("value").unionByName(placed.where("_start > 0").select("value"))
 
 
 def read_reading_tests(spark: SparkSession, paths: str) -> DataFrame:
@@ -151,7 +152,9 @@ def read_reading_tests(spark: SparkSession, paths: str) -> DataFrame:
 
 def first_predictions(spark: SparkSession, paths: str, key: str = "sample_id", order: str | None = None) -> DataFrame:
     """SRC-20: prediction lines of several files, one a key: that of the first file in order of names (of `order` within one)."""
-    rows = spark.read.json(expand(spark, paths)).withColumn("_f", F.input_file_name()).withColumn("_i", F.monotonically_increasing_id() if order is None else F.col(order))
+    rows = spark.read.json(expand(spark, paths)).withColumn("_f", F.input_file_name())
+    # A split begins at its place in the file, and a task reads it in order.
+    rows = rows.withColumn("_i", F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")) if order is None else F.col(order))
     rest = [c for c in rows.columns if c not in (key, "_f", "_i")]
     return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_f", "_i")).alias("_r")).select(key, "_r.*")
 

@@ -486,6 +486,48 @@ def test_compressed_lists(spark, monkeypatch):
     assert len(every & some) / len(every) >= 0.88, len(every & some) / len(every)
 
 
+def test_exact_samples_of_any_size(spark, monkeypatch):
+    from corpusloom.operators import training
+
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.pmod("id", F.lit(3)).alias("v")).unionByName(spark.range(900).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("v")))
+    h = F.xxhash64(F.lit(42), "k")
+    want = [(r["k"], r["v"]) for r in rows.orderBy(h, "k").select("k", "v").collect()]
+    for few in (10, 200, 2000):
+        monkeypatch.setattr(storage, "FEW", few)
+        for n in (0, 1, 500, 2950, 5899, 5900, 9000):
+            got = collections.Counter(r["k"] for r in storage.least_rows(rows, n, h, "k").collect())
+            assert got == collections.Counter(k for k, _ in want[:n]), (few, n)
+    half = training.percent_rows(rows, 50, "k")
+    assert half.count() == 2950 and "TakeOrdered" not in half._jdf.queryExecution().toString()
+    monkeypatch.setattr(training, "FEW", 10)
+    assert sorted(r["k"] for r in training.first_rows(rows, 1000, "k").collect()) == sorted(k for k, _ in want)[:1000]
+    assert storage.least_rows(rows.limit(0), 100, h, "k").count() == 0
+
+
+def test_places_in_files_of_many_splits(spark, tmp_path):
+    lines = [f"{i}\ta{i}\tb{i}\tentailment" for i in range(3000)]
+    for name in ("x", "y"):
+        (tmp_path / f"{name}.tsv").write_text("\n".join(["id\tp\th\tlabel", *lines]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = readers.read_pairs_tsv(spark, str(tmp_path / "*.tsv"), {"entailment": 0, "contradiction": 1}, (0, 1, 2, 3))
+        assert sorted(r["uid"] for r in got.collect()) == sorted([*range(3000)] * 2)
+        (tmp_path / "p.jsonl").write_text("".join('{"sample_id": %d, "answer": "%s"}\n' % (i % 1500, "first" if i < 1500 else "again") for i in range(3000)))
+        assert {r["answer"] for r in readers.first_predictions(spark, str(tmp_path / "p.jsonl")).collect()} == {"first"}
+        spark.range(100).coalesce(1).write.parquet(str(tmp_path / "blocks"))
+        assert sorted(r["id"] for r in readers.read_blocks(spark, str(tmp_path / "blocks"), 0.25).collect()) == [*range(25)]
+        assert readers.read_object_store(spark, str(tmp_path / "blocks"), first=1).count() == 100 and training_files(["b", "a"], 1) == ["a"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def training_files(files, n):
+    from corpusloom.operators.training import first_files
+
+    return first_files(files, n)
+
+
 def test_blend_is_the_loop_whatever_the_guesses(spark, monkeypatch):
     import random
 
