@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import captions
 from corpusloom.functions import scoring as S
 from corpusloom.functions import similarity as M
 from corpusloom.functions import text as T
@@ -112,6 +113,40 @@ def sim15_rouge(spark, d):
     return t(spark, d, "part").select("p_partkey", F.round(M.rouge_l(F.concat(F.lit("Zz "), F.upper("p_name")), F.concat("p_name", F.lit(" end"))), 9).alias("rouge"), M.rouge_l(F.lit("zz"), F.col("p_name")).alias("nothing"))
 
 
+#: SQL: captions of parts: the name with its last word replaced now and then; references are the name and the name without its first word.
+_CAPTIONS = """WITH p AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS a FROM part),
+r AS (SELECT id, CASE WHEN id % 3 = 0 THEN list_append(a[:-2], 'zz') WHEN id % 3 = 1 THEN list_concat(a, a[1:2]) ELSE a END AS p, [a, a[2:]] AS refs FROM p)"""
+_ORDERS = "(SELECT unnest([1, 2, 3, 4]) AS k)"
+
+
+def _captions(spark, d):
+    a = F.split("p_name", " ")
+    p = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.lit("zz")))).when(F.col("p_partkey") % 3 == 1, F.concat(a, F.slice(a, 1, 2))).otherwise(a)
+    return t(spark, d, "part").select("p_partkey", p.alias("p"), F.array(a, F.slice(a, 2, 1000)).alias("refs"))
+
+
+@query(_CAPTIONS + f""", h AS (SELECT id, k, unnest(list_transform(range(1, len(p) - k + 2), lambda i: array_to_string(p[i:i + k - 1], ' '))) AS g FROM r, {_ORDERS}),
+q AS (SELECT id, j, refs[j] AS w FROM r, range(1, 3) x(j)), t AS (SELECT id, j, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM q, {_ORDERS}),
+hc AS (SELECT id, k, g, count(*) AS tf FROM h GROUP BY ALL), tc AS (SELECT id, j, k, g, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT k, g, count(DISTINCT id) AS df FROM t GROUP BY ALL), n AS (SELECT ln(count(*)) AS n FROM r),
+hw AS (SELECT hc.id, hc.k, hc.g, tf * ((SELECT n FROM n) - ln(coalesce(df, 1))) AS h FROM hc LEFT JOIN df USING (k, g)), tw AS (SELECT tc.id, j, tc.k, tc.g, tf * ((SELECT n FROM n) - ln(df)) AS w FROM tc JOIN df USING (k, g)),
+hn AS (SELECT id, k, sqrt(sum(h * h)) AS hn FROM hw GROUP BY ALL), tn AS (SELECT id, j, k, sqrt(sum(w * w)) AS tn FROM tw GROUP BY ALL),
+dot AS (SELECT tw.id, j, tw.k, sum(least(h, w) * w) AS dot FROM tw JOIN hw ON tw.id = hw.id AND tw.k = hw.k AND tw.g = hw.g GROUP BY ALL),
+v AS (SELECT id, j, sum(CASE WHEN hn > 0 AND tn > 0 THEN dot / (hn * tn) ELSE dot END) / 4 AS v FROM dot JOIN hn USING (id, k) JOIN tn USING (id, j, k) GROUP BY ALL)
+SELECT q.id AS p_partkey, round(10 * avg(coalesce(v, 0) * exp(-power(greatest(len(p) - 1, 0) - greatest(len(w) - 1, 0), 2) / 72)), 6) AS cider FROM q JOIN r ON r.id = q.id LEFT JOIN v ON v.id = q.id AND v.j = q.j GROUP BY q.id""")
+def sim15_cider(spark, d):
+    return captions.cider(_captions(spark, d), "p_partkey", "p", "refs").withColumn("cider", F.round("cider", 6))
+
+
+@query(_CAPTIONS + f""", h AS (SELECT id, k, unnest(list_transform(range(1, len(p) - k + 2), lambda i: array_to_string(p[i:i + k - 1], ' '))) AS g FROM r, {_ORDERS}),
+q AS (SELECT id, j, refs[j] AS w FROM r, range(1, 3) x(j)), t AS (SELECT id, j, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM q, {_ORDERS}),
+hc AS (SELECT id, k, g, count(*) AS c FROM h GROUP BY ALL), tc AS (SELECT id, j, k, g, count(*) AS c FROM t GROUP BY ALL),
+m AS (SELECT tc.id, j, sum(least(tc.c, hc.c)) AS m FROM tc JOIN hc ON tc.id = hc.id AND tc.k = hc.k AND tc.g = hc.g GROUP BY ALL), ht AS (SELECT id, sum(c) AS a FROM hc GROUP BY ALL), tt AS (SELECT id, j, sum(c) AS b FROM tc GROUP BY ALL)
+SELECT q.id AS p_partkey, round(max(coalesce(m, 0) / greatest(a, coalesce(b, 0))), 9) AS gleu FROM q JOIN ht ON ht.id = q.id LEFT JOIN tt ON tt.id = q.id AND tt.j = q.j LEFT JOIN m ON m.id = q.id AND m.j = q.j GROUP BY q.id""")
+def sim15_gleu(spark, d):
+    return _captions(spark, d).select("p_partkey", F.round(captions.gleu(F.col("p"), F.col("refs")), 9).alias("gleu"))
+
+
 def _overlap(pattern: str, group: int, a: str, b: str) -> str:
     x, y = (f"list_distinct(regexp_extract_all(lower({c}), '{pattern}', {group}))" for c in (a, b))
     return f"CASE WHEN len({y}) = 0 THEN 0 ELSE len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))) END"
