@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import answers as A
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
+from corpusloom.functions.symbolic import symbolic_equal
 
 
 def arrow_pair(f, returns: str = "double"):
@@ -316,8 +317,6 @@ def evaluated(text: str) -> float | list[float] | None:
     for unit, put in (("%", "/100"), ("$", ""), ("¥", ""), ("°C", ""), (" C", ""), ("°", "")):
         x = x.replace(unit, put)
     x = re.sub(r"\\frac\{([^{}]*)\}\{([^{}]*)\}", r"((\1)/(\2))", x).replace("\\times", "*").replace("\\cdot", "*").replace("^", "**")
-    if len(x) > 200:
-        return None
     try:
         return value(ast.parse(x.strip(), mode="eval").body)
     except (SyntaxError, ValueError, ZeroDivisionError, OverflowError, RecursionError, MemoryError, TypeError):
@@ -445,7 +444,7 @@ def think_answer_format(response: Column) -> Column:
 
 
 def reward_math(response: Column, answer: Column) -> Column:
-    """1 for equal values of the boxed, tagged or whole answers, or equal texts."""
+    """1 for boxed, tagged or whole answers that are equal as expressions, in value or as texts."""
 
     def one(r: str, a: str) -> float:
         def core(x: str) -> str:
@@ -456,6 +455,8 @@ def reward_math(response: Column, answer: Column) -> Column:
         x, y = core(r), core(a)
         if x == y:
             return 1.0
+        if symbolic_equal(x, y):
+            return 1.0
         p, t = evaluated(x), evaluated(y)
         return float(p is not None and t is not None and (p == t or (not isinstance(p, list) and not isinstance(t, list) and math.isclose(p, t, rel_tol=1e-6))))
 

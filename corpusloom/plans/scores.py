@@ -8,6 +8,7 @@ from corpusloom.functions import captions
 from corpusloom.functions import scoring as S
 from corpusloom.functions import similarity as M
 from corpusloom.functions import text as T
+from corpusloom.functions.symbolic import equal_answers
 from corpusloom.plans.register import query, t
 
 
@@ -113,6 +114,19 @@ def sim15_rouge(spark, d):
     return t(spark, d, "part").select("p_partkey", F.round(M.rouge_l(F.concat(F.lit("Zz "), F.upper("p_name")), F.concat("p_name", F.lit(" end"))), 9).alias("rouge"), M.rouge_l(F.lit("zz"), F.col("p_name")).alias("nothing"))
 
 
+@query(r"""SELECT p_partkey, p_partkey % 3 > 0 AS square, true AS quarter, p_partkey % 5 > 0 AS root, p_partkey % 2 = 0 AS pair, CAST(p_partkey % 3 > 0 AS DOUBLE) AS reward FROM part""")
+def rwd07_symbolic(spark, d):
+    """Expressions of each part's number in two notations, some of which differ by one."""
+    k = F.col("p_partkey").cast("long")
+    off = lambda n: F.when(k % n == 0, F.lit(1)).otherwise(F.lit(0))
+    square = F.format_string("(x+%d)^2", k), F.format_string("x^{2} + %d x + \\frac{%d}{1}", 2 * k, k * k + off(3))
+    quarter = F.format_string("\\frac{%d}{4}", k), F.format_string("%s", (k.cast("decimal(20,2)") / 4).cast("decimal(20,2)"))
+    root = F.format_string("\\sqrt{%d}", 2 * k * k), F.format_string("%d\\sqrt{2}", k + off(5))
+    pair = F.format_string("\\left(%d, y\\right)", k), F.when(k % 2 == 0, F.format_string("(\\frac{%d}{2}, y)", 2 * k)).otherwise(F.format_string("(y, %d)", k))
+    said = M.reward_math(F.concat(F.lit("<answer>\\boxed{"), square[0], F.lit("}</answer>")), square[1])
+    return t(spark, d, "part").select("p_partkey", *[equal_answers(*p).alias(n) for p, n in ((square, "square"), (quarter, "quarter"), (root, "root"), (pair, "pair"))], said.alias("reward"))
+
+
 #: SQL: captions of parts: the name with its last word replaced now and then; references are the name and the name without its first word.
 _CAPTIONS = """WITH p AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS a FROM part),
 r AS (SELECT id, CASE WHEN id % 3 = 0 THEN list_append(a[:-2], 'zz') WHEN id % 3 = 1 THEN list_concat(a, a[1:2]) ELSE a END AS p, [a, a[2:]] AS refs FROM p)"""
