@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from corpusloom.functions import images
 from corpusloom.operators import dedup, inverted, mixing, ordering, packing, retrieval, training
 from corpusloom.operators.storage import settle
 from corpusloom.plans.register import query, t
@@ -197,6 +202,27 @@ def flt15_images(spark, d):
     return t(spark, d, "part").select("p_partkey", training.all_black(F.concat(header, body)).alias("black"), training.all_black(F.lit(b"GIF89a")).alias("unknown"), training.mask_box(mask, F.lit(4), F.lit(2)).alias("box"))
 
 
+@query("""SELECT p_partkey, p_partkey % 2 = 0 AS black, CASE WHEN p_partkey % 2 = 0 THEN [0.0::DOUBLE, 0.0, 0.0, 0.0] ELSE [(p_partkey % 7) / 8, (p_partkey % 3) / 4, (p_partkey % 7 + 1) / 8, (p_partkey % 3 + 1) / 4] END AS box, 8 AS width, 4 AS height, true AS damaged FROM part""")
+def flt15_decoded_images(spark, d):
+    """A PNG of 8 by 4 for each part, black or with one white pixel; and without its last bytes."""
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def drawn(keys: pd.Series) -> pd.Series:
+        out = []
+        for k in keys:
+            lines = [bytearray(9) for _ in range(4)]
+            if k % 2:
+                lines[k % 3][1 + k % 7] = 255
+            out.append(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 4, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b""))
+        return pd.Series(out)
+
+    x = t(spark, d, "part").select("p_partkey", F.pandas_udf(drawn, "binary")("p_partkey").alias("png"))
+    cut = F.expr("substring(png, 1, octet_length(png) - 14)")
+    size = images.image_size(F.col("png"))
+    return x.select("p_partkey", images.all_black(F.col("png")).alias("black"), images.mask_box(F.col("png")).alias("box"), size["width"].alias("width"), size["height"].alias("height"), images.all_black(cut).isNull().alias("damaged"))
+
+
 # -- mixing, splits ----------------------------------------------------------------------------
 
 _LANGS = "d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS dataset_index, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 k, count(*) OVER (PARTITION BY lang) n FROM documents WHERE lang IN ('en', 'fr', 'de')), m AS (SELECT dataset_index, max(n) n FROM d GROUP BY 1)"
