@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,19 +44,71 @@ def registered_label(url: Column) -> Column:
     return F.transform(F.array(F.reverse(F.split(host(url), r"\."))), label)[0]
 
 
+#: Rules in the form of the public suffix list, as an example; the whole list is a file that suffix_rules() reads.
+SOME_RULES = ("com", "org", "net", "io", "de", "fr", "uk", "co.uk", "ac.uk", "jp", "co.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "ck", "*.ck", "!www.ck", "au", "com.au")
+
+
+def suffix_rules(spark, path: str) -> list[str]:
+    """The rules of a file in the form of the public suffix list, up to its private part; comments and empty lines are left out. Such a list has some ten thousand rules."""
+    lines = [r["value"].strip() for r in spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", "\n")).alias("value")).collect()]
+    icann = lines[: next((i for i, x in enumerate(lines) if "BEGIN PRIVATE" in x), len(lines))]
+    return [x.split()[0] for x in icann if x and not x.startswith("//")]
+
+
+def _rule_tree(rules) -> dict:
+    tree: dict = {}
+    for rule in rules:
+        node, exception = tree, rule.startswith("!")
+        labels = rule.lower().removeprefix("!").split(".")
+        for label in reversed(labels):
+            node = node.setdefault(label, {})
+        node["" if not exception else "!"] = {}
+    return tree
+
+
+def split_host(name: str, tree: dict) -> tuple[str, str]:
+    """(registered label, public suffix) of a host: the longest rule that fits, a `*` standing for one label and an exception for one label less. No rule: the last label and no suffix; an address is its own label."""
+    labels = name.strip(".").split(".")
+    if len(labels) == 4 and all(x.isdigit() for x in labels):
+        return name, ""
+    node, suffix = tree, 0
+    for n, label in enumerate(reversed(labels), 1):
+        own = node.get(label)
+        if own is not None and "!" in own:
+            suffix = n - 1
+            break
+        node = own if own is not None else node.get("*")
+        if node is None:
+            break
+        if "" in node:
+            suffix = n
+    cut = len(labels) - suffix
+    return (labels[cut - 1] if cut else ""), ".".join(labels[cut:])
+
+
+def registered_domain(url: Column, rules=SOME_RULES) -> Column:
+    """FLT-01: (label, suffix) of a URL's host by rules of the public suffix list, which go to the tasks as a tree; null for null."""
+    tree = _rule_tree(rules)
+
+    def run(hosts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if x is None else split_host(x, tree) for x in hosts], columns=["label", "suffix"])
+
+    return F.pandas_udf(run, "label string, suffix string")(host(url))
+
+
 def bad_suffix(url: Column) -> Column:
     path = F.lower(F.split(url, r"\?")[0])
     return F.exists(F.array(*map(F.lit, SKIPPED_SUFFIXES)), lambda s: path.endswith(s))
 
 
-def classify_urls(urls: DataFrame, blocked_labels: list[str], url_col: str = "url", order_col: str = "page_id") -> DataFrame:
-    """Adds `reason`: the first of domain, extension, short, malformed and duplicate that holds, else keep. Null URLs are malformed.
+def classify_urls(urls: DataFrame, blocked_labels: list[str], url_col: str = "url", order_col: str = "page_id", rules=None) -> DataFrame:
+    """With rules of the public suffix list the label is found by them. Adds `reason`: the first of domain, extension, short, malformed and duplicate that holds, else keep. Null URLs are malformed.
 
     A URL is a duplicate if a row of lesser order has it and was not set aside for another reason.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     first = (
-        F.when(registered_label(url).isin(blocked_labels), "domain")
+        F.when((registered_label(url) if rules is None else registered_domain(url, rules)["label"]).isin(blocked_labels), "domain")
         .when(bad_suffix(url), "extension")
         .when(F.length(url) <= 8, "short")
         .when(~url.rlike(WELL_FORMED), "malformed")

@@ -37,6 +37,22 @@ m AS (SELECT page_id, url, CASE WHEN lab IN ({listed(BLOCKED)}) THEN 'domain' WH
 SELECT page_id, coalesce(f, CASE WHEN row_number() OVER (PARTITION BY url, f IS NULL ORDER BY page_id) > 1 THEN 'duplicate' END, 'keep') AS reason FROM m"""
 
 
+#: SQL: hosts under suffixes of one and two labels, of a wildcard and an exception, of no rule; and an address.
+_HOSTS = """SELECT page_id, page_id % 7 AS k, 'site' || page_id AS s FROM pages"""
+
+
+@query(f"""SELECT page_id, CASE k WHEN 0 THEN s WHEN 1 THEN s WHEN 2 THEN s WHEN 3 THEN 'city' WHEN 4 THEN 'www' WHEN 5 THEN 'zzz' ELSE '10.0.0.7' END AS label,
+  CASE k WHEN 0 THEN 'com' WHEN 1 THEN 'co.uk' WHEN 2 THEN 'any.kawasaki.jp' WHEN 3 THEN 'kawasaki.jp' WHEN 4 THEN 'ck' ELSE '' END AS suffix, k = 1 AS british FROM ({_HOSTS})""")
+def flt01_public_suffixes(spark, d):
+    site = F.concat(F.lit("site"), F.col("page_id").cast("string"))
+    k = F.col("page_id") % 7
+    name = F.when(k == 0, F.concat(F.lit("a.b."), site, F.lit(".com"))).when(k == 1, F.concat(F.lit("www."), site, F.lit(".co.uk"))).when(k == 2, F.concat(site, F.lit(".any.kawasaki.jp")))
+    name = name.when(k == 3, F.concat(site, F.lit(".city.kawasaki.jp"))).when(k == 4, F.concat(site, F.lit(".www.ck"))).when(k == 5, F.concat(site, F.lit(".zzz"))).otherwise("10.0.0.7")
+    x = t(spark, d, "pages").select("page_id", F.concat(F.lit("https://"), name, F.lit("/p")).alias("url"))
+    said = cleaning.registered_domain(F.col("url"))
+    return x.select("page_id", said["label"].alias("label"), said["suffix"].alias("suffix"), (said["suffix"] == "co.uk").alias("british"))
+
+
 @query(url_reasons("SELECT page_id, coalesce(url, '') url FROM pages"))
 def flt05_classify_urls(spark, d):
     return cleaning.classify_urls(t(spark, d, "pages"), list(BLOCKED)).select("page_id", "reason")

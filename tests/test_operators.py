@@ -528,6 +528,18 @@ def training_files(files, n):
     return first_files(files, n)
 
 
+def test_public_suffixes(spark, tmp_path):
+    tree = cleaning._rule_tree(cleaning.SOME_RULES)
+    cases = {"a.b.co.uk": ("b", "co.uk"), "co.uk": ("", "co.uk"), "b.uk": ("b", "uk"), "x.foo.kawasaki.jp": ("x", "foo.kawasaki.jp"), "foo.kawasaki.jp": ("", "foo.kawasaki.jp"), "kawasaki.jp": ("kawasaki", "jp")}
+    cases |= {"a.city.kawasaki.jp": ("city", "kawasaki.jp"), "www.ck": ("www", "ck"), "a.b.ck": ("a", "b.ck"), "localhost": ("localhost", ""), "a.unknown": ("unknown", ""), "1.2.3.4": ("1.2.3.4", ""), "a.com.": ("a", "com")}
+    assert {k: cleaning.split_host(k, tree) for k in cases} == cases
+    (tmp_path / "list.dat").write_text("// comment\n\ncom\n*.ck // more\n!www.ck\n// ===BEGIN PRIVATE DOMAINS===\nblogspot.com\n")
+    assert cleaning.suffix_rules(spark, str(tmp_path / "list.dat")) == ["com", "*.ck", "!www.ck"]
+    urls = spark.createDataFrame([(1, "http://bad.co.uk/x/y"), (2, "http://bad.good.co.uk/x/y"), (3, None)], "page_id long, url string")
+    got = {r["page_id"]: r["reason"] for r in cleaning.classify_urls(urls, ["bad"], rules=cleaning.SOME_RULES).collect()}
+    assert got[1] == "domain" and got[2] == "keep"
+
+
 def test_blend_is_the_loop_whatever_the_guesses(spark, monkeypatch):
     import random
 
