@@ -468,12 +468,12 @@ def encode(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """(doc_id, text): token names joined by one space, special tokens included. Null ids: an empty text."""
+    """(doc_id, text): token names joined by one space, special tokens included. Ids that are no token's are passed over, as the library does; null ids: an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = codec(vocabulary, True).names
         for batch in batches:
-            out = [" ".join([names[x] for x in ids or []]) for ids in batch.column(1).to_pylist()]
+            out = [" ".join([names[x] for x in ids or [] if x is not None and 0 <= x < len(names)]) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

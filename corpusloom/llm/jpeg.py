@@ -463,8 +463,14 @@ def digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
                     rows.append((None,) * 7)
                     continue
                 width, height, parts, quant, note = found
-                n = int(note[len(NOTE) :])
-                payload = read_payload(parts, n + (-n % UNIT or (UNIT if not n else 0)))
+                try:  # a foreign file can have the comment too
+                    n = int(note[len(NOTE) :])
+                    payload = read_payload(parts, n + (-n % UNIT or (UNIT if not n else 0)))
+                    if n < 0 or len(payload) < n:
+                        raise ValueError
+                except (ValueError, IndexError):
+                    rows.append((None,) * 7)
+                    continue
                 rgb = to_rgb(width, height, parts, quant)
                 sums = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
                 means = [int(x) // (width * height) for x in sums]

@@ -24,8 +24,6 @@ from corpusloom.llm.shared import materialise, small_batches, sole, strings, wor
 LETTERS = regex.compile(r"\p{L}+")
 PLAIN = 24
 """Words of more letters are summed with their sums scaled on the way, since products of so many probabilities get too small."""
-TRAIN_RUN = 512
-"""The longest run of letters that the pieces are fitted to; prediction has no such bound."""
 LANGUAGES = 1000
 """More languages are refused: the model and what is broadcast for the sample grow with their number."""
 BUCKETS = 1024
@@ -155,18 +153,19 @@ def expected_counts(ids: np.ndarray, weight: np.ndarray, table: np.ndarray) -> n
         return expected
     with np.errstate(divide="ignore"):
         logs = np.log(table[:, 0])
-    alpha, beta = np.full((n + 1, count), -np.inf), np.full((n + 1, count), -np.inf)
+    # Beyond the word's end nothing is added: those places hold the zero row's id.
+    alpha, beta = np.full((n + m + 1, count), -np.inf), np.full((n + m + 1, count), -np.inf)
     alpha[0], beta[n] = 0, 0
+    inside = np.arange(n)[:, None] + np.arange(m)[None] < n
     for a in range(n):
-        for k in range(min(m, n - a)):
-            alpha[a + k + 1] = np.logaddexp(alpha[a + k + 1], alpha[a] + logs[ids[:, a, k]])
+        step = np.where(inside[a], logs[ids[:, a]], -np.inf).T
+        alpha[a + 1 : a + m + 1] = np.logaddexp(alpha[a + 1 : a + m + 1], alpha[a] + step)
     for a in range(n - 1, -1, -1):
-        for k in range(min(m, n - a)):
-            beta[a] = np.logaddexp(beta[a], logs[ids[:, a, k]] + beta[a + k + 1])
-    for a in range(n):
-        for k in range(min(m, n - a)):
-            gain = np.exp(alpha[a] + logs[ids[:, a, k]] + beta[a + k + 1] - alpha[n]) * weight
-            expected += np.bincount(ids[:, a, k] % size, weights=gain, minlength=size)
+        step = np.where(inside[a], logs[ids[:, a]], -np.inf).T
+        beta[a] = np.logaddexp.reduce(step + beta[a + 1 : a + m + 1], axis=0)
+    for k in range(min(m, n)):
+        gain = np.exp(alpha[: n - k] + logs[ids[:, : n - k, k]].T + beta[k + 1 : n + 1] - alpha[n]) * weight
+        expected += np.bincount((ids[:, : n - k, k] % size).T.ravel(), weights=gain.ravel(), minlength=size)
     return expected
 
 
@@ -288,7 +287,7 @@ def sampled(usable: DataFrame, sample: int) -> DataFrame:
 
 
 def training_words(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(lang, word, n) of the sampled labelled texts: those of least hash of id in each language. Words are runs of letters, but for those over TRAIN_RUN."""
+    """(lang, word, n) of the sampled labelled texts: those of least hash of id in each language. Words are runs of letters, of any length."""
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
     words = usable.join(F.broadcast(sampled(usable, sample)), ["doc_id", "lang"], "left_semi")  # at most sample rows a language, of which there are LANGUAGES at most
 
@@ -297,8 +296,7 @@ def training_words(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
             counts: dict[tuple[str, str], int] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in LETTERS.findall(text.lower()):
-                    if len(w) <= TRAIN_RUN:
-                        counts[lang, w] = counts.get((lang, w), 0) + 1
+                    counts[lang, w] = counts.get((lang, w), 0) + 1
             rows = [(a, b, n) for (a, b), n in counts.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
