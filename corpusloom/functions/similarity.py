@@ -479,8 +479,11 @@ def typed_reward(answer_type: Column, response: Column, answers: Column, judge:
     """The reward of an answer type, list answers being joined first; judge holds a judge's score.
 
     ALL_JUDGE takes the judge's for every row; TYPE_BASED_JUDGE for `judge` and unknown types; TYPE_BASED_RULE compares
-    unknown types as texts. Spatial problems get half a point for a box in a think part.
+    unknown types as texts. Spatial problems get half a point for a box in a think part. Names of types may have hyphens, as adapted rows have them, or
+    underscores.
     """
+    answer_type = F.replace(answer_type, F.lit("-"), F.lit("_"))
+    problem_type = None if problem_type is None else F.replace(problem_type, F.lit("-"), F.lit("_"))
     answer = joined_answers(answers)
     judged = judge if judge is not None else F.lit(None).cast("double")
     if mode == "ALL_JUDGE":

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import judging, retrieval
 from corpusloom.operators.storage import settle, shared_folder
 from corpusloom.plans.register import query, t
-from corpusloom.sources import readers, shards, tar_store, writers
+from corpusloom.sources import adapters, readers, shards, tar_store, writers
 from corpusloom.streaming import iterate, stateful
 
 
@@ -86,8 +86,8 @@ def src20_first_predictions(spark, d):
     return readers.first_predictions(spark, f"{path}/a,{path}/b").select("sample_id", "answer")
 
 
-@query("""SELECT 'reasoning' AS source, n_name AS image, CASE n_nationkey % 3 WHEN 0 THEN 'q <image>' WHEN 1 THEN ' <image>' || chr(10) || 'q' ELSE 'q<image>r' END AS problem, CASE WHEN n_nationkey % 2 = 0 THEN 'C' ELSE n_name END AS answer, CASE WHEN n_nationkey % 2 = 0 THEN 'multiple_choice' ELSE 'math_expressions' END AS answer_type, CASE WHEN n_regionkey = 0 THEN 'spatial_reasoning' ELSE 'stem' END AS problem_type FROM nation
-UNION ALL SELECT 'counting', n_name, '<image>' || chr(10) || 'How many suns are there?', CAST(n_regionkey AS VARCHAR), 'number', 'counting' FROM nation UNION ALL SELECT 'choices', n_name, '<image>' || chr(10) || 'which', 'A', 'multiple_choice', 'general' FROM nation""")
+@query("""SELECT 'reasoning' AS source, n_name AS image, CASE n_nationkey % 3 WHEN 0 THEN 'q <image>' WHEN 1 THEN ' <image>' || chr(10) || 'q' ELSE 'q<image>r' END AS problem, CASE WHEN n_nationkey % 2 = 0 THEN 'C' ELSE n_name END AS answer, CASE WHEN n_nationkey % 2 = 0 THEN 'multiple-choice' ELSE 'math-expressions' END AS answer_type, CASE WHEN n_regionkey = 0 THEN 'spatial-reasoning' ELSE 'stem' END AS problem_type FROM nation
+UNION ALL SELECT 'counting', n_name, '<image>' || chr(10) || 'How many suns are there?', CAST(n_regionkey AS VARCHAR), 'number', 'counting' FROM nation UNION ALL SELECT 'choices', n_name, '<image>' || chr(10) || 'which', 'A', 'multiple-choice', 'general' FROM nation""")
 def src19_adapters(spark, d):
     n = t(spark, d, "nation")
     k = F.col("n_nationkey")
@@ -98,7 +98,29 @@ def src19_adapters(spark, d):
     return out.select("source", F.col("images")[0].alias("image"), "problem", F.col("answer")[0].alias("answer"), "answer_type", "problem_type")
 
 
-@query("""SELECT p_partkey, '[' || CAST(p_size AS DOUBLE) / 100 || ', 0.0, ' || CAST(p_size + 50 AS DOUBLE) / 100 || ', 1.0]' AS answer, 'bbox' AS kind FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, '{"tests":"t' || p_partkey || '"}', 'general_code' FROM part WHERE p_partkey % 3 = 0""")
+@query("""SELECT 'diagrams' AS source, 'i' || n_nationkey AS image, '<image>' || chr(10) || 'Which ' || n_name || '?' AS problem, CASE WHEN n_nationkey % 2 = 0 THEN 'B' ELSE n_name END AS answer, CASE WHEN n_nationkey % 2 = 0 THEN 'multiple-choice' ELSE 'any' END AS answer_type, 'normal' AS prompt_type FROM nation
+UNION ALL SELECT 'documents', 'i' || n_nationkey, '<image>' || chr(10) || n_name, n_name || '|x', 'ocrtext', 'long' FROM nation
+UNION ALL SELECT 'problems', 'i' || n_nationkey, '<image>' || chr(10) || n_name || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE chr(10) || 'Options:' || chr(10) || 'A. one' || chr(10) || 'B. ' || n_name || chr(10) END, 'B', CASE WHEN n_nationkey % 3 = 0 THEN 'math-expressions' ELSE 'multiple-choice' END, 'long' FROM nation
+UNION ALL SELECT 'spatial', 'i' || n_nationkey, '<image>' || chr(10) || n_name, n_nationkey || '', 'number', 'long' FROM nation""")
+def src19_more_adapters(spark, d):
+    n = t(spark, d, "nation").withColumn("image", F.concat(F.lit("i"), F.col("n_nationkey").cast("string")))
+    k = F.col("n_nationkey")
+    diagrams = n.select(F.array("image").alias("images"), F.array(F.struct(F.concat(F.lit(" Which "), "n_name", F.lit("?\nAnswer with the letter.")).alias("user"), F.when(k % 2 == 0, "Answer: B").otherwise(F.concat(F.lit("Answer: "), "n_name")).alias("assistant"))).alias("texts"))
+    diagrams = diagrams.withColumn("texts", F.transform("texts", lambda x: F.struct(F.replace(x["user"], F.lit("\n"), F.lit("")).alias("user"), x["assistant"].alias("assistant"))))
+    documents = n.select("image", F.col("n_name").alias("question"), F.array("n_name", F.lit("x")).alias("answers"))
+    problems = n.select(F.col("image").alias("decoded_image"), F.col("n_name").alias("question"), F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("one"), F.col("n_name"))).alias("options"), F.lit("B").alias("answer"))
+    spatial = n.select(F.array("image").alias("image_paths"), F.concat(F.lit("Question: "), "n_name", F.lit(" Answer Choices:\nA. none\nB. "), k.cast("string")).alias("problem"), k.cast("string").alias("answer"))
+    out = adapters.adapt_all({"diagrams": ("diagrams", diagrams), "documents": ("documents", documents), "problems": ("problems", problems), "spatial": ("spatial", spatial)})
+    # Half of the spatial ones ask for the letter, whichever a hash says; put back into the other form here.
+    listed = (F.col("source") == "spatial") & (F.col("answer_type") == "multiple-choice")
+    lines = F.split("problem", "\n")
+    return out.select(
+        "source", F.col("images")[0].alias("image"), F.when(listed, F.concat_ws("\n", lines[0], lines[1])).otherwise(F.col("problem")).alias("problem"),
+        F.when(listed & (F.col("answer")[0] == "B"), F.substring(lines[4], 5, 100)).otherwise(F.array_join("answer", "|")).alias("answer"), F.when(listed, "number").otherwise(F.col("answer_type")).alias("answer_type"), "prompt_type",
+    )
+
+
+@query("""SELECT p_partkey, '[' || CAST(p_size AS DOUBLE) / 100 || ', 0.0, ' || CAST(p_size + 50 AS DOUBLE) / 100 || ', 1.0]' AS answer, 'bbox' AS kind FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, '{"tests":"t' || p_partkey || '"}', 'general-code' FROM part WHERE p_partkey % 3 = 0""")
 def flt21_adapters(spark, d):
     p = t(spark, d, "part")
     size = F.col("p_size").cast("double")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.storage import least_rows
+from corpusloom.sources.adapters import ADAPTERS, ROW, adapt_all, adapt_choices, adapt_counting, adapt_grounding, adapt_programs, adapt_reasoning, adapted  # noqa: F401
+
 
 
 def parse_path(path: str) -> tuple[str, float | None]:
@@ -159,71 +161,6 @@ def first_predictions(spark: SparkSession, paths: str, key: str = "sample_id", o
     return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_f", "_i")).alias("_r")).select(key, "_r.*")
 
 
-# -- adapters to the training row --------------------------------------------------------------
-
-ROW = ("id", "images", "problem", "answer", "problem_type", "answer_type", "source", "prompt_type")
-"""Columns of a reinforcement-learning row; answer is an array."""
-
-
-def adapted(rows: DataFrame, source: str, **columns) -> DataFrame:
-    """SRC-19: a source's rows as training rows; what isn't said is null, an empty list of images, prompt type long, problem type general and answer type any."""
-    defaults = {
-        "id": F.lit(None).cast("string"), "images": F.array().cast("array<string>"), "problem": F.lit("").cast("string"), "answer": F.array().cast("array<string>"), "problem_type": F.lit("general"),
-        "answer_type": F.lit("any"), "source": F.lit(source), "prompt_type": F.lit("long"),
-    }
-    return rows.select(*[columns.get(c, defaults[c]).alias(c) for c in ROW])
-
-
-def adapt_reasoning(rows: DataFrame, source: str = "reasoning") -> DataFrame:
-    """Of (image array, question, answer, category): as many marks as images, boxed answers opened, a single letter is a choice."""
-    marks, n = F.size(F.split("question", "<image>", -1)) - 1, F.size("image")
-    cut = F.array_join(F.slice(F.split("question", "<image>", -1), F.lit(1), n + 1), "<image>")
-    problem = F.when(marks > n, cut).when(marks < n, F.concat(F.repeat(F.lit(" <image>"), n - marks), F.lit("\n"), "question")).otherwise(F.col("question"))
-    answer = F.when(F.col("answer").startswith("\\boxed{"), F.expr("substr(answer, 8, length(answer) - 8)")).otherwise(F.col("answer"))
-    choice = F.upper(F.trim(answer)).rlike("^[A-J]$")
-    kind = F.when(F.col("category") == "Spatial Reasoning", "spatial_reasoning").when(F.col("category") == "Tables/Diagrams/Charts", "ocr").otherwise("stem")
-    return adapted(rows, source, images=F.col("image"), problem=problem, answer=F.array(F.when(choice, F.upper(F.trim(answer))).otherwise(answer)), problem_type=kind, answer_type=F.when(choice, "multiple_choice").otherwise("math_expressions"))
-
-
-def adapt_grounding(rows: DataFrame, source: str = "grounding") -> DataFrame:
-    """Of (file_name, caption, bbox x y width height, width, height): the box in shares of the image, as text."""
-    from corpusloom.functions.similarity import corners
-
-    box = corners(*[F.col("bbox")[i] for i in range(4)], F.col("width"), F.col("height"))
-    problem = F.concat(F.lit("<image>\nWhere in the image is this: "), F.lower("caption"), F.lit("\nAnswer as [x_min, y_min, x_max, y_max], each from 0 to 1."))
-    return adapted(rows, source, images=F.array("file_name"), problem=problem, answer=F.array(F.concat(F.lit("["), F.array_join(F.transform(box, lambda v: v.cast("string")), ", "), F.lit("]"))), problem_type=F.lit("grounding"), answer_type=F.lit("bbox"), prompt_type=F.lit("normal"))
-
-
-def adapt_choices(rows: DataFrame, source: str = "choices") -> DataFrame:
-    """Of (image, question, answer)."""
-    return adapted(rows, source, images=F.array("image"), problem=F.concat(F.lit("<image>\n"), "question"), answer=F.array("answer"), answer_type=F.lit("multiple_choice"))
-
-
-def adapt_counting(rows: DataFrame, source: str = "counting") -> DataFrame:
-    """Of (image, label, count)."""
-    return adapted(rows, source, images=F.array("image"), problem=F.concat(F.lit("<image>\nHow many "), "label", F.lit(" are there?")), answer=F.array(F.col("count").cast("string")), problem_type=F.lit("counting"), answer_type=F.lit("number"))
-
-
-def adapt_programs(rows: DataFrame, source: str = "programs") -> DataFrame:
-    """FLT-21 and SRC-19: of (description, input_format, output_format, official_tests, generated_checker): problems without a checker of their own; the answer holds the tests."""
-    own = rows.where("generated_checker IS NULL")
-    problem = F.concat_ws("\n", "description", F.concat(F.lit("Input: "), "input_format"), F.concat(F.lit("Output: "), "output_format"), F.lit("Answer with one function solution(input) that returns the output."))
-    return adapted(own, source, problem=problem, answer=F.array(F.to_json(F.struct(F.col("official_tests").alias("tests")))), problem_type=F.lit("coding"), answer_type=F.lit("general_code"))
-
-
-ADAPTERS = {"reasoning": adapt_reasoning, "grounding": adapt_grounding, "choices": adapt_choices, "counting": adapt_counting, "programs": adapt_programs}
-"""UDF-07: adapters by source; a source names its own with ADAPTERS[name] = function."""
-
-
-def adapt_all(sources: dict[str, tuple[str, DataFrame]]) -> DataFrame:
-    """The union of sources, each as (adapter, rows)."""
-    out = None
-    for name, (adapter, rows) in sources.items():
-        part = ADAPTERS[adapter](rows, name)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 # -- schema audits -----------------------------------------------------------------------------
 
 
