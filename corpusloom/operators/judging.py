@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as A
+from corpusloom.operators.storage import append_in_waves
 
 
 def request_key(*parts: Column) -> Column:
@@ -98,7 +99,7 @@ def delete_cache(spark: SparkSession, folder: str, prefix: str = "") -> list[str
 
 
 def embed_blocks(rows: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[float]]], folder: str, block_size: int = 1000, batch: int = 128) -> DataFrame:
-    """(block_id, key, embedding) of all rows; only blocks that the folder doesn't have yet are embedded, so a stopped run goes on where it was.
+    """(block_id, key, embedding) of all rows; only blocks that the folder doesn't have yet are embedded. They are written in several jobs, so a stopped run goes on after the last one that ended.
 
     Block ids are key div block_size, keys being integers of 0 or more. Texts go to the model sorted by length, so that a batch pads little.
     """
@@ -116,8 +117,7 @@ def embed_blocks(rows: DataFrame, key: str, text: str, model: Callable[[list[str
             vectors = [v for i in range(0, len(f), batch) for v in model(f["t"].iloc[i : i + batch].tolist())]
             yield pd.DataFrame({"block_id": f["block_id"], "id": f["id"], "embedding": vectors})
 
-    made = blocked.repartition("block_id").mapInPandas(run, "block_id long, id long, embedding array<float>")
-    made.write.mode("append").partitionBy("block_id").parquet(folder)
+    append_in_waves(blocked, "block_id", lambda part: part.repartition("block_id").mapInPandas(run, "block_id long, id long, embedding array<float>"), folder)
     return spark.read.parquet(folder).select(F.col("block_id").cast("long").alias("block_id"), F.col("id").alias(key), "embedding")
 
 

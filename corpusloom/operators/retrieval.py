@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.storage import append_in_waves
+
 
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -86,7 +88,7 @@ def add_to_cells(vectors: DataFrame, centres: np.ndarray, id_col: str = "vec_id"
 
 
 def add_missing_blocks(vectors: DataFrame, centres: np.ndarray, folder: str, block_size: int = 100_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """EXT-10: the encoded index in a folder by block; only blocks that it lacks are encoded and appended."""
+    """EXT-10: the encoded index in a folder by block; only blocks that it lacks are encoded and appended, in several jobs."""
     spark = vectors.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -95,7 +97,7 @@ def add_missing_blocks(vectors: DataFrame, centres: np.ndarray, folder: str, blo
     todo = vectors.withColumn("block_id", block)
     if there:
         todo = todo.join(F.broadcast(spark.read.parquet(folder).select(F.col("block_id").cast("long").alias("block_id")).distinct()), "block_id", "left_anti")
-    add_to_cells(todo, centres, id_col, vector_col).withColumn("block_id", block).write.mode("append").partitionBy("block_id").parquet(folder)
+    append_in_waves(todo, "block_id", lambda part: add_to_cells(part, centres, id_col, vector_col).withColumn("block_id", block), folder)
     return spark.read.parquet(folder)
 
 

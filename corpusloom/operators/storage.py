@@ -122,6 +122,18 @@ def running(rows: DataFrame, group: list[str], order: list[str], value: str | No
     return inside.join(bases, same).withColumn(name, F.col("__in") + F.col("__bases")).drop("__part", "__place", "__in", "__bases", "__of", *names.values())
 
 
+WAVES, WAVE_BLOCKS = 16, 16
+"""Jobs that a long write is cut into at most, and blocks that a job has at least."""
+
+
+def append_in_waves(rows: DataFrame, block: str, make, folder: str) -> None:
+    """Appends make(rows) to folder, partitioned by block, in several jobs with some blocks each: a job that has ended stays, so a write that is stopped loses the present one only."""
+    waves = max(1, min(WAVES, rows.select(block).distinct().count() // WAVE_BLOCKS))
+    for w in range(waves):
+        own = rows if waves == 1 else rows.where(F.pmod(F.xxhash64(block), F.lit(waves)) == w)
+        make(own).write.mode("append").partitionBy(block).parquet(folder)
+
+
 FEW = 10_000
 """Rows that one task may take in order."""
 

@@ -540,6 +540,26 @@ def test_public_suffixes(spark, tmp_path):
     assert got[1] == "domain" and got[2] == "keep"
 
 
+def test_stopped_block_writes_go_on(spark, tmp_path, monkeypatch):
+    from corpusloom.operators import judging
+
+    monkeypatch.setattr(storage, "WAVE_BLOCKS", 4)
+    folder = f"file://{tmp_path}/blocks"
+    rows = spark.range(200).select(F.col("id").alias("k"), F.when(F.col("id") == 77, "bad").otherwise("t").alias("t"))
+
+    def model(texts):
+        if "bad" in texts:
+            raise ValueError("stopped")
+        return [[float(len(x))] for x in texts]
+
+    with pytest.raises(Exception, match="stopped"):
+        judging.embed_blocks(rows, "k", "t", model, folder, 10)
+    done = spark.read.parquet(folder).select("block_id").distinct().count()
+    assert 0 < done < 20
+    whole = judging.embed_blocks(rows.withColumn("t", F.lit("t")), "k", "t", model, folder, 10)
+    assert whole.count() == 200 and whole.select("k").distinct().count() == 200
+
+
 def test_blend_is_the_loop_whatever_the_guesses(spark, monkeypatch):
     import random
 
