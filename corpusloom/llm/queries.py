@@ -101,6 +101,42 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS record_sha256
 FROM r"""
 
 
+#: crc32 bit by bit: each byte of the id comes in at every eighth step.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: list_concat([ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT], [0, 0, 0, 0, 0, 0, 0]::BIGINT[])))),
+      lambda c, e: CASE WHEN xor(c, e) & 1 = 1 THEN xor(xor(c, e) >> 1, 3988292384) ELSE xor(c, e) >> 1 END), 4294967295) AS h FROM documents),
+e AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM d),
+p AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM e),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM p),
+x AS (SELECT doc_id, n, unnest(w) AS w, unnest(range(0, n)) AS i FROM t),
+y AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.w = b.w AND b.i > a.i AND b.i <= a.i + a.n // 4),
+z AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM y),
+l AS (SELECT doc_id, min(i) AS s, max(i) + 1 + q AS e, q FROM z GROUP BY doc_id, q, k HAVING count(*) >= greatest(6 - q, 3 * q)),
+r AS (SELECT doc_id, s, e, min(q) AS q FROM l GROUP BY doc_id, s, e),
+b AS (SELECT doc_id, count(*) AS m, min(struct_pack(l := s - e, s := s, q := q)) AS best, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS said, list(struct_pack(f := s + q, e := e)) AS gone FROM r GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(m, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS "start", CAST(-best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period, CAST(1000 * -best.l // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, j: len(list_filter(gone, lambda x: j > x.f AND j <= x.e)) = 0) END, ' '), '')) AS collapsed_sha256
+FROM t LEFT JOIN b ON b.doc_id = t.doc_id
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) > 2),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS l FROM d),
+m AS (SELECT doc_id, host, lower(regexp_replace(l, '[\x20\x09\x0B-\x0D.,;:!?]', '', 'g')) AS l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS k FROM l),
+h AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+f AS (SELECT m.host, l FROM m JOIN h USING (host) WHERE l <> '' GROUP BY m.host, l, h.n HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > h.n * 0.001),
+v AS (SELECT doc_id, sum(k) AS n FROM m JOIN f USING (host, l) GROUP BY doc_id),
+o AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(v.n, 0) AS BIGINT) AS n_removed
+  FROM d JOIN w USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN v USING (doc_id)),
+q AS (SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_removed FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * (n_words - n_removed) >= 50 * n_words AS kept, n_removed FROM q
+"""
+
 OP13_SQL = r"""
 WITH RECURSIVE b AS (SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE flag IS DISTINCT FROM 'returned' AND sale_id IS NOT NULL AND item_id IS NOT NULL),
 k AS (SELECT count(DISTINCT sale_id) AS n FROM b),
@@ -129,4 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_audit": OP10_SQL, "op13_basket_itemsets": OP13_SQL}
+    return {"op10_warc_audit": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_basket_itemsets": OP13_SQL}

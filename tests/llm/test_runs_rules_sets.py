@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import baskets, periods, quality, substrings
-from corpusloom.llm.queries import OP13_SQL, op13_basket_itemsets
+from corpusloom.llm.queries import OP11_SQL, OP12_SQL, OP13_SQL, op11_periodic_runs, op12_quality_rules, op13_basket_itemsets
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -199,6 +199,17 @@ def test_sets_of_the_table(spark):
     assert want == brute_sets(rows)
 
 
+@pytest.mark.parametrize(("query", "sql"), [(op11_periodic_runs, OP11_SQL), (op12_quality_rules, OP12_SQL)])
+def test_documents_of_the_table(spark, query, sql):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = con.execute(sql)
+    names = [c[0] for c in found.description]
+    got = query(spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
+
+
 def test_repeats_of_the_greatest_id(spark):
     """The greatest 64-bit number is an id like any other; rows without one come after it."""
     text = " ".join(f"w{i}" for i in range(20))
