@@ -101,6 +101,45 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS record_sha256
 FROM r"""
 
 
+#: SQL of components: the least id that each of `nodes` (id) reaches over `links` (a, b), both ways.
+REACHED = """up AS (SELECT id, id AS r FROM nodes UNION SELECT links.a, up.r FROM up JOIN links ON links.b = up.id), least AS (SELECT id, min(r) AS component_id FROM up GROUP BY id)"""
+
+OP3_SQL = (
+    r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+nodes AS (SELECT doc_id AS id FROM documents), """
+    + REACHED
+    + """
+SELECT id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, id = component_id AS kept FROM least LEFT JOIN n ON n.doc_id = id
+"""
+)
+
+OP6_SQL = (
+    """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND list_dot_product(x.v, y.v) >= 0.9),
+nodes AS (SELECT vec_id AS id FROM embeddings), """
+    + REACHED
+    + """
+SELECT id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, id = component_id AS kept FROM least LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = id
+"""
+)
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM w WHERE len(w) > 12),
+m AS (SELECT g, min(doc_id) AS d FROM g GROUP BY g),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM g JOIN m USING (g), (SELECT unnest(range(0, 13)) AS k) WHERE d < doc_id),
+x AS (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS i FROM w),
+k AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
 #: crc32 bit by bit: each byte of the id comes in at every eighth step.
 OP11_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -165,4 +204,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_audit": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_basket_itemsets": OP13_SQL}
+    return {"op3_minhash_near_dedup": OP3_SQL, "op6_embedding_near_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_warc_audit": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_basket_itemsets": OP13_SQL}

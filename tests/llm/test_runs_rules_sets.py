@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import baskets, periods, quality, substrings
-from corpusloom.llm.queries import OP11_SQL, OP12_SQL, OP13_SQL, op11_periodic_runs, op12_quality_rules, op13_basket_itemsets
+from corpusloom.llm import baskets, periods, quality, queries, substrings
+from corpusloom.llm.queries import OP13_SQL, op13_basket_itemsets
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -199,13 +199,14 @@ def test_sets_of_the_table(spark):
     assert want == brute_sets(rows)
 
 
-@pytest.mark.parametrize(("query", "sql"), [(op11_periodic_runs, OP11_SQL), (op12_quality_rules, OP12_SQL)])
-def test_documents_of_the_table(spark, query, sql):
+@pytest.mark.parametrize("name", ["op3_minhash_near_dedup", "op6_embedding_near_dedup", "op7_substring_dedup", "op11_periodic_runs", "op12_quality_rules"])
+def test_rows_of_the_tables(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    found = con.execute(sql)
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in found.description]
-    got = query(spark, SF)
+    got = queries.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
 
