@@ -259,8 +259,13 @@ class Level:
         self.any_large = not is_empty(self.large)
         self.small = self.rows.join(self.large, "k", "left_anti") if self.any_large else self.rows
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """rows by class, in a stated number of tasks: classes are few bytes and much work, so they must not be put together by their bytes."""
+        spark = rows.sparkSession
+        return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
+
     def mined(self, least: int) -> DataFrame:
-        return self.small.join(self.heads, "k").groupBy("k").applyInArrow(lambda t: _mined(t, least), SETS)
+        return self.dealt(self.small.join(self.heads, "k")).groupBy("k").applyInArrow(lambda t: _mined(t, least), SETS)
 
     def split(self, items: int, least: int) -> Level:
         """The next level, of the classes that are too large."""
@@ -322,7 +327,8 @@ def frequent_sets(lines: DataFrame, basket_col: str = "sale_id", item_col: str =
         pair = level.links.where("j > e").selectExpr(f"cast(transform(split({_child(_child(), 'j')}, ','), x -> cast(x AS int)) AS array<int>) AS items", "n")
         supports = supports.unionByName(pair)
         own = asked.where(f"size(items) > {depth + 1}").withColumn("k", F.expr(_prefix(depth)))
-        found = own.groupBy("k").cogroup(level.small.groupBy("k")).applyInArrow(_answered, SETS)
+        needed = level.small.join(own.select("k").distinct(), "k", "left_semi")
+        found = level.dealt(own).groupBy("k").cogroup(level.dealt(needed).groupBy("k")).applyInArrow(_answered, SETS)
         supports = supports.unionByName(materialise(found, "answers"))
     out = materialise(rules(sets, supports, codes, baskets, confidence), "rules")
     release(began, keep=out)
