@@ -33,9 +33,9 @@ def settle(df: DataFrame, tag: str = "table") -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/corpusloom/{tag}-{uuid.uuid4().hex}"
-    fs, where = _place(spark, path)
-    fs.deleteOnExit(where)
     df.write.parquet(path)
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)  # of a path that exists
     out = spark.read.schema(schema).parquet(path)
     out._settled_path = path
     _TABLES.append(out)

@@ -97,12 +97,12 @@ def shard_rows(planned: DataFrame, key: str, members: str, chunk: int = 8 << 20)
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, piece, n, held = None, 0, 0, []
+        now, piece, n, held, total = None, 0, 0, [], 0
 
         def rows(last: bool):
-            nonlocal piece, held
+            nonlocal piece, held, total
             data = b"".join(held) + (b"\0" * (2 * TAR_BLOCK) if last else b"")
-            held = []
+            held, total = [], 0
             out = pd.DataFrame({"shard": [now], "piece": [piece], "content": [data], "samples": [n if last else 0]})
             piece += 1
             return out
@@ -115,8 +115,9 @@ def shard_rows(planned: DataFrame, key: str, members: str, chunk: int = 8 << 20)
                     now, piece, n = shard, 0, 0
                 whole = tar_bytes(iter([(k, dict(own))]))
                 held.append(whole[: _payload_end(dict(own), k)])
+                total += len(held[-1])
                 n += 1
-                if sum(map(len, held)) >= chunk:
+                if total >= chunk:
                     yield rows(False)
         if now is not None:
             yield rows(True)
@@ -139,7 +140,7 @@ def write_tar_shards(samples: DataFrame, key: str, members: str, folder: str, ma
     each file is written beside and then renamed.
     """
     sized = samples.withColumn("_size", F.aggregate(F.map_values(members), F.lit(0).cast("long"), lambda s, v: s + TAR_BLOCK + F.ceil(F.octet_length(v) / TAR_BLOCK) * TAR_BLOCK))
-    planned = settle(shard_plan(sized, key, "_size", max_count, max_bytes).select("shard", key, members), "shards")
+    planned = settle(shard_plan(sized, key, "_size", max_count, max_bytes - 2 * TAR_BLOCK).select("shard", key, members), "shards")  # with the closing blocks
     numbers = ranked(planned.select("shard").distinct(), "shard", name="_n").select("shard", F.format_string(prefix + "-%06d", F.col("_n")).alias("_name"))
     named = planned.join(numbers, "shard").withColumn("shard", F.col("_name")).drop("_name")
     root = folder.removeprefix("file://").rstrip("/")
