@@ -560,6 +560,13 @@ def test_stopped_block_writes_go_on(spark, tmp_path, monkeypatch):
     assert whole.count() == 200 and whole.select("k").distinct().count() == 200
 
 
+def test_sampled_files():
+    files = [f"f{i:03d}" for i in range(200)]
+    some = readers.sampled_files(files, 30, 600)
+    assert len(some) == 10 and some == sorted(set(some)) and set(some) <= set(files) and some == readers.sampled_files(files[::-1], 30, 600)
+    assert readers.sampled_files(files, 1, 10**9) != [] and readers.sampled_files(files, 600, 600) == files and readers.sampled_files(files, 30, 600, seed=1) != some
+
+
 def test_blend_is_the_loop_whatever_the_guesses(spark, monkeypatch):
     import random
 
