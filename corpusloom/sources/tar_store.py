@@ -38,14 +38,8 @@ def _blocks(spark: SparkSession, files: list[str], split_bytes: int) -> tuple[Da
     sc, jvm = spark.sparkContext, spark._jvm
     conf = jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
     conf.set("mapreduce.input.fileinputformat.split.maxsize", str(split_bytes // TAR_BLOCK * TAR_BLOCK))
-    made, owner = [], []
-    for f in files:
-        rdd = sc._jsc.sc().binaryRecords(f, TAR_BLOCK, conf)
-        made.append(rdd)
-        owner += [f] * rdd.getNumPartitions()
-    every = made[0]
-    for rdd in made[1:]:
-        every = every.union(rdd)  # parts stay in order
+    every = sc._jsc.sc().binaryRecords(",".join(files), TAR_BLOCK, conf)  # one RDD: a union of one a file is as deep as there are files
+    owner = [p.serializableHadoopSplit().value().getPath().toString() for p in every.partitions()]
     rows = spark._jsparkSession.createDataset(every, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF()
     return DataFrame(rows, spark).select(F.spark_partition_id().alias("part"), F.col("value").alias("block")), owner
 

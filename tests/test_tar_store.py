@@ -88,3 +88,17 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
     assert not (tmp_path / "out").exists() or not list((tmp_path / "out").iterdir())
     nothing = tar_store.write_tar(table(spark, samples(1)).limit(0), "key", "members", f"file://{tmp_path}/none")
     assert nothing.count() == 0
+
+
+def test_very_many_small_shards_are_one_plan(spark, tmp_path):
+    out, many = tmp_path / "many", 700
+    out.mkdir()
+    for i in range(many):
+        with tarfile.open(out / f"s{i:05d}.tar", "w", format=tarfile.USTAR_FORMAT) as tar:
+            told = tarfile.TarInfo(f"k{i}.txt")
+            told.size = 3
+            tar.addfile(told, io.BytesIO(b"%03d" % (i % 1000)))
+    files = sorted(f"file:{p}" for p in out.glob("*.tar"))
+    blocks, owner = tar_store._blocks(spark, files, 64 << 10)
+    assert owner == files
+    assert blocks.select("part").distinct().count() == many and blocks.count() == many * 20
