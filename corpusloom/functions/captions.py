@@ -45,7 +45,7 @@ def cider(rows: DataFrame, key: str, prediction: str, references: str) -> DataFr
     First come the numbers of rows in whose references an n-gram stands, counted before the shuffle; n-grams then weigh tf * log(rows / that). Of each order
     the clipped weighted products of a prediction and a reference over both lengths, times a penalty of the difference in words, are averaged
     over orders and references. An n-gram that very many rows have is one row of the frequencies, and its many rows are
-    what the join can split.
+    what the join can split. That join is the only one; then a row's n-grams are brought together once and summed up there.
     """
     base = rows.select(F.col(key).alias("id"), F.coalesce(prediction, F.array().cast("array<string>")).alias("p"), F.coalesce(references, F.array().cast("array<array<string>>")).alias("r"))
     refs = base.select("id", F.posexplode("r").alias("ref", "w")).where("w IS NOT NULL")
@@ -54,16 +54,20 @@ def cider(rows: DataFrame, key: str, prediction: str, references: str) -> DataFr
     often = theirs.select("id", "k", "gram").distinct().groupBy("k", "gram").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(n, 1)))) - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double"))
 
-    def weighed(grams: DataFrame, name: str) -> DataFrame:
-        return grams.join(often, ["k", "gram"], "left").withColumn(name, F.col("tf") * idf).drop("tf", "df")
-
-    hyp, ref = weighed(own, "h"), weighed(theirs, "w")
-    lengths = refs.select("id", "ref", F.greatest(F.size("w") - 1, F.lit(0)).alias("rl")).join(base.select("id", F.greatest(F.size("p") - 1, F.lit(0)).alias("pl")), "id")
-    h_norm = hyp.groupBy("id", "k").agg(F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("hn"))
-    r_norm = ref.groupBy("id", "ref", "k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
-    dots = ref.join(hyp, ["id", "k", "gram"]).groupBy("id", "ref", "k").agg(F.sum(F.least("h", "w") * F.col("w")).alias("dot"))
-    each = dots.join(h_norm, ["id", "k"]).join(r_norm, ["id", "ref", "k"]).withColumn("v", F.when((F.col("hn") > 0) & (F.col("rn") > 0), F.col("dot") / (F.col("hn") * F.col("rn"))).otherwise(F.col("dot")))
-    by_ref = each.groupBy("id", "ref").agg((F.sum("v") / ORDERS).alias("v"))
-    penalty = F.exp(-F.pow(F.col("pl") - F.col("rl"), F.lit(2.0)) / (2 * SIGMA**2))
-    scored = lengths.join(by_ref, ["id", "ref"], "left").groupBy("id").agg((SCALE * F.avg(F.coalesce("v", F.lit(0.0)) * penalty)).alias("cider"))
-    return base.select("id").join(scored, "id", "left").select(F.col("id").alias(key), F.coalesce("cider", F.lit(0.0)).alias("cider"))
+    both = own.withColumn("ref", F.lit(-1)).unionByName(theirs)  # reference -1: the prediction
+    weighed = both.join(often.hint("merge"), ["k", "gram"], "left").select("id", "ref", "k", "gram", (F.col("tf") * idf).alias("w"))
+    # Lengths go with them as order 0. All sums below are of one id, so none shuffles again.
+    length = lambda c: F.greatest(F.size(c) - 1, F.lit(0)).cast("double").alias("w")
+    lengths = base.select("id", F.lit(-1).alias("ref"), length("p")).unionByName(refs.select("id", "ref", length("w"))).withColumn("k", F.lit(0)).withColumn("gram", F.lit(None).cast("string"))
+    x = weighed.unionByName(lengths).repartition("id")
+    h, w = F.col("h"), F.col("w")
+    grams = x.groupBy("id", "k", "gram").agg(F.max(F.when(F.col("ref") < 0, w)).alias("h"), F.collect_list(F.struct("ref", "w")).alias("all"))
+    each = grams.select("id", "k", "h", F.explode("all").alias("x")).select("id", "k", "h", "x.ref", "x.w")
+    sums = each.groupBy("id", "k", "ref").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.sum(F.when(h.isNotNull(), F.least(h, w) * w)).alias("dot"), F.max("w").alias("length"))
+    mine = sums.groupBy("id", "k").agg(F.max(F.when(F.col("ref") < 0, F.col("norm"))).alias("hn"), F.max(F.when(F.col("ref") < 0, F.col("length"))).alias("pl"), F.collect_list(F.when(F.col("ref") >= 0, F.struct("ref", "norm", "dot", "length"))).alias("all"))
+    pairs = mine.select("id", "k", "hn", "pl", F.explode_outer("all").alias("x")).select("id", "k", "hn", "pl", "x.*")
+    v = F.when((F.col("hn") > 0) & (F.col("norm") > 0), F.col("dot") / (F.col("hn") * F.col("norm"))).otherwise(F.col("dot"))
+    penalty = F.exp(-F.pow(F.col("pl") - F.col("length"), F.lit(2.0)) / (2 * SIGMA**2))
+    by_ref = pairs.groupBy("id", "ref").agg((F.sum(F.when(F.col("k") > 0, v)) / ORDERS).alias("v"), F.max(F.when(F.col("k") == 0, penalty)).alias("penalty"))
+    scored = by_ref.groupBy("id").agg((SCALE * F.avg(F.coalesce("v", F.lit(0.0)) * F.col("penalty"))).alias("cider"))
+    return scored.select(F.col("id").alias(key), F.coalesce("cider", F.lit(0.0)).alias("cider"))

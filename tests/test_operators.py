@@ -593,3 +593,13 @@ def test_cycles_and_streams(spark, tmp_path):
         q.stop()
     got = spark.table("cycled").collect()
     assert len(got) >= 12 and all(r["k"] == r["position"] % 5 and r["epoch"] == r["position"] // 5 for r in got)
+
+
+def test_cider_joins_only_the_frequencies(spark):
+    from corpusloom.functions import captions
+
+    rows = spark.createDataFrame([(1, ["a", "b"], [["a", "b"], None, ["c"]]), (2, [], [["x"]]), (3, None, None), (4, ["a"], [])], "id int, p array<string>, r array<array<string>>")
+    got = captions.cider(rows, "id", "p", "r")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "strategy=broadcast" not in plan  # no table that grows with the rows is sent to the driver
+    assert {r["id"]: round(r["cider"], 6) for r in got.collect()} == {1: 2.5, 2: 0.0, 3: 0.0, 4: 0.0}
