@@ -2,7 +2,7 @@
 
 A vector is kept as its cell, one byte for each of `parts` slices of its residual, and the length of what the bytes miss. A query's
 inner product with it is known up to that length times the query's own, so a block of a list gives the vectors which can be among
-the best, and only those are looked up and compared exactly. With all cells probed the answer is that of a full search.
+the best, and only those are compared exactly. With all cells probed the answer is that of a full search.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.retrieval import inner_product
-from corpusloom.operators.storage import settle
+from corpusloom.operators.retrieval import _cell_blocks, best_products
 
 CODES = 256
 BLOCK = 4096
 """Vectors of one block of a list."""
+QUERIES = 512
+"""Queries of one block of those that a cell is probed by."""
 SALTS = 16
 """Tasks that a cell's vectors are packed in."""
 
@@ -157,8 +158,8 @@ def build(vectors: DataFrame, index: Codebooks, id_col: str = "vec_id", vector_c
 def search(queries: DataFrame, lists: DataFrame, vectors: DataFrame, index: Codebooks, k: int, probes: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, item_id, score, rank): the k items of greatest inner product among the cells of the `probes` nearest centres, exactly; ties to the lesser id.
 
-    queries (query_id, embedding) meet the lists in a join by cell and are never collected. Of each block go on the vectors
-    whose score can reach the k-th best lower bound of the block, then of the whole query, and these are compared exactly.
+    queries (query_id, embedding) meet the lists in a join by cell, block by block, and are never collected. The vectors are laid beside their codes
+    first; of each block those whose score can reach the k-th best lower bound of the block are compared exactly, and k a query go on.
     """
     def near(batches):
         for b in batches:
@@ -168,30 +169,52 @@ def search(queries: DataFrame, lists: DataFrame, vectors: DataFrame, index: Code
                 cell = np.argsort(d, axis=1, kind="stable")[:, :probes]
                 yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), cell.shape[1]), "q": list(np.repeat(x, cell.shape[1], axis=0)), "cell": cell.ravel()})
 
-    def bounds(batches):
+    def single(batches):
         for b in batches:
-            for query_id, q, cell, ids, codes, errors in zip(b["query_id"], b["q"], b["cell"], b["ids"], b["codes"], b["errors"], strict=True):
+            for cell, ids, codes, errors in zip(b["cell"], b["ids"], b["codes"], b["errors"], strict=True):
                 own = np.frombuffer(ids, "<i8")
-                score = index.scores(q, cell, np.frombuffer(codes, np.uint8).reshape(len(own), -1))
-                length = float(np.sqrt(q @ q))
-                miss = np.frombuffer(errors, "<f8") * length
-                miss = miss + 1e-9 * (np.abs(score) + miss + length)  # rounding
-                low, high = score - miss, score + miss
-                keep = high >= (np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf)
-                yield pd.DataFrame({"query_id": query_id, "item_id": own[keep], "low": low[keep], "high": high[keep]})
+                yield pd.DataFrame({"item_id": own, "cell": cell, "code": [c.tobytes() for c in np.frombuffer(codes, np.uint8).reshape(len(own), -1)], "error": np.frombuffer(errors, "<f8")})
+
+    def block(cell: int, rows: list) -> pd.DataFrame:
+        return pd.DataFrame({"cell": [cell], "ids": [np.array([r[0] for r in rows], "<i8").tobytes()], "codes": [b"".join(r[1] for r in rows)], "errors": [np.array([r[2] for r in rows], "<f8").tobytes()], "matrix": [np.stack([r[3] for r in rows]).astype(np.float64).tobytes()]})
+
+    def beside(batches):
+        held, now = [], None
+        for b in batches:
+            for key, cell, code, error, v in zip(b["item_id"], b["cell"], b["code"], b["error"], b["v"], strict=True):
+                if held and (cell != now or len(held) == BLOCK):
+                    yield block(now, held)
+                    held = []
+                now = cell
+                held.append((key, code, error, v))
+        if held:
+            yield block(now, held)
+
+    def compared(batches):
+        for b in batches:
+            for q_ids, q_matrix, cell, ids, codes, errors, matrix in zip(b["q_ids"], b["q_matrix"], b["cell"], b["ids"], b["codes"], b["errors"], b["matrix"], strict=True):
+                own, asking = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, np.int64)
+                code, error, exact = np.frombuffer(codes, np.uint8).reshape(len(own), -1), np.frombuffer(errors, "<f8"), np.frombuffer(matrix).reshape(len(own), -1)
+                out = []
+                for query_id, q in zip(asking.tolist(), np.frombuffer(q_matrix).reshape(len(asking), -1), strict=True):
+                    score = index.scores(q, cell, code)
+                    length = float(np.sqrt(q @ q))
+                    miss = error * length
+                    miss = miss + 1e-9 * (np.abs(score) + miss + length)  # rounding
+                    low, high = score - miss, score + miss
+                    keep = np.flatnonzero(high >= (np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf))
+                    _, column, scores = best_products(q[None], exact[keep], own[keep], k)
+                    out.append(pd.DataFrame({"query_id": query_id, "item_id": own[keep][column], "score": scores}))
+                yield pd.concat(out)
 
     asked = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
     none = "query_id long, item_id long, score double, rank int"
     if not len(index.cells):
         return queries.sparkSession.createDataFrame([], none)
-    probed = asked.mapInPandas(near, "query_id long, q array<double>, cell int").join(lists, "cell").select("query_id", "q", "cell", "ids", "codes", "errors")
-    found = settle(probed.mapInPandas(bounds, "query_id long, item_id long, low double, high double"), "candidates")
-
-    def best(rows: DataFrame, *order) -> DataFrame:
-        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-
-    least = best(found, F.desc("low")).groupBy("query_id").agg(F.min("low").alias("least"), F.count("*").alias("n"))
-    able = found.join(least, "query_id").where((F.col("high") >= F.col("least")) | (F.col("n") < k)).select("query_id", "item_id")
-    items = vectors.select(F.col(id_col).cast("long").alias("item_id"), F.col(vector_col).alias("v"))
-    scored = able.join(items, "item_id").join(asked, "query_id").select("query_id", "item_id", inner_product(F.col("embedding"), F.col("v")).alias("score"))
-    return best(scored, F.desc("score"), "item_id").select("query_id", "item_id", "score", "rank")
+    items = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(vector_col).alias("v"))
+    rows = lists.mapInPandas(single, "item_id long, cell int, code binary, error double").join(items, "item_id")
+    laid = rows.repartition("cell", F.pmod(F.xxhash64("item_id"), F.lit(SALTS))).sortWithinPartitions("cell").select("item_id", "cell", "code", "error", "v").mapInPandas(beside, LISTS + ", matrix binary")
+    probed = _cell_blocks(asked.mapInPandas(near, "query_id long, q array<double>, cell int"), ("query_id", "q"), QUERIES).select("cell", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    pairs = laid.join(probed, "cell").select("q_ids", "q_matrix", "cell", "ids", "codes", "errors", "matrix")
+    found = pairs.mapInPandas(compared, "query_id long, item_id long, score double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k).select("query_id", "item_id", "score", "rank")

@@ -603,3 +603,27 @@ def test_cider_joins_only_the_frequencies(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "strategy=broadcast" not in plan  # no table that grows with the rows is sent to the driver
     assert {r["id"]: round(r["cider"], 6) for r in got.collect()} == {1: 2.5, 2: 0.0, 3: 0.0, 4: 0.0}
+
+
+def test_cells_and_lists_send_on_k_a_block_only(spark):
+    import numpy as np
+
+    from corpusloom.operators import inverted, retrieval, storage
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (90, 4)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "vec_id long, embedding array<double>").repartition(3)
+    queries = rows.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    s = x @ x.T
+    true = {(q, i, n + 1) for q in range(0, 90, 5) for n, i in enumerate(sorted(range(90), key=lambda i: (-s[q, i], i))[:4])}
+    centres = retrieval.train_cells(rows, 3)
+    found = retrieval.search_cells(queries, retrieval.add_to_cells(rows, centres), centres, 4, 3, block=7)
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no product pair by pair
+    assert {(r["query_id"], r["item_id"], r["rank"]) for r in found.collect()} == true
+    index = inverted.train(rows, 3, parts=2, rounds=2)
+    tables = storage.mark_tables()
+    found = inverted.search(queries, inverted.build(rows, index), rows, index, 4, 3)
+    assert storage.mark_tables() == tables  # no candidates are written
+    assert {(r["query_id"], r["item_id"], r["rank"]) for r in found.collect()} == true
+    row, column, scores = retrieval.best_products(np.array([[1.0]]), np.array([[1.0], [np.nan], [1.0], [2.0]]), np.array([9, 1, 3, 4]), 3)
+    assert row.tolist() == [0, 0, 0] and column.tolist() == [3, 2, 0] and scores.tolist() == [2.0, 1.0, 1.0]
