@@ -9,7 +9,7 @@ from corpusloom.functions import scoring as S
 from corpusloom.functions import similarity as M
 from corpusloom.functions import text as T
 from corpusloom.functions.symbolic import equal_answers
-from corpusloom.plans.register import query, t
+from corpusloom.plans.register import query, spread, t
 
 
 @query("""SELECT p_partkey, 1 AS tokens, round(1.0 / (len(string_split(p_name, ' ')) + 1), 9) AS rate, 2 AS swapped, 0 AS equal FROM part""")
@@ -124,7 +124,7 @@ def rwd07_symbolic(spark, d):
     root = F.format_string("\\sqrt{%d}", 2 * k * k), F.format_string("%d\\sqrt{2}", k + off(5))
     pair = F.format_string("\\left(%d, y\\right)", k), F.when(k % 2 == 0, F.format_string("(\\frac{%d}{2}, y)", 2 * k)).otherwise(F.format_string("(y, %d)", k))
     said = M.reward_math(F.concat(F.lit("<answer>\\boxed{"), square[0], F.lit("}</answer>")), square[1])
-    return t(spark, d, "part").select("p_partkey", *[equal_answers(*p).alias(n) for p, n in ((square, "square"), (quarter, "quarter"), (root, "root"), (pair, "pair"))], said.alias("reward"))
+    return spread(t(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", *[equal_answers(*p).alias(n) for p, n in ((square, "square"), (quarter, "quarter"), (root, "root"), (pair, "pair"))], said.alias("reward"))
 
 
 #: SQL: captions of parts: the name with its last word replaced now and then; references are the name and the name without its first word.
