@@ -39,11 +39,15 @@ ASR_MARKS = "!,.?;:"
 
 
 def arrow_text(f, returns: str = "string"):
-    """A function of one text as an Arrow-batched Column function; null stays null."""
+    """A function of one text as an Arrow-batched Column function, called once for each different text of a batch; null stays null."""
 
     @F.pandas_udf(returns)
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else f(v)).astype(object)
+        made = {None: None}
+        for v in x:
+            if v not in made:
+                made[v] = f(v)
+        return pd.Series([made[v] for v in x], dtype=object)
 
     return run
 

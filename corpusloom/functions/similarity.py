@@ -20,11 +20,21 @@ from corpusloom.functions.symbolic import symbolic_equal
 
 
 def arrow_pair(f, returns: str = "double"):
-    """A function of two values as an Arrow-batched Column function; null if either is."""
+    """A function of two values as an Arrow-batched Column function, called once for each different pair of texts of a batch; null if either is."""
 
     @F.pandas_udf(returns)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+        made, out = {}, []
+        for x, y in zip(a, b, strict=True):
+            if x is None or y is None:
+                out.append(None)
+            elif type(x) is str and type(y) is str:
+                if (x, y) not in made:
+                    made[x, y] = f(x, y)
+                out.append(made[x, y])
+            else:
+                out.append(f(x, y))
+        return pd.Series(out, dtype=object)
 
     return run
 

@@ -21,3 +21,19 @@ def test_one_reading_an_expression(monkeypatch):
     monkeypatch.setattr(symbolic.Reader, "whole", lambda self: read.append(1) or whole(self))
     assert symbolic.symbolic_equal("(x+3)^2", "x^2+6x+9")
     assert len(read) == 2
+
+
+def test_each_text_once(spark):
+    """A function of texts is called once for each different one of a batch."""
+    import pandas as pd
+
+    from corpusloom.functions import answers, similarity
+
+    said = []
+    one = answers.arrow_text(lambda v: said.append(v) or v.upper()).func
+    assert one(pd.Series(["a", "b", None, "a"])).tolist() == ["A", "B", None, "A"] and said == ["a", "b"]
+    both = []
+    two = similarity.arrow_pair(lambda x, y: both.append((x, y)) or x + y, "string").func
+    assert two(pd.Series(["a", None, "a"]), pd.Series(["b", "b", "b"])).tolist() == ["ab", None, "ab"] and both == [("a", "b")]
+    lists = similarity.arrow_pair(lambda x, y: float(len(x) + len(y))).func
+    assert lists(pd.Series([["a"], ["a"]]), pd.Series([["b"], []])).tolist() == [2.0, 1.0]
