@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import answers as A
 from corpusloom.functions import text as T
 from corpusloom.operators import conversations, registry, training
-from corpusloom.plans.register import query, t
+from corpusloom.plans.register import query, spread, t
 
 
 @query("""SELECT conv_id, turn, regexp_replace('a' || chr(10) || '<image>' || chr(10) || text || '<image>', '\\n?<image>\\n?', '<|v|><|i|></v>', 'g') AS said FROM conversations""")
@@ -182,7 +182,7 @@ def str31_has_answer(spark, d):
 @query("""SELECT p_partkey, '\\alpha  + \\Omega ' || p_size AS greek, '\\overline{a}' || p_size AS macron, 'x' || p_size AS plain, '\\overline{b_1}' AS joined, 'café ' || p_size || ' "it''s"' AS fixed FROM part""")
 def str32_latex_and_mojibake(spark, d):
     n = F.col("p_size").cast("string")
-    return t(spark, d, "part").select("p_partkey", A.latex_normal(F.concat(F.lit("α + Ω"), n)).alias("greek"), A.latex_normal(F.concat(F.lit("ā"), n)).alias("macron"), A.latex_normal(F.concat(F.lit("\\begin{align}\\[x"), n, F.lit("\\]\\end{align}"))).alias("plain"),
+    return spread(t(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", A.latex_normal(F.concat(F.lit("α + Ω"), n)).alias("greek"), A.latex_normal(F.concat(F.lit("ā"), n)).alias("macron"), A.latex_normal(F.concat(F.lit("\\begin{align}\\[x"), n, F.lit("\\]\\end{align}"))).alias("plain"),
         A.latex_normal(F.lit("\\bar{b}_1")).alias("joined"), A.fix_mojibake(F.concat(F.lit("cafÃ© "), n, F.lit(" “it’s”"))).alias("fixed"))
 
 

@@ -8,7 +8,7 @@ from corpusloom.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["rwd07_symbolic"])
+@pytest.mark.parametrize("name", ["rwd07_symbolic", "str32_latex_and_mojibake", "sim15_gleu", "rwd09_rewards"])
 def test_tasks(spark, name):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= n
