@@ -158,7 +158,7 @@ hc AS (SELECT id, k, g, count(*) AS c FROM h GROUP BY ALL), tc AS (SELECT id, j,
 m AS (SELECT tc.id, j, sum(least(tc.c, hc.c)) AS m FROM tc JOIN hc ON tc.id = hc.id AND tc.k = hc.k AND tc.g = hc.g GROUP BY ALL), ht AS (SELECT id, sum(c) AS a FROM hc GROUP BY ALL), tt AS (SELECT id, j, sum(c) AS b FROM tc GROUP BY ALL)
 SELECT q.id AS p_partkey, round(max(coalesce(m, 0) / greatest(a, coalesce(b, 0))), 9) AS gleu FROM q JOIN ht ON ht.id = q.id LEFT JOIN tt ON tt.id = q.id AND tt.j = q.j LEFT JOIN m ON m.id = q.id AND m.j = q.j GROUP BY q.id""")
 def sim15_gleu(spark, d):
-    return _captions(spark, d).select("p_partkey", F.round(captions.gleu(F.col("p"), F.col("refs")), 9).alias("gleu"))
+    return spread(_captions(spark, d), "p_partkey").select("p_partkey", F.round(captions.gleu(F.col("p"), F.col("refs")), 9).alias("gleu"))
 
 
 def _overlap(pattern: str, group: int, a: str, b: str) -> str:
