@@ -209,7 +209,7 @@ def rwd09_rewards(spark, d):
     even = F.col("o_orderkey") % 2 == 0
     key = F.col("o_orderkey").cast("string")
     long = F.concat(F.lit("<think>"), F.repeat(F.lit("because "), F.lit(20)), F.lit("</think>\n\\boxed{7}"))
-    return t(spark, d, "orders").select(
+    return spread(t(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(
         "o_orderkey", S.reward_exact(F.concat(F.lit(" "), key), key).alias("exact"), S.reward_choice(F.when(even, "(B) x").otherwise("A"), F.lit("b")).alias("choice"), S.reward_boolean(F.when(even, "Yes, true").otherwise("never"), F.lit("true")).alias("boolean"),
         S.reward_format(long).alias("format"), S.reward_format(F.lit("\\boxed{7}")).alias("no_format"), M.box_in_thought(F.when(even, "<think>at [1, 2.5,3 , -4]</think>").otherwise("[1,2,3,4]<think>x</think>")).alias("box"),
         M.think_answer_format(F.when(even, "<think>a</think>\n<answer>b</answer>").otherwise("x <think>a</think><answer>b</answer>")).alias("answer_format"), M.reward_math(F.concat(F.lit("<answer>\\boxed{"), key, F.lit("/2}</answer>")), F.concat(F.lit("0.5*"), key)).alias("math"),
