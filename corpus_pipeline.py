@@ -20,6 +20,8 @@ SURE = 0.5
 REPEAT_WORDS = 50
 """Passages of so many words that an earlier document has too go."""
 CAPACITY = 4096
+PARTS = 150_000
+"""Parts whose ids a worker of the last stage remembers: fewer than op1's, for the executor's heap has grown in the stages before."""
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens."""
-    return packing.pack(docs, word_vocabulary(), CAPACITY)
+    return packing.pack(docs, word_vocabulary(), CAPACITY, cache_size=PARTS)
 
 
 STAGES = [

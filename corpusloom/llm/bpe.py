@@ -423,16 +423,16 @@ class Plain(list):
     """Parts without special tokens."""
 
 
-_CODECS: dict[tuple[str, bool], Codec] = worker_cache()
+_CODECS: dict[tuple[str, bool, int], Codec] = worker_cache()
 
 
-def codec(path: str, text: bool = False) -> Codec:
-    """This process's codec for a vocabulary file."""
+def codec(path: str, text: bool = False, cache_size: int = 0) -> Codec:
+    """This process's codec for a vocabulary file, with a cache of so many parts (0: the usual number)."""
     sole(_CODECS)
-    if (path, text) not in _CODECS:
+    if (path, text, cache_size) not in _CODECS:
         _CODECS.clear()
-        _CODECS[path, text] = Codec(path, text)
-    return _CODECS[path, text]
+        _CODECS[path, text, cache_size] = Codec(path, text, cache_size)
+    return _CODECS[path, text, cache_size]
 
 
 def encode(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:

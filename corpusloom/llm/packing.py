@@ -133,13 +133,13 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, waste: int = 0)
     return Plan(*(table[:, i].copy() for i in range(5)), sequences=sequence)
 
 
-def pieces(documents: DataFrame, vocabulary: str, capacity: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each text's ids and end_id, cut only where longer than capacity."""
+def pieces(documents: DataFrame, vocabulary: str, capacity: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 0) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): each text's ids and end_id, cut only where longer than capacity; cache_size as in codec()."""
     small_batches(documents.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary)
+        c = codec(vocabulary, cache_size=cache_size)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             doc, piece, start, length, crc = [], [], [], [], []
@@ -193,11 +193,11 @@ def assign(found: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
-def pack(documents: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 0) -> DataFrame:
     """Packs every document: (doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row a piece.
 
     Null and empty texts are one piece that holds end_id alone; repeated rows and null ids are packed like
     any other row; an empty table gives no rows; longer texts are cut into pieces of capacity tokens, the
-    last one shorter. Other columns of documents are not read, whatever their names.
+    last one shorter. A smaller cache_size takes less memory a worker and more time. Other columns of documents are not read, whatever their names.
     """
-    return assign(materialise(pieces(documents, vocabulary, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    return assign(materialise(pieces(documents, vocabulary, capacity, end_id, id_col, text_col, cache_size), "pieces"), capacity)

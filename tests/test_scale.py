@@ -37,3 +37,18 @@ def test_each_text_once(spark):
     assert two(pd.Series(["a", None, "a"]), pd.Series(["b", "b", "b"])).tolist() == ["ab", None, "ab"] and both == [("a", "b")]
     lists = similarity.arrow_pair(lambda x, y: float(len(x) + len(y))).func
     assert lists(pd.Series([["a"], ["a"]]), pd.Series([["b"], []])).tolist() == [2.0, 1.0]
+
+
+def test_pipeline_remembers_less(spark, monkeypatch):
+    """The pipeline's last stage keeps fewer parts than op1, and packs the same pieces."""
+    import corpus_pipeline
+    from corpusloom.llm import packing
+    from corpusloom.llm.bpe import Codec
+    from corpusloom.llm.queries import word_vocabulary
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    asked = {}
+    monkeypatch.setattr(packing, "pack", lambda *a, **k: asked.update(k) or packing.pieces(docs, word_vocabulary(), 4096, cache_size=64))
+    small = corpus_pipeline.pack(spark, docs, SF)
+    assert asked["cache_size"] * 4 < Codec(word_vocabulary()).cache_size
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, packing.pieces(docs, word_vocabulary(), 4096).collect()))
