@@ -192,7 +192,7 @@ def snk09_token_documents(spark, d):
 @query("""SELECT 'files' AS kind, CAST(sum(c) AS BIGINT) AS n FROM (SELECT ceil(count(*) / 100.0) c FROM documents) UNION ALL SELECT 'rows', count(*) FROM documents""")
 def snk06_record_shards(spark, d):
     path = folder(spark, "records")
-    writers.write_shards(t(spark, d, "documents").select("doc_id", "text").coalesce(1), path, 100)
+    writers.write_shards(t(spark, d, "documents").select("doc_id", "text"), path, 100, "doc_id")
     x = spark.read.parquet(path)
     files = x.select(F.input_file_name().alias("f")).distinct()
     return files.agg(F.lit("files").alias("kind"), F.count("*").alias("n")).unionByName(x.agg(F.lit("rows").alias("kind"), F.count("*").alias("n")))

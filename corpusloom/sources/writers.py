@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.storage import running
+from corpusloom.operators.storage import ranked, running
 from corpusloom.sources.shards import shard_plan
 
 __all__ = ["shard_plan"]
@@ -20,7 +20,11 @@ def write_split(df: DataFrame, condition: str, path: str) -> None:
     df.withColumn("to_filter", F.coalesce(F.expr(condition), F.lit(True))).write.partitionBy("to_filter").json(path)
 
 
-def write_shards(df: DataFrame, path: str, rows: int = 10_000) -> None:
+def write_shards(df: DataFrame, path: str, rows: int = 10_000, order: str | None = None) -> None:
+    """SNK-06: files of at most so many rows. With an order, each file has consecutive rows and only the last one fewer, whatever the number of tasks."""
+    if order is not None:  # a task's blocks come one after the other, the one that may be short at the end
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = ranked(df, order, name="_rank").withColumn("_block", F.floor(F.col("_rank") / rows)).repartition(parts, "_block").sortWithinPartitions("_rank").drop("_rank", "_block")
     df.write.option("maxRecordsPerFile", rows).parquet(path)
 
 

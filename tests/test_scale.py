@@ -52,3 +52,14 @@ def test_pipeline_remembers_less(spark, monkeypatch):
     small = corpus_pipeline.pack(spark, docs, SF)
     assert asked["cache_size"] * 4 < Codec(word_vocabulary()).cache_size
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, packing.pieces(docs, word_vocabulary(), 4096).collect()))
+
+
+def test_shards_by_many_tasks(spark, tmp_path):
+    """Consecutive rows a file, all files but one full, and not all written by one task."""
+    from corpusloom.sources import writers
+
+    writers.write_shards(spark.range(2050).repartition(3), str(tmp_path / "s"), 100, "id")
+    files = sorted((tmp_path / "s").glob("*.parquet"))
+    ids = sorted(sorted(r["id"] for r in spark.read.parquet(str(f)).collect()) for f in files)
+    assert [i for x in ids for i in x] == list(range(2050)) and sorted(map(len, ids)) == [50] + [100] * 20
+    assert len({f.name.split("-")[1] for f in files}) > 1
