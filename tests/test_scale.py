@@ -63,3 +63,12 @@ def test_shards_by_many_tasks(spark, tmp_path):
     ids = sorted(sorted(r["id"] for r in spark.read.parquet(str(f)).collect()) for f in files)
     assert [i for x in ids for i in x] == list(range(2050)) and sorted(map(len, ids)) == [50] + [100] * 20
     assert len({f.name.split("-")[1] for f in files}) > 1
+
+
+def test_tumbling_in_parts(spark, monkeypatch):
+    """The replayed events are not gathered into one task."""
+    frame, gathered = type(spark.range(1)), []
+    once = frame.coalesce
+    monkeypatch.setattr(frame, "coalesce", lambda self, n: gathered.append(n) or once(self, n))
+    assert catalog.QUERIES["stm_tumbling_stream"](spark, SF).count() > 0
+    assert not gathered
