@@ -318,8 +318,9 @@ def stm06_accept_until(spark, d):
     q.awaitTermination()
     kept = spark.read.parquet(f"{path}/kept").select("event_id", "value")
     one = kept.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), (F.min("value") > 40).alias("moved"))
-    shuffled = iterate.buffered_shuffle(e.coalesce(1), "event_id", 100).withColumn("i", F.monotonically_increasing_id())
-    return shuffled.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), (F.count_if(F.col("i") != F.col("event_id")) > 10).alias("moved")).unionByName(one)
+    laid = e.withColumn("at", F.monotonically_increasing_id())  # partition and place before, and i after
+    shuffled = iterate.buffered_shuffle(laid, "event_id", 100).withColumn("i", F.monotonically_increasing_id())
+    return shuffled.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), (F.count_if(F.col("i") != F.col("at")) > 10).alias("moved")).unionByName(one)
 
 
 @query("""SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts < (SELECT time_bucket(INTERVAL 60 MINUTE, max(ts) - INTERVAL 10 MINUTE) FROM events) GROUP BY 1, 2""")

@@ -72,3 +72,9 @@ def test_tumbling_in_parts(spark, monkeypatch):
     monkeypatch.setattr(frame, "coalesce", lambda self, n: gathered.append(n) or once(self, n))
     assert catalog.QUERIES["stm_tumbling_stream"](spark, SF).count() > 0
     assert not gathered
+
+
+def test_shuffle_in_parts(spark):
+    """The shuffled events are not gathered into one task."""
+    plan = catalog.QUERIES["stm06_accept_until"](spark, SF)._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "Coalesce 1\n" not in plan
