@@ -78,3 +78,18 @@ def test_shuffle_in_parts(spark):
     """The shuffled events are not gathered into one task."""
     plan = catalog.QUERIES["stm06_accept_until"](spark, SF)._jdf.queryExecution().toString()
     assert "MapInPandas" in plan and "Coalesce 1\n" not in plan
+
+
+def test_replay_in_files(spark, monkeypatch):
+    """A replay is cut into files of bounded rows, read in order; the first of a key is still the least."""
+    from corpusloom.plans import stores
+
+    parts, arriving = [], stores._arriving
+    monkeypatch.setattr(stores, "MOST_ARRIVING", 300)
+    monkeypatch.setattr(stores, "_arriving", lambda e, path, order, n: parts.append(n) or arriving(e, path, order, n))
+    got = {r["key"]: r["event_id"] for r in catalog.QUERIES["stm07_deduplicated"](spark, SF).collect()}
+    want: dict = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").collect():
+        k = f"{r['event_type']}{r['user_id']}"
+        want[k] = min(want.get(k, r["event_id"]), r["event_id"])
+    assert parts == [4] and got == want
