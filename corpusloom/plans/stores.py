@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import judging, retrieval
 from corpusloom.operators.storage import settle, shared_folder
-from corpusloom.plans.register import query, t
+from corpusloom.plans.register import query, spread, t
 from corpusloom.sources import adapters, readers, shards, tar_store, writers
 from corpusloom.streaming import iterate, stateful
 
@@ -335,7 +335,7 @@ def stm_tumbling_stream(spark, d):
 
 @query("""SELECT c_custkey, upper(c_name) AS result FROM customer UNION ALL SELECT -1 - r_regionkey, r_name || '!' FROM region""")
 def stm08_flushes(spark, d):
-    x = t(spark, d, "customer").select("c_custkey", "c_name")
+    x = spread(t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
     one = iterate.flushed(x, lambda names: [n.upper() for n in names], "c_name", "string", 7).select("c_custkey", "result")
     names = {r["r_name"]: r["r_regionkey"] for r in t(spark, d, "region").collect()}
     tasks = iterate.pulled(sorted(names), lambda n: n + "!", spark)

@@ -88,9 +88,11 @@ def flushed(rows: DataFrame, act: Callable[[list], list], column: str, returns:
         held = None
         for f in frames:
             held = f if held is None else pd.concat([held, f], ignore_index=True)
-            while len(held) >= size:
-                head, held = held.iloc[:size], held.iloc[size:].reset_index(drop=True)
-                yield head.assign(result=act(head[column].tolist()))
+            full = len(held) // size * size
+            if full:
+                head, held = held.iloc[:full], held.iloc[full:].reset_index(drop=True)
+                values = head[column].tolist()
+                yield head.assign(result=[r for i in range(0, full, size) for r in act(values[i : i + size])])
         if held is not None and len(held):
             yield held.assign(result=act(held[column].tolist()))
 

@@ -8,7 +8,7 @@ from corpusloom.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["rwd07_symbolic", "str32_latex_and_mojibake", "sim15_gleu", "rwd09_rewards"])
+@pytest.mark.parametrize("name", ["rwd07_symbolic", "str32_latex_and_mojibake", "sim15_gleu", "rwd09_rewards", "stm08_flushes"])
 def test_tasks(spark, name):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= n
@@ -93,3 +93,12 @@ def test_replay_in_files(spark, monkeypatch):
         k = f"{r['event_type']}{r['user_id']}"
         want[k] = min(want.get(k, r["event_id"]), r["event_id"])
     assert parts == [4] and got == want
+
+
+def test_flushes_in_one_frame(spark, tmp_path):
+    """act gets the same values at a time, but full groups of a batch come back as one frame, which is one batch again."""
+    from corpusloom.streaming import iterate
+
+    rows = spark.range(0, 100, 1, 1)
+    out = iterate.flushed(rows, lambda v: [len(v)] * len(v), "id", "long", 7)
+    assert sorted((r["id"], r["result"]) for r in out.collect()) == [(i, 7 if i < 98 else 2) for i in range(100)]
