@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,25 +30,155 @@ def edits(a, b) -> int | None:
     places: dict = {}
     for i, c in enumerate(b):
         places[c] = places.get(c, 0) | 1 << i
-    full, last = (1 << m) - 1, m - 1
-    up, down, edits = full, 0, m
+    full = (1 << m) - 1
+    up, down = full, 0
     for c in a:
         same = places.get(c, 0)
         vertical = same | down
         flat = (((same & up) + up) ^ up) | same
-        plus, minus = down | (full & ~(flat | up)), up & flat
-        edits += (plus >> last & 1) - (minus >> last & 1)
-        plus, minus = plus << 1 | 1, minus << 1
+        plus, minus = (down | full & ~(flat | up)) << 1 | 1, (up & flat) << 1
         up, down = (minus | ~(vertical | plus)) & full, plus & vertical & full
-    return edits
+    return len(a) + up.bit_count() - down.bit_count()  # the last column's differences, from its top on
+
+
+WORDS, CODES, MASKS = 8192, 1 << 22, 1 << 22
+"""What a group of pairs holds at most, unless it is one pair: 64-bit words of columns, places of texts, words of masks. A pair of more masks goes through edits()."""
+
+
+def edits_of(pairs: Iterable[tuple[np.ndarray, np.ndarray] | None]) -> list[int | None]:
+    """edits() of many pairs of integer arrays.
+
+    Pairs of about one length go side by side: a pair's column is cut into words of 64 places, and a word takes at each step the text's place
+    one behind that of the word before, whose horizontal difference it got the step before; so a step is one numpy expression over all words
+    of all pairs. Texts are aligned at their ends; before its begin a text's words stay as they are.
+    """
+    found: list[int | None] = []
+    todo = []
+    for i, pair in enumerate(pairs):
+        if pair is None:
+            found.append(None)
+            continue
+        a, b = pair if len(pair[0]) >= len(pair[1]) else pair[::-1]
+        n = len(b)
+        differ = np.flatnonzero(a[:n] != b)
+        low = int(differ[0]) if len(differ) else n
+        back = np.flatnonzero(a[len(a) - n + low :] != b[low:])
+        high = n - low - 1 - int(back[-1]) if len(back) else n - low
+        a, b = a[low : len(a) - high], b[low : n - high]  # without what both begin and end with
+        found.append(len(a))
+        if len(b):
+            todo.append((len(a), i, a, b))
+    todo.sort(key=lambda x: (x[0], x[1]))
+    group: list = []
+    words = codes = masks = 0
+
+    def done() -> None:
+        if group:
+            few = sum(len(a) * (1.2 + 0.0006 * len(b)) for _, a, b, _, _ in group) < len(group[-1][1]) * (30 + 0.012 * words)  # about the microseconds of either way
+            for (i, *_), d in zip(group, [edits(a.tolist(), b.tolist()) for _, a, b, _, _ in group] if few else _side_by_side(group), strict=True):
+                found[i] = d
+
+    for n, i, a, b in todo:
+        kinds, own = np.unique(b, return_inverse=True)
+        size = -(-len(b) // 64)
+        if (len(kinds) + 1) * size > MASKS:
+            found[i] = edits(a.tolist(), b.tolist())
+            continue
+        if group and (words + size > WORDS or words > WORDS // 8 and 2 * n > 3 * len(group[0][1]) or (len(group) + 1) * (n + 2 * size) > CODES or masks + (len(kinds) + 1) * size > MASKS):
+            done()
+            group, words, codes, masks = [], 0, 0, 0
+        group.append((i, a, b, kinds, own))
+        words, masks = words + size, masks + (len(kinds) + 1) * size
+    done()
+    return found
+
+
+def _side_by_side(group: list) -> np.ndarray:
+    """Edit distances of (id, text, column, the column's symbols, the column as places among these)."""
+    one = np.uint64(1)
+    sizes = np.array([-(-len(b) // 64) for _, _, b, _, _ in group])
+    most, longest = int(sizes.max()), max(len(a) for _, a, _, _, _ in group)
+    text = np.zeros((longest + most, len(group)), np.int64)  # where a place's masks begin; those of the first symbol, which stands for all others, are 0
+    tables, began = [], 0
+    for k, (_, a, b, kinds, own) in enumerate(group):
+        n = int(sizes[k])
+        table = np.zeros((len(kinds) + 1, n), np.uint64)
+        at = np.arange(len(b))
+        np.bitwise_or.at(table, (own.ravel() + 1, at >> 6), one << (at & 63).astype(np.uint64))
+        place = np.minimum(np.searchsorted(kinds, a), len(kinds) - 1)
+        text[:, k] = began
+        text[longest - len(a) : longest, k] += np.where(kinds[place] == a, place + 1, 0) * n
+        tables.append(table.ravel())
+        began += table.size
+    masks = np.concatenate(tables)
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    words = int(sizes.sum())
+    used = np.full(words, 64, np.int64)
+    used[first + sizes - 1] = [(len(b) - 1) % 64 + 1 for _, _, b, _, _ in group]
+    inside = np.uint64((1 << 64) - 1) >> (64 - used).astype(np.uint64)
+    lengths = np.array([len(a) for _, a, _, _, _ in group])
+    distance, starts = lengths.copy(), longest - lengths
+    up, down, same, x, y, plus = np.full(words, (1 << 64) - 1, np.uint64), *(np.zeros(words, np.uint64) for _ in range(5))
+    steps, shifted, given = (np.zeros((2, words), np.uint64) for _ in range(3))  # horizontal differences 1 and -1; given is what the word before gave on
+    up_step, down_step, up_shifted, down_shifted, less = *steps, *shifted, given[1]
+    which, before = np.arange(words) - np.repeat(first, sizes) + np.repeat(text[0], sizes), np.empty(words, np.int64)
+    gone, come, top = steps[:, :-1], given[:, 1:], np.uint64(63)
+    begun = np.zeros((2, len(group)), np.uint64)
+    take, add, either, both, unlike, no, left, right = np.take, np.add, np.bitwise_or, np.bitwise_and, np.bitwise_xor, np.bitwise_not, np.left_shift, np.right_shift
+    for step in range(longest + most - 1):
+        which, before = before, which
+        add(before[:-1], 1, which[1:])
+        which[first] = text[step]
+        take(masks, which, 0, same, "clip")
+        begun[0] = starts <= step
+        given[:, first] = begun
+        either(same, down, x)
+        either(same, less, same)
+        both(same, up, y)
+        add(y, up, y)
+        unlike(y, up, y)
+        either(y, same, y)
+        either(y, up, plus)
+        no(plus, plus)
+        either(plus, down, up_step)
+        both(y, up, down_step)
+        left(steps, one, shifted)
+        either(shifted, given, shifted)
+        right(gone, top, come)
+        both(up_shifted, x, down)
+        either(up_shifted, x, up)
+        no(up, up)
+        either(up, down_shifted, up)
+        if step >= longest - 1:
+            w = step - longest + 1  # the words that have now seen their whole text
+            k = np.flatnonzero(sizes > w)
+            i = first[k] + w
+            distance[k] += np.bitwise_count(up[i] & inside[i]).astype(np.int64) - np.bitwise_count(down[i] & inside[i]).astype(np.int64)
+    return distance.tolist()
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _edit_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return pd.Series(edits_of(None if x is None or y is None else (_points(x), _points(y)) for x, y in zip(a, b, strict=True)), dtype="Int32")
 
 
-def _token_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edits(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+def _token_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Words are numbered for some rows at a time and never become Python's texts."""
+    found: list[int | None] = []
+    for low in range(0, len(a), 512):
+        x, y = a.slice(low, 512), b.slice(low, 512)
+        own, other = x.flatten(), y.flatten()
+        numbers = pa.concat_arrays([own, other.cast(own.type)]).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        ends, ends_other = (np.cumsum(pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)) for v in (x, y))
+        ends_other = ends_other + len(own)
+        null = pc.or_(x.is_null(), y.is_null()).to_numpy(zero_copy_only=False)
+        sides = [np.split(numbers[: len(own)], ends[:-1]), np.split(numbers, ends_other[:-1])]
+        sides[1][0] = sides[1][0][len(own) :]
+        found += edits_of(None if no else (p, q) for no, p, q in zip(null, *sides, strict=True))
+    return pa.array(found, pa.int32())
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -53,7 +188,7 @@ def edit_distance(a: Column, b: Column) -> Column:
 
 def token_edit_distance(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of words, however many different ones; null where an array is."""
-    return F.pandas_udf(_token_batch, "int")(a, b)
+    return F.arrow_udf(_token_batch, "int")(a, b)
 
 
 def anls(prediction: Column, references: Column, cut: float = 0.5) -> Column:

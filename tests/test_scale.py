@@ -102,3 +102,24 @@ def test_flushes_in_one_frame(spark, tmp_path):
     rows = spark.range(0, 100, 1, 1)
     out = iterate.flushed(rows, lambda v: [len(v)] * len(v), "id", "long", 7)
     assert sorted((r["id"], r["result"]) for r in out.collect()) == [(i, 7 if i < 98 else 2) for i in range(100)]
+
+
+def test_edits_side_by_side(spark, monkeypatch):
+    """Many pairs are counted together, with the same edits as one at a time; equal ends are left out first."""
+    import random
+
+    import numpy as np
+
+    from corpusloom.functions import scoring
+
+    draw = random.Random(3)
+    pairs = []
+    for n, m, k in [(0, 0, 2), (5, 0, 2), (64, 64, 2), (65, 63, 3), (129, 128, 26), (700, 513, 4), (900, 130, 500)] * 40:
+        pairs.append(tuple(np.array([draw.randrange(k) for _ in range(x)], np.int64) for x in (n, m)))
+        pairs.append((pairs[-1][0], np.delete(pairs[-1][0], slice(3, 9))))
+    want = [scoring.edits(a.tolist(), b.tolist()) for a, b in pairs]
+    grouped, one = [], scoring._side_by_side
+    monkeypatch.setattr(scoring, "_side_by_side", lambda g: grouped.append(len(g)) or one(g))
+    assert scoring.edits_of([None, *pairs]) == [None, *want] and max(grouped) > 9
+    monkeypatch.setattr(scoring, "MASKS", 1)
+    assert scoring.edits_of(pairs) == want
