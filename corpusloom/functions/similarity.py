@@ -42,10 +42,10 @@ def arrow_pair(f, returns: str = "double"):
 # -- edits -------------------------------------------------------------------------------------
 
 
-def mixed_error_rate(a: Column, b: Column) -> Column:
-    """Edits over the longer one's words; 0 where both are empty."""
+def mixed_error_rate(a: Column, b: Column, edits: Column | None = None) -> Column:
+    """Edits over the longer one's words; 0 where both are empty. edits: their token_edit_distance, where it is there already."""
     most = F.greatest(F.size(a), F.size(b))
-    return F.when(most == 0, 0.0).otherwise(S.token_edit_distance(a, b) / most)
+    return F.when(most == 0, 0.0).otherwise((S.token_edit_distance(a, b) if edits is None else edits) / most)
 
 
 def damerau(a: str, b: str) -> int:

@@ -27,7 +27,7 @@ def sim02_long_token_edits(spark, d):
     other = F.transform("w", lambda v, i: F.when(i % 7 == 6, F.concat(F.lit("\x01"), i.cast("string"))).otherwise(v))
     y = x.select("doc_id", "w", other.alias("o"), F.array().cast("array<string>").alias("none"))
     edits = S.token_edit_distance(F.col("w"), F.col("o"))
-    return y.select("doc_id", edits.alias("edits"), S.token_edit_distance(F.col("w"), F.col("none")).alias("removed"), F.round(M.mixed_error_rate(F.col("w"), F.col("o")), 9).alias("rate"))
+    return y.select("doc_id", edits.alias("edits"), S.token_edit_distance(F.col("w"), F.col("none")).alias("removed"), F.round(M.mixed_error_rate(F.col("w"), F.col("o"), edits), 9).alias("rate"))
 
 
 _PAIR = "p_name a, reverse(p_name) b, substr(p_name, 2) || 's' c"

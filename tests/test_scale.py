@@ -123,3 +123,17 @@ def test_edits_side_by_side(spark, monkeypatch):
     assert scoring.edits_of([None, *pairs]) == [None, *want] and max(grouped) > 9
     monkeypatch.setattr(scoring, "MASKS", 1)
     assert scoring.edits_of(pairs) == want
+
+
+def test_token_edits_as_numbers(spark):
+    """Words of a batch stay in Arrow, nulls among them too; null arrays give null."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import scoring
+
+    rows = [(["a", None, "b"], ["a", "b"], 1), (None, ["a"], None), (["a"], None, None), ([], ["x", "y"], 2), (["x"], [], 1), ([None], [None], 0), ([], [], 0)] * 200
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>, d int").coalesce(1)
+    plan = got.select("d", scoring.token_edit_distance(F.col("a"), F.col("b")).alias("e"))
+    assert all(r["d"] == r["e"] for r in plan.collect()) and "ArrowEvalPython" in plan._jdf.queryExecution().toString()
+    nothing = spark.createDataFrame([(None, None)], "a array<string>, b array<string>")
+    assert nothing.select(scoring.token_edit_distance(F.col("a"), F.col("b"))).first()[0] is None
