@@ -60,6 +60,14 @@ def mean_error_rate(rows: DataFrame, reference: str, hypothesis: str) -> DataFra
     return rows.agg(F.avg(M.mixed_error_rate(F.split(reference, " "), F.split(hypothesis, " "))).alias("mer"))
 
 
+def error_rates(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """AGG-10, AGG-11: (wer, mer), word_error_rate() and mean_error_rate() in one pass, so that a row's edits are counted once."""
+    words = rows.select(F.split(reference, " ").alias("r"), F.split(hypothesis, " ").alias("h"))
+    found = words.withColumn("d", S.token_edit_distance(F.col("r"), F.col("h"))).select(F.size("r").alias("n"), "d", M.mixed_error_rate(F.col("r"), F.col("h"), F.col("d")).alias("m"))
+    known = F.col("d").isNotNull()
+    return found.agg((100 * F.sum("d") / F.sum(F.when(known, F.col("n")))).alias("wer"), F.avg("m").alias("mer"))
+
+
 def facet_table(rows: DataFrame, columns: list[str], arrays: list[str], right: str, baseline: DataFrame | None = None) -> DataFrame:
     """AGG-13: (facet, value, accuracy, correct, total, rank, gain): percentages rounded to 2 by each value of each facet, array facets by element, and `average` for all.
 

@@ -53,7 +53,7 @@ def agg11_long_texts(spark, d):
     words = F.split(F.coalesce("text", F.lit("")), " ")
     other = F.array_join(F.transform(words, lambda v, i: F.when(i % 5 == 4, F.concat(F.lit("\x01"), i.cast("string"))).otherwise(v)), " ")
     x = t(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("r"), other.alias("h"))
-    return rounded(grouping.word_error_rate(x, "r", "h").join(F.broadcast(E.mean_error_rate(x, "r", "h"))))
+    return rounded(E.error_rates(x, "r", "h"))
 
 
 @query("""SELECT round(avg(1.0 / (len(string_split(p_name, ' ')) + 1)), 6) AS mer FROM part""")

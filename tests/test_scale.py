@@ -137,3 +137,11 @@ def test_token_edits_as_numbers(spark):
     assert all(r["d"] == r["e"] for r in plan.collect()) and "ArrowEvalPython" in plan._jdf.queryExecution().toString()
     nothing = spark.createDataFrame([(None, None)], "a array<string>, b array<string>")
     assert nothing.select(scoring.token_edit_distance(F.col("a"), F.col("b"))).first()[0] is None
+
+
+def test_edits_counted_once(spark):
+    """Both rates of long texts come from one pass with one function of Python, and those of words and rates of one text as well."""
+    for name in ("agg11_long_texts", "sim02_long_token_edits"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1
+        assert len(set(__import__("re").findall(r"_token_batch\([^)]*\)#\d+", plan))) <= (1 if name == "agg11_long_texts" else 2)
