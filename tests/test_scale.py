@@ -145,3 +145,24 @@ def test_edits_counted_once(spark):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") == 1
         assert len(set(__import__("re").findall(r"_token_batch\([^)]*\)#\d+", plan))) <= (1 if name == "agg11_long_texts" else 2)
+
+
+def test_few_pairs_at_once(spark, monkeypatch):
+    """A worker gets some pairs of blocks at a time, not all of its task's; the session's setting stays, and blocks are as large as before."""
+    from corpusloom.operators import retrieval
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    frame = type(spark.range(1))
+    once = frame.mapInPandas
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, f, schema, *a, **k: once(self, (lambda it: f(_noted(it))) if "score" in str(schema) else f, schema, *a, **k))
+
+    def _noted(batches):
+        for b in batches:
+            assert len(b) <= 8, len(b)
+            yield b
+
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    q = e.selectExpr("vec_id AS query_id", "embedding")
+    got = retrieval.top_k(q, e.withColumnRenamed("vec_id", "item_id"), 3, block=8)
+    assert got.count() == 3 * e.where("embedding IS NOT NULL").count() and spark.conf.get(name) == before
