@@ -113,8 +113,7 @@ def shard_rows(planned: DataFrame, key: str, members: str, chunk: int = 8 << 20)
                     if now is not None:
                         yield rows(True)
                     now, piece, n = shard, 0, 0
-                whole = tar_bytes(iter([(k, dict(own))]))
-                held.append(whole[: _payload_end(dict(own), k)])
+                held.append(_sample_bytes(k, dict(own)))
                 total += len(held[-1])
                 n += 1
                 if total >= chunk:
@@ -126,9 +125,14 @@ def shard_rows(planned: DataFrame, key: str, members: str, chunk: int = 8 << 20)
     return parts.repartition("shard").sortWithinPartitions("shard", "_key").mapInPandas(run, "shard string, piece int, content binary, samples int")
 
 
-def _payload_end(members: dict[str, bytes], key: str) -> int:
-    """Bytes of a sample's members with their headers, each rounded up to a block."""
-    return sum(TAR_BLOCK + -(-len(v) // TAR_BLOCK) * TAR_BLOCK for v in members.values())
+def _sample_bytes(key: str, members: dict[str, bytes]) -> bytes:
+    """A sample's members with their headers, as tar_bytes() has them before the closing blocks."""
+    out = []
+    for suffix in sorted(members):
+        info = tarfile.TarInfo(f"{key}.{suffix}")
+        info.size = len(members[suffix])
+        out += [info.tobuf(tarfile.USTAR_FORMAT), members[suffix], b"\0" * (-info.size % TAR_BLOCK)]
+    return b"".join(out)
 
 
 def write_tar_shards(samples: DataFrame, key: str, members: str, folder: str, max_count: int = MAX_COUNT, max_bytes: int = MAX_BYTES, prefix: str = "pretrain") -> DataFrame:
@@ -302,11 +306,18 @@ def samples_of(stream, size: int = 0) -> Iterator[tuple[str, dict[str, bytes]]]:
         yield now, members
 
 
+LISTED = 4
+"""Tasks that read shards, by those of a shuffle: where there are more shards, a task reads several, one after the other."""
+HELD, HELD_BYTES = 256, 4 << 20
+"""Samples, and bytes of theirs, that are handed on together."""
+
+
 def _listed(spark: SparkSession, paths: str) -> DataFrame:
     from corpusloom.sources.readers import expand
 
     rows = [(p.removeprefix("file:"),) for p in expand(spark, paths)]
-    return spark.createDataFrame(rows, "path string").repartition(max(1, len(rows)))
+    most = LISTED * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.createDataFrame(rows, "path string").repartition(max(1, min(len(rows), most)))
 
 
 def read_tar_samples(spark: SparkSession, paths: str) -> DataFrame:
@@ -315,9 +326,16 @@ def read_tar_samples(spark: SparkSession, paths: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path in f["path"]:
+                held, total = [], 0
                 with open(path, "rb") as stream:
                     for key, members in samples_of(stream):
-                        yield pd.DataFrame({"shard": [path], "key": [key], "members": [members]})
+                        held.append((path, key, members))
+                        total += sum(map(len, members.values()))
+                        if len(held) >= HELD or total >= HELD_BYTES:
+                            yield pd.DataFrame(held, columns=["shard", "key", "members"])
+                            held, total = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=["shard", "key", "members"])
 
     return _listed(spark, paths).mapInPandas(run, "shard string, key string, members map<string,binary>")
 

@@ -166,3 +166,19 @@ def test_few_pairs_at_once(spark, monkeypatch):
     q = e.selectExpr("vec_id AS query_id", "embedding")
     got = retrieval.top_k(q, e.withColumnRenamed("vec_id", "item_id"), 3, block=8)
     assert got.count() == 3 * e.where("embedding IS NOT NULL").count() and spark.conf.get(name) == before
+
+
+def test_many_shards_few_tasks(spark, tmp_path, monkeypatch):
+    """More shards than LISTED tasks a shuffle task are read several a task, samples in frames; a sample's bytes are tarfile's."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.sources import shards
+
+    own = {"txt": b"x" * 700, "json": b"{}", "bin": b""}
+    assert shards.tar_bytes(iter([("a/k", own)])).startswith(shards._sample_bytes("a/k", own) + b"\0" * 1024)
+    rows = spark.range(300).select(F.format_string("%04d", "id").alias("key"), F.create_map(F.lit("txt"), F.lit(b"abc")).alias("members"))
+    index = shards.write_tar_shards(rows, "key", "members", str(tmp_path / "t"), max_count=5)
+    monkeypatch.setattr(shards, "LISTED", 1)
+    read = shards.read_tar_samples(spark, f"{tmp_path}/t/*.tar")
+    assert index.count() == 60 and read.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r["key"].rsplit("/", 1)[-1] for r in read.collect()) == [f"{i:04d}" for i in range(300)]
