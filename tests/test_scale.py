@@ -182,3 +182,28 @@ def test_many_shards_few_tasks(spark, tmp_path, monkeypatch):
     read = shards.read_tar_samples(spark, f"{tmp_path}/t/*.tar")
     assert index.count() == 60 and read.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(r["key"].rsplit("/", 1)[-1] for r in read.collect()) == [f"{i:04d}" for i in range(300)]
+
+
+def test_cache_asked_in_time(spark, tmp_path, monkeypatch):
+    """A worker holds the rows of one bounded file, and requests come by time even where their numbers don't."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.plans import stores
+
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    most = e.agg(F.max("event_id")).first()[0] + 1
+    e.unionByName(e.withColumn("event_id", F.col("event_id") + most)).write.parquet(str(tmp_path / "events.parquet"))
+    parts, arriving = [], stores._arriving
+    monkeypatch.setattr(stores, "MOST_ASKING", 500)
+    monkeypatch.setattr(stores, "_arriving", lambda e, path, order, n: parts.append(n) or arriving(e, path, order, n))
+    got = {r["n"]: r["hit"] for r in catalog.QUERIES["stm07_bounded_cache"](spark, str(tmp_path)).collect()}
+    cache, want = {}, {}
+    for r in spark.read.parquet(str(tmp_path / "events.parquet")).select("ts", "event_id", F.concat("event_type", F.col("user_id").cast("string")).alias("key")).orderBy("ts", "event_id").collect():
+        k = r["key"]
+        want[r["event_id"]] = k in cache and (r["ts"] - cache[k]).total_seconds() < 86_400
+        if not want[r["event_id"]]:
+            cache.pop(k, None)
+            cache[k] = r["ts"]
+            if len(cache) > 100:
+                del cache[next(iter(cache))]
+    assert parts == [-(-len(want) // 500)] and got == want
