@@ -18,14 +18,14 @@ def pairs_to_edges(pairs: DataFrame, column: str) -> DataFrame:
 
 
 def groups(edges: DataFrame, threshold: float = 0.7, rounds: int = 100) -> DataFrame:
-    """(id, group_id): connected components of edges (src, dst, similarity) of at least the threshold, by least labels that hop along edges."""
+    """(id, group_id): connected components of edges (src, dst, similarity) of at least the threshold, by least labels that hop along edges; labels are dealt by key and never broadcast, so nothing that grows goes through the driver."""
     good = edges.where(F.col("similarity") >= threshold).select("src", "dst")
     both = settle(good.unionByName(good.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     held = label = settle(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("g")).select(F.col("src").alias("id"), "g"))
     for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("g").alias("n")).withColumnRenamed("src", "id")
-        hop = label.join(near, "id").select("id", F.least("g", "n").alias("h"), "g")
-        jump = hop.join(label.select(F.col("id").alias("h"), F.col("g").alias("hh")), "h", "left").select("id", F.least("h", F.coalesce("hh", "h")).alias("g"), (F.col("g") != F.least("h", F.coalesce("hh", "h"))).alias("moved"))
+        near = both.join(label.withColumnRenamed("id", "dst").hint("merge"), "dst").groupBy("src").agg(F.min("g").alias("n")).withColumnRenamed("src", "id")
+        hop = label.join(near.hint("merge"), "id").select("id", F.least("g", "n").alias("h"), "g")
+        jump = hop.join(label.select(F.col("id").alias("h"), F.col("g").alias("hh")).hint("merge"), "h", "left").select("id", F.least("h", F.coalesce("hh", "h")).alias("g"), (F.col("g") != F.least("h", F.coalesce("hh", "h"))).alias("moved"))
         jump = settle(jump)
         label = jump.select("id", "g")
         drop_settled(held)

@@ -207,3 +207,14 @@ def test_cache_asked_in_time(spark, tmp_path, monkeypatch):
             if len(cache) > 100:
                 del cache[next(iter(cache))]
     assert parts == [-(-len(want) // 500)] and got == want
+
+
+def test_groups_without_broadcast(spark, monkeypatch):
+    """No table of labels goes through the driver, however small it is said to be."""
+    from corpusloom.operators import dedup
+
+    plans, once = [], dedup.settle
+    monkeypatch.setattr(dedup, "settle", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or once(df, *a))
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(20) if i % 5], "src long, dst long, similarity double")
+    got = {r["id"]: r["group_id"] for r in dedup.groups(edges).collect()}
+    assert got == {i: (i - 1) // 5 * 5 + 1 for i in range(1, 21)} and len(plans) > 2 and not any("Broadcast" in p for p in plans)
