@@ -314,7 +314,8 @@ def ground_truth(literal: Column) -> Column:
         found = got.get("ground_truth") if isinstance(got, dict) else None
         return None if found is None or found == "" else str(found)
 
-    return F.coalesce(F.get_json_object(literal, "$.ground_truth"), A.arrow_text(one)(literal))
+    plain = F.get_json_object(literal, "$.ground_truth")  # most literals are read so; Python gets the others only
+    return F.coalesce(plain, A.arrow_text(one)(F.when(plain.isNull(), literal)))
 
 
 def judge_rows(rows: DataFrame, prompt: str = "prompt", reward_model: str = "reward_model") -> DataFrame:

@@ -218,3 +218,17 @@ def test_groups_without_broadcast(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(20) if i % 5], "src long, dst long, similarity double")
     got = {r["id"]: r["group_id"] for r in dedup.groups(edges).collect()}
     assert got == {i: (i - 1) // 5 * 5 + 1 for i in range(1, 21)} and len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_plain_literals_not_sent(spark, monkeypatch):
+    """A literal that Spark itself reads is not sent to Python."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import training
+
+    sent = []
+    rows = spark.createDataFrame([("{'ground_truth': 'a-1'}",), ("{'ground_truth': ('b', 1)}",), (None,)], "g string")
+    assert [r[0] for r in rows.select(training.ground_truth(F.col("g"))).collect()] == ["a-1", "('b', 1)", None]
+    monkeypatch.setattr(training.A, "arrow_text", lambda f: lambda c: sent.append(c) or F.lit(None).cast("string"))
+    training.ground_truth(F.col("g"))
+    assert [r[0] for r in rows.select(sent[0]).collect()] == [None, "{'ground_truth': ('b', 1)}", None]
