@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.sources import tar_store
+from corpusloom.sources.shards import LISTED
 
 
 def samples(n=40):
@@ -102,3 +103,21 @@ def test_very_many_small_shards_are_one_plan(spark, tmp_path):
     blocks, owner = tar_store._blocks(spark, files, 64 << 10)
     assert owner == files
     assert blocks.select("part").distinct().count() == many and blocks.count() == many * 20
+
+
+def test_many_parts_are_read_by_few_tasks_and_once(spark, tmp_path):
+    rows, out = samples(60), f"file://{tmp_path}/out"
+    tar_store.write_tar(table(spark, rows), "key", "members", out, max_count=2)
+    (tmp_path / "out" / "a.tar").write_bytes(b"")  # an empty file has no part
+    blocks, owner = tar_store._blocks(spark, sorted(f"file:{p}" for p in (tmp_path / "out").glob("*.tar")), 512 * 7)
+    tasks = LISTED * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(owner) > 10 * tasks and blocks.rdd.getNumPartitions() == tasks
+    counts = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert sorted(counts) == list(range(len(owner))) and max(counts.values()) <= 8
+    per = {}
+    for part, path in enumerate(owner):
+        per[path] = per.get(path, 0) + 512 * counts[part]
+    assert per == {f"file:{p}": p.stat().st_size for p in (tmp_path / "out").glob("pre*.tar")}
+    whole = tar_store.read_tar(spark, out + "/*.tar", 512 * 7)
+    assert {r["key"]: {a: bytes(b) for a, b in r["members"].items()} for r in whole.collect()} == dict(rows)
+    assert whole._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1  # names don't read the contents again
